@@ -102,8 +102,8 @@ def near_duplicates(docs: DataFrame, width: int = 3, hot: int = HOT) -> DataFram
     nodes = groups.select("fp", F.coalesce("rep", F.lit(-(1 << 62)) + F.abs(F.xxhash64("fp") % (1 << 40))).alias("rep"))
     found = components(links(nodes, hot))
     known = groups.join(nodes.withColumnRenamed("rep", "node").hint("merge"), "fp")
-    in_component = found.join(known.select("node", "rep").hint("merge"), "node").groupBy("component").agg(F.min("rep").alias("component_id"))
-    of = written(
-        known.join(found.hint("merge"), "node", "left").join(in_component.hint("merge"), "component", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id"))
-    )
+    linked = written(found.join(known.hint("merge"), "node").select("fp", "rep", "component"))
+    least = linked.groupBy("component").agg(F.min("rep").alias("component_id"))
+    joined = linked.join(least.hint("merge"), "component").select("fp", "component_id")
+    of = written(groups.join(joined.hint("merge"), "fp", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id")))
     return fps.join(of.hint("merge"), "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

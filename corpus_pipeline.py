@@ -1,16 +1,24 @@
-"""The corpus pipeline: documents through the stages, each written and read again before the next."""
+"""The corpus pipeline: documents through five stages, each written and read again before the next."""
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from melodex.llm import decontamination, simhash
+from melodex.llm import decontamination, language_id, pii, piece_dropout, simhash
 from melodex.llm.common import table, written
 
+#: Least score of a predicted language; documents below it, and those without a letter, are rejected.
+LEAST_SCORE = 0.4
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language can't be told go; the others stay as they are."""
+    told = language_id.identify(docs, carry=True)
+    return told.where(f"lang_pred <> 'und' and score >= {LEAST_SCORE}").select("doc.*")
+
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of SimHash near-duplicates stays: the one with the smallest doc_id."""
-    kept = simhash.near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept.hint("merge"), "doc_id", "left_semi")
+    kept = written(simhash.near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct())
+    return docs.join(kept.hint("merge"), "doc_id", "left_semi").select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,7 +26,25 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"), carry=True).where("not contaminated").select("doc.*")
 
 
-STAGES = [("SimHash near-dedup", near_dedup), ("benchmark decontamination", decontaminate)]
+def replace_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data and secrets are replaced by surrogates."""
+    return pii.pseudonymise(docs).select(*docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids and lossless of each document's text."""
+    import public_tokenizers
+
+    return piece_dropout.encode_documents(docs, public_tokenizers.path("piece_bpe_32k.model"))
+
+
+STAGES = [
+    ("language ID", identify_language),
+    ("SimHash near-dedup", near_dedup),
+    ("benchmark decontamination", decontaminate),
+    ("PII", replace_pii),
+    ("SentencePiece encoding and decoding", encode),
+]
 
 #: SQL can't express the stages; tests hold them against brute force.
 ORACLE_SQL = None

@@ -1,8 +1,9 @@
 """The registered queries of this subpackage, and the SQL to hold them against where SQL can express them."""
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontamination, language_id, pii, piece_dropout, quality, simhash, token_counts, url_filters
+from . import chat_tree, decontamination, language_id, pii, piece_dropout, quality, simhash, token_counts, url_filters, vector_graph
 from .common import table
 
 
@@ -37,6 +38,18 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_chat_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    marks = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("\\### Assistant: </turn> ok").alias("text")
+    )
+    return chat_tree.digests(given.unionByName(marks))
+
+
+def op9_embedding_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_graph.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op10_piece_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -45,7 +58,7 @@ def op10_piece_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_url_filters, op2_token_counts, op3_pii_surrogates, op4_language_id, op5_simhash_near_dedup, op6_quality_classifier, op7_decontamination, op10_piece_dropout)
+    for f in (op1_url_filters, op2_token_counts, op3_pii_surrogates, op4_language_id, op5_simhash_near_dedup, op6_quality_classifier, op7_decontamination, op8_chat_tree, op9_embedding_graph, op10_piece_dropout)
 }
 
 #: op1's method and the digests of the others are held against brute force in the tests; SQL can't express them.

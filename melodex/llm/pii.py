@@ -18,23 +18,27 @@ from .common import written
 #: Overrides that may be sent along as a map, and attempts before giving up.
 MAPPED, ATTEMPTS = 2000, 40
 
-# The patterns of entities. Each begins where the character before can't be part of it, so that a long run
-# of such characters is read once.
+# The patterns of entities. Each begins with what its first character must be, which settles most places of
+# a text at once, and then where the character before can't be part of it, so that a long run is read once.
 _NAME = r"\p{Lu}[\p{L}'’\-]{1,40}"
 _TITLES_F = "Mrs|Ms|Miss|Frau|Madame|Mme|Mlle|Señora|Sra|Doña|Signora|госпожа"
 _TITLES_M = "Mr|Herr|Herrn|Monsieur|Señor|Sr|Don|Signor|господин"
+_APART = r"(?<![\p{L}\p{N}])"
 PATTERNS = {
-    "email": r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]{1,64}+@[\p{L}\p{N}\-]{1,63}+(?:\.[\p{L}\p{N}\-]{1,63}+){1,8}",
-    "secret": r"(?<![\p{L}\p{N}])(?:[Pp]assword|PASSWORD|[Pp]asswd|[Ss]ecret|[Tt]oken|TOKEN|[Aa]pi[_\-]?[Kk]ey|API_KEY)\s{0,2}[=:]\s{0,2}[\"']?[A-Za-z0-9_\-+/]{6,200}+",
-    "access": r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])",
-    "phone": r"(?<![\p{L}\p{N}])\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)[ .\-]?)?\d{2,4}(?:[ .\-]\d{2,4}){1,4}(?!\d)|(?<![\p{L}\p{N}])\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\p{L}\p{N}\-])\d{3}[.\-]\d{3}[.\-]\d{4}(?![\d\-])|(?<![\p{L}\p{N}])\+\d{8,15}(?!\d)",
-    "ip": r"(?<![\p{L}\p{N}.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d)|(?<![\p{L}\p{N}:])(?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}(?![\p{L}\p{N}:])",
     "ssn": r"(?<![\p{L}\p{N}\-])\d{3}-\d{2}-\d{4}(?![\d\-])",
-    "card": r"(?<![\p{L}\p{N}])\d{4}(?:[ \-]?\d{4}){2}[ \-]?\d{1,7}(?!\d)",
-    "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
-    "name": rf"(?<![\p{{L}}\p{{N}}])(?:{_TITLES_F}|{_TITLES_M})\.? {_NAME}(?: {_NAME})?",
+    "phone": rf"{_APART}\+\d{{1,3}}[ .\-]?(?:\(\d{{1,4}}\)[ .\-]?)?\d{{2,4}}(?:[ .\-]\d{{2,4}}){{1,4}}(?!\d)|{_APART}\(\d{{3}}\) ?\d{{3}}-\d{{4}}(?!\d)|(?<![\p{{L}}\p{{N}}\-])\d{{3}}[.\-]\d{{3}}[.\-]\d{{4}}(?![\d\-])|{_APART}\+\d{{8,15}}(?!\d)",
+    "ip": r"(?<![\p{L}\p{N}.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d)",
+    "card": rf"{_APART}\d{{4}}(?:[ \-]?\d{{4}}){{2}}[ \-]?\d{{1,7}}(?!\d)",
+    "access": rf"{_APART}(?:AKIA|ASIA)[A-Z0-9]{{16}}(?![A-Za-z0-9])",
+    "iban": rf"{_APART}[A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]{{4}}){{3,7}}(?: ?[A-Z0-9]{{1,3}})?(?![\p{{L}}\p{{N}}])",
+    "secret": rf"{_APART}(?:[Pp]assword|PASSWORD|[Pp]asswd|[Ss]ecret|[Tt]oken|TOKEN|[Aa]pi[_\-]?[Kk]ey|API_KEY)\s{{0,2}}[=:]\s{{0,2}}[\"']?[A-Za-z0-9_\-+/]{{6,200}}+",
+    "name": rf"{_APART}(?:{_TITLES_F}|{_TITLES_M})\.? {_NAME}(?: {_NAME})?",
+    "email": r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]{1,64}+@[\p{L}\p{N}\-]{1,63}+(?:\.[\p{L}\p{N}\-]{1,63}+){1,8}",
 }
-ANY = "|".join(PATTERNS.values())
+_of = lambda *names: "(?:" + "|".join(PATTERNS[n] for n in names) + ")"
+#: Entities of a text without an @; and with one. An address comes first, as it may hold any of the others.
+NO_AT = f"(?=[0-9+(]){_of('ssn', 'phone', 'ip', 'card')}|(?=[A-Z]){_of('access', 'iban')}|(?=[pPsStTaA]){_of('secret')}|(?=[DFHMSг]){_of('name')}"
+ANY = f"{PATTERNS['email']}|{NO_AT}"
 # Syllables that names are made of, by script, and their endings by gender.
 _SYLLABLES = {
     "latin": "ba be bo da de do fa fe fi ga go ka ke ko la le lo ma me mi na ne no pa pe ra re ri ro sa se so ta te to va ve vi".split(),
@@ -45,8 +49,8 @@ _ENDS = {("latin", "f"): ["lia", "na", "ra", "sa"], ("latin", "m"): ["ton", "rik
 
 def entity_type(e: Column) -> Column:
     """The type of an entity that the pattern has found."""
-    rules = [("email", e.contains("@")), ("access", e.rlike(r"^(?:AKIA|ASIA)[A-Z0-9]{16}$")), ("secret", e.rlike(rf"^(?:{PATTERNS['secret'].split('(?:', 1)[1]}$"))]
-    rules += [(k, e.rlike(f"^(?:{PATTERNS[k]})$")) for k in ("ssn", "phone", "ip", "card", "iban")]
+    rules = [("email", e.contains("@")), ("secret", e.rlike("^[A-Za-z_-]+\\s*[=:]")), ("access", e.rlike(r"^(?:AKIA|ASIA)[A-Z0-9]{16}$")), ("iban", e.rlike(r"^[A-Z]{2}\d{2}"))]
+    rules += [(k, e.rlike(f"^(?:{PATTERNS[k]})$")) for k in ("ssn", "phone", "ip", "card")]
     return reduce(lambda out, r: F.when(r[1], r[0]).otherwise(out), reversed(rules), F.lit("name"))
 
 
@@ -60,26 +64,17 @@ def _number(hexed: Column, at: Column, width: int = 4) -> Column:
     return F.conv(F.substring(F.concat(hexed, hexed), (F.pmod(at * 3 + (at / 40).cast("int") * 7, F.lit(124)) + 1).cast("int"), F.lit(width)), 16, 10).cast("int")
 
 
-def _spelt(e: Column, hexed: Column, hexadecimal: Column | None = None) -> Column:
-    """Each digit becomes a digit, each letter a letter of its case and script; marks stay."""
-    low, up, cyr_low, cyr_up = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "абвгдежзиклмнопрстуфхцчшэюя", "АБВГДЕЖЗИКЛМНОПРСТУФХЦЧШЭЮЯ"
+def _spelt(e: Column, hexed: Column, secret: Column) -> Column:
+    """Each digit becomes a digit, each letter a letter of its case and script; hexadecimal secrets stay hexadecimal;
+    marks stay."""
+    # The letters of each case and script.
+    sets = [("[0-9]", "0123456789"), ("[a-z]", "abcdefghijklmnopqrstuvwxyz"), ("[A-Z]", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"), (r"[\p{IsCyrillic}&&\p{Ll}]", "абвгдежзиклмнопрстуфхцчшэюя"), (r"[\p{IsCyrillic}&&\p{Lu}]", "АБВГДЕЖЗИКЛМНОПРСТУФХЦЧШЭЮЯ"), (r"\p{Lu}", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"), (r"\p{L}", "abcdefghijklmnopqrstuvwxyz"), (r"\p{N}", "0123456789")]
+    hexy = secret & e.rlike("^[0-9a-f]+$")
 
     def one(c: Column, i: Column) -> Column:
-        k = _number(hexed, i)
-        pick = lambda letters, n=None: F.substring(F.lit(letters), k % (n or len(letters)) + 1, F.lit(1))
-        hexy = hexadecimal if hexadecimal is not None else F.lit(False)
-        return (
-            F.when(hexy & c.rlike("[0-9a-f]"), pick("0123456789abcdef"))
-            .when(c.rlike("[0-9]"), pick("0123456789"))
-            .when(c.rlike("[a-z]"), pick(low))
-            .when(c.rlike("[A-Z]"), pick(up))
-            .when(c.rlike(r"[\p{IsCyrillic}&&\p{Ll}]"), pick(cyr_low))
-            .when(c.rlike(r"[\p{IsCyrillic}&&\p{Lu}]"), pick(cyr_up))
-            .when(c.rlike(r"\p{Lu}"), pick(up))
-            .when(c.rlike(r"\p{L}"), pick(low))
-            .when(c.rlike(r"\p{N}"), pick("0123456789"))
-            .otherwise(c)
-        )
+        letters = reduce(lambda out, s: F.when(c.rlike(s[0]), s[1]).otherwise(out), reversed(sets), F.lit(""))
+        letters = F.when(hexy, "0123456789abcdef").otherwise(letters)
+        return F.when(c.rlike(r"[\p{L}\p{N}]"), F.substring(letters, _number(hexed, i) % F.length(letters) + 1, F.lit(1))).otherwise(c)
 
     return F.array_join(F.transform(F.split(e, ""), one), "")
 
@@ -100,10 +95,10 @@ def _name(e: Column, hexed: Column) -> Column:
 
     def made(at: int, n: int, ending: bool) -> Column:
         def of(s: str) -> Column:
-            syl = F.array(*map(F.lit, _SYLLABLES[s]))
+            syl = F.split(F.lit(" ".join(_SYLLABLES[s])), " ")
             parts = [F.element_at(syl, _number(hexed, F.lit(at + k)) % len(_SYLLABLES[s]) + 1) for k in range(n)]
             if ending:
-                parts.append(F.element_at(F.when(gender == "f", F.array(*map(F.lit, _ENDS[s, "f"]))).otherwise(F.array(*map(F.lit, _ENDS[s, "m"]))), _number(hexed, F.lit(at + n)) % 4 + 1))
+                parts.append(F.element_at(F.split(F.when(gender == "f", " ".join(_ENDS[s, "f"])).otherwise(" ".join(_ENDS[s, "m"])), " "), _number(hexed, F.lit(at + n)) % 4 + 1))
             return F.initcap(F.concat(*parts))
 
         return F.when(script == "cyrillic", of("cyrillic")).otherwise(of("latin"))
@@ -112,51 +107,65 @@ def _name(e: Column, hexed: Column) -> Column:
     return F.when(two, F.concat_ws(" ", title, made(0, 2, True), made(5, 4, False))).otherwise(F.concat_ws(" ", title, made(5, 4, True)))
 
 
-def surrogate(e: Column, attempt: Column, key: str) -> Column:
-    """The replacement of an entity: a function of key, type, entity and attempt alone."""
-    kind = entity_type(e)
-    h = _digest(key, kind, e, attempt)
-    local, domain = F.regexp_extract(e, "^([^@]*)@", 1), F.regexp_extract(e, "@(.*)$", 1)
-    # A domain's surrogate follows from the domain alone, so that addresses there stay neighbours. Short names before
-    # the @ are lengthened: they leave too few others.
-    site = F.concat(_spelt(F.regexp_extract(domain, r"^(.*)\.", 1), _digest(key, F.lit("site"), domain, F.lit(0))), F.regexp_extract(domain, r"(\.[^.]*)$", 1))
-    email = F.concat(_spelt(local, h), F.when(F.length(local) < 8, F.concat(F.lit("."), F.substring(h, 100, 6))).otherwise(""), F.lit("@"), site)
-    head = F.regexp_extract(e, r"^([A-Za-z_\-]+\s*[=:]\s*[\"']?)", 1)
-    rest = F.substring(e, F.length(head) + 1, F.length(e))
-    secret = F.concat(head, _spelt(rest, h, rest.rlike("^[0-9a-f]+$")))
-    access = F.concat(F.substring(e, 1, 4), F.upper(_spelt(F.substring(e, 5, 16), h)))
-    country = F.regexp_extract(e, r"^(\+\d{1,3}(?=[ .\-(])|)", 1)
-    phone = F.concat(country, _spelt(F.substring(e, F.length(country) + 1, F.length(e)), h))
-    octets = F.array_join(F.transform(F.split(e, r"\."), lambda x, i: (_number(h, i * 5) % 254 + 1).cast("string")), ".")
-    ip = F.when(e.contains("."), octets).otherwise(_spelt(e, h, F.lit(True)))
-    digits = F.regexp_replace(e, "[^0-9]", "")
-    body = F.concat(F.substring(e, 1, 1), _spelt(F.substring(e, 2, F.length(e)), h))
-    plain = F.concat(F.regexp_replace(F.substring(body, 1, F.length(body) - 1), "[^0-9]", ""), F.lit("0"))
-    valid = F.concat(F.substring(body, 1, F.length(body) - 1), F.pmod(F.lit(10) - _luhn(plain) % 10, F.lit(10)).cast("string"))
-    card = F.when(_luhn(digits) % 10 == 0, valid).otherwise(body)
-    iban = F.concat(F.substring(e, 1, 2), _spelt(F.substring(e, 3, F.length(e)), h))
+def surrogates(found: Column, attempt, key: str) -> Column:
+    """An array of entities as structs of entity, kind and made: a function of key, kind, entity and attempt alone.
+
+    ``attempt`` gives an entity's attempt. The steps are arrays of their own, so that each kind and digest, which every
+    character of a surrogate draws on, is made once.
+    """
+    kinds = F.transform(found, lambda e: F.struct(e.alias("e"), entity_type(e).alias("kind")))
+    site = lambda e: _digest(key, F.lit("site"), F.regexp_extract(e, "@(.*)$", 1), F.lit(0))
+    parts = F.transform(kinds, lambda x: F.struct(x.e.alias("e"), x.kind.alias("kind"), _digest(key, x.kind, x.e, attempt(x.e)).alias("h"), F.when(x.kind == "email", site(x.e)).alias("site"), _kept(x.e, x.kind).alias("kept")))
+    spelt = F.transform(parts, lambda x: F.struct(x.e.alias("e"), x.kind.alias("kind"), x.h.alias("h"), x.site.alias("site"), x.kept.alias("kept"), _spelt(F.substring(x.e, F.length(x.kept) + 1, F.length(x.e)), x.h, x.kind == "secret").alias("body")))
+    return F.transform(spelt, lambda x: F.struct(x.e.alias("entity"), x.kind.alias("kind"), _made(x).alias("made")))
+
+
+def _kept(e: Column, kind: Column) -> Column:
+    """The beginning of an entity that its surrogate keeps: a secret's name, a country, a network."""
     return (
-        F.when(kind == "email", email)
-        .when(kind == "secret", secret)
-        .when(kind == "access", access)
-        .when(kind == "phone", phone)
-        .when(kind == "ip", ip)
-        .when(kind == "card", card)
-        .when(kind == "iban", iban)
-        .when(kind == "ssn", _spelt(e, h))
-        .otherwise(_name(e, h))
+        F.when(kind == "secret", F.regexp_extract(e, r"^([A-Za-z_\-]+\s*[=:]\s*[\"']?)", 1))
+        .when(kind == "access", F.substring(e, 1, 4))
+        .when(kind == "phone", F.regexp_extract(e, r"^(\+\d{1,3}(?=[ .\-(])|)", 1))
+        .when(kind == "card", F.substring(e, 1, 1))
+        .when(kind == "iban", F.substring(e, 1, 2))
+        .otherwise("")
     )
 
 
+def _made(x: Column) -> Column:
+    """The replacement of an entity: its kept beginning and spelt body, made right for its kind."""
+    e, kind, h, plain = x.e, x.kind, x.h, F.concat(x.kept, x.body)
+    # A domain's surrogate follows from the domain alone, so that addresses there stay neighbours. Short names before
+    # the @ are lengthened: they leave too few others.
+    domain = F.regexp_extract(e, "@(.*)$", 1)
+    local = F.substring_index(x.body, "@", 1)
+    site = F.concat(_spelt(F.regexp_extract(domain, r"^(.*)\.", 1), x.site, F.lit(False)), F.regexp_extract(domain, r"(\.[^.]*)$", 1))
+    email = F.concat(local, F.when(F.length(local) < 8, F.concat(F.lit("."), F.substring(h, 100, 6))).otherwise(""), F.lit("@"), site)
+    octets = F.array_join(F.transform(F.split(e, r"\."), lambda o, i: (_number(h, i * 5) % 254 + 1).cast("string")), ".")
+    # The last digit of a card makes the Luhn sum right where it was.
+    digits = lambda c: F.regexp_replace(c, "[^0-9]", "")
+    short = F.substring(plain, 1, F.length(plain) - 1)
+    card = F.when(_luhn(digits(e)) % 10 == 0, F.concat(short, F.pmod(F.lit(10) - _luhn(F.concat(digits(short), F.lit("0"))) % 10, F.lit(10)).cast("string"))).otherwise(plain)
+    return F.when(kind == "email", email).when(kind == "ip", octets).when(kind == "card", card).when(kind == "name", _name(e, h)).otherwise(plain)
+
+
+def has_entity(text: Column) -> Column:
+    """Is there an entity? First by what every kind of entity holds one of, which is quick to tell."""
+    mark = reduce(lambda a, b: a | b, [text.contains(x) for x in ("@", "=", ":", "AKIA", "ASIA")], text.rlike("[0-9]"))
+    maybe = mark | text.rlike(f"(?=[DFHMSг]){PATTERNS['name']}")
+    return maybe & F.when(text.contains("@"), text.rlike(ANY)).otherwise(text.rlike(NO_AT))
+
+
 def entities(text: Column) -> Column:
     """All entities of a text, in order."""
-    return F.regexp_extract_all(text, F.lit(ANY), F.lit(0))
+    return F.when(text.contains("@"), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(F.regexp_extract_all(text, F.lit(NO_AT), F.lit(0)))
 
 
 def second_attempts(docs: DataFrame, key: str, attempts: int = ATTEMPTS) -> DataFrame:
     """(entity, attempt) of the entities whose first surrogate clashes; the attempts given leave no two alike."""
-    found = written(docs.where(F.col("text").rlike(ANY)).select(F.explode(entities(F.col("text"))).alias("entity")).groupBy("entity").agg(F.count("*").alias("mentions")))
-    now = written(found.select("entity", F.lit(0).alias("attempt"), surrogate(F.col("entity"), F.lit(0), key).alias("surrogate")))
+    found = written(docs.where(has_entity(F.col("text"))).select(F.explode(entities(F.col("text"))).alias("entity")).groupBy("entity").agg(F.count("*").alias("mentions")))
+    made = lambda attempt: surrogates(F.array("entity"), lambda e: attempt, key)[0].made
+    now = written(found.select("entity", F.lit(0).alias("attempt"), made(F.lit(0)).alias("surrogate")))
     for _ in range(attempts):
         shared = now.groupBy("surrogate").agg(F.min(F.struct("attempt", "entity")).alias("first"), F.count("*").alias("n"))
         real = found.select(F.col("entity").alias("surrogate"), F.lit(True).alias("real"))
@@ -164,15 +173,14 @@ def second_attempts(docs: DataFrame, key: str, attempts: int = ATTEMPTS) -> Data
         again = written(now.join(judged.hint("merge"), "surrogate").where("first is null or entity <> first").select("entity", (F.col("attempt") + 1).alias("attempt")))
         if not again.limit(1).count():
             return now.where("attempt > 0").select("entity", "attempt")
-        now = written(
-            now.join(again.select("entity").hint("merge"), "entity", "left_anti").unionByName(again.withColumn("surrogate", surrogate(F.col("entity"), F.col("attempt"), key)))
-        )
+        now = written(now.join(again.select("entity").hint("merge"), "entity", "left_anti").unionByName(again.withColumn("surrogate", made(F.col("attempt")))))
     raise RuntimeError("surrogates still clash: there are more entities of a format than surrogates")
 
 
-def _replaced(text: Column, found: Column, made: Column) -> Column:
+def _replaced(text: Column, made: Column) -> Column:
     """The text with its entities replaced, in order."""
-    return F.array_join(F.zip_with(F.split(text, ANY, -1), made, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    parts = F.when(text.contains("@"), F.split(text, ANY, -1)).otherwise(F.split(text, NO_AT, -1))
+    return F.array_join(F.zip_with(parts, made, lambda a, b: F.concat(a, F.coalesce(b.made, F.lit("")))), "")
 
 
 def pseudonymise(docs: DataFrame, key: str = "melodex", mapped: int = MAPPED) -> DataFrame:
@@ -184,28 +192,26 @@ def pseudonymise(docs: DataFrame, key: str = "melodex", mapped: int = MAPPED) ->
     """
     again = written(second_attempts(docs, key))
     n = again.count()
-    has = F.col("text").rlike(ANY)
     own = [c for c in docs.columns if c not in ("n_entities", "entity_counts")]
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("doc"), "text", F.when(has, entities(F.col("text"))).alias("found"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("doc"), "text", F.when(has_entity(F.col("text")), entities(F.col("text"))).alias("found"))
     if n == 0:
-        made = F.transform("found", lambda e: surrogate(e, F.lit(0), key))
+        attempt = lambda e: F.lit(0)
     elif n <= mapped:
         tries = F.from_json(F.lit(again.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("entity", "attempt"))))).first()[0]), "map<string,int>")
-        made = F.transform("found", lambda e: surrogate(e, F.coalesce(tries[e], F.lit(0)), key))
+        attempt = lambda e: F.coalesce(tries[e], F.lit(0))
     else:
-        rows = rows.withColumn("row", F.monotonically_increasing_id())
-        rows = written(rows)
+        rows = written(rows.withColumn("row", F.monotonically_increasing_id()))
         mention = rows.where("found is not null").select("row", F.explode(F.array_distinct("found")).alias("entity"))
         tried = mention.join(again.hint("merge"), "entity").groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("entity", "attempt"))).alias("tries"))
         rows = rows.join(tried.hint("merge"), "row", "left")
-        made = F.transform("found", lambda e: surrogate(e, F.coalesce(F.col("tries")[e], F.lit(0)), key))
-    rows = rows.withColumn("made", made)
-    kinds = F.transform("found", entity_type)
-    counts = F.map_from_entries(F.transform(F.array_distinct(kinds), lambda k: F.struct(k, F.size(F.filter(kinds, lambda x: x == k)))))
+        attempt = lambda e: F.coalesce(F.col("tries")[e], F.lit(0))
+    rows = rows.withColumn("made", F.when(F.col("found").isNotNull(), surrogates(F.col("found"), attempt, key)))
+    counts = F.map_from_entries(F.transform(F.array_distinct("made.kind"), lambda k: F.struct(k, F.size(F.filter("made", lambda x: x.kind == k)))))
+    none = F.col("made").isNull()
     out = rows.select(
         "doc",
-        F.when(F.col("found").isNull(), F.col("text")).otherwise(_replaced(F.col("text"), F.col("found"), F.col("made"))).alias("changed"),
-        F.when(F.col("found").isNull(), 0).otherwise(F.size("found")).alias("n_found"),
-        F.when(F.col("found").isNotNull(), counts).otherwise(F.create_map().cast("map<string,int>")).alias("counts"),
+        F.when(none, F.col("text")).otherwise(_replaced(F.col("text"), F.col("made"))).alias("changed"),
+        F.when(none, 0).otherwise(F.size("made")).alias("n_found"),
+        F.when(none, F.create_map().cast("map<string,int>")).otherwise(counts).alias("counts"),
     )
     return out.select(*[F.col("changed").alias("text") if c == "text" else F.col("doc")[c].alias(c) for c in own], F.col("n_found").alias("n_entities"), F.col("counts").alias("entity_counts"))

@@ -1,0 +1,6 @@
+"""The registered queries over the given tables."""
+
+from . import similarity
+from .registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "similarity"]

@@ -11,17 +11,19 @@ a table of bounded size. The same key, text and id always give the same pieces,
 """
 
 import re
+from collections.abc import Iterator
 from hashlib import blake2b
 from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "▁"
 #: Draws for each word; entries that a worker remembers, for words up to so many characters.
-DRAWS, REMEMBERED, WORD_CHARS = 4, 600_000, 32
+DRAWS, REMEMBERED, WORD_CHARS = 4, 300_000, 32
 #: Characters of text encoded at a time.
 RUN_CHARS = 1_000_000
 
@@ -271,25 +273,6 @@ def model(path: str, rate: float, key: str) -> Pieces:
     return _models[path, rate, key]
 
 
-def encoded(name: Column, text: Column, path: str, rate: float = 0.1, key: str = "melodex") -> Column:
-    """struct(ids, lossless) of a text column: the pieces' ids, and whether decoding them gave the text back."""
-
-    @F.pandas_udf("ids array<int>, lossless boolean")
-    def told(names: pd.Series, texts: pd.Series) -> pd.DataFrame:
-        m = model(path, rate, key)
-        ids, run, size = [], [], 0
-        for x in zip(texts, names):  # by size, so that the words at hand stay few
-            run.append(x)
-            size += len(x[0] or "")
-            if size > RUN_CHARS:
-                ids += m.encode_all(*map(list, zip(*run)))
-                run, size = [], 0
-        ids += m.encode_all(*map(list, zip(*run))) if run else []
-        return pd.DataFrame({"ids": pd.Series(ids, dtype=object), "lossless": [m.decode(i) == (t or "") for i, t in zip(ids, texts)]})
-
-    return told(F.coalesce(name.cast("string"), F.lit("null")), text)
-
-
 def decoded(ids: Column, path: str) -> Column:
     """The text of a column of ids."""
 
@@ -301,10 +284,36 @@ def decoded(ids: Column, path: str) -> Column:
     return text(ids)
 
 
+def _runs(texts: list[str | None]) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of about RUN_CHARS characters, so that what is at hand stays small whatever a batch holds."""
+    first, size = 0, 0
+    for i, t in enumerate(texts):
+        size += len(t or "")
+        if size > RUN_CHARS:
+            yield first, i + 1
+            first, size = i + 1, 0
+    if first < len(texts):
+        yield first, len(texts)
+
+
 def encode_documents(docs: DataFrame, path: str, rate: float = 0.1, key: str = "melodex") -> DataFrame:
     """doc_id, n_tokens, ids and lossless (decoding gave the whole text back) of every row, in one pass.
 
     Null and empty texts: no ids, lossless. Repeated rows with one id get the same ids; the same text under two ids may
     differ. Ties on the agenda: the leftmost candidate. No rows: none. Other columns are not read.
     """
-    return docs.select("doc_id", encoded(F.col("doc_id"), F.col("text"), path, rate, key).alias("told")).select("doc_id", F.size("told.ids").cast("long").alias("n_tokens"), "told.ids", "told.lossless")
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = model(path, rate, key)
+        for batch in batches:
+            for a, b in _runs(texts := batch.column(1).to_pylist()):
+                names = batch.column(0).slice(a, b - a)
+                ids = m.encode_all(texts[a:b], ["null" if n is None else str(n) for n in names.to_pylist()])
+                lossless = [m.decode(i) == (t or "") for i, t in zip(ids, texts[a:b])]
+                sizes = np.array([len(i) for i in ids], dtype=np.int64)
+                ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+                lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(ids).astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([names, pa.array(sizes), lists, pa.array(lossless)], names=["doc_id", "n_tokens", "ids", "lossless"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(told, f"doc_id {kind}, n_tokens long, ids array<int>, lossless boolean")

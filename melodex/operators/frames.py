@@ -13,7 +13,11 @@ from pyspark.sql import functions as F
 
 from melodex.functions.vectors import unit
 
-SONG = Window.partitionBy("song_id").orderBy("i")
+def in_order():
+    """One song, by frame."""
+    return Window.partitionBy("song_id").orderBy("i")
+
+
 # The band in which vibrato is looked for and the least frames for it; bins of a pitch profile.
 BAND, LEAST_FRAMES, BINS = (5.0, 15.0), 32, 36
 
@@ -21,11 +25,11 @@ BAND, LEAST_FRAMES, BINS = (5.0, 15.0), 32, 36
 def forward_fill(v: Column) -> Column:
     """Zeros, NaN and nulls take the last valid value; 0 before the first."""
     valid = F.when((v != 0) & ~F.isnan(v), v)
-    return F.coalesce(F.last(valid, ignorenulls=True).over(SONG.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0.0))
+    return F.coalesce(F.last(valid, ignorenulls=True).over(in_order().rowsBetween(Window.unboundedPreceding, 0)), F.lit(0.0))
 
 
 def delta(v: Column) -> Column:
-    return v - F.lag(v).over(SONG)
+    return v - F.lag(v).over(in_order())
 
 
 def energy_ratio(a: Column, b: Column) -> Column:

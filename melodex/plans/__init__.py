@@ -1,6 +1,6 @@
 """The registered queries over the given tables."""
 
-from . import catalogue, sequences, similarity
+from . import catalogue, linkage, sequences, similarity
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "catalogue", "sequences", "similarity"]
+__all__ = ["ORACLES", "QUERIES", "catalogue", "linkage", "sequences", "similarity"]

@@ -6,7 +6,7 @@ from melodex.llm import decontamination, language_id, pii, piece_dropout, simhas
 from melodex.llm.common import table, written
 
 #: Least score of a predicted language; documents below it, and those without a letter, are rejected.
-LEAST_SCORE = 0.4
+LEAST_SCORE = 0.3
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -20,6 +20,8 @@ from .common import learn_fold
 LENGTH, WIDTHS, FILTERS, EMBED = 256, (2, 3, 4), 16, 8
 #: Documents for each language and windows for each document that training takes at most (about), epochs, seed.
 SAMPLE_DOCS, SAMPLE_WINDOWS, EPOCHS, SEED = 500, 3, 14, 7
+#: Steps that training takes at least, however few the samples.
+STEPS = 500
 #: Windows predicted at a time; languages at most.
 BLOCK, LANGUAGES = 256, 1000
 
@@ -84,7 +86,7 @@ def train(samples: list[tuple[str, bytes]], epochs: int = EPOCHS, seed: int = SE
     net = Net(langs, rng.normal(0, 0.5, (256, EMBED)), [rng.normal(0, 1 / np.sqrt(w * EMBED), (w, EMBED, FILTERS)) for w in WIDTHS], np.zeros(total), rng.normal(0, 0.1, (total, len(langs))), np.zeros(len(langs)))
     params = [net.embed, *net.filters, net.bias, net.out, net.out_bias]
     m, v, step = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
-    for _ in range(epochs):
+    for _ in range(max(epochs, -(-STEPS // -(-len(y) // 128)))):
         order = rng.permutation(len(y))
         for at in range(0, len(y), 128):
             pick = order[at : at + 128]

@@ -51,3 +51,9 @@ def spread_pitch_bins(chroma: Column) -> Column:
 
 def one_hot(place: Column, size: int) -> Column:
     return F.when(place.isNotNull(), F.array(*[(place == i).cast("int") for i in range(size)]))
+
+
+def template_softmax(profile: Column, templates: Column, temperature: float = 0.5) -> Column:
+    """How alike a profile is to each of the templates: a softmax over the cosines."""
+    raised = F.transform(templates, lambda t: F.exp(cosine(profile, t) / temperature))
+    return let(raised, lambda e: let(F.aggregate(e, F.lit(0.0), lambda a, x: a + x), lambda s: F.transform(e, lambda x: x / s)))

@@ -127,9 +127,8 @@ def template_softmax(spark, d):
     tones = [[1.0 if (k * (t + 2)) % 12 < 7 else 0.0 for k in range(12)] for t in range(30)]
     templates = F.array(*[F.array(*map(F.lit, t)) for t in tones])
     p = table(spark, d, "embeddings").select("vec_id", F.slice("embedding", 1, 12).alias("p"))
-    e = p.select("vec_id", F.transform(templates, lambda t: F.exp(vectors.cosine(F.col("p"), t) / 0.5)).alias("e"))
-    s = e.select("vec_id", F.aggregate("e", F.lit(0.0), lambda a, x: a + x).alias("s"), F.posexplode("e").alias("template", "x"))
-    return s.select("vec_id", F.col("template").cast("long").alias("template"), F.round(F.col("x") / F.col("s"), 6).alias("prob"))
+    e = p.select("vec_id", F.posexplode(vectors.template_softmax(F.col("p"), templates)).alias("template", "prob"))
+    return e.select("vec_id", F.col("template").cast("long").alias("template"), F.round("prob", 6).alias("prob"))
 
 
 TOK = f"{FR}, tk AS (SELECT song_id AS id, list(CASE WHEN event_type='error' THEN 0 ELSE greatest(0,least(208,round_even(log2(v/5)*60,0)))::INT END ORDER BY i) AS tokens FROM fr GROUP BY song_id)"

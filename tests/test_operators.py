@@ -51,6 +51,7 @@ def test_mood(spark):
     words = {"a": ["la", "lala"], "b": ["bo"]}
     tag = lambda t: one(spark, text.mood_tag(F.lit(t).cast("string"), words))
     assert tag("LALA bo") == "a" and tag("la bo") is None and tag("xyz") is None and tag(None) is None and tag("abobo") == "b"
+    assert one(spark, text.mood_tag(F.lit("Dil mein ishq hai"))) == "romantic"
 
 
 @pytest.mark.parametrize("tempo,place", [(79.99, 0), (80.0, 1), (100.0, 2), (120.0, 3), (float("nan"), 3), (None, None)])

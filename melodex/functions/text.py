@@ -3,6 +3,8 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .vectors import let
+
 ID_LENGTH = 50
 # Texts that stand for nothing.
 NOTHING = ("", "nan", "none")
@@ -40,9 +42,8 @@ def lyrics_missing(c: Column) -> Column:
     return (F.coalesce(F.trim(c), F.lit("")) == "").cast("int")
 
 
-def mood_hits(text: Column, words: list[str]) -> Column:
-    """Non-overlapping occurrences of the words, one after another, whatever their case."""
-    low = F.lower(text)
+def mood_hits(low: Column, words: list[str]) -> Column:
+    """Non-overlapping occurrences of the words, one after another, in a lower-case text."""
     one = lambda w: (F.char_length(low) - F.char_length(F.replace(low, F.lit(w), F.lit("")))) / len(w)
     return sum((one(w) for w in words), F.lit(0.0)).cast("int")
 
@@ -64,10 +65,16 @@ MOODS = {mood: [w.strip() for w in words.split(",")] for mood, words in MOODS.it
 
 def mood_tag(text: Column, words: dict[str, list[str]] = MOODS) -> Column:
     """The tag with the most hits; null when none has any, or two have as many."""
-    hits = F.array(*[mood_hits(text, w) for w in words.values()])
-    top = F.array_max(hits)
-    single = F.size(F.filter(hits, lambda h: h == top)) == 1
-    return F.when((top > 0) & single, F.element_at(F.array(*map(F.lit, words)), F.array_position(hits, top).cast("int")))
+    names = F.array(*map(F.lit, words))
+
+    def tagged(hits: Column) -> Column:
+        def of(top: Column) -> Column:
+            single = F.size(F.filter(hits, lambda h: h == top)) == 1
+            return F.when((top > 0) & single, F.element_at(names, F.array_position(hits, top).cast("int")))
+
+        return let(F.array_max(hits), of)
+
+    return let(F.lower(text), lambda low: let(F.array(*[mood_hits(low, w) for w in words.values()]), tagged))
 
 
 def normalise_text(c: Column) -> Column:

@@ -36,8 +36,10 @@ def draw(key: Column, seed: str = "7") -> Column:
 def group_split(files: DataFrame) -> DataFrame:
     """split of each file (id, label): of a label with three files or more one is test, one is val; the rest train."""
     w = Window.partitionBy("label").orderBy(draw(F.col("id")), "id")
-    placed = files.withColumn("place", F.row_number().over(w)).withColumn("n", F.count("*").over(Window.partitionBy("label")))
-    return placed.withColumn("split", F.when((F.col("n") >= 3) & (F.col("place") == 1), "test").when((F.col("n") >= 3) & (F.col("place") == 2), "val").otherwise("train")).drop("place", "n")
+    two = files.select("id", "label").withColumn("place", F.row_number().over(w)).where("place <= 2")
+    many = files.groupBy("label").count().where("count >= 3").select("label")
+    picked = two.join(many, "label").select("id", "label", F.when(F.col("place") == 1, "test").otherwise("val").alias("split"))
+    return files.join(picked, ["id", "label"], "left").withColumn("split", F.coalesce("split", F.lit("train")))
 
 
 def cap_per_class(rows: DataFrame, most: int) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from melodex.functions import music, text, vectors
-from melodex.operators import ann, catalogue, evaluation, feedback, frames, fusion, linkage, rerank, search, sequences
+from melodex.operators import ann, catalogue, evaluation, feedback, frames, fusion, linkage, rerank, search, sequences, statistics
 from melodex.sources import files
 
 
@@ -228,3 +228,11 @@ def test_ratio_is_not_symmetric(spark):
 def test_flatten_similar(spark):
     docs = spark.createDataFrame([('{"error": 6}',), ('{"similartracks": {"track": [{"name": "a", "artist": {"name": "b"}, "match": "x"}, {"name": "c"}]}}',), ("{",), (None,)], "doc string")
     assert [(r.title, r.artist, r.match) for r in linkage.flatten_similar(docs, "doc").collect()] == [("a", "b", 0.0)]
+
+
+def test_kth_smallest(spark):
+    values = [i * 37 % 1000 for i in range(3000)] + [5] * 2000 + [None] * 10
+    df = spark.createDataFrame([(v,) for v in values], "v int")
+    want = sorted(v for v in values if v is not None)
+    assert all(statistics.kth_smallest(df, "v", k, few=50) == want[k] for k in (0, 17, 2010, 2600, 4999))
+    assert statistics.kth_smallest(df, "v", 5000, few=50) is None

@@ -24,6 +24,8 @@ _NAME = r"\p{Lu}[\p{L}'’\-]{1,40}"
 _TITLES_F = "Mrs|Ms|Miss|Frau|Madame|Mme|Mlle|Señora|Sra|Doña|Signora|госпожа"
 _TITLES_M = "Mr|Herr|Herrn|Monsieur|Señor|Sr|Don|Signor|господин"
 _APART = r"(?<![\p{L}\p{N}])"
+# A secret's value runs to its end, however long: full stops and = inside it belong to it, = also at its end.
+_VALUE = r"[A-Za-z0-9_\-+/~]"
 PATTERNS = {
     "ssn": r"(?<![\p{L}\p{N}\-])\d{3}-\d{2}-\d{4}(?![\d\-])",
     "phone": rf"{_APART}\+\d{{1,3}}[ .\-]?(?:\(\d{{1,4}}\)[ .\-]?)?\d{{2,4}}(?:[ .\-]\d{{2,4}}){{1,4}}(?!\d)|{_APART}\(\d{{3}}\) ?\d{{3}}-\d{{4}}(?!\d)|(?<![\p{{L}}\p{{N}}\-])\d{{3}}[.\-]\d{{3}}[.\-]\d{{4}}(?![\d\-])|{_APART}\+\d{{8,15}}(?!\d)",
@@ -31,7 +33,7 @@ PATTERNS = {
     "card": rf"{_APART}\d{{4}}(?:[ \-]?\d{{4}}){{2}}[ \-]?\d{{1,7}}(?!\d)",
     "access": rf"{_APART}(?:AKIA|ASIA)[A-Z0-9]{{16}}(?![A-Za-z0-9])",
     "iban": rf"{_APART}[A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]{{4}}){{3,7}}(?: ?[A-Z0-9]{{1,3}})?(?![\p{{L}}\p{{N}}])",
-    "secret": rf"{_APART}(?:[Pp]assword|PASSWORD|[Pp]asswd|[Ss]ecret|[Tt]oken|TOKEN|[Aa]pi[_\-]?[Kk]ey|API_KEY)\s{{0,2}}[=:]\s{{0,2}}[\"']?[A-Za-z0-9_\-+/]{{6,200}}+",
+    "secret": rf"{_APART}(?:[Pp]assword|PASSWORD|[Pp]asswd|[Ss]ecret|[Tt]oken|TOKEN|[Aa]pi[_\-]?[Kk]ey|API_KEY)\s{{0,2}}[=:]\s{{0,2}}[\"']?{_VALUE}(?:{_VALUE}|[.=]++(?={_VALUE})){{5,}}+=*+",
     "name": rf"{_APART}(?:{_TITLES_F}|{_TITLES_M})\.? {_NAME}(?: {_NAME})?",
     "email": r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]{1,64}+@[\p{L}\p{N}\-]{1,63}+(?:\.[\p{L}\p{N}\-]{1,63}+){1,8}",
 }
@@ -64,12 +66,12 @@ def _number(hexed: Column, at: Column, width: int = 4) -> Column:
     return F.conv(F.substring(F.concat(hexed, hexed), (F.pmod(at * 3 + (at / 40).cast("int") * 7, F.lit(124)) + 1).cast("int"), F.lit(width)), 16, 10).cast("int")
 
 
-def _spelt(e: Column, hexed: Column, secret: Column) -> Column:
-    """Each digit becomes a digit, each letter a letter of its case and script; hexadecimal secrets stay hexadecimal;
-    marks stay."""
+def _spelt(e: Column, hexed: Column, hexy: Column) -> Column:
+    """Each digit becomes a digit, each letter a letter of its case and script; what is hexadecimal stays so; marks stay.
+
+    ``hexy`` is evaluated for each character, so it must not depend on the length of the entity."""
     # The letters of each case and script.
     sets = [("[0-9]", "0123456789"), ("[a-z]", "abcdefghijklmnopqrstuvwxyz"), ("[A-Z]", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"), (r"[\p{IsCyrillic}&&\p{Ll}]", "абвгдежзиклмнопрстуфхцчшэюя"), (r"[\p{IsCyrillic}&&\p{Lu}]", "АБВГДЕЖЗИКЛМНОПРСТУФХЦЧШЭЮЯ"), (r"\p{Lu}", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"), (r"\p{L}", "abcdefghijklmnopqrstuvwxyz"), (r"\p{N}", "0123456789")]
-    hexy = secret & e.rlike("^[0-9a-f]+$")
 
     def one(c: Column, i: Column) -> Column:
         letters = reduce(lambda out, s: F.when(c.rlike(s[0]), s[1]).otherwise(out), reversed(sets), F.lit(""))
@@ -116,7 +118,9 @@ def surrogates(found: Column, attempt, key: str) -> Column:
     kinds = F.transform(found, lambda e: F.struct(e.alias("e"), entity_type(e).alias("kind")))
     site = lambda e: _digest(key, F.lit("site"), F.regexp_extract(e, "@(.*)$", 1), F.lit(0))
     parts = F.transform(kinds, lambda x: F.struct(x.e.alias("e"), x.kind.alias("kind"), _digest(key, x.kind, x.e, attempt(x.e)).alias("h"), F.when(x.kind == "email", site(x.e)).alias("site"), _kept(x.e, x.kind).alias("kept")))
-    spelt = F.transform(parts, lambda x: F.struct(x.e.alias("e"), x.kind.alias("kind"), x.h.alias("h"), x.site.alias("site"), x.kept.alias("kept"), _spelt(F.substring(x.e, F.length(x.kept) + 1, F.length(x.e)), x.h, x.kind == "secret").alias("body")))
+    rest = lambda x: F.substring(x.e, F.length(x.kept) + 1, F.length(x.e))
+    cut = F.transform(parts, lambda x: F.struct(x.e.alias("e"), x.kind.alias("kind"), x.h.alias("h"), x.site.alias("site"), x.kept.alias("kept"), rest(x).alias("rest"), ((x.kind == "secret") & rest(x).rlike("^[0-9a-f]++$")).alias("hexy")))
+    spelt = F.transform(cut, lambda x: F.struct(x.e.alias("e"), x.kind.alias("kind"), x.h.alias("h"), x.site.alias("site"), x.kept.alias("kept"), _spelt(x.rest, x.h, x.hexy).alias("body")))
     return F.transform(spelt, lambda x: F.struct(x.e.alias("entity"), x.kind.alias("kind"), _made(x).alias("made")))
 
 

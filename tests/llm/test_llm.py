@@ -113,6 +113,19 @@ def test_pii_collisions(spark):
         assert len(set(made.values())) == len({t for _, t in rows}) and not set(made.values()) & {t.replace("reach ", "id ") for _, t in rows}
 
 
+def test_pii_whole_secrets(spark):
+    """A secret is replaced to its end: long ones, dotted ones, and padding, but not the full stop of a sentence."""
+    long = "".join("abcdefghij0123456789"[i * 7 % 20] for i in range(1000))
+    token = "eyJhbGciOiJI.eyJzdWIiOiIxMjM0.SflKxwRJSM~eKKF2QT4=="
+    texts = [f"password={long}A end", f"password={long}B end", f"token: {token}. Next", "secret = v2.local.Gdh5kiOTyyaQ3.", "password=abcdef=" + "/x" * 1000]
+    got = [r.text for r in pii.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert [len(t) for t in got] == [len(t) for t in texts] and got[0] != got[1]
+    same = [sum(a == b for a, b in zip(x[9:-4], y[9:-4])) for x, y in zip(got[:2], texts)]
+    assert max(same) < 200 and got[0].endswith(" end")
+    assert not any(x in got[2] for x in token.replace("=", "").replace("~", ".").split(".")) and got[2].endswith("==. Next")
+    assert re.fullmatch(r"secret = \w\d\.\w{5}\.\w{13}\.", got[3]) and "local" not in got[3]
+
+
 # op4 and op6
 
 

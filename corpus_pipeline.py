@@ -1,6 +1,7 @@
 """The corpus pipeline: documents through five stages, each written and read again before the next."""
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from melodex.llm import decontamination, language_id, pii, piece_dropout, simhash
 from melodex.llm.common import table, written
@@ -16,9 +17,20 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of SimHash near-duplicates stays: the one with the smallest doc_id."""
-    kept = written(simhash.near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct())
-    return docs.join(kept.hint("merge"), "doc_id", "left_semi").select(*docs.columns)
+    """One row of each group of SimHash near-duplicates stays: the first by doc_id, nulls last, then by text."""
+    rows = written(docs.select(F.struct(*docs.columns).alias("doc"), F.monotonically_increasing_id().alias("row")))
+    members = written(simhash.near_duplicates(rows.select("doc.doc_id", "doc.text", "row"), carry=("row",)).select("doc_id", "row", "component"))
+    ids = members.groupBy("component", "doc_id").agg(F.min("row").alias("row"), F.count("*").alias("n"))
+    first = ids.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "n")).alias("first"))
+    first = written(first.select("component", "first.*"))
+    kept = first.where("n = 1").select("row")
+    tied = first.where("n > 1")
+    if tied.limit(1).count():
+        of = tied.select("component", F.col("doc_id").alias("least"))
+        alike = members.join(of.hint("merge"), "component").where(F.col("doc_id").eqNullSafe(F.col("least"))).select("component", "row")
+        texts = rows.select("row", "doc.text").join(alike.hint("merge"), "row")
+        kept = kept.unionByName(texts.groupBy("component").agg(F.min(F.struct("text", "row")).alias("least")).select("least.row"))
+    return rows.join(written(kept).hint("merge"), "row", "left_semi").select("doc.*")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -88,22 +88,26 @@ def links(groups: DataFrame, hot: int = HOT) -> DataFrame:
     return found
 
 
-def near_duplicates(docs: DataFrame, width: int = 3, hot: int = HOT) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits) and component_id (smallest doc_id reachable by links) of every row.
+def near_duplicates(docs: DataFrame, width: int = 3, hot: int = HOT, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits) and component_id (smallest doc_id reachable by links) of every row; with
+    ``carry`` also those columns and ``component``, a number of each component that is never null.
 
     Links join fingerprints at 2 or fewer differing bits. Null, empty and blank texts have fingerprint zero and link like
     any other; texts of fewer words than a shingle are one shingle. Rows with a null doc_id take part in links and get
-    the smallest id of their component (null if it has none). Repeated rows: a row each. No rows: none. Other columns are
-    not read. Copies are aggregated to one entry per fingerprint before any link is sought.
+    the smallest id of their component (null if it has none). Different texts under one id link only if their
+    fingerprints do. Repeated rows: a row each. No rows: none. Other columns are not read unless carried. Copies are
+    aggregated to one entry per fingerprint before any link is sought.
     """
-    fps = written(docs.select("doc_id", fingerprint(F.col("text"), width).alias("fp")))
-    groups = written(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    # Groups of null ids only are known by a negative number that no document has.
-    nodes = groups.select("fp", F.coalesce("rep", F.lit(-(1 << 62)) + F.abs(F.xxhash64("fp") % (1 << 40))).alias("rep"))
-    found = components(links(nodes, hot))
-    known = groups.join(nodes.withColumnRenamed("rep", "node").hint("merge"), "fp")
-    linked = written(found.join(known.hint("merge"), "node").select("fp", "rep", "component"))
+    fps = written(docs.select("doc_id", *carry, fingerprint(F.col("text"), width).alias("fp")))
+    # Groups are known by numbers of their own: ids may be null, or have several fingerprints.
+    groups = written(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")).withColumn("node", F.monotonically_increasing_id()))
+    found = components(links(groups.select("fp", F.col("node").alias("rep")), hot))
+    linked = written(found.join(groups.hint("merge"), "node").select("fp", "rep", "component"))
     least = linked.groupBy("component").agg(F.min("rep").alias("component_id"))
-    joined = linked.join(least.hint("merge"), "component").select("fp", "component_id")
-    of = written(groups.join(joined.hint("merge"), "fp", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id")))
-    return fps.join(of.hint("merge"), "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    joined = linked.join(least.hint("merge"), "component").select("fp", "component_id", "component")
+    alone = F.col("component").isNull()
+    of = written(
+        groups.join(joined.hint("merge"), "fp", "left").select("fp", F.when(alone, F.col("rep")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("component", "node").alias("component"))
+    )
+    told = fps.join(of.hint("merge"), "fp")
+    return told.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", *([*carry, "component"] if carry else []))

@@ -360,6 +360,18 @@ def test_pipeline(spark):
     assert {r.doc_id for r in out} == comp - bad and all(r.lossless for r in out)
 
 
+def test_pipeline_keeps_one_row_of_each_group(spark):
+    """Null ids, repeated rows, and one id with two texts."""
+    import corpus_pipeline as p
+
+    t = {k: " ".join(f"{k}{i * i % 97}" for i in range(60)) for k in "abcdef"}
+    rows = [(None, t["a"]), (None, t["a"]), (None, t["b"]), (1, t["c"]), (1, t["c"]), (2, t["d"]), (3, t["d"]), (3, t["e"]), (None, t["e"]), (4, t["f"]), (None, t["f"].upper()), (4, t["f"].upper())]
+    df = spark.createDataFrame([(i, x, "en", "s", len(x)) for i, x in rows], "doc_id long, text string, lang string, source string, n_chars int")
+    got = p.near_dedup(spark, df, DATA)
+    assert got.columns == df.columns
+    assert sorted((r.doc_id or 0, r.text) for r in got.collect()) == sorted([(0, t["a"]), (0, t["b"]), (1, t["c"]), (2, t["d"]), (3, t["e"]), (4, t["f"].upper())])
+
+
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_every_query_runs(spark, name):
     assert queries.QUERIES[name](spark, DATA).count() > 0

@@ -3,8 +3,9 @@
 A turn's node is a hash of its parent's node, its role and its text, so conversations that begin alike meet in the same
 nodes. Sequences are packed from such trees: each node's text is written once, depth first, with the positions it has in
 its conversations and the intervals of its ancestors, which are all that its tokens may attend to. A tree with many
-conversations is cut where no more than ``together`` of them meet, and the shared turns above a cut are repeated in each
-of its packs; conversations that are alike to the end share one path, however many they are. Tokens are code points.
+conversations is cut below the nodes that more than ``together`` of them share. The subtrees under one such node fill
+packs of up to ``together`` conversations, and the shared turns above are written once in each pack; conversations that
+are alike to the end share one path, however many they are. Tokens are code points.
 """
 
 import hashlib
@@ -20,8 +21,8 @@ from .common import written
 
 #: Conversations that one pack holds at most, unless they are all the same.
 TOGETHER = 64
-#: Rows of whole packs that a group of the packing holds, about.
-BIN = 2000
+#: Rows of whole packs that a group of the packing holds, about; conversations under one cut that are dealt into packs in a row.
+BIN, IN_A_ROW = 2000, 2048
 
 # The template.
 OPEN, COLON, CLOSE, OTHER = "### ", ": ", " </turn>\n", "@"
@@ -120,6 +121,41 @@ def _by_bins(rows: DataFrame):
     return rows.withColumn("bin", F.pmod(F.xxhash64("pack"), F.lit(bins))).groupBy("bin")
 
 
+def _filled(together: int):
+    """Packs of subtrees that come sorted by cut and bucket: each takes the next ones while it has room.
+
+    The first pack of a cut's first bucket has the cut's name, and room for the conversations that end there.
+    """
+
+    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        before, name, room = None, "", 0
+        for rows in batches:
+            names = []
+            for cut, bucket, unit, convs in zip(rows["cut"].tolist(), rows["bucket"].tolist(), rows["unit"].tolist(), rows["convs"].tolist()):
+                if (cut, bucket) != before and bucket == 0 and convs < together:
+                    name, room = cut, together - 1
+                elif (cut, bucket) != before or convs > room:
+                    name, room = unit, together
+                before, room = (cut, bucket), room - convs
+                names.append(name)
+            yield pd.DataFrame({"unit": rows["unit"], "pack": names})
+
+    return of
+
+
+def _in_packs(ways: DataFrame, together: int) -> DataFrame:
+    """conv_id, pack, leaf and n_turns of conversations, whose ``first`` is their first node that not many share."""
+    told = ways.select("conv_id", F.col("first.node").alias("unit"), F.col("first.parent").alias("cut"), F.col("end.node").alias("leaf"), F.col("end.idx").cast("long").alias("n_turns"))
+    under = F.col("unit").isNotNull() & (F.col("cut") != "")
+    units = written(told.where(under).groupBy("cut", "unit").agg(F.count("*").alias("convs")))
+    totals = units.groupBy("cut").agg(F.sum("convs").alias("total"))
+    dealt = units.join(totals.hint("merge"), "cut").withColumn("bucket", F.pmod(F.xxhash64("unit"), F.greatest(F.lit(1), F.expr(f"total div {IN_A_ROW}"))))
+    keys = ["cut", "bucket"]
+    packs = written(dealt.select(*keys, "unit", "convs").repartition(*keys).sortWithinPartitions(*keys, "unit").mapInPandas(_filled(together), "unit string, pack string"))
+    names = ["conv_id", "pack", "leaf", "n_turns"]
+    return told.where(under).join(packs.hint("merge"), "unit").select(*names).unionByName(told.where(~F.coalesce(under, F.lit(False))).withColumn("pack", F.coalesce("unit", "leaf")).select(*names))
+
+
 def pack(conversations: DataFrame, together: int = TOGETHER) -> tuple[DataFrame, DataFrame]:
     """(segments, members): the packed sequences by segment, and each conversation's pack, last node and n_turns.
 
@@ -136,14 +172,11 @@ def pack(conversations: DataFrame, together: int = TOGETHER) -> tuple[DataFrame,
     ordered = turns.repartition("conv_id").sortWithinPartitions("conv_id", F.col("turn").asc_nulls_first(), "role", "text")
     chained = written(ordered.select("conv_id", "role", "text").mapInPandas(_chained, "conv_id long, idx int, parent string, node string, role string, text string, last boolean"))
     many = written(chained.groupBy("node").count().where(F.col("count") > together).select("node", F.lit(True).alias("many")))
-    # Nodes with many conversations come first on every path; a conversation's pack is named by the first one after them.
-    paths = chained.select("conv_id", "idx", "node", "last")
+    # Nodes with many conversations come first on every path; the first one after them begins a subtree under a cut.
+    paths = chained.select("conv_id", "idx", "parent", "node")
     paths = paths.join(many.hint("merge"), "node", "left") if many.limit(1).count() else paths.withColumn("many", F.lit(None).cast("boolean"))
-    members = written(
-        paths.groupBy("conv_id")
-        .agg(F.min(F.when(F.col("many").isNull(), F.struct("idx", "node"))).alias("first"), F.max(F.struct("idx", "node")).alias("end"))
-        .select("conv_id", F.coalesce("first.node", "end.node").alias("pack"), F.col("end.node").alias("leaf"), F.col("end.idx").cast("long").alias("n_turns"))
-    )
+    ways = written(paths.groupBy("conv_id").agg(F.min(F.when(F.col("many").isNull(), F.struct("idx", "node", "parent"))).alias("first"), F.max(F.struct("idx", "node")).alias("end")))
+    members = written(_in_packs(ways, together))
     of = members.select(F.col("conv_id").alias("c"), "pack")
     nodes = written(
         chained.join(of.hint("merge"), F.col("conv_id").eqNullSafe(F.col("c")))

@@ -270,6 +270,17 @@ def test_chat_tree(spark):
     assert chat_tree.digests(df.limit(0)).count() == 0
 
 
+def test_chat_tree_fills_packs(spark):
+    """Of 1000 conversations that part after one common turn, each full pack writes it once, and no pack is too large."""
+    rows = [(c, t, "user", "common" if t == 0 else f"{c} {t}") for c in range(1000) for t in range(2)]
+    rows += [(c, 0, "user", "common") for c in range(1000, 1100)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    segments, members = chat_tree.pack(df)
+    assert segments.where(F.col("text") == chat_tree.segment("user", "common")).count() <= -(-1001 // 64)
+    assert segments.where("depth = 2").groupBy("pack").count().agg(F.max("count")).first()[0] <= 64
+    assert members.count() == chat_tree.digests(df).count() == 1100
+
+
 @pytest.mark.parametrize("text", ["", "\\", "###", "####", "a: b", " </turn>\n", "\\### Assistant: </turn> ok", "#\\#:##"])
 def test_template_round_trip(text):
     turns = [("user", text), ("assistant", text), (text, text)]

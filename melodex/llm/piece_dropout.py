@@ -5,9 +5,11 @@ each candidate merge that comes up is skipped when a keyed hash of it falls unde
 comes back if a later merge makes it anew. So one text has many segmentations, all of which decode to the same text:
 characters without a piece, and the model's own space mark where a text holds it, are spelt in byte pieces.
 
-The hash takes the key, the word, the place of the candidate in it, and one of ``DRAWS`` draws that follows from the
-key, the document and the place of the word. Words repeat, so a worker remembers the segmentations of word and draw in
-a table of bounded size. The same key, text and id always give the same pieces, whatever the partitions.
+The hash takes the key, the document (its id and text), the place of the word in it, and the candidate's place and
+length, so each occurrence of a word is drawn anew. How a word comes out depends only on which of its candidates are
+skipped; so a worker remembers, in tables of bounded size, each word's candidates and the segmentation of word and
+skipped set, and only sets that it hasn't met are merged. The same key, text and id always give the same pieces,
+whatever the partitions.
 """
 
 import re
@@ -22,8 +24,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "▁"
-#: Draws for each word; entries that a worker remembers, for words up to so many characters.
-DRAWS, REMEMBERED, WORD_CHARS = 4, 300_000, 32
+#: Entries that a worker remembers; candidates of a word up to which its skipped sets are remembered.
+REMEMBERED, CANDIDATES = 300_000, 63
 #: Characters of text encoded at a time.
 RUN_CHARS = 1_000_000
 
@@ -33,7 +35,7 @@ TOGETHER, ROW = 4096, 32
 _words = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+").findall
 _models: dict = {}
 _M = (1 << 64) - 1
-_A, _B, _C, _D = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9
+_A, _B, _C = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0xC2B2AE3D27D4EB4F
 
 
 def _mixed(x):
@@ -100,13 +102,28 @@ class Pieces:
         self.pairs = Pairs({(a, b): i for p, i in self.ids.items() for k in range(1, len(p)) if (a := symbol(p[:k])) is not None and (b := symbol(p[k:])) is not None})
         self.limit = int(rate * (1 << 64))
         self.key = int.from_bytes(blake2b(key.encode(), digest_size=8).digest(), "little")
-        self.known: list[dict[str, bytes]] = [{} for _ in range(DRAWS)]
-        self.held = 0
-
-    def _named(self, word: str, draw: int) -> int:
-        from xxhash import xxh3_64_intdigest
-
-        return (xxh3_64_intdigest(word, self.key) + draw * _D) & _M
+        self.known: dict[tuple[str, int], bytes] = {}
+        self.steps: dict[str, np.ndarray | None] = {}
+
+    def _steps(self, word: str) -> np.ndarray | None:
+        """What each possible candidate of a word adds to the hash; none for words with too many of them."""
+        n = len(word)
+        if n > ROW:
+            return None
+        out = [(i * _A + k * _C) & _M for i in range(n - 1) for k in range(2, n - i + 1) if word[i : i + k] in self.ids] if self.limit else []
+        return np.array(out, dtype=np.uint64) if len(out) <= CANDIDATES else None
+
+    def _skipped(self, steps: list[np.ndarray], draws: np.ndarray) -> list[int]:
+        """The skipped set of each word, as bits."""
+        sizes = np.array([len(x) for x in steps], dtype=np.int64)
+        if not sizes.sum():
+            return [0] * len(steps)
+        ends = np.cumsum(sizes)
+        skip = np.flatnonzero(_mixed(np.repeat(draws, sizes) + np.concatenate(steps)) < np.uint64(self.limit))
+        of = np.searchsorted(ends, skip, side="right")
+        out = np.zeros(len(steps), dtype=np.uint64)
+        np.bitwise_or.at(out, of, np.uint64(1) << (skip - (ends - sizes)[of]).astype(np.uint64))
+        return out.tolist()
 
     def _ids_of(self, symbols: list[int]) -> bytes:
         out: list[int] = []
@@ -118,7 +135,7 @@ class Pieces:
         return np.array(out, dtype="<i4").tobytes()
 
     def merge_long(self, word: str, draw: int) -> bytes:
-        """Ids of one word, with the agenda as a heap: for words of any length."""
+        """Ids of one word under a draw (64 bits of its occurrence), with the agenda as a heap: for words of any length."""
         get, base = self.ids.get, self.base
         part = list(word)
         n = len(part)
@@ -127,12 +144,11 @@ class Pieces:
         rank = lambda p: float(self.rank[get(p)])
         agenda = [(rank(p), i, i + 1, p) for i in range(n - 1) if (p := part[i] + part[i + 1]) in self.ids]
         heapify(agenda)
-        named = self._named(word, draw)
         while agenda:
             _, i, j, p = heappop(agenda)
             if not part[i] or right[i] != j or len(part[i]) + len(part[j]) != len(p):
                 continue  # one of the two has been merged away
-            if self.limit and _mixed((named + i * _A + len(p) * _C) & _M) < self.limit:
+            if self.limit and _mixed((draw + i * _A + len(p) * _C) & _M) < self.limit:
                 continue
             part[i], part[j] = p, ""
             k = right[i] = right[j]
@@ -163,7 +179,7 @@ class Pieces:
         both = np.argwhere(inside[:, 1:])
         made[both[:, 0], both[:, 1]] = self.pairs.get(sym[both[:, 0], both[:, 1]], sym[both[:, 0], both[:, 1] + 1])
         best = self.rank[made]  # the last entry, for -1, is infinite
-        hashes = np.array([self._named(w, d) for w, d in zip(words, draws)], dtype=np.uint64)
+        hashes = np.array(draws, dtype=np.uint64)
         live = rows
         while len(live):
             i = best[live].argmin(axis=1)
@@ -219,42 +235,45 @@ class Pieces:
                 out.update(zip(part, self.merge_row([w for w, _ in part], [d for _, d in part], width)))
         return out
 
-    def _plan(self, text: str | None, name: object) -> tuple[list[str], list[int]]:
+    def _plan(self, text: str | None, name: object) -> tuple[list[str], np.ndarray]:
         """The words of a text and their draws; a space mark that the text holds is a word "" of its own."""
         if not text:
-            return [], []
+            return [], np.zeros(0, dtype=np.uint64)
         words: list[str] = []
         for k, part in enumerate(text.split(SPACE)):
             words += [""] * (k > 0) + _words((SPACE if k == 0 else "") + part.replace(" ", SPACE))
-        base = int.from_bytes(blake2b(str(name).encode(), digest_size=8).digest(), "little") ^ self.key
-        x = _mixed(np.uint64(base) + np.arange(len(words), dtype=np.uint64) * np.uint64(_A))
-        return words, (x % np.uint64(DRAWS)).tolist()
+        base = int.from_bytes(blake2b(f"{name}\0{text}".encode(), digest_size=8).digest(), "little") ^ self.key
+        return words, _mixed(_mixed(np.uint64(base) + np.arange(len(words), dtype=np.uint64) * np.uint64(_A)))
 
     def encode_all(self, texts: list[str | None], names: list) -> list[np.ndarray]:
-        """Ids of texts; a text's name (its document's id) chooses its draws."""
+        """Ids of texts; a text and its name (its document's id) choose its draws."""
         plans = [self._plan(t, n) for t, n in zip(texts, names)]
-        if self.held > REMEMBERED:
-            self.known, self.held = [{} for _ in range(DRAWS)], 0
-        known = self.known
-        for table in known:
-            table[""] = np.array([self.bytes[b] for b in SPACE.encode()], dtype="<i4").tobytes()
-        new = {(w, d) for words, draws in plans for w, d in zip(words, draws) if w not in known[d]}
-        got = self.merged(list(new))
+        if len(self.known) + len(self.steps) > REMEMBERED:
+            self.known, self.steps = {}, {}
+        known, steps = self.known, self.steps
+        steps[""], known["", 0] = np.zeros(0, dtype=np.uint64), np.array([self.bytes[b] for b in SPACE.encode()], dtype="<i4").tobytes()
+        words = [w for own, _ in plans for w in own]
+        draws = np.concatenate([np.zeros(0, dtype=np.uint64), *[d for _, d in plans]])
         brief: dict = {}
-        for (w, d), ids in got.items():
-            if len(w) <= WORD_CHARS:
-                known[d][w] = ids
-                self.held += 1
-            else:
-                brief[w, d] = ids
-        out = []
-        for words, draws in plans:
-            if brief:
-                data = b"".join([known[d][w] if w in known[d] else brief[w, d] for w, d in zip(words, draws)])
-            else:
-                data = b"".join([known[d][w] for w, d in zip(words, draws)])
-            out.append(np.frombuffer(data, dtype="<i4"))
-        return out
+        for w in set(words):
+            if w not in steps:
+                x = self._steps(w)
+                (steps if len(w) <= ROW else brief)[w] = x
+        of = [steps[w] if w in steps else brief[w] for w in words] if brief else [steps[w] for w in words]
+        sets = self._skipped([x if x is not None else steps[""] for x in of], draws)
+        out: list = [None if x is None else known.get(k) for x, k in zip(of, zip(words, sets))]
+        alone = [i for i, x in enumerate(of) if x is None]
+        new = {(words[i], sets[i]): i for i, x in enumerate(out) if x is None and of[i] is not None}
+        got = self.merged([(words[i], int(draws[i])) for i in [*alone, *new.values()]])
+        for key, i in new.items():
+            known[key] = got[words[i], int(draws[i])]
+        for i in alone:
+            out[i] = got[words[i], int(draws[i])]
+        data, result, at = [known[k] if x is None else x for x, k in zip(out, zip(words, sets))], [], 0
+        for own, _ in plans:
+            result.append(np.frombuffer(b"".join(data[at : at + len(own)]), dtype="<i4"))
+            at += len(own)
+        return result
 
     def encode(self, text: str | None, name: object = None) -> np.ndarray:
         """Ids of one text."""

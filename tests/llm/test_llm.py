@@ -349,6 +349,21 @@ def test_piece_dropout(spark):
     assert back.join(docs(spark), "doc_id").where("t <> text").count() == 0
 
 
+def test_piece_dropout_draws_each_occurrence():
+    """A word of one merge is skipped in about a tenth of the documents and places; tables change nothing."""
+    import public_tokenizers
+
+    p = piece_dropout.Pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    word = next(w for w in p.ids if len(w) == 2 and w[0] == "▁" and w[1].isalpha() and w[1] in p.ids and "▁" in p.ids)[1:]
+    one = p.encode_all([word] * 20_000, list(range(20_000)))
+    assert 0.09 < sum(len(x) == 2 for x in one) / 20_000 < 0.11
+    assert 0.09 < len(p.encode(" ".join([word] * 20_000), 7)) / 20_000 - 1 < 0.11
+    text = "The international committee unquestionably reconsidered it. " * 300
+    words, draws = p._plan(text, 3)
+    assert p.encode(text, 3).tobytes() == b"".join(p.merge_long(w, int(d)) for w, d in zip(words, draws))
+    assert len({p.merge_long("▁international", int(d)) for d in draws}) > 4
+
+
 # The pipeline
 
 

@@ -7,12 +7,13 @@ characters without a piece, and the model's own space mark where a text holds it
 
 The hash takes the key, the document (its id and text), the place of the word in it, and the candidate's place and
 length, so each occurrence of a word is drawn anew. How a word comes out depends only on which of its candidates are
-skipped; so a worker remembers, in tables of bounded size, each word's candidates and the segmentation of word and
-skipped set, and only sets that it hasn't met are merged. The same key, text and id always give the same pieces,
+skipped; so a worker remembers, in tables of bounded size, candidates of words that recur and the segmentation of word
+and skipped set, and only sets that it hasn't met are merged. The same key, text and id always give the same pieces,
 whatever the partitions.
 """
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from hashlib import blake2b
 from heapq import heapify, heappop, heappush
@@ -255,10 +256,12 @@ class Pieces:
         words = [w for own, _ in plans for w in own]
         draws = np.concatenate([np.zeros(0, dtype=np.uint64), *[d for _, d in plans]])
         brief: dict = {}
-        for w in set(words):
-            if w not in steps:
-                x = self._steps(w)
-                (steps if len(w) <= ROW else brief)[w] = x
+        for w, n in Counter(words).items():
+            if w not in steps:  # what occurs once here is merged as it is: remembering it would cost more
+                if n > 1 and len(w) <= ROW:
+                    steps[w] = self._steps(w)
+                else:
+                    brief[w] = None
         of = [steps[w] if w in steps else brief[w] for w in words] if brief else [steps[w] for w in words]
         sets = self._skipped([x if x is not None else steps[""] for x in of], draws)
         out: list = [None if x is None else known.get(k) for x, k in zip(of, zip(words, sets))]

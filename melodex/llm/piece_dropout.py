@@ -6,10 +6,11 @@ comes back if a later merge makes it anew. So one text has many segmentations, a
 characters without a piece, and the model's own space mark where a text holds it, are spelt in byte pieces.
 
 The hash takes the key, the document (its id and text), the place of the word in it, and the candidate's place and
-length, so each occurrence of a word is drawn anew. How a word comes out depends only on which of its candidates are
-skipped; so a worker remembers, in tables of bounded size, candidates of words that recur and the segmentation of word
-and skipped set, and only sets that it hasn't met are merged. The same key, text and id always give the same pieces,
-whatever the partitions.
+length, so each occurrence of a word is drawn anew. Until a candidate is skipped, all occurrences of a word merge alike;
+so a worker remembers words that recur as trees of bounded size: a node has the candidates that come up one after another
+while nothing more is skipped, and what comes out of them, and for each candidate a child in which it is skipped. An
+occurrence hashes its node's candidates, goes to the child of the first one skipped, and so on until none is; only nodes
+that nobody has reached before are merged. The same key, text and id always give the same pieces, whatever the partitions.
 """
 
 import re
@@ -17,6 +18,7 @@ from collections import Counter
 from collections.abc import Iterator
 from hashlib import blake2b
 from heapq import heapify, heappop, heappush
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -25,13 +27,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "▁"
-#: Entries that a worker remembers; candidates of a word up to which its skipped sets are remembered.
-REMEMBERED, CANDIDATES = 300_000, 63
+#: Nodes that a worker remembers, and characters of a word up to which it has nodes: each of its symbols begins three
+#: candidates at most, so that one's place among those of its word is below 64.
+REMEMBERED, TREE_CHARS = 400_000, 21
 #: Characters of text encoded at a time.
 RUN_CHARS = 1_000_000
 
-#: Words merged at a time, and characters up to which they are merged together in arrays.
-TOGETHER, ROW = 4096, 32
+#: Occurrences of words looked up at a time; words merged at a time, and widths in characters of the arrays for that.
+AT_HAND, TOGETHER, WIDTHS = 1 << 18, 4096, (8, 12, TREE_CHARS, 32)
 
 _words = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+").findall
 _models: dict = {}
@@ -82,6 +85,45 @@ class Pairs:
         return out
 
 
+class Pool:
+    """An array that grows at its end."""
+
+    def __init__(self, kind):
+        self.data, self.n = np.zeros(1 << 12, dtype=kind), 0
+
+    def add(self, more: np.ndarray) -> None:
+        if self.n + len(more) > len(self.data):
+            self.data = np.concatenate([self.data[: self.n], np.zeros(self.n + 2 * len(more), dtype=self.data.dtype)])
+        self.data[self.n : self.n + len(more)] = more
+        self.n += len(more)
+
+
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers of ranges, one range after another."""
+    return np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+
+
+class Trees:
+    """Nodes of words: a word, the places of its skipped candidates as bits, and the candidates after the last of them."""
+
+    def __init__(self):
+        self.roots: dict[str, int] = {}
+        self.words: list[str] = []
+        self.mask, self.begin = Pool(np.uint64), Pool(np.int64)  # begin: place of the node's first candidate
+        self.at, self.size, self.out, self.out_size = (Pool(np.int64) for _ in range(4))
+        self.steps, self.child, self.ids = Pool(np.uint64), Pool(np.int64), Pool(np.int32)
+
+    def add(self, words: list[str], mask: np.ndarray, begin: np.ndarray, steps: np.ndarray, sizes: np.ndarray, ids: np.ndarray, out_sizes: np.ndarray) -> np.ndarray:
+        """Numbers of new nodes, from their candidates and ids one after another."""
+        first = self.mask.n
+        self.at.add(self.steps.n + np.cumsum(sizes) - sizes), self.size.add(sizes)
+        self.out.add(self.ids.n + np.cumsum(out_sizes) - out_sizes), self.out_size.add(out_sizes)
+        self.words += words
+        self.mask.add(mask), self.begin.add(begin), self.steps.add(steps), self.ids.add(ids)
+        self.child.add(np.full(len(steps), -1))
+        return np.arange(first, first + len(words))
+
+
 class Pieces:
     """A model's pieces, and its merge rules with dropout."""
 
@@ -92,8 +134,8 @@ class Pieces:
         n = self.sp.get_piece_size()
         plain = [i for i in range(n) if not (self.sp.is_control(i) or self.sp.is_unknown(i) or self.sp.is_byte(i) or self.sp.is_unused(i))]
         self.ids = {self.sp.id_to_piece(i): i for i in plain}
-        self.bytes = [self.sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
-        if any(SPACE in p.lstrip(SPACE) for p in self.ids) or not all(map(self.sp.is_byte, self.bytes)):
+        self.bytes = np.array([self.sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)], dtype=np.int32)
+        if any(SPACE in p.lstrip(SPACE) for p in self.ids) or not all(map(self.sp.is_byte, self.bytes.tolist())):
             raise ValueError("the model joins words, or has no byte pieces")
         self.base = n  # symbols from here on are characters without a piece
         self.rank = np.full(n + 1, np.inf, dtype=np.float32)
@@ -101,39 +143,29 @@ class Pieces:
             self.rank[i] = -self.sp.get_score(i)
         symbol = lambda s: self.ids.get(s, n + ord(s) if len(s) == 1 else None)
         self.pairs = Pairs({(a, b): i for p, i in self.ids.items() for k in range(1, len(p)) if (a := symbol(p[:k])) is not None and (b := symbol(p[k:])) is not None})
-        self.limit = int(rate * (1 << 64))
+        self.most = int(rate * (1 << 64)) - 1  # hashes up to this skip; none do at -1
         self.key = int.from_bytes(blake2b(key.encode(), digest_size=8).digest(), "little")
-        self.known: dict[tuple[str, int], bytes] = {}
-        self.steps: dict[str, np.ndarray | None] = {}
-
-    def _steps(self, word: str) -> np.ndarray | None:
-        """What each possible candidate of a word adds to the hash; none for words with too many of them."""
-        n = len(word)
-        if n > ROW:
-            return None
-        out = [(i * _A + k * _C) & _M for i in range(n - 1) for k in range(2, n - i + 1) if word[i : i + k] in self.ids] if self.limit else []
-        return np.array(out, dtype=np.uint64) if len(out) <= CANDIDATES else None
-
-    def _skipped(self, steps: list[np.ndarray], draws: np.ndarray) -> list[int]:
-        """The skipped set of each word, as bits."""
-        sizes = np.array([len(x) for x in steps], dtype=np.int64)
-        if not sizes.sum():
-            return [0] * len(steps)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.trees = Trees()
+        mark = self.bytes[list(SPACE.encode())]
+        none = np.zeros(0, dtype=np.uint64)
+        self.trees.roots[""] = int(self.trees.add([""], np.zeros(1, np.uint64), np.zeros(1, np.int64), none, np.zeros(1, np.int64), mark, np.array([len(mark)]))[0])
+
+    def _in_bytes(self, symbols: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Symbols of words, one word after another, with characters that have no piece spelt in byte pieces."""
+        odd = symbols >= self.base
+        if not odd.any():
+            return symbols, sizes
+        codes = symbols[odd] - self.base
+        each = np.ones(len(symbols), dtype=np.int64)
+        each[odd] = 1 + (codes > 0x7F).astype(np.int64) + (codes > 0x7FF) + (codes > 0xFFFF)
+        before = np.concatenate([[0], np.cumsum(each)])
         ends = np.cumsum(sizes)
-        skip = np.flatnonzero(_mixed(np.repeat(draws, sizes) + np.concatenate(steps)) < np.uint64(self.limit))
-        of = np.searchsorted(ends, skip, side="right")
-        out = np.zeros(len(steps), dtype=np.uint64)
-        np.bitwise_or.at(out, of, np.uint64(1) << (skip - (ends - sizes)[of]).astype(np.uint64))
-        return out.tolist()
-
-    def _ids_of(self, symbols: list[int]) -> bytes:
-        out: list[int] = []
-        for s in symbols:
-            if s < self.base:
-                out.append(s)
-            else:
-                out += [self.bytes[b] for b in chr(s - self.base).encode()]
-        return np.array(out, dtype="<i4").tobytes()
+        out = np.repeat(symbols, each)
+        out[np.repeat(odd, each)] = self.bytes[np.frombuffer("".join(map(chr, codes.tolist())).encode(), dtype=np.uint8)]
+        return out, before[ends] - before[ends - sizes]
 
     def merge_long(self, word: str, draw: int) -> bytes:
         """Ids of one word under a draw (64 bits of its occurrence), with the agenda as a heap: for words of any length."""
@@ -149,7 +181,7 @@ class Pieces:
             _, i, j, p = heappop(agenda)
             if not part[i] or right[i] != j or len(part[i]) + len(part[j]) != len(p):
                 continue  # one of the two has been merged away
-            if self.limit and _mixed((draw + i * _A + len(p) * _C) & _M) < self.limit:
+            if _mixed((draw + i * _A + len(p) * _C) & _M) <= self.most:
                 continue
             part[i], part[j] = p, ""
             k = right[i] = right[j]
@@ -160,10 +192,15 @@ class Pieces:
             h = left[i]
             if h >= 0 and (q := part[h] + p) in self.ids:
                 heappush(agenda, (rank(q), h, i, q))
-        return self._ids_of([get(p, base + ord(p[0])) for p in part if p])
+        symbols = np.array([get(p, base + ord(p[0])) for p in part if p], dtype=np.int32)
+        return self._in_bytes(symbols, np.array([len(symbols)]))[0].astype("<i4").tobytes()
 
-    def merge_row(self, words: list[str], draws: list[int], width: int) -> list[bytes]:
-        """Ids of words up to ``width`` characters, merged side by side: each step takes every word's best candidate."""
+    def _side_by_side(self, words: list[str], width: int, draws: np.ndarray | None = None, masks: np.ndarray | None = None):
+        """Ids of words up to ``width`` characters and how many each has; each step takes every word's best candidate.
+
+        A candidate is skipped as its hash under the word's draw says, or, with ``masks``, where its place among the
+        word's candidates is in the mask; then the candidates' steps (n, most) and how many each has come as well.
+        """
         n = len(words)
         rows = np.arange(n)
         sym = np.full((n, width + 1), -1, dtype=np.int32)
@@ -180,22 +217,30 @@ class Pieces:
         both = np.argwhere(inside[:, 1:])
         made[both[:, 0], both[:, 1]] = self.pairs.get(sym[both[:, 0], both[:, 1]], sym[both[:, 0], both[:, 1] + 1])
         best = self.rank[made]  # the last entry, for -1, is infinite
-        hashes = np.array(draws, dtype=np.uint64)
-        live = rows
-        while len(live):
+        live, place = rows, 0
+        steps = [] if masks is not None else None
+        count = np.zeros(n, dtype=np.int64)
+        while True:
             i = best[live].argmin(axis=1)
             on = best[live, i] < np.inf
             live, i = live[on], i[on]
             if not len(live):
                 break
             j = nxt[live, i].astype(np.int64)
-            if self.limit:
-                chars = (size[live, i] + size[live, j]).astype(np.uint64)
-                skip = _mixed(hashes[live] + i.astype(np.uint64) * np.uint64(_A) + chars * np.uint64(_C)) < np.uint64(self.limit)
-                best[live[skip], i[skip]] = np.inf
-                r, i, j = live[~skip], i[~skip], j[~skip]
+            step = i.astype(np.uint64) * np.uint64(_A) + (size[live, i] + size[live, j]).astype(np.uint64) * np.uint64(_C)
+            if masks is not None:
+                skip = (masks[live] >> np.uint64(place)) & np.uint64(1) == 1
+                column = np.zeros(n, dtype=np.uint64)
+                column[live] = step
+                steps.append(column)
+                count[live] += 1
+                place += 1
+            elif self.most >= 0:
+                skip = _mixed(draws[live] + step) <= np.uint64(self.most)
             else:
-                r = live
+                skip = np.zeros(len(live), dtype=bool)
+            best[live[skip], i[skip]] = np.inf
+            r, i, j = live[~skip], i[~skip], j[~skip]
             sym[r, i] = made[r, i]
             size[r, i] += size[r, j]
             sym[r, j] = -1
@@ -212,30 +257,92 @@ class Pieces:
             m = self.pairs.get(sym[r, h], sym[r, i])
             made[r, h], best[r, h] = m, self.rank[m]
         keep = sym >= 0
-        flat, ends = sym[keep], np.cumsum(keep.sum(axis=1))
-        odd = np.zeros(n, dtype=bool)
-        odd[np.unique(np.searchsorted(ends, np.flatnonzero(flat >= self.base), side="right"))] = True
-        data, at, out = flat.astype("<i4").tobytes(), [0, *(4 * ends).tolist()], []
-        for w, o in enumerate(odd.tolist()):
-            out.append(self._ids_of(flat[at[w] // 4 : at[w + 1] // 4].tolist()) if o else data[at[w] : at[w + 1]])
-        return out
+        out = self._in_bytes(sym[keep], keep.sum(axis=1))
+        return out if masks is None else (*out, np.stack(steps, axis=1) if steps else np.zeros((n, 0), dtype=np.uint64), count)
+
+    def _by_width(self, words: list[str]) -> Iterator[tuple[int, np.ndarray]]:
+        """(width, places) of words that are merged together; width 0: one word that is too long for that."""
+        sizes = np.array([len(w) for w in words], dtype=np.int64)
+        for low, width in zip((-1, *WIDTHS), WIDTHS):
+            pick = np.flatnonzero((sizes > low) & (sizes <= width))
+            for at in range(0, len(pick), TOGETHER):
+                yield width, pick[at : at + TOGETHER]
+        for i in np.flatnonzero(sizes > WIDTHS[-1]):
+            yield 0, np.array([i])
+
+    def _merged(self, words: list[str], draws: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words under draws, one word after another, and how many each has."""
+        order, ids, sizes = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+        for width, pick in self._by_width(words):
+            if width:
+                a, b = self._side_by_side([words[i] for i in pick.tolist()], width, draws[pick])
+            else:
+                a = np.frombuffer(self.merge_long(words[pick[0]], int(draws[pick[0]])), dtype="<i4")
+                b = np.array([len(a)])
+            order.append(pick), ids.append(a), sizes.append(b)
+        at, ids, sizes = map(np.concatenate, (order, ids, sizes))
+        back = np.argsort(at)
+        return ids[_ranges((np.cumsum(sizes) - sizes)[back], sizes[back])], sizes[back]
 
     def merged(self, words: list[tuple[str, int]]) -> dict[tuple[str, int], bytes]:
         """Ids (little-endian 32-bit numbers) of words under draws."""
-        out = {}
-        rows: dict[int, list] = {}
-        for x in words:
-            n = len(x[0])
-            if n > ROW:
-                out[x] = self.merge_long(*x)
-            else:
-                rows.setdefault(8 if n <= 8 else 12 if n <= 12 else 20 if n <= 20 else ROW, []).append(x)
-        for width, some in rows.items():
-            for at in range(0, len(some), TOGETHER):
-                part = some[at : at + TOGETHER]
-                out.update(zip(part, self.merge_row([w for w, _ in part], [d for _, d in part], width)))
+        ids, sizes = self._merged([w for w, _ in words], np.array([d for _, d in words], dtype=np.uint64))
+        ends = np.cumsum(sizes)
+        return {x: ids[a:b].astype("<i4").tobytes() for x, a, b in zip(words, (ends - sizes).tolist(), ends.tolist())}
+
+    def _grown(self, words: list[str], masks: np.ndarray, begins: np.ndarray) -> np.ndarray:
+        """Numbers of new nodes of words with the candidates in a mask skipped."""
+        out = np.zeros(len(words), dtype=np.int64)
+        for width, pick in self._by_width(words):
+            some = [words[i] for i in pick.tolist()]
+            ids, sizes, steps, count = self._side_by_side(some, width, masks=masks[pick])
+            place = np.arange(steps.shape[1])
+            own = (place >= begins[pick][:, None]) & (place < count[:, None])
+            out[pick] = self.trees.add(some, masks[pick], begins[pick], steps[own], own.sum(axis=1), ids, sizes)
         return out
 
+    def _settled(self, node: np.ndarray, draws: np.ndarray) -> np.ndarray:
+        """The nodes in which occurrences of words end: none of their candidates is skipped."""
+        t = self.trees
+        at = np.arange(len(node))
+        while len(at) and self.most >= 0:
+            sizes = t.size.data[node[at]]
+            flat = _ranges(t.at.data[node[at]], sizes)
+            hit = np.flatnonzero(_mixed(np.repeat(draws[at], sizes) + t.steps.data[flat]) <= np.uint64(self.most))
+            of = np.searchsorted(np.cumsum(sizes), hit, side="right")
+            first = np.ones(len(of), dtype=bool)
+            first[1:] = of[1:] != of[:-1]
+            at, step = at[of[first]], flat[hit[first]]
+            new, where = np.unique(step[t.child.data[step] < 0], return_index=True)
+            if len(new):
+                parent = node[at[t.child.data[step] < 0][where]]
+                place = new - t.at.data[parent] + t.begin.data[parent]
+                grown = self._grown([t.words[p] for p in parent.tolist()], t.mask.data[parent] | (np.uint64(1) << place.astype(np.uint64)), place + 1)
+                t.child.data[new] = grown
+            node[at] = t.child.data[step]
+        return node
+
+    def _segmented(self, words: list[str], draws: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of occurrences of words, one after another, and how many each has."""
+        if self.trees.mask.n > REMEMBERED:
+            self._forget()
+        roots = self.trees.roots
+        node = np.fromiter(map(roots.get, words, repeat(-1)), dtype=np.int64, count=len(words))
+        unknown = np.flatnonzero(node < 0).tolist()
+        # What occurs once here is merged as it is: remembering it would cost more.
+        new = [w for w, n in Counter([words[i] for i in unknown]).items() if n > 1 and len(w) <= TREE_CHARS]
+        if new:
+            roots.update(zip(new, self._grown(new, np.zeros(len(new), np.uint64), np.zeros(len(new), np.int64)).tolist()))
+            node[unknown] = [roots.get(words[i], -1) for i in unknown]
+        known, alone = np.flatnonzero(node >= 0), np.flatnonzero(node < 0)
+        ends = self._settled(node[known], draws[known])
+        t = self.trees
+        ids, own = self._merged([words[i] for i in alone.tolist()], draws[alone])
+        starts, sizes = np.zeros(len(words), dtype=np.int64), np.zeros(len(words), dtype=np.int64)
+        starts[known], sizes[known] = t.out.data[ends], t.out_size.data[ends]
+        starts[alone], sizes[alone] = t.ids.n + np.cumsum(own) - own, own
+        return np.concatenate([t.ids.data[: t.ids.n], ids])[_ranges(starts, sizes)], sizes
+
     def _plan(self, text: str | None, name: object) -> tuple[list[str], np.ndarray]:
         """The words of a text and their draws; a space mark that the text holds is a word "" of its own."""
         if not text:
@@ -249,34 +356,12 @@ class Pieces:
     def encode_all(self, texts: list[str | None], names: list) -> list[np.ndarray]:
         """Ids of texts; a text and its name (its document's id) choose its draws."""
         plans = [self._plan(t, n) for t, n in zip(texts, names)]
-        if len(self.known) + len(self.steps) > REMEMBERED:
-            self.known, self.steps = {}, {}
-        known, steps = self.known, self.steps
-        steps[""], known["", 0] = np.zeros(0, dtype=np.uint64), np.array([self.bytes[b] for b in SPACE.encode()], dtype="<i4").tobytes()
-        words = [w for own, _ in plans for w in own]
-        draws = np.concatenate([np.zeros(0, dtype=np.uint64), *[d for _, d in plans]])
-        brief: dict = {}
-        for w, n in Counter(words).items():
-            if w not in steps:  # what occurs once here is merged as it is: remembering it would cost more
-                if n > 1 and len(w) <= ROW:
-                    steps[w] = self._steps(w)
-                else:
-                    brief[w] = None
-        of = [steps[w] if w in steps else brief[w] for w in words] if brief else [steps[w] for w in words]
-        sets = self._skipped([x if x is not None else steps[""] for x in of], draws)
-        out: list = [None if x is None else known.get(k) for x, k in zip(of, zip(words, sets))]
-        alone = [i for i, x in enumerate(of) if x is None]
-        new = {(words[i], sets[i]): i for i, x in enumerate(out) if x is None and of[i] is not None}
-        got = self.merged([(words[i], int(draws[i])) for i in [*alone, *new.values()]])
-        for key, i in new.items():
-            known[key] = got[words[i], int(draws[i])]
-        for i in alone:
-            out[i] = got[words[i], int(draws[i])]
-        data, result, at = [known[k] if x is None else x for x, k in zip(out, zip(words, sets))], [], 0
-        for own, _ in plans:
-            result.append(np.frombuffer(b"".join(data[at : at + len(own)]), dtype="<i4"))
-            at += len(own)
-        return result
+        words, draws = [w for own, _ in plans for w in own], np.concatenate([np.zeros(0, dtype=np.uint64), *[d for _, d in plans]])
+        parts = [self._segmented(words[a : a + AT_HAND], draws[a : a + AT_HAND]) for a in range(0, max(1, len(words)), AT_HAND)]
+        ids, sizes = (np.concatenate(x) for x in zip(*parts))
+        before = np.concatenate([[0], np.cumsum(sizes)])
+        cuts = before[np.cumsum([0, *[len(own) for own, _ in plans]])].tolist()
+        return [ids[a:b] for a, b in zip(cuts, cuts[1:])]
 
     def encode(self, text: str | None, name: object = None) -> np.ndarray:
         """Ids of one text."""

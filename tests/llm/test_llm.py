@@ -364,6 +364,34 @@ def test_piece_dropout_draws_each_occurrence():
     assert len({p.merge_long("▁international", int(d)) for d in draws}) > 4
 
 
+def test_piece_dropout_rates_and_draws():
+    """One word under many ids is drawn as by brute force, at every rate; at rate 1 nothing is merged."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    text = "unbelievable ▁x é🎉 internationalisation_of_the_organisation_of_organisations"
+    for rate in (0.0, 0.5, 0.97, 1.0):
+        p = piece_dropout.Pieces(path, rate, "k")
+        got = p.encode_all([text] * 2000, list(range(2000)))
+        for i in range(0, 2000, 97):
+            assert got[i].tobytes() == b"".join(p.merge_long(w, int(d)) if w else p.bytes[list("▁".encode())].tobytes() for w, d in zip(*p._plan(text, i)))
+        assert all(p.decode(x) == text for x in got[::50])
+        assert len({x.tobytes() for x in got}) == (1 if rate in (0.0, 1.0) else 2000 if rate == 0.5 else len({x.tobytes() for x in got}))
+    assert all(len(p.sp.id_to_piece(i)) == 1 or p.sp.is_byte(i) for i in got[0].tolist())
+
+
+def test_piece_dropout_forgets(monkeypatch):
+    """Small tables and small runs change nothing."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    texts = [" ".join(f"word{k % 7} again{k % 5}" for k in range(300))] * 3
+    whole = [x.tolist() for x in piece_dropout.Pieces(path).encode_all(texts, [1, 2, 3])]
+    monkeypatch.setattr(piece_dropout, "REMEMBERED", 10)
+    monkeypatch.setattr(piece_dropout, "AT_HAND", 17)
+    assert [x.tolist() for x in piece_dropout.Pieces(path).encode_all(texts, [1, 2, 3])] == whole
+
+
 # The pipeline
 
 

@@ -13,8 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
-from .components import components
+from .common import spread_join, written
+from .components import components, with_least
 
 #: Different fingerprints in one bucket above which whole-fingerprint probes take over; shingles hashed at a time.
 HOT, BLOCK = 1024, 1 << 16
@@ -96,18 +96,16 @@ def near_duplicates(docs: DataFrame, width: int = 3, hot: int = HOT, carry: tupl
     any other; texts of fewer words than a shingle are one shingle. Rows with a null doc_id take part in links and get
     the smallest id of their component (null if it has none). Different texts under one id link only if their
     fingerprints do. Repeated rows: a row each. No rows: none. Other columns are not read unless carried. Copies are
-    aggregated to one entry per fingerprint before any link is sought.
+    aggregated to one entry per fingerprint before any link is sought, and dealt over tasks when they get their component.
     """
     fps = written(docs.select("doc_id", *carry, fingerprint(F.col("text"), width).alias("fp")))
     # Groups are known by numbers of their own: ids may be null, or have several fingerprints.
-    groups = written(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")).withColumn("node", F.monotonically_increasing_id()))
+    groups = written(fps.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).withColumn("node", F.monotonically_increasing_id()))
     found = components(links(groups.select("fp", F.col("node").alias("rep")), hot))
-    linked = written(found.join(groups.hint("merge"), "node").select("fp", "rep", "component"))
-    least = linked.groupBy("component").agg(F.min("rep").alias("component_id"))
-    joined = linked.join(least.hint("merge"), "component").select("fp", "component_id", "component")
+    joined = with_least(written(found.join(groups.select("node", "fp", "rep").hint("merge"), "node")), "rep").select("fp", "component_id", "component")
     alone = F.col("component").isNull()
     of = written(
-        groups.join(joined.hint("merge"), "fp", "left").select("fp", F.when(alone, F.col("rep")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("component", "node").alias("component"))
+        groups.join(joined.hint("merge"), "fp", "left").select("fp", "n", F.when(alone, F.col("rep")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("component", "node").alias("component"))
     )
-    told = fps.join(of.hint("merge"), "fp")
+    told = spread_join(fps, of, "fp", fps.count(), "doc_id", *carry)
     return told.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", *([*carry, "component"] if carry else []))

@@ -25,7 +25,12 @@ STEPS = 500
 #: Windows predicted at a time; languages at most.
 BLOCK, LANGUAGES = 256, 1000
 
-_letter = re.compile(r"[^\W\d_]")
+_maybe = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str) -> bool:
+    """Is there a letter? Numerals such as ½, ² or Ⅷ are none."""
+    return any(m[0].isalpha() for m in _maybe.finditer(text))
 
 
 @dataclass
@@ -73,6 +78,26 @@ def windows(data: bytes, length: int = LENGTH) -> np.ndarray:
     return out.reshape(n, length)
 
 
+def gradients(net: Net, x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> list[np.ndarray]:
+    """Gradients of the weighted cross-entropy by the embedding, each width's filters, the biases and the output layer."""
+    pre, places = net.pooled(x, net.tables(), where=True)
+    h = np.maximum(pre, 0)
+    z = h @ net.out + net.out_bias
+    p = np.exp(z - z.max(axis=1, keepdims=True))
+    p /= p.sum(axis=1, keepdims=True)
+    p[np.arange(len(y)), y] -= 1
+    p *= weight[:, None]
+    d = (p @ net.out.T) * (pre > 0)
+    grads = [np.zeros_like(net.embed), *[np.zeros_like(f) for f in net.filters], d.sum(axis=0), h.T @ p, p.sum(axis=0)]
+    for k, w in enumerate(WIDTHS):
+        dk = d[:, k * FILTERS : (k + 1) * FILTERS]
+        for j in range(w):
+            b = np.take_along_axis(x, places[k] + j, axis=1)  # the byte under each filter's maximum
+            grads[1 + k][j] = np.einsum("nfe,nf->ef", net.embed[b], dk)
+            np.add.at(grads[0], b.ravel(), (dk[:, :, None] * net.filters[k][j].T).reshape(-1, EMBED))
+    return grads
+
+
 def train(samples: list[tuple[str, bytes]], epochs: int = EPOCHS, seed: int = SEED) -> Net:
     """Fit a network to (language, text) samples by Adam on the cross-entropy; samples of a language weigh alike."""
     rng = np.random.default_rng(seed)
@@ -91,21 +116,7 @@ def train(samples: list[tuple[str, bytes]], epochs: int = EPOCHS, seed: int = SE
         for at in range(0, len(y), 128):
             pick = order[at : at + 128]
             bx, by, bw = x[pick], y[pick], weight[pick]
-            pre, places = net.pooled(bx, net.tables(), where=True)
-            h = np.maximum(pre, 0)
-            z = h @ net.out + net.out_bias
-            p = np.exp(z - z.max(axis=1, keepdims=True))
-            p /= p.sum(axis=1, keepdims=True)
-            p[np.arange(len(by)), by] -= 1
-            p *= (bw / bw.sum())[:, None]
-            d = (p @ net.out.T) * (pre > 0)
-            grads = [np.zeros_like(net.embed), *[np.zeros_like(f) for f in net.filters], d.sum(axis=0), h.T @ p, p.sum(axis=0)]
-            for k, w in enumerate(WIDTHS):
-                dk = d[:, k * FILTERS : (k + 1) * FILTERS]
-                for j in range(w):
-                    b = np.take_along_axis(bx, places[k] + j, axis=1)  # the byte under each filter's maximum
-                    grads[1 + k][j] = np.einsum("nfe,nf->ef", net.embed[b], dk)
-                    np.add.at(grads[0], b.ravel(), (dk[:, :, None] * net.filters[k][j].T).reshape(-1, EMBED))
+            grads = gradients(net, bx, by, bw / bw.sum())
             step += 1
             for q, g, a, c in zip(params, grads, m, v):
                 a += 0.1 * (g - a)
@@ -137,7 +148,7 @@ def predict(texts: list[str | None], net: Net) -> tuple[list[str], list[float]]:
         stack.clear()
 
     for i, t in enumerate(texts):
-        if t and _letter.search(t):
+        if t and has_letter(t):
             w = windows(t.encode())
             owners.append((i, len(w)))
             stack.append(w)
@@ -166,7 +177,7 @@ def sample(docs: DataFrame, per_lang: int = SAMPLE_DOCS, each: int = SAMPLE_WIND
     start = lambda k: F.pmod(F.xxhash64("text", F.lit(k)), F.greatest(F.length("text") - LENGTH, F.lit(1))) + 1
     rows = learn.where(drawn).select("lang", F.array_distinct(F.array(*[F.substring(F.col("text"), start(k).cast("int"), F.lit(LENGTH)) for k in range(each)])).alias("parts"))
     rows = rows.limit(2 * per_lang * len(counts)).collect()
-    found = [(r.lang, p.encode()[:LENGTH]) for r in rows for p in r.parts if _letter.search(p)]
+    found = [(r.lang, p.encode()[:LENGTH]) for r in rows for p in r.parts if has_letter(p)]
     return sorted(found)
 
 

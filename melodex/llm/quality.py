@@ -74,6 +74,23 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
+def risk(gp: np.ndarray, gu: np.ndarray, prior: float) -> tuple[float, float]:
+    """The two parts of the unbiased risk from the scores of positives and unlabelled: of good as bad, and of bad as good,
+    which can't be negative but whose estimate can."""
+    as_bad = lambda g: -np.log(1 - g + 1e-9)
+    return float(prior * np.mean(-np.log(gp + 1e-9))), float(np.mean(as_bad(gu)) - prior * np.mean(as_bad(gp)))
+
+
+def risk_gradient(gp: np.ndarray, gu: np.ndarray, prior: float | None) -> np.ndarray:
+    """Gradient of the risk by the log-odds of positives and unlabelled; without a prior, of the plain logistic losses."""
+    # Of the logistic losses by the log-odds: as good g - 1, as bad g.
+    if prior is None:
+        return np.concatenate([(gp - 1) / len(gp), gu / len(gu)])
+    if risk(gp, gu, prior)[1] >= 0:
+        return np.concatenate([prior * (gp - 1) / len(gp) - prior * gp / len(gp), gu / len(gu)])
+    return np.concatenate([prior * gp / len(gp), -gu / len(gu)])  # step back from the part that is negative
+
+
 def _fit(p: np.ndarray, u: np.ndarray, prior: float | None, epochs: int, seed: int) -> Net:
     """Minimise the non-negative risk for a prior; without one, the plain loss of positives against unlabelled."""
     rng = np.random.default_rng(seed)
@@ -92,16 +109,7 @@ def _fit(p: np.ndarray, u: np.ndarray, prior: float | None, epochs: int, seed: i
             h = np.tanh(x @ net.w + net.b)
             g = _sigmoid(h @ net.v + net.c[0])
             gp, gu = g[: len(bp)], g[len(bp) :]
-            # Gradients of the logistic losses by the log-odds: as good g - 1, as bad g.
-            if prior is None:
-                d = np.concatenate([(gp - 1) / len(bp), gu / len(bu)])
-            else:
-                bad = np.mean(-np.log(1 - gu + 1e-9)) - prior * np.mean(-np.log(1 - gp + 1e-9))
-                good = prior * (gp - 1) / len(bp)
-                if bad >= 0:
-                    d = np.concatenate([good - prior * gp / len(bp), gu / len(bu)])
-                else:  # the part that can't be negative is: step back from it
-                    d = np.concatenate([prior * gp / len(bp), -gu / len(bu)])
+            d = risk_gradient(gp, gu, prior)
             dh = np.outer(d, net.v) * (1 - h * h)
             grads = [x.T @ dh + 1e-4 * net.w, dh.sum(axis=0), h.T @ d, d.sum(keepdims=True)]
             step += 1

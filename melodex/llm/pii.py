@@ -1,11 +1,14 @@
 """PII surrogates: detected entities get keyed replacements of their own type, gender, script and format.
 
-Everything runs on DataFrame functions. A text is cut at its entities by one pattern; each entity is replaced by a pure
-function of the key, its type, itself and an attempt number, so mentions of one entity stay mentions of one (other)
-entity in every document, and no text is shuffled. Distinctness is checked on the table of different entities: where two
-of them would get the same surrogate, or a surrogate is itself an entity of the data, all but the first try again with
-the next attempt until none clash. Such second attempts are rare; they reach the documents as a map while they are
-few, and by a join beyond that.
+Everything runs on DataFrame functions. A text is cut at its entities by one pattern. An entity has one or two parts in
+a canonical form (a phone's digits with its country, an address's name and domain in lower case, a surname and a given
+name), so that mentions in different spellings share them: one number in several formats, an address in two cases, a
+person by full name and by surname. Each part is replaced by a pure function of the key, its type, itself and an attempt
+number, and written back in the format of the mention; so mentions of one entity stay mentions of one (other) entity in
+every document, and no text is shuffled. Distinctness is checked on the table of different parts: where two of them would
+get the same surrogate, or a surrogate is itself a part of the data, all but the first try again with the next attempt
+until none clash. Such second attempts are rare; they reach the documents as a map while they are few, and by a join
+beyond that.
 """
 
 from functools import reduce
@@ -23,35 +26,40 @@ MAPPED, ATTEMPTS = 2000, 40
 _NAME = r"\p{Lu}[\p{L}'’\-]{1,40}"
 _TITLES_F = "Mrs|Ms|Miss|Frau|Madame|Mme|Mlle|Señora|Sra|Doña|Signora|госпожа"
 _TITLES_M = "Mr|Herr|Herrn|Monsieur|Señor|Sr|Don|Signor|господин"
+_CUES = "Name:|name:|name is|Contact:|Dear"
 _APART = r"(?<![\p{L}\p{N}])"
 # A secret's value runs to its end, however long: full stops and = inside it belong to it, = also at its end.
 _VALUE = r"[A-Za-z0-9_\-+/~]"
 PATTERNS = {
     "ssn": r"(?<![\p{L}\p{N}\-])\d{3}-\d{2}-\d{4}(?![\d\-])",
-    "phone": rf"{_APART}\+\d{{1,3}}[ .\-]?(?:\(\d{{1,4}}\)[ .\-]?)?\d{{2,4}}(?:[ .\-]\d{{2,4}}){{1,4}}(?!\d)|{_APART}\(\d{{3}}\) ?\d{{3}}-\d{{4}}(?!\d)|(?<![\p{{L}}\p{{N}}\-])\d{{3}}[.\-]\d{{3}}[.\-]\d{{4}}(?![\d\-])|{_APART}\+\d{{8,15}}(?!\d)",
+    "phone": rf"{_APART}\+\d{{1,3}}[ .\-]?(?:\(\d{{1,4}}\)[ .\-]?)?\d{{2,4}}(?:[ .\-]\d{{2,8}}){{1,4}}(?!\d)|{_APART}\(\d{{3}}\) ?\d{{3}}-\d{{4}}(?!\d)|(?<![\p{{L}}\p{{N}}\-])\d{{3}}[.\-]\d{{3}}[.\-]\d{{4}}(?![\d\-])|{_APART}\+\d{{8,15}}(?!\d)",
     "ip": r"(?<![\p{L}\p{N}.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d)",
     "card": rf"{_APART}\d{{4}}(?:[ \-]?\d{{4}}){{2}}[ \-]?\d{{1,7}}(?!\d)",
     "access": rf"{_APART}(?:AKIA|ASIA)[A-Z0-9]{{16}}(?![A-Za-z0-9])",
     "iban": rf"{_APART}[A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]{{4}}){{3,7}}(?: ?[A-Z0-9]{{1,3}})?(?![\p{{L}}\p{{N}}])",
     "secret": rf"{_APART}(?:[Pp]assword|PASSWORD|[Pp]asswd|[Ss]ecret|[Tt]oken|TOKEN|[Aa]pi[_\-]?[Kk]ey|API_KEY)\s{{0,2}}[=:]\s{{0,2}}[\"']?{_VALUE}(?:{_VALUE}|[.=]++(?={_VALUE})){{5,}}+=*+",
-    "name": rf"{_APART}(?:{_TITLES_F}|{_TITLES_M})\.? {_NAME}(?: {_NAME})?",
+    "name": rf"{_APART}(?:(?:(?:{_CUES}) )?(?:{_TITLES_F}|{_TITLES_M})\.?|(?:{_CUES})) {_NAME}(?: {_NAME})?",
     "email": r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]{1,64}+@[\p{L}\p{N}\-]{1,63}+(?:\.[\p{L}\p{N}\-]{1,63}+){1,8}",
 }
 _of = lambda *names: "(?:" + "|".join(PATTERNS[n] for n in names) + ")"
 #: Entities of a text without an @; and with one. An address comes first, as it may hold any of the others.
-NO_AT = f"(?=[0-9+(]){_of('ssn', 'phone', 'ip', 'card')}|(?=[A-Z]){_of('access', 'iban')}|(?=[pPsStTaA]){_of('secret')}|(?=[DFHMSг]){_of('name')}"
+NO_AT = f"(?=[0-9+(]){_of('ssn', 'phone', 'ip', 'card')}|(?=[A-Z]){_of('access', 'iban')}|(?=[pPsStTaA]){_of('secret')}|(?=[CDFHMNSnг]){_of('name')}"
 ANY = f"{PATTERNS['email']}|{NO_AT}"
 # Syllables that names are made of, by script, and their endings by gender.
 _SYLLABLES = {
     "latin": "ba be bo da de do fa fe fi ga go ka ke ko la le lo ma me mi na ne no pa pe ra re ri ro sa se so ta te to va ve vi".split(),
     "cyrillic": "ба бе бо да де до га го ка ко ла ле ло ма ме ми на не но па пе ра ре ри ро са се со та те то ва ве ви".split(),
 }
+# How long the country codes of phone numbers are, by their first digits.
+_COUNTRY = r"^(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
+#: Names and domains up to this length are lengthened: they leave too few others.
+_SHORT = 8
 _ENDS = {("latin", "f"): ["lia", "na", "ra", "sa"], ("latin", "m"): ["ton", "rik", "mus", "do"], ("cyrillic", "f"): ["лия", "на", "ра", "са"], ("cyrillic", "m"): ["тон", "рик", "мир", "слав"]}
 
 
 def entity_type(e: Column) -> Column:
     """The type of an entity that the pattern has found."""
-    rules = [("email", e.contains("@")), ("secret", e.rlike("^[A-Za-z_-]+\\s*[=:]")), ("access", e.rlike(r"^(?:AKIA|ASIA)[A-Z0-9]{16}$")), ("iban", e.rlike(r"^[A-Z]{2}\d{2}"))]
+    rules = [("email", e.contains("@")), ("name", e.rlike(f"^(?:{_CUES}) ")), ("secret", e.rlike("^[A-Za-z_-]+\\s*[=:]")), ("access", e.rlike(r"^(?:AKIA|ASIA)[A-Z0-9]{16}$")), ("iban", e.rlike(r"^[A-Z]{2}\d{2}"))]
     rules += [(k, e.rlike(f"^(?:{PATTERNS[k]})$")) for k in ("ssn", "phone", "ip", "card")]
     return reduce(lambda out, r: F.when(r[1], r[0]).otherwise(out), reversed(rules), F.lit("name"))
 
@@ -89,74 +97,122 @@ def _luhn(digits: Column) -> Column:
     )
 
 
-def _name(e: Column, hexed: Column) -> Column:
-    """A name with the same title and as many words, of the same script and the title's gender."""
-    title = F.regexp_extract(e, r"^(\S+)", 1)
-    gender = F.when(F.regexp_replace(title, r"\.$", "").isin(_TITLES_F.split("|")), "f").otherwise("m")
-    script = F.when(F.regexp_extract(e, r" (.*)$", 1).rlike(r"\p{IsCyrillic}"), "cyrillic").otherwise("latin")
+def _words_of_name(e: Column) -> Column:
+    """The one or two words of a name after its title or cue."""
+    return F.regexp_extract(e, rf"^(?:(?:{_CUES}) )?(?:(?:{_TITLES_F}|{_TITLES_M})\.? )?(.*)$", 1)
 
-    def made(at: int, n: int, ending: bool) -> Column:
-        def of(s: str) -> Column:
-            syl = F.split(F.lit(" ".join(_SYLLABLES[s])), " ")
-            parts = [F.element_at(syl, _number(hexed, F.lit(at + k)) % len(_SYLLABLES[s]) + 1) for k in range(n)]
-            if ending:
-                parts.append(F.element_at(F.split(F.when(gender == "f", " ".join(_ENDS[s, "f"])).otherwise(" ".join(_ENDS[s, "m"])), " "), _number(hexed, F.lit(at + n)) % 4 + 1))
-            return F.initcap(F.concat(*parts))
 
-        return F.when(script == "cyrillic", of("cyrillic")).otherwise(of("latin"))
+def _gender(e: Column) -> Column:
+    """f or m by a name's title, else -."""
+    has = lambda titles: e.rlike(rf"^(?:(?:{_CUES}) )?(?:{titles})\.? ")
+    return F.when(has(_TITLES_F), "f").when(has(_TITLES_M), "m").otherwise("-")
 
-    two = F.size(F.split(e, " ")) > 2
-    return F.when(two, F.concat_ws(" ", title, made(0, 2, True), made(5, 4, False))).otherwise(F.concat_ws(" ", title, made(5, 4, True)))
 
+def parts_of(e: Column, kind: Column) -> Column:
+    """The parts of an entity as an array of structs of their type and canonical form."""
+    part = lambda k, c: F.struct((F.lit(k) if isinstance(k, str) else k).alias("k"), c.alias("c"))
+    digits = F.regexp_replace(e, "[^0-9]", "")
+    low, words, gender = F.lower(e), F.split(F.lower(_words_of_name(e)), " "), _gender(e)
+    surname = part(F.concat(F.lit("surname "), gender), F.element_at(words, -1))
+    canon = (
+        F.when(kind == "phone", F.when(e.startswith("+"), digits).otherwise(F.concat(F.lit("1"), digits)))  # those without + are North American
+        .when(kind.isin("card", "ssn"), digits)
+        .when(kind == "iban", F.regexp_replace(e, " ", ""))
+        .when(kind == "secret", F.regexp_replace(e, _SECRET_NAME, ""))
+        .otherwise(e)
+    )
+    return (
+        F.when(kind == "email", F.array(part("local", F.regexp_extract(low, "^([^@]*)", 1)), part("site", F.regexp_extract(low, "@(.*)$", 1))))
+        .when((kind == "name") & (F.size(words) > 1), F.array(surname, part(F.concat(F.lit("given "), gender), words[0])))
+        .when(kind == "name", F.array(surname))
+        .otherwise(F.array(part(kind, canon)))
+    )
 
-def surrogates(found: Column, attempt, key: str) -> Column:
-    """An array of entities as structs of entity, kind and made: a function of key, kind, entity and attempt alone.
 
-    ``attempt`` gives an entity's attempt. The steps are arrays of their own, so that each kind and digest, which every
-    character of a surrogate draws on, is made once.
-    """
-    kinds = F.transform(found, lambda e: F.struct(e.alias("e"), entity_type(e).alias("kind")))
-    site = lambda e: _digest(key, F.lit("site"), F.regexp_extract(e, "@(.*)$", 1), F.lit(0))
-    parts = F.transform(kinds, lambda x: F.struct(x.e.alias("e"), x.kind.alias("kind"), _digest(key, x.kind, x.e, attempt(x.e)).alias("h"), F.when(x.kind == "email", site(x.e)).alias("site"), _kept(x.e, x.kind).alias("kept")))
-    rest = lambda x: F.substring(x.e, F.length(x.kept) + 1, F.length(x.e))
-    cut = F.transform(parts, lambda x: F.struct(x.e.alias("e"), x.kind.alias("kind"), x.h.alias("h"), x.site.alias("site"), x.kept.alias("kept"), rest(x).alias("rest"), ((x.kind == "secret") & rest(x).rlike("^[0-9a-f]++$")).alias("hexy")))
-    spelt = F.transform(cut, lambda x: F.struct(x.e.alias("e"), x.kind.alias("kind"), x.h.alias("h"), x.site.alias("site"), x.kept.alias("kept"), _spelt(x.rest, x.h, x.hexy).alias("body")))
-    return F.transform(spelt, lambda x: F.struct(x.e.alias("entity"), x.kind.alias("kind"), _made(x).alias("made")))
+_SECRET_NAME = r"^[A-Za-z_\-]+\s*[=:]\s*[\"']?"
 
 
-def _kept(e: Column, kind: Column) -> Column:
-    """The beginning of an entity that its surrogate keeps: a secret's name, a country, a network."""
-    return (
-        F.when(kind == "secret", F.regexp_extract(e, r"^([A-Za-z_\-]+\s*[=:]\s*[\"']?)", 1))
-        .when(kind == "access", F.substring(e, 1, 4))
-        .when(kind == "phone", F.regexp_extract(e, r"^(\+\d{1,3}(?=[ .\-(])|)", 1))
-        .when(kind == "card", F.substring(e, 1, 1))
-        .when(kind == "iban", F.substring(e, 1, 2))
-        .otherwise("")
-    )
+def _kept(k: Column, c: Column) -> Column:
+    """The beginning of a part that its surrogate keeps: a country, a network."""
+    return F.when(k == "access", F.substring(c, 1, 4)).when(k == "phone", F.regexp_extract(c, _COUNTRY, 0)).when(k == "card", F.substring(c, 1, 1)).when(k == "iban", F.substring(c, 1, 2)).otherwise("")
+
+
+def _spelt_name(k: Column, c: Column, hexed: Column) -> Column:
+    """A lower-case name of the same script; its ending tells the gender where the title does."""
+
+    def of(script: str) -> Column:
+        syllables = F.split(F.lit(" ".join(_SYLLABLES[script])), " ")
+        at = lambda n, choices: F.element_at(choices, _number(hexed, F.lit(n)) % F.size(choices) + 1)
+        ending = lambda g: at(9, F.split(F.lit(" ".join(_ENDS[script, g])), " "))
+        end = F.when(k.endswith("f"), ending("f")).when(k.endswith("m"), ending("m")).otherwise(at(8, syllables))
+        return F.concat(*[at(n, syllables) for n in range(2)], F.when(k.startswith("surname"), F.concat(*[at(n, syllables) for n in range(2, 5)])).otherwise(""), end)
 
+    return F.when(c.rlike(r"\p{IsCyrillic}"), of("cyrillic")).otherwise(of("latin"))
 
-def _made(x: Column) -> Column:
-    """The replacement of an entity: its kept beginning and spelt body, made right for its kind."""
-    e, kind, h, plain = x.e, x.kind, x.h, F.concat(x.kept, x.body)
-    # A domain's surrogate follows from the domain alone, so that addresses there stay neighbours. Short names before
-    # the @ are lengthened: they leave too few others.
-    domain = F.regexp_extract(e, "@(.*)$", 1)
-    local = F.substring_index(x.body, "@", 1)
-    site = F.concat(_spelt(F.regexp_extract(domain, r"^(.*)\.", 1), x.site, F.lit(False)), F.regexp_extract(domain, r"(\.[^.]*)$", 1))
-    email = F.concat(local, F.when(F.length(local) < 8, F.concat(F.lit("."), F.substring(h, 100, 6))).otherwise(""), F.lit("@"), site)
-    octets = F.array_join(F.transform(F.split(e, r"\."), lambda o, i: (_number(h, i * 5) % 254 + 1).cast("string")), ".")
+
+def _finished(x: Column) -> Column:
+    """A part's surrogate, in canonical form, from its kept beginning and spelt rest."""
+    plain = F.concat(x.kept, x.body)
+    longer = lambda v, at: F.when(F.length(v) < _SHORT, F.concat(v, F.lit("."), F.substring(x.h, at, 8))).otherwise(v)
+    ending = F.regexp_extract(x.c, r"(\.[^.]*)$", 1)  # of a domain
+    site = F.concat(longer(F.substring(x.body, F.lit(1), F.length(x.body) - F.length(ending)), 60), ending)
+    octets = F.array_join(F.transform(F.split(x.c, r"\."), lambda o, i: (_number(x.h, i * 5) % 254 + 1).cast("string")), ".")
     # The last digit of a card makes the Luhn sum right where it was.
-    digits = lambda c: F.regexp_replace(c, "[^0-9]", "")
-    short = F.substring(plain, 1, F.length(plain) - 1)
-    card = F.when(_luhn(digits(e)) % 10 == 0, F.concat(short, F.pmod(F.lit(10) - _luhn(F.concat(digits(short), F.lit("0"))) % 10, F.lit(10)).cast("string"))).otherwise(plain)
-    return F.when(kind == "email", email).when(kind == "ip", octets).when(kind == "card", card).when(kind == "name", _name(e, h)).otherwise(plain)
+    short = F.substring(plain, F.lit(1), F.length(plain) - 1)
+    card = F.when(_luhn(x.c) % 10 == 0, F.concat(short, F.pmod(F.lit(10) - _luhn(F.concat(short, F.lit("0"))) % 10, F.lit(10)).cast("string"))).otherwise(plain)
+    name = x.k.startswith("surname") | x.k.startswith("given")
+    return F.when(x.k == "local", longer(x.body, 100)).when(x.k == "site", site).when(x.k == "ip", octets).when(x.k == "card", card).when(name, _spelt_name(x.k, x.c, x.h)).otherwise(plain)
+
+
+def part_surrogates(parts: Column, attempt, key: str) -> Column:
+    """An array of parts as structs of k, c and made: a function of key, type, part and attempt alone.
+
+    ``attempt`` gives a part's attempt. The steps are arrays of their own, so that each digest, which every character of a
+    surrogate draws on, is made once.
+    """
+    hashed = F.transform(parts, lambda x: F.struct(x.k.alias("k"), x.c.alias("c"), _digest(key, x.k, x.c, attempt(x)).alias("h"), _kept(x.k, x.c).alias("kept")))
+    rest = lambda x: F.substring(x.c, F.length(x.kept) + 1, F.length(x.c))
+    cut = F.transform(hashed, lambda x: F.struct(x.k.alias("k"), x.c.alias("c"), x.h.alias("h"), x.kept.alias("kept"), rest(x).alias("rest"), ((x.k == "secret") & rest(x).rlike("^[0-9a-f]++$")).alias("hexy")))
+    spelt = F.transform(cut, lambda x: F.struct(x.k.alias("k"), x.c.alias("c"), x.h.alias("h"), x.kept.alias("kept"), F.when(x.k.rlike("^(?:surname|given|ip)"), "").otherwise(_spelt(x.rest, x.h, x.hexy)).alias("body")))
+    return F.transform(spelt, lambda x: F.struct(x.k.alias("k"), x.c.alias("c"), _finished(x).alias("made")))
+
+
+def _cased(made: Column, like: Column) -> Column:
+    """Lower-case letters made upper-case where the mention has them so; all of them where all of a word's are."""
+    one = F.array_join(F.zip_with(F.split(made, ""), F.split(like, ""), lambda m, c: F.when(c.rlike(r"\p{Lu}"), F.upper(m)).otherwise(F.coalesce(m, F.lit("")))), "")
+    return F.when(like.rlike(r"\p{Lu}.*\p{Lu}") & ~like.rlike(r"\p{Ll}"), F.upper(made)).when(like.rlike(r"\p{Lu}"), one).otherwise(made)
+
+
+def _filled(like: Column, made: Column) -> Column:
+    """The letters and digits of a mention replaced by as many of a surrogate's last ones."""
+    plain = lambda v: F.length(F.regexp_replace(v, "[^A-Za-z0-9]", ""))
+    skip = F.length(made) - plain(like)
+    return F.array_join(F.transform(F.split(like, ""), lambda c, i: F.when(c.rlike("[A-Za-z0-9]"), F.substring(made, skip + plain(F.substring(like, F.lit(1), i)) + 1, F.lit(1))).otherwise(c)), "")
+
+
+def _written_back(e: Column, kind: Column, parts: Column) -> Column:
+    """The replacement of a mention in its own format, from the surrogates of its parts."""
+    made = lambda i: F.get(parts, F.lit(i)).made
+    email = F.concat(_cased(made(0), F.regexp_extract(e, "^([^@]*)", 1)), F.lit("@"), _cased(made(1), F.regexp_extract(e, "@(.*)$", 1)))
+    words = F.split(_words_of_name(e), " ")
+    before = F.substring(e, F.lit(1), F.length(e) - F.length(_words_of_name(e)))
+    surname = _cased(made(0), F.element_at(words, -1))
+    name = F.concat(before, F.when(F.size(words) > 1, F.concat(_cased(made(1), words[0]), F.lit(" "), surname)).otherwise(surname))
+    secret = F.concat(F.regexp_extract(e, f"({_SECRET_NAME})", 1), made(0))
+    return F.when(kind == "email", email).when(kind == "name", name).when(kind == "secret", secret).when(kind.isin("phone", "card", "ssn", "iban"), _filled(e, made(0))).otherwise(made(0))
+
+
+def surrogates(found: Column, attempt, key: str) -> Column:
+    """An array of entities as structs of entity, kind and made."""
+    kinds = F.transform(found, lambda e: F.struct(e.alias("e"), entity_type(e).alias("kind")))
+    parts = F.transform(kinds, lambda x: F.struct(x.e.alias("e"), x.kind.alias("kind"), part_surrogates(parts_of(x.e, x.kind), attempt, key).alias("parts")))
+    return F.transform(parts, lambda x: F.struct(x.e.alias("entity"), x.kind.alias("kind"), _written_back(x.e, x.kind, x.parts).alias("made")))
 
 
 def has_entity(text: Column) -> Column:
     """Is there an entity? First by what every kind of entity holds one of, which is quick to tell."""
     mark = reduce(lambda a, b: a | b, [text.contains(x) for x in ("@", "=", ":", "AKIA", "ASIA")], text.rlike("[0-9]"))
-    maybe = mark | text.rlike(f"(?=[DFHMSг]){PATTERNS['name']}")
+    maybe = mark | text.rlike(f"(?=[CDFHMNSnг]){PATTERNS['name']}")
     return maybe & F.when(text.contains("@"), text.rlike(ANY)).otherwise(text.rlike(NO_AT))
 
 
@@ -165,50 +221,63 @@ def entities(text: Column) -> Column:
     return F.when(text.contains("@"), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(F.regexp_extract_all(text, F.lit(NO_AT), F.lit(0)))
 
 
+def _named(k: Column, c: Column) -> Column:
+    return F.concat_ws("\0", k, c)
+
+
 def second_attempts(docs: DataFrame, key: str, attempts: int = ATTEMPTS) -> DataFrame:
-    """(entity, attempt) of the entities whose first surrogate clashes; the attempts given leave no two alike."""
-    found = written(docs.where(has_entity(F.col("text"))).select(F.explode(entities(F.col("text"))).alias("entity")).groupBy("entity").agg(F.count("*").alias("mentions")))
-    made = lambda attempt: surrogates(F.array("entity"), lambda e: attempt, key)[0].made
-    now = written(found.select("entity", F.lit(0).alias("attempt"), made(F.lit(0)).alias("surrogate")))
+    """(part, attempt) of the parts whose first surrogate clashes; the attempts given leave no two of a type alike."""
+    entity = F.col("entity")
+    found = docs.where(has_entity(F.col("text"))).select(F.explode(entities(F.col("text"))).alias("entity")).groupBy("entity").agg(F.count("*").alias("mentions"))
+    parts = written(found.select(F.explode(parts_of(entity, entity_type(entity))).alias("p")).select("p.k", "p.c").distinct())
+    made = lambda attempt: part_surrogates(F.array(F.struct("k", "c")), lambda x: attempt, key)[0].made
+    now = written(parts.select("k", "c", F.lit(0).alias("attempt"), made(F.lit(0)).alias("surrogate")))
     for _ in range(attempts):
-        shared = now.groupBy("surrogate").agg(F.min(F.struct("attempt", "entity")).alias("first"), F.count("*").alias("n"))
-        real = found.select(F.col("entity").alias("surrogate"), F.lit(True).alias("real"))
-        judged = shared.join(real.hint("merge"), "surrogate", "left").where("n > 1 or real").select("surrogate", F.when(F.col("real").isNull(), F.col("first.entity")).alias("first"))
-        again = written(now.join(judged.hint("merge"), "surrogate").where("first is null or entity <> first").select("entity", (F.col("attempt") + 1).alias("attempt")))
+        shared = now.groupBy("k", "surrogate").agg(F.min(F.struct("attempt", "c")).alias("first"), F.count("*").alias("n"))
+        real = parts.select("k", F.col("c").alias("surrogate"), F.lit(True).alias("real"))
+        judged = written(shared.join(real.hint("merge"), ["k", "surrogate"], "left").where("n > 1 or real").select("k", "surrogate", F.when(F.col("real").isNull(), F.col("first.c")).alias("first")))
+        again = written(now.join(judged.hint("merge"), ["k", "surrogate"]).where("first is null or c <> first").select("k", "c", (F.col("attempt") + 1).alias("attempt")))
         if not again.limit(1).count():
-            return now.where("attempt > 0").select("entity", "attempt")
-        now = written(now.join(again.select("entity").hint("merge"), "entity", "left_anti").unionByName(again.withColumn("surrogate", made(F.col("attempt")))))
+            return now.where("attempt > 0").select(_named(F.col("k"), F.col("c")).alias("part"), "attempt")
+        now = written(now.join(again.select("k", "c").hint("merge"), ["k", "c"], "left_anti").unionByName(again.withColumn("surrogate", made(F.col("attempt")))))
     raise RuntimeError("surrogates still clash: there are more entities of a format than surrogates")
 
 
 def _replaced(text: Column, made: Column) -> Column:
-    """The text with its entities replaced, in order."""
+    """The text with its entities replaced, in order; between them full names that it has with a title go as well."""
     parts = F.when(text.contains("@"), F.split(text, ANY, -1)).otherwise(F.split(text, NO_AT, -1))
+    full = F.filter(F.transform(F.filter(made, lambda x: x.kind == "name"), lambda x: F.struct(_words_of_name(x.entity).alias("was"), _words_of_name(x.made).alias("made"))), lambda x: x.was.contains(" "))
+    bare = lambda p: F.aggregate(full, p, lambda t, x: F.regexp_replace(t, F.concat(F.lit(_APART + r"\Q"), x.was, F.lit(r"\E(?![\p{L}\p{N}])")), x.made))
+    parts = F.when(F.size(full) > 0, F.transform(parts, bare)).otherwise(parts)
     return F.array_join(F.zip_with(parts, made, lambda a, b: F.concat(a, F.coalesce(b.made, F.lit("")))), "")
 
 
-def pseudonymise(docs: DataFrame, key: str = "melodex", mapped: int = MAPPED) -> DataFrame:
+def pseudonymise(docs: DataFrame, key: str, mapped: int = MAPPED) -> DataFrame:
     """All columns of the input with ``text`` replaced, and ``n_entities`` and ``entity_counts`` (map of type to count).
 
-    Null texts stay null, with no entities; texts without an entity stay as they are. Equal entities get equal
-    surrogates everywhere, different ones different surrogates. Repeated rows: a row each. No rows: none. An input
-    column named like a result is replaced by it.
+    Whoever has the key can rebuild the surrogates: keep it from those who get the texts. Null texts stay null, with no
+    entities; texts without an entity stay as they are. Equal entities get equal surrogates everywhere, in whatever
+    spelling, different ones different surrogates. Names are found by a title or a cue such as ``Dear``, and full names
+    that a text has with one also without it there; other bare names are not told from other words. Repeated rows: a row
+    each. No rows: none. An input column named like a result is replaced by it.
     """
     again = written(second_attempts(docs, key))
     n = again.count()
     own = [c for c in docs.columns if c not in ("n_entities", "entity_counts")]
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("doc"), "text", F.when(has_entity(F.col("text")), entities(F.col("text"))).alias("found"))
     if n == 0:
-        attempt = lambda e: F.lit(0)
+        attempt = lambda x: F.lit(0)
     elif n <= mapped:
-        tries = F.from_json(F.lit(again.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("entity", "attempt"))))).first()[0]), "map<string,int>")
-        attempt = lambda e: F.coalesce(tries[e], F.lit(0))
+        tries = F.from_json(F.lit(again.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("part", "attempt"))))).first()[0]), "map<string,int>")
+        attempt = lambda x: F.coalesce(tries[_named(x.k, x.c)], F.lit(0))
     else:
         rows = written(rows.withColumn("row", F.monotonically_increasing_id()))
-        mention = rows.where("found is not null").select("row", F.explode(F.array_distinct("found")).alias("entity"))
-        tried = mention.join(again.hint("merge"), "entity").groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("entity", "attempt"))).alias("tries"))
+        entity = F.col("entity")
+        mention = rows.where("found is not null").select("row", F.explode(F.array_distinct("found")).alias("entity")).select("row", F.explode(parts_of(entity, entity_type(entity))).alias("p"))
+        mention = mention.select("row", _named(F.col("p.k"), F.col("p.c")).alias("part")).distinct()
+        tried = written(mention.join(again.hint("merge"), "part").groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("part", "attempt"))).alias("tries")))
         rows = rows.join(tried.hint("merge"), "row", "left")
-        attempt = lambda e: F.coalesce(F.col("tries")[e], F.lit(0))
+        attempt = lambda x: F.coalesce(F.col("tries")[_named(x.k, x.c)], F.lit(0))
     rows = rows.withColumn("made", F.when(F.col("found").isNotNull(), surrogates(F.col("found"), attempt, key)))
     counts = F.map_from_entries(F.transform(F.array_distinct("made.kind"), lambda k: F.struct(k, F.size(F.filter("made", lambda x: x.kind == k)))))
     none = F.col("made").isNull()

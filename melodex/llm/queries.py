@@ -4,12 +4,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat_tree, decontamination, language_id, pii, piece_dropout, quality, simhash, token_counts, url_filters, vector_graph
-from .common import table
+from .common import secret_key, table
+from .sql import ORACLES
 
 
 def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    return url_filters.judge(pages, url_filters.labelled_pages(pages, table(spark, sf_dir, "labels")))
+    return url_filters.judge(pages, url_filters.labelled_pages(pages, table(spark, sf_dir, "labels"))).drop("confidence")
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,7 +20,7 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), secret_key(spark))
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,7 +36,7 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans")
 
 
 def op8_chat_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,7 +48,7 @@ def op8_chat_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_embedding_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vector_graph.near_duplicates(table(spark, sf_dir, "embeddings"))
+    return vector_graph.near_duplicates(table(spark, sf_dir, "embeddings")).drop("recall")
 
 
 def op10_piece_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,5 +62,4 @@ QUERIES = {
     for f in (op1_url_filters, op2_token_counts, op3_pii_surrogates, op4_language_id, op5_simhash_near_dedup, op6_quality_classifier, op7_decontamination, op8_chat_tree, op9_embedding_graph, op10_piece_dropout)
 }
 
-#: op1's method and the digests of the others are held against brute force in the tests; SQL can't express them.
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]

@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from melodex.llm import decontamination, language_id, pii, piece_dropout, simhash
-from melodex.llm.common import table, written
+from melodex.llm.common import secret_key, table, written
 
 #: Least score of a predicted language; documents below it, and those without a letter, are rejected.
 LEAST_SCORE = 0.3
@@ -40,7 +40,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def replace_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data and secrets are replaced by surrogates."""
-    return pii.pseudonymise(docs).select(*docs.columns)
+    return pii.pseudonymise(docs, secret_key(spark)).select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,13 +1,14 @@
 """Embedding near-duplicates over a robust-pruned flat graph.
 
-Equal vectors are counted once. The others go to the shards of their nearest centroids (learnt from a bounded sample),
-several each, so that shards overlap. In each shard a flat graph is built: of its nearest and of random others a node
-keeps those that no kept neighbour lies much closer to (robust pruning). The adjacency lists of all shards are united.
-Then every vector is searched for in its shards: a greedy search from the shard's medoid, and from the found nodes and
-its own a walk that expands over everything within a widened range. Cosines are verified in double precision; a pair that
-meets in several shards counts in the first of them. Recall is audited against brute force on a bounded sample of
-vectors, and the overlap grows until it is high enough. A shard too large for one task is cut into blocks, and each pair
-of blocks is a task; nothing is left out.
+Equal vectors are counted once. The others go to the shards of their nearest centroids (learnt from a bounded sample; from
+many vectors on, centroids below centroids), several each, so that shards overlap; the nearest is a vector's home. In each
+shard a flat graph is built: of its nearest and of random others a node keeps those that no kept neighbour lies much closer
+to (robust pruning). The adjacency lists of all shards are united. Then every vector is searched for in its home: a greedy
+search from the shard's medoid, and from the found nodes and its own a walk that expands over everything within a widened
+range. The walk goes by single precision; the cosines of what it finds are verified in double precision. A pair that both
+homes see counts in the first of them. Recall is audited against brute force on a bounded sample of vectors, over all their
+links and as the mean of the vectors, and the overlap grows until both are high enough. A shard too large for one task is
+cut into blocks, and each pair of blocks is a task; nothing is left out.
 """
 
 import numpy as np
@@ -16,15 +17,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
-from .components import components
-
-#: Least cosine of a link; how much wider the walk's range is; neighbours kept; candidates for them; beam of the search.
-LEAST, SLACK, DEGREE, NEAREST, RANDOM, BEAM = 0.9, 0.15, 24, 48, 16, 4
-#: Vectors of a shard that is aimed at, and of a task at most; centroids at most, and sampled vectors for each.
-SHARD, TASK, CENTROIDS, EACH = 1000, 4000, 16384, 8
+from .components import components, with_least
+
+#: Least cosine of a link; how much wider the walk's range is; neighbours that pruning keeps, and that a search sees at
+#: most (of both directions); candidates for them; beam of the search.
+LEAST, SLACK, DEGREE, SEEN, NEAREST, RANDOM, BEAM = 0.9, 0.15, 12, 24, 24, 8, 3
+#: Vectors of a shard that is aimed at, and of a task at most; centroids that are learnt and shared at once, and sampled
+#: vectors for each; vectors of a cell that get their centroids below it together.
+SHARD, TASK, CENTROIDS, EACH, TOGETHER = 400, 4000, 4096, 8, 50_000
 #: Shards of a vector at first and at most; audited vectors; recall asked for, and the least that is accepted.
 OVERLAP, MOST_OVERLAP, AUDITED, GOAL, ACCEPTED = 3, 12, 1024, 0.99, 0.9
-_ALPHA, _BLOCK, _SEED = 1.2, 256, 5
+_ALPHA, _BLOCK, _SEED, _ROUNDING = 2.0, 256, 5, 1e-4
 
 
 def unit(vectors: list) -> np.ndarray:
@@ -47,10 +50,12 @@ def learn_centroids(x: np.ndarray, k: int, rounds: int = 3) -> np.ndarray:
     return c
 
 
-def robust_prune(x: np.ndarray, rows: np.ndarray, cand: np.ndarray, degree: int = DEGREE) -> np.ndarray:
-    """Of each row's candidates (nearest first), keep the next nearest until all that is left lies near a kept one."""
-    far = 1 - np.einsum("nd,ncd->nc", x[rows], x[cand])
-    far[cand == rows[:, None]] = np.inf
+def robust_prune(near: np.ndarray, rows: np.ndarray, cand: np.ndarray, degree: int = DEGREE) -> np.ndarray:
+    """Of each row's candidates keep the next nearest until all that is left lies near a kept one.
+
+    ``near`` has the cosines of all nodes; -1 among the candidates stands for none, and among the kept ones too."""
+    far = 1 - near[rows[:, None], cand]
+    far[(cand == rows[:, None]) | (cand < 0)] = np.inf
     out = np.full((len(rows), degree), -1, dtype=np.int32)
     own = np.arange(len(rows))
     for k in range(min(degree, cand.shape[1])):
@@ -58,44 +63,62 @@ def robust_prune(x: np.ndarray, rows: np.ndarray, cand: np.ndarray, degree: int
         there = np.isfinite(far[own, pick])
         if not there.any():
             break
-        out[there, k] = cand[own, pick][there]
-        between = 1 - np.einsum("nd,ncd->nc", x[cand[own, pick]], x[cand])
-        far[(_ALPHA * between <= far) & there[:, None]] = np.inf
+        kept = cand[own, pick]
+        out[there, k] = kept[there]
+        far[(_ALPHA * (1 - near[kept[:, None], cand]) <= far) & there[:, None]] = np.inf
         far[own, pick] = np.inf
     return out
 
 
 def build(x: np.ndarray) -> np.ndarray:
-    """Adjacency (n, DEGREE), -1 where there is none, of one shard's graph."""
+    """Adjacency (n, DEGREE), -1 where there is none, of one task's graph; candidates come from one matrix product."""
     n = len(x)
     rng = np.random.default_rng(_SEED)
+    x = x.astype(np.float32)
+    near = x @ x.T
     parts = []
     for a in range(0, n, _BLOCK):
         rows = np.arange(a, min(n, a + _BLOCK))
-        near = x[rows] @ x.T
         k = min(NEAREST + 1, n)
-        cand = np.argpartition(-near, k - 1, axis=1)[:, :k]
-        cand = np.concatenate([cand, rng.integers(0, n, (len(rows), min(RANDOM, n)))], axis=1)
-        parts.append(robust_prune(x, rows, cand))
+        cand = np.argpartition(-near[rows], k - 1, axis=1)[:, :k]
+        parts.append(robust_prune(near, rows, np.concatenate([cand, rng.integers(0, n, (len(rows), min(RANDOM, n)))], axis=1)))
     return np.concatenate(parts)
 
 
+def both_ways(x: np.ndarray, owner: np.ndarray, other: np.ndarray, most: int = SEEN) -> np.ndarray:
+    """Adjacency (n, most) over edges in both directions; nodes with more neighbours keep the robust-pruned ones."""
+    n = len(x)
+    pair = np.unique(np.concatenate([owner * n + other, other * n + owner]))
+    owner, other = pair // n, pair % n
+    rank = np.arange(len(pair)) - np.searchsorted(owner, owner, side="left")
+    size = np.bincount(owner, minlength=n)
+    out = np.full((n, most), -1, dtype=np.int64)
+    few = size[owner] <= most
+    out[owner[few], rank[few]] = other[few]
+    for v in np.flatnonzero(size > most):
+        cand = other[np.searchsorted(owner, v) : np.searchsorted(owner, v, side="right")]
+        local = np.concatenate([[v], cand])
+        kept = robust_prune(x[local] @ x[local].T, np.array([0]), np.arange(1, len(local))[None, :], most)[0]
+        out[v, : (kept >= 0).sum()] = local[kept[kept >= 0]]
+    return out
+
+
 def search(x: np.ndarray, adj: np.ndarray, queries: np.ndarray, least: float = LEAST, slack: float = SLACK) -> tuple[np.ndarray, np.ndarray]:
     """All (query, node) pairs found with a cosine of ``least`` or more, without the query itself."""
     n = len(x)
-    mean = x.mean(axis=0)
-    medoid = int((x @ mean).argmax())
-    x1 = np.concatenate([x, np.zeros((1, x.shape[1]))])  # row n stands for no neighbour
+    low = np.concatenate([x, np.zeros((1, x.shape[1]))]).astype(np.float32)  # row n stands for no neighbour
+    medoid = int((x @ x.mean(axis=0)).argmax())
     adj1 = np.concatenate([np.where(adj < 0, n, adj), np.full((1, adj.shape[1]), n)])
-    found_q, found_n = [], []
+    found_q, found_n = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    wide = least - slack
     for a in range(0, len(queries), _BLOCK):
         q = queries[a : a + _BLOCK]
-        own, v = np.arange(len(q)), x[q]
+        own, v = np.arange(len(q)), low[q]
         seen = np.zeros((len(q), n + 1), dtype=bool)
         seen[:, n] = seen[:, medoid] = True
         beam = np.full((len(q), BEAM), medoid)
-        score = np.full((len(q), BEAM), -np.inf)
-        score[:, 0] = v @ x[medoid]
+        score = np.full((len(q), BEAM), -np.inf, dtype=np.float32)
+        score[:, 0] = v @ low[medoid]
         done = np.full((len(q), BEAM), True)
         done[:, 0] = False
         hits_q, hits_n, hits_s = [own], [np.full(len(q), medoid)], [score[:, 0].copy()]
@@ -107,36 +130,39 @@ def search(x: np.ndarray, adj: np.ndarray, queries: np.ndarray, least: float = L
             done[on, best[on]] = True
             next_ = adj1[beam[on, best[on]]]
             fresh = ~seen[on[:, None], next_]
-            s = np.where(fresh, np.einsum("nd,nrd->nr", v[on], x1[next_]), -np.inf)
+            s = np.where(fresh, (low[next_] @ v[on][:, :, None])[:, :, 0], -np.inf)
             seen[on[:, None], next_] = True
-            r, c = np.nonzero(s >= least - slack)
+            r, c = np.nonzero(s >= wide)
             hits_q.append(on[r]), hits_n.append(next_[r, c]), hits_s.append(s[r, c])
             all_n, all_s = np.concatenate([beam[on], next_], axis=1), np.concatenate([score[on], s], axis=1)
             all_d = np.concatenate([done[on], ~fresh], axis=1)
-            top = np.argsort(-all_s, axis=1, kind="stable")[:, :BEAM]
+            top = np.argpartition(-all_s, BEAM - 1, axis=1)[:, :BEAM]
             beam[on], score[on], done[on] = (np.take_along_axis(z, top, axis=1) for z in (all_n, all_s, all_d))
             done[score == -np.inf] = True
         hq, hn, hs = map(np.concatenate, (hits_q, hits_n, hits_s))
         mine = ~seen[own, q]
         seen[own, q] = True
-        fq, fn = np.concatenate([hq[hs >= least - slack], own[mine]]), np.concatenate([hn[hs >= least - slack], q[mine]])
-        got_q, got_n, got_s = [hq], [hn], [hs]
+        fq, fn = np.concatenate([hq[hs >= wide], own[mine]]), np.concatenate([hn[hs >= wide], q[mine]])
+        got_q, got_n = [hq[hs >= least - _ROUNDING]], [hn[hs >= least - _ROUNDING]]
+        mark = np.zeros(len(q) * (n + 1), dtype=bool)
         while len(fq):
             new = []
             for b in range(0, len(fq), 1 << 15):
-                cq, cn = np.repeat(fq[b : b + (1 << 15)], adj1.shape[1]), adj1[fn[b : b + (1 << 15)]].ravel()
-                fresh = ~seen[cq, cn]
-                key = np.unique(cq[fresh].astype(np.int64) * (n + 1) + cn[fresh])
+                key = (fq[b : b + (1 << 15), None] * (n + 1) + adj1[fn[b : b + (1 << 15)]]).ravel()
+                mark[key[~seen.ravel()[key]]] = True
+                key = np.flatnonzero(mark)
+                mark[key] = False
                 cq, cn = key // (n + 1), key % (n + 1)
                 seen[cq, cn] = True
-                s = np.einsum("nd,nd->n", v[cq], x[cn])
-                keep = s >= least - slack
-                new.append((cq[keep], cn[keep], s[keep]))
+                s = np.concatenate([np.zeros(0, np.float32), *[np.einsum("nd,nd->n", v[cq[c : c + (1 << 16)]], low[cn[c : c + (1 << 16)]]) for c in range(0, len(cq), 1 << 16)]])
+                new.append((cq[s >= wide], cn[s >= wide], s[s >= wide]))
             fq, fn, fs = (np.concatenate(z) for z in zip(*new))
-            got_q.append(fq), got_n.append(fn), got_s.append(fs)
-        gq, gn, gs = map(np.concatenate, (got_q, got_n, got_s))
-        ok = (gs >= least) & (gn != q[gq])
-        found_q.append(q[gq[ok]]), found_n.append(gn[ok])
+            got_q.append(fq[fs >= least - _ROUNDING]), got_n.append(fn[fs >= least - _ROUNDING])
+        gq, gn = q[np.concatenate(got_q)], np.concatenate(got_n)
+        for b in range(0, len(gq), 1 << 16):
+            i, j = gq[b : b + (1 << 16)], gn[b : b + (1 << 16)]
+            ok = (np.einsum("nd,nd->n", x[i], x[j]) >= least) & (i != j)
+            found_q.append(i[ok]), found_n.append(j[ok])
     return np.concatenate(found_q), np.concatenate(found_n)
 
 
@@ -157,7 +183,7 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return root
 
 
-_ITEM = "node long, copies long, vec binary, shards array<int>"
+_ITEM = "node long, copies long, vec binary, shards array<long>"
 
 
 def _matrix(rows: pd.DataFrame) -> np.ndarray:
@@ -179,47 +205,40 @@ def _found(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     node, copies, block = rows["node"].to_numpy(), rows["copies"].to_numpy(), rows["block"].to_numpy()
     x, n = _matrix(rows), len(rows)
     lists = [np.asarray(r) for r in rows["near"]]
-    flat = np.concatenate(lists) if lists else np.zeros(0, dtype=np.int64)
-    owner = np.repeat(np.arange(n), [len(r) for r in lists])
+    flat, owner = np.concatenate(lists), np.repeat(np.arange(n), [len(r) for r in lists])
     at = np.minimum(np.searchsorted(node, flat), n - 1)
-    here = node[at] == flat  # of the united lists, what lies in this shard
-    owner, at = np.concatenate([owner[here], at[here]]), np.concatenate([at[here], owner[here]])  # both ways
-    pair = np.unique(owner * n + at)
-    owner, at = pair // n, pair % n
-    rank = np.arange(len(pair)) - np.searchsorted(owner, owner, side="left")
-    adj = np.full((n, int(rank.max()) + 1 if len(rank) else 1), -1)
-    adj[owner, rank] = at
-    a, b = search(x, adj, np.arange(n))
+    here = node[at] == flat  # of the united lists, what lies in this task
+    own = np.stack([np.asarray(s) for s in rows["shards"]])
+    home = own[:, 0]
+    a, b = search(x, both_ways(x, owner[here], at[here]), np.flatnonzero(home == shard))
     if low != high:
         cross = block[a] != block[b]
         a, b = a[cross], b[cross]
-    own = np.stack([np.asarray(s) for s in rows["shards"]]) if n else np.zeros((0, 1), int)
-    first = np.ones(len(a), dtype=bool)  # is this the first shard that the two share?
-    for i in range(own.shape[1]):
-        earlier = own[a, i] < shard
-        shared = (own[b] == own[a, i][:, None]).any(axis=1)
-        first &= ~(earlier & shared)
-    pair = np.unique(np.concatenate([a[first] * n + b[first], b[first] * n + a[first]]))  # found from either side
-    links = np.bincount(pair // n, weights=copies[pair % n], minlength=n) if len(pair) else np.zeros(n)
+    counts = ~((home[b] < shard) & (own[a] == home[b][:, None]).any(axis=1))  # else b's home sees both, and comes first
+    pair = np.unique(np.concatenate([a[counts] * n + b[counts], b[counts] * n + a[counts]]))
+    links = np.bincount(pair // n, weights=copies[pair % n], minlength=n)
     return pd.DataFrame({"node": node, "links": links.astype(np.int64), "root": node[_roots(n, a, b)]})
 
 
+def _nearest(x: np.ndarray, c: np.ndarray, k: int) -> np.ndarray:
+    """The k nearest centroids of each row, the nearest first."""
+    near = x @ c.T
+    top = np.argpartition(-near, k - 1, axis=1)[:, :k]
+    return np.take_along_axis(top, np.argsort(-np.take_along_axis(near, top, axis=1), axis=1, kind="stable"), axis=1)
+
+
 def _assign(items: DataFrame, centroids, overlap: int) -> DataFrame:
-    """Items with the shards of their nearest centroids (of their own length), in order."""
+    """Items with the shards of their nearest centroids (of their own length), the nearest first."""
 
     def of(batches):
         for rows in batches:
-            out = []
-            for vec in rows["vec"]:
-                out.append(len(vec) // 8)
-            size = np.array(out)
+            size = rows["vec"].map(len).to_numpy() // 8
             shards: list = [None] * len(rows)
             for d in np.unique(size):
                 first, c = centroids.value[int(d)]
                 pick = np.flatnonzero(size == d)
-                near = _matrix(rows.iloc[pick]) @ c.T
                 k = min(overlap, len(c))
-                top = np.sort(np.argpartition(-near, k - 1, axis=1)[:, :k], axis=1) + first
+                top = _nearest(_matrix(rows.iloc[pick]), c, k) + first
                 for i, t in zip(pick.tolist(), np.pad(top, ((0, 0), (0, overlap - k)), mode="edge")):
                     shards[i] = t
             yield rows.assign(shards=shards)
@@ -227,30 +246,68 @@ def _assign(items: DataFrame, centroids, overlap: int) -> DataFrame:
     return items.mapInPandas(of, _ITEM)
 
 
-def _links(items: DataFrame, centroids, overlap: int) -> DataFrame:
+def _assign_below(cells: DataFrame, overlap: int, shard: int) -> DataFrame:
+    """Items that came with their nearest ``shards``, as cells that hold too many: cut further by centroids below them.
+
+    Each cell's centroids are learnt in a task from a bounded sample of it. A vector takes the nearest of those below all
+    its cells: its parts, dealt over tasks by cell, bring their best, and the best of all are its shards.
+    """
+    spread = cells.withColumn("cell", F.explode(F.array_distinct("shards")))
+    sizes = written(spread.groupBy("cell").agg(F.count("*").alias("n")))
+    spin = F.pmod(F.xxhash64("node", F.lit(_SEED)), F.lit(1 << 30)) / float(1 << 30)
+    want = F.greatest(F.lit(1), F.least(F.lit(CENTROIDS), F.expr(f"cast(n / {overlap * shard} as int)")))
+    sample = spread.join(F.broadcast(sizes), "cell").withColumn("k", want).where(spin * F.col("n") < 2 * EACH * F.col("k")).select("cell", "k", "vec")
+
+    def learnt(rows: pd.DataFrame) -> pd.DataFrame:
+        c = learn_centroids(_matrix(rows), int(rows["k"].iloc[0]))
+        return pd.DataFrame({"cell": [rows["cell"].iloc[0]], "c": [c.astype("<f8").tobytes()], "number": [len(c)]})
+
+    below = written(sample.groupBy("cell").applyInPandas(learnt, "cell long, c binary, number long"))
+    deals = F.greatest(F.lit(1), F.expr(f"cast(ceil(n / {TOGETHER}) as int)"))
+    dealt = spread.join(F.broadcast(sizes), "cell").withColumn("deal", F.pmod(F.xxhash64("node"), deals).cast("int")).select("node", "copies", "vec", "cell", "deal")
+    copies = below.join(F.broadcast(sizes), "cell").withColumn("deal", F.explode(F.sequence(F.lit(0), deals - 1))).select("cell", "deal", "c")
+
+    def of(rows: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+        if not len(rows) or not len(c):
+            return pd.DataFrame({"node": [], "near": [], "shard": []}).astype({"node": "int64", "near": "float64", "shard": "int64"})
+        x = _matrix(rows)
+        c_ = np.frombuffer(bytes(c["c"].iloc[0]), dtype="<f8").reshape(-1, x.shape[1])
+        k = min(overlap, len(c_))
+        top = _nearest(x, c_, k)
+        near = np.take_along_axis(x @ c_.T, top, axis=1)
+        return pd.DataFrame({"node": np.repeat(rows["node"].to_numpy(), k), "near": near.ravel(), "shard": (rows["cell"].to_numpy()[:, None] * CENTROIDS + top).ravel()})
+
+    best = dealt.groupBy("cell", "deal").cogroup(copies.groupBy("cell", "deal")).applyInPandas(of, "node long, near double, shard long")
+    ranked = best.groupBy("node").agg(F.slice(F.sort_array(F.collect_list(F.struct("near", "shard")), asc=False), 1, overlap).alias("s"))  # overlap squared at most
+    padded = F.transform(F.sequence(F.lit(0), F.lit(overlap - 1)), lambda i: F.coalesce(F.get("s.shard", i), F.element_at("s.shard", -1)))
+    return cells.drop("shards").join(written(ranked.select("node", padded.alias("shards"))).hint("merge"), "node")
+
+
+def _links(items: DataFrame, centroids, overlap: int, deep: bool, shard: int) -> DataFrame:
     """(node, links, root) summed over tasks: links weighted by copies, and component edges."""
-    placed = written(_assign(items, centroids, overlap).withColumn("shard", F.explode(F.array_distinct("shards"))))
-    sizes = {r.shard: r["count"] for r in placed.groupBy("shard").count().where(F.col("count") > TASK).collect()}  # at most one for each centroid
-    if sizes:
-        cut = F.create_map(*[F.lit(z) for k, n in sizes.items() for z in (k, -(-n // (TASK // 2)))])
-        blocks = F.coalesce(cut[F.col("shard")], F.lit(1))
-    else:
-        blocks = F.lit(1)
+    assigned = _assign(items, centroids, overlap)
+    if deep:
+        assigned = _assign_below(written(assigned), overlap, shard)
+    placed = written(assigned.withColumn("shard", F.explode(F.array_distinct("shards"))))
+    large = written(placed.groupBy("shard").count().where(F.col("count") > TASK).select("shard", F.expr(f"cast(ceil(count / {TASK // 2}) as int)").alias("blocks")))
+    few = large.count() <= 100_000
     tasks = (
-        placed.withColumn("blocks", blocks)
+        placed.join(F.broadcast(large) if few else large.hint("merge"), "shard", "left")
+        .withColumn("blocks", F.coalesce("blocks", F.lit(1)))
         .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("node", "copies", "vec", "shards", "shard", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
     )
     keys = ["shard", "low", "high"]
-    lists = tasks.groupBy(*keys).applyInPandas(_graph, "node long, near array<long>")
+    lists = tasks.select(*keys, "node", "vec").groupBy(*keys).applyInPandas(_graph, "node long, near array<long>")
     united = written(lists.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")))
     ready = tasks.join(united.hint("merge"), "node")
     return written(ready.groupBy(*keys).applyInPandas(_found, "node long, links long, root long"))
 
 
 def _recall(items: DataFrame, found: DataFrame) -> float:
-    """Share of the true links (by brute force over all items) of a bounded sample of vectors that were found."""
+    """Recall of a bounded sample of vectors against brute force over all items: the lesser of the share of their true
+    links that were found, and the mean share of the vectors that have links other than copies."""
     n = max(1, items.count())
     drawn = items.where(F.pmod(F.xxhash64("node", F.lit(_SEED)), F.lit(1 << 30)) < int(min(1, AUDITED / n) * (1 << 30)) + 1).limit(2 * AUDITED).select("node", "vec").toPandas()
     if not len(drawn):
@@ -269,8 +326,9 @@ def _recall(items: DataFrame, found: DataFrame) -> float:
 
     true = items.mapInPandas(count, "node long, true long").groupBy("node").agg(F.sum("true").alias("true"))
     got = found.groupBy("node").agg(F.sum("links").alias("links"))
-    both = true.join(got.hint("merge"), "node", "left").agg(F.sum("true"), F.sum(F.least("true", F.coalesce("links", F.lit(0))))).first()
-    return both[1] / both[0] if both[0] else 1.0
+    hit = F.least("true", F.coalesce("links", F.lit(0)))
+    both = true.where(F.col("true") > 0).join(got.hint("merge"), "node", "left").agg(F.sum("true"), F.sum(hit), F.avg(hit / F.col("true"))).first()
+    return min(both[1] / both[0], both[2]) if both[0] else 1.0
 
 
 def near_duplicates(embeddings: DataFrame, overlap: int = OVERLAP, shard: int = SHARD) -> DataFrame:
@@ -297,7 +355,7 @@ def near_duplicates(embeddings: DataFrame, overlap: int = OVERLAP, shard: int =
         raise ValueError("vectors of more than 1000 lengths")
     centroids, first = {}, 0
     for d, n in sorted(lengths.items()):
-        k = max(1, min(CENTROIDS, n // shard))
+        k = max(1, min(CENTROIDS, n // shard))  # beyond CENTROIDS shards each has centroids of its own below it
         drawn = items.where((F.octet_length("vec") == 8 * d) & (F.pmod(F.xxhash64("node"), F.lit(1 << 30)) <= int(min(1, 2 * EACH * k / n) * (1 << 30)))).select("vec").limit(2 * EACH * k)
         centroids[d] = (first, learn_centroids(_matrix(drawn.toPandas()), k))
         first += len(centroids[d][1])
@@ -305,7 +363,7 @@ def near_duplicates(embeddings: DataFrame, overlap: int = OVERLAP, shard: int =
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"), F.lit(1.0).alias("recall"))
     shared = spark.sparkContext.broadcast(centroids)
     while True:
-        found = _links(items, shared, overlap)
+        found = _links(items, shared, overlap, max(lengths.values()) > 2 * CENTROIDS * shard, shard)
         recall = _recall(items, found)
         if recall >= GOAL or overlap >= MOST_OVERLAP:
             break
@@ -313,9 +371,7 @@ def near_duplicates(embeddings: DataFrame, overlap: int = OVERLAP, shard: int =
     if recall < ACCEPTED:
         raise RuntimeError(f"recall is {recall:.3f}")
     nodes = components(found.select(F.col("node").alias("src"), F.col("root").alias("dst")))
-    linked = written(nodes.join(groups.select("node", "rep").hint("merge"), "node"))
-    least = linked.groupBy("component").agg(F.min("rep").alias("component_id"))
-    joined = linked.join(least.hint("merge"), "component").select("node", "component_id")
+    joined = with_least(written(nodes.join(groups.select("node", "rep").hint("merge"), "node")), "rep").select("node", "component_id")
     counted = found.groupBy("node").agg(F.sum("links").alias("links"))
     of = written(
         groups.join(counted.hint("merge"), "node", "left")

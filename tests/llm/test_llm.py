@@ -483,6 +483,37 @@ def test_vector_graph_in_blocks(spark, monkeypatch):
     assert vector_graph.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_vector_graph_of_deep_centroids(spark, monkeypatch):
+    """Centroids below centroids, groups dealt over tasks, repeated ids and clashing columns: links by brute force."""
+    monkeypatch.setattr(vector_graph, "CENTROIDS", 3)
+    monkeypatch.setattr(vector_graph, "TOGETHER", 100)
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(500, 16))
+    x = np.concatenate([base, base[:80] + 0.05 * rng.normal(size=(80, 16))])
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = u @ u.T >= 0.9
+    df = spark.createDataFrame([(i, r.tolist(), 5, "x") for i, r in enumerate(x)] + [(3, x[3].tolist(), 6, "y")], "vec_id long, embedding array<double>, node int, component_id string")
+    got = vector_graph.near_duplicates(df, shard=40).collect()
+    assert len(got) == len(x) + 1 and got[0].recall >= 0.99
+    links = near.sum(axis=1) - 1 + near[:, 3]
+    right = [r.n_links == links[r.vec_id] for r in got]
+    assert np.mean(right) >= 0.99 and all(r.n_links <= links[r.vec_id] for r in got)
+
+
+def test_search_by_brute_force():
+    """One graph: nearly all links are found, and none that isn't one."""
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(700, 24))
+    x = np.concatenate([base, np.repeat(base[:20], 12, axis=0) + 0.08 * rng.normal(size=(240, 24)), base[:1] + 0.05 * rng.normal(size=(300, 24))])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    adj = vector_graph.build(x)
+    owner, at = np.nonzero(adj >= 0)
+    a, b = vector_graph.search(x, vector_graph.both_ways(x, owner, adj[owner, at].astype(np.int64)), np.arange(len(x)))
+    want = {(i, j) for i, j in zip(*np.nonzero(x @ x.T >= 0.9)) if i != j}
+    got = set(zip(a.tolist(), b.tolist()))
+    assert len(got) == len(a) and got <= want and len(got) >= 0.99 * len(want)
+
+
 # op10
 
 

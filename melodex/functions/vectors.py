@@ -49,6 +49,12 @@ def spread_pitch_bins(chroma: Column) -> Column:
     return unit(F.flatten(F.transform(doubles(chroma), lambda x: F.array(x, F.lit(0.0), F.lit(0.0)))))
 
 
+def profile_chain(fine: Column, coarse: Column, templates: Column, n: int, temperature: float = 0.5) -> Column:
+    """Template probabilities of the first profile there is: 36 bins (folded to 12), else 12 bins, else zeros."""
+    of = lambda p: template_softmax(p, templates, temperature)
+    return F.when(F.size(fine) == 36, of(fold_pitch_bins(doubles(fine)))).when(F.size(coarse) == 12, of(doubles(coarse))).otherwise(F.array_repeat(F.lit(0.0), n))
+
+
 def one_hot(place: Column, size: int) -> Column:
     return F.when(place.isNotNull(), F.array(*[(place == i).cast("int") for i in range(size)]))
 

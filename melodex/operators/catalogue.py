@@ -59,6 +59,44 @@ def already_enriched(*columns: str) -> Column:
 
 
 def retry_failed(failed: DataFrame, catalogue: DataFrame) -> DataFrame:
-    """Failed titles with their catalogue rows, many to many; the failed list itself if no title is known."""
-    both = failed.select("title").join(catalogue, "title", "left")
-    return both
+    """Failed titles with their catalogue rows, many to many; unknown titles keep a row of nulls."""
+    return failed.select("title").join(catalogue, "title", "left")
+
+
+def resolve_labels(mentions: DataFrame, names: DataFrame, key: str) -> DataFrame:
+    """key, labels (joined by commas) and first, from ids (key, id, pos) and their names (id, name).
+
+    Of an id that repeats the first place counts; ids without a name go, and keys without a named id. A key's ids are few:
+    those that its record lists.
+    """
+    once = mentions.groupBy(key, "id").agg(F.min("pos").alias("pos"))
+    got = once.join(names, "id").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "name"))).alias("l"))
+    return got.select(key, F.array_join("l.name", ", ").alias("labels"), F.get("l.name", F.lit(0)).alias("first"))
+
+
+def best_record(candidates: DataFrame, key: str, place: str) -> DataFrame:
+    """key, best: the ``place`` of the accepted candidate with the highest score, the first of equals; null if none is."""
+    ok = F.when(F.col("accept"), F.struct("score", (-F.col(place)).alias("n")))
+    return candidates.groupBy(key).agg((-F.max(ok).n).alias("best"))
+
+
+def status_counts(records: DataFrame, failed: Column, matched: Column, enriched: Column, skipped: Column) -> DataFrame:
+    """status, n: failed, no_match (not failed, but unmatched), enriched, skipped or matched_empty; nulls are no."""
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    status = F.when(yes(failed), "failed").when(~yes(matched), "no_match").when(yes(enriched), "enriched").when(yes(skipped), "skipped").otherwise("matched_empty")
+    return records.groupBy(status.alias("status")).agg(F.count("*").alias("n"))
+
+
+def tag_distribution(tagged: DataFrame, tag: str) -> DataFrame:
+    """tag, n of the rows with a tag."""
+    return tagged.where(F.col(tag).isNotNull()).groupBy(tag).agg(F.count("*").alias("n"))
+
+
+def dedupe_keep_order(items: DataFrame, key: str, value: str, pos: str) -> DataFrame:
+    """key, value, first: each key's different values with their first place; null and empty values go."""
+    return items.where(F.coalesce(F.col(value), F.lit("")) != "").groupBy(key, value).agg(F.min(pos).alias("first"))
+
+
+def id_collisions(records: DataFrame, made: Column, source: Column) -> DataFrame:
+    """song_id, n of the ids that more than one different source maps to."""
+    return records.select(made.alias("song_id"), source.alias("source")).groupBy("song_id").agg(F.countDistinct("source").alias("n")).where("n > 1")

@@ -15,7 +15,7 @@ def gain(grade: Column, rank: Column) -> Column:
 
 def graded(results: DataFrame, judgments: DataFrame) -> DataFrame:
     """Results (query_id, rank, song_id) with their grade, 0 where unjudged; the last judgment of a song counts."""
-    return results.join(last_judgments(judgments), ["query_id", "song_id"], "left").withColumn("grade", F.coalesce("grade", F.lit(0)))
+    return results.join(last_judgments(judgments).hint("merge"), ["query_id", "song_id"], "left").withColumn("grade", F.coalesce("grade", F.lit(0)))
 
 
 def last_judgments(judgments: DataFrame) -> DataFrame:
@@ -27,17 +27,16 @@ def ndcg(results: DataFrame, judgments: DataFrame, k: int) -> DataFrame:
     """query_id, ndcg and precision at K for every query with a judgment; 0 when nothing relevant is judged."""
     first = graded(results, judgments).where(F.col("rank") <= k)
     got = first.groupBy("query_id").agg(F.sum(gain(F.col("grade"), F.col("rank"))).alias("dcg"), F.avg((F.col("grade") >= 1).cast("double")).alias("precision"))
-    best = Window.partitionBy("query_id").orderBy(F.desc("grade"), "song_id")
-    ideal = last_judgments(judgments).withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).groupBy("query_id").agg(F.sum(gain(F.col("grade"), F.col("r"))).alias("ideal"))
-    both = ideal.join(got, "query_id", "left")
+    ideal = ideal_dcg(last_judgments(judgments), k)
+    both = ideal.join(got.hint("merge"), "query_id", "left")
     return both.select("query_id", F.when(F.col("ideal") > 0, F.coalesce(F.col("dcg"), F.lit(0.0)) / F.col("ideal")).otherwise(0.0).alias("ndcg"), F.coalesce("precision", F.lit(0.0)).alias("precision"))
 
 
 def label_precision(results: DataFrame, labels: DataFrame) -> DataFrame:
     """query_id, category, score: the share of a query's results with its own label, 0 without results."""
     of = labels.select(F.col("song_id").alias("query_id"), F.col("category"))
-    found = results.join(labels.select("song_id", F.col("category").alias("found")), "song_id")
-    per = of.join(found, "query_id", "left").groupBy("query_id", "category").agg(F.coalesce(F.avg((F.col("found") == F.col("category")).cast("double")), F.lit(0.0)).alias("score"))
+    found = results.join(labels.select("song_id", F.col("category").alias("found")).hint("merge"), "song_id")
+    per = of.join(found.hint("merge"), "query_id", "left").groupBy("query_id", "category").agg(F.coalesce(F.avg((F.col("found") == F.col("category")).cast("double")), F.lit(0.0)).alias("score"))
     return per
 
 
@@ -51,3 +50,29 @@ def against_targets(scores: DataFrame, targets: DataFrame, other: float = OTHER_
     advice = F.when(F.col("category") == "ghazal", "raise the vocal weight").when(F.col("category") == "party", "raise the rhythmic weight").when(F.col("category") == "sufi", "raise the melodic weight").otherwise("inspect the cluster")
     both = scores.join(targets, "category", "left").withColumn("target", F.coalesce("target", F.lit(other)))
     return both.withColumn("verdict", F.when(F.col("score") >= F.col("target"), "PASS").otherwise("FAIL")).withColumn("advice", F.when(F.col("score") < F.col("target"), advice))
+
+
+def ideal_dcg(last: DataFrame, k: int) -> DataFrame:
+    """query_id, ideal: the DCG of each query's best K grades, from its last judgments."""
+    best = Window.partitionBy("query_id").orderBy(F.desc("grade"), "song_id")
+    return last.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).groupBy("query_id").agg(F.sum(gain(F.col("grade"), F.col("r"))).alias("ideal"))
+
+
+def weight_sweep(pool: DataFrame, judgments: DataFrame, weights: list[float], k: int) -> DataFrame:
+    """weight, query_id, ndcg over a grid of one signal's weight, from one pool (query_id, rank, song_id, score, signal).
+
+    Adjusted scores are rounded to four places; ties keep the pool's order. Judged queries without results: no rows.
+    """
+    each = pool.withColumn("weight", F.explode(F.array(*map(F.lit, weights))))
+    w = Window.partitionBy("weight", "query_id").orderBy(F.desc(F.round(F.col("score") + F.col("weight") * F.col("signal"), 4)), F.col("rank"))
+    first = each.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
+    last = last_judgments(judgments)
+    got = first.join(last.hint("merge"), ["query_id", "song_id"], "left").groupBy("weight", "query_id").agg(F.sum(gain(F.coalesce("grade", F.lit(0)), F.col("place"))).alias("dcg"))
+    return got.join(ideal_dcg(last, k).hint("merge"), "query_id").select("weight", "query_id", F.when(F.col("ideal") > 0, F.col("dcg") / F.col("ideal")).otherwise(0.0).alias("ndcg"))
+
+
+def ablation(swept: DataFrame, before: float, after: float, places: int = 6) -> DataFrame:
+    """query_id, before, after and moved: a query's nDCG at two weights of a sweep, and whether it changed."""
+    s = swept.withColumn("ndcg", F.round("ndcg", places))
+    b, a = (s.where(F.col("weight") == w).select("query_id", F.col("ndcg").alias(n)) for w, n in ((before, "before"), (after, "after")))
+    return b.join(a.hint("merge"), "query_id").withColumn("moved", F.col("before") != F.col("after"))

@@ -31,5 +31,5 @@ def rocchio(sessions: DataFrame, judged: DataFrame, alpha: float = ALPHA, beta:
     mean = lambda v: F.coalesce(F.avg(F.when(F.col("verdict") == v, F.col("value").cast("double"))), F.lit(0.0))
     moved = cells.groupBy("session_id", "pos").agg((beta * mean("approve") - gamma * mean("reject")).alias("by"))
     base = sessions.select("session_id", F.posexplode("vec").alias("pos", "value"))
-    both = base.join(moved, ["session_id", "pos"], "left").select("session_id", "pos", (alpha * F.col("value").cast("double") + F.coalesce("by", F.lit(0.0))).alias("value"))
+    both = base.join(moved.hint("merge"), ["session_id", "pos"], "left").select("session_id", "pos", (alpha * F.col("value").cast("double") + F.coalesce("by", F.lit(0.0))).alias("value"))
     return gathered(both, "session_id").withColumn("vec", unit(F.col("vec")))

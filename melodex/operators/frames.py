@@ -11,15 +11,17 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from melodex.functions.vectors import unit
+from melodex.functions.vectors import spread_pitch_bins, unit
+
 
 def in_order():
     """One song, by frame."""
     return Window.partitionBy("song_id").orderBy("i")
 
 
-# The band in which vibrato is looked for and the least frames for it; bins of a pitch profile.
-BAND, LEAST_FRAMES, BINS = (5.0, 15.0), 32, 36
+# The band in which vibrato is looked for and the least frames for it; bins of a pitch profile
+# and least voiced frames for it.
+BAND, LEAST_FRAMES, BINS, LEAST_VOICED = (5.0, 15.0), 32, 36, 10
 
 
 def forward_fill(v: Column) -> Column:
@@ -44,12 +46,25 @@ def glide_variance(frames: DataFrame) -> DataFrame:
     return frames.select("song_id").distinct().join(g, "song_id", "left").select("song_id", F.when((F.col("n") >= 10) & (F.col("m") >= 1e-6), F.col("s") / (F.col("m") * F.col("m"))).otherwise(0.0).alias("glide"))
 
 
-def pitch_histogram(frames: DataFrame) -> DataFrame:
-    """song_id, vec: counts of the voiced pitches in 36 bins (three a semitone), to length one."""
-    bin_ = F.pmod(F.floor(3 * (69 + 12 * F.log2(F.col("v") / 440.0))), F.lit(BINS)).cast("int")
-    counts = frames.where("voiced and v > 0").groupBy("song_id", bin_.alias("bin")).count()
-    by = counts.groupBy("song_id").agg(F.map_from_entries(F.collect_list(F.struct("bin", "count"))).alias("m"))
-    return by.select("song_id", unit(F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda b: F.coalesce(F.col("m")[b], F.lit(0)).cast("double"))).alias("vec"))
+def pitch_histogram(frames: DataFrame, chroma: DataFrame | None = None, least: int = LEAST_VOICED) -> DataFrame:
+    """song_id, vec: counts of the voiced pitches in 36 bins (three a semitone), to length one, for every song with frames.
+
+    Songs with fewer than ``least`` voiced frames of a pitch above zero take their 12-bin profile from ``chroma`` (song_id,
+    chroma), spread over 36 bins; zeros where it has none. Null pitches and flags count as unvoiced.
+    """
+    pitch = F.when(F.col("voiced") & (F.col("v") > 0), F.col("v"))
+    bin_ = F.pmod(F.floor(3 * (69 + 12 * F.log2(pitch / 440.0))), F.lit(BINS)).cast("int")
+    counts = frames.groupBy("song_id", bin_.alias("bin")).count()
+    pairs = F.filter(F.collect_list(F.struct("bin", "count")), lambda x: x.bin.isNotNull())  # 37 at most
+    by = counts.groupBy("song_id").agg(F.sum(F.when(F.col("bin").isNotNull(), F.col("count"))).alias("n"), F.map_from_entries(pairs).alias("m"))
+    own = unit(F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda b: F.coalesce(F.col("m")[b], F.lit(0)).cast("double")))
+    zeros = F.array_repeat(F.lit(0.0), BINS)
+    if chroma is None:
+        other = zeros
+    else:
+        by = by.join(chroma.select("song_id", "chroma"), "song_id", "left")
+        other = F.when(F.size("chroma") == 12, spread_pitch_bins(F.col("chroma"))).otherwise(zeros)
+    return by.select("song_id", F.when(F.col("n") >= least, own).otherwise(other).alias("vec"))
 
 
 def _band_power(rate: float):
@@ -78,10 +93,10 @@ def loudest_window(frames: DataFrame, length: int, step: int, skip: int) -> Data
     n = frames.groupBy("song_id").agg(F.count("*").alias("n"))
     last = F.col("n") - length
     k = F.expr(f"sequence(greatest(0L, ceil((i - {skip} - {length - 1}) / {step})), floor((i - {skip}) / {step}))")
-    some = frames.where(F.col("i") >= skip).join(n, "song_id").withColumn("k", F.explode(k)).withColumn("start", F.lit(skip) + F.col("k") * step).where(F.col("start") <= last)
+    some = frames.where(F.col("i") >= skip).join(n.hint("merge"), "song_id").withColumn("k", F.explode(k)).withColumn("start", F.lit(skip) + F.col("k") * step).where(F.col("start") <= last)
     power = some.groupBy("song_id", "start").agg(F.round(F.sqrt(F.avg(F.col("v") * F.col("v"))), 9).alias("rms"))
     best = power.groupBy("song_id").agg(F.max_by("start", F.struct("rms", -F.col("start"))).alias("start"))
-    return n.join(best, "song_id", "left").select("song_id", F.coalesce("start", F.lit(0)).cast("long").alias("start"))
+    return n.join(best.hint("merge"), "song_id", "left").select("song_id", F.coalesce("start", F.lit(0)).cast("long").alias("start"))
 
 
 def trim_edges(frames: DataFrame, skip: int, most: int, least: int) -> DataFrame:
@@ -91,6 +106,12 @@ def trim_edges(frames: DataFrame, skip: int, most: int, least: int) -> DataFrame
     return frames.withColumn("n", n).where(F.when(F.col("n") - 2 * skip >= least, inner).otherwise(F.lit(True))).drop("n")
 
 
-def windows(length: int, stride: Column, n: Column) -> Column:
-    """Starts of the windows of a sequence; one at zero when it is shorter."""
-    return F.sequence(F.lit(0), F.greatest(F.lit(0), n - length).cast("int"), stride.cast("int"))
+def energy_gate(frames: DataFrame, length: int, least: int, share: float, quantile: float = 0.75) -> DataFrame:
+    """song_id, start: windows of ``length`` frames (the last from ``least`` on, or the only one) whose mean is at least
+    ``share`` of the song's quantile; the loudest one where none is. Means compare by nine decimal places; the first of
+    equals. Songs without frames: no rows."""
+    q = frames.groupBy("song_id").agg(F.percentile("v", F.lit(quantile)).alias("p"))
+    w = frames.withColumn("start", F.col("i") - F.col("i") % length).groupBy("song_id", "start").agg(F.round(F.avg("v"), 9).alias("m"), F.count("*").alias("size"))
+    j = w.join(q.hint("merge"), "song_id").where((F.col("size") >= least) | (F.col("start") == 0))
+    best = Window.partitionBy("song_id").orderBy(F.desc("m"), "start")
+    return j.withColumn("r", F.row_number().over(best)).where((F.col("m") >= F.round(share * F.col("p"), 9)) | (F.col("r") == 1)).select("song_id", "start")

@@ -1,9 +1,10 @@
 """Fusion of feature groups into one vector, with weights that adapt to what is missing."""
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from melodex.functions.vectors import scaled, unit
+from melodex.operators.features import vector_or_zeros
 
 # The groups' base weights, and the audio weight of some categories.
 BASE = {"clap": 0.30, "nlp": 0.15, "vocal": 0.22, "melodic": 0.20, "rhythmic": 0.13}
@@ -38,3 +39,23 @@ def fusion_weights(lyrics_missing: Column, stem_failed: Column, clap_missing: Co
 def fuse(groups: dict[str, Column], weights: dict[str, Column]) -> Column:
     """Each group to length one, times its weight, one after another in the groups' order, to length one again."""
     return unit(F.concat(*[scaled(unit(v), weights[k]) for k, v in groups.items()]))
+
+
+def rebuild(songs: DataFrame, layout: dict[str, int], stored: str = "stored", category: str = "category", stem_failed: str = "stem_failed") -> DataFrame:
+    """``songs`` with ``fused`` built anew from their features, and the flags clap_missing and lyrics_missing.
+
+    ``layout`` gives the groups' lengths in order; every group but clap is a column of ``songs``. The clap group is
+    recovered from the stored fused vector, of which it is the first slice, to length one again; a stored vector that is
+    too short for that (it was compressed) can't give it back: zeros, and clap_missing. A text vector that is missing is
+    zeros, and lyrics_missing. Songs without a stored vector, or without any of the other groups, are left out, as there is
+    nothing to build from. Repeated rows: a row each.
+    """
+    others = [k for k in layout if k not in ("clap", "nlp")]
+    rows = songs.where(" and ".join(f"`{c}` is not null" for c in [stored, *others]))
+    n = layout["clap"]
+    clap_missing = F.size(stored) < n
+    clap = F.when(clap_missing, F.array_repeat(F.lit(0.0), n)).otherwise(unit(F.slice(stored, 1, n)))
+    nlp, no_lyrics = vector_or_zeros(F.col("nlp"), layout["nlp"])
+    told = rows.withColumn("clap", clap).withColumn("clap_missing", clap_missing).withColumn("lyrics_missing", no_lyrics).withColumn("nlp", nlp)
+    weights = fusion_weights(F.col("lyrics_missing"), F.coalesce(stem_failed, F.lit(False)), F.col("clap_missing"), F.col(category))
+    return told.withColumn("fused", fuse({k: F.col(k) for k in layout}, weights)).drop("clap")

@@ -5,6 +5,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from melodex.functions.text import grade_from_match
+from melodex.sources.scratch import stored
 
 # Weights of title and artist, and the least combined score and artist similarity.
 TITLE, ARTIST, ACCEPT, FLOOR = 0.7, 0.3, 0.72, 0.55
@@ -31,31 +32,65 @@ def sequence_ratio():
     return ratio
 
 
-def _lengths(c: Column, floor: float, blocks: bool) -> Column:
-    """Lengths that a text may have to be that similar: from the bound of either measure by lengths alone."""
-    n = F.length(c)
-    low, high = (n * floor / (2 - floor), n * (2 - floor) / floor) if blocks else (n * floor, n / floor)
-    return F.sequence(F.ceil(low - 1e-9).cast("int"), F.floor(high + 1e-9).cast("int"))
+# Letters from the rarest on.
+_LETTERS = "zqxjkvbpygfwmucldrhsnioate"
+
+
+def letters(c: Column) -> Column:
+    """The different (letter, how often it came before) pairs of a text, those that are likely to be rare first."""
+    chars = F.split(c, "")
+    counted = F.transform(chars, lambda x, i: F.struct((F.length(F.replace(F.substring(c, F.lit(1), i), x, F.lit(""))) - i).alias("before"), F.instr(F.lit(_LETTERS), x).alias("place"), x.alias("letter")))
+    return F.transform(F.array_sort(F.filter(counted, lambda x: x.letter != "")), lambda x: F.concat(x.letter, x.before.cast("string")))
+
+
+def _first_letters(all_: Column, n: Column, floor: float, blocks: bool) -> Column:
+    """Of two texts that are ``floor`` alike these share one: of n letters they share ``least`` of any text's, by either
+    measure, so that not all of the first n - least + 1 can be among the others. Empty texts share an empty one."""
+    least = F.ceil(n * floor / (2 - floor) - 1e-9) if blocks else F.ceil(n * floor - 1e-9)
+    return F.when(n == 0, F.array(F.lit(""))).otherwise(F.slice(all_, F.lit(1), (n - least + 1).cast("int")))
+
+
+def _may_be_alike(shared: Column, n: Column, m: Column, floor, blocks: bool) -> Column:
+    """Can texts of n and m letters that share so many be ``floor`` alike? An upper bound of either measure."""
+    return (n + m == 0) | ((2 * shared / (n + m) if blocks else shared / F.greatest(n, m)) >= floor - 1e-9)
 
 
 def fuzzy_match(external: DataFrame, catalogue: DataFrame, blocks: bool = True, accept: float = ACCEPT, floor: float = FLOOR) -> DataFrame:
     """title, artist (external), song_id, score: the best catalogue song of each different external pair, if any.
 
-    Distinct artists meet first, by the lengths that their similarity allows, and only artists alike enough bring their
-    titles together; both steps lose no match. Similarity is the matching-block ratio, or with ``blocks=False`` the edit
-    similarity. Of equal scores the smallest song_id wins. Inputs have normalised title and artist.
+    Distinct artists meet first, by letters that artists so alike must share, and only artists alike enough bring their
+    titles together; both steps lose no match. Similarity is the matching-block ratio, which is reckoned only where the
+    letters shared leave room for it, or with ``blocks=False`` the edit similarity, reckoned up to the distance that still
+    counts. Of equal scores the smallest song_id wins. Inputs have normalised title and artist; rows with a null in either
+    match nothing. No rows on a side: none. Titles of one pair of artists meet one by one: an artist's songs are few.
     """
+    ext = external.select(F.col("title").alias("x_title"), F.col("artist").alias("x_artist")).where("x_title is not null and x_artist is not null").distinct()
+    cat = catalogue.where("title is not null and artist is not null").groupBy("title", "artist").agg(F.min("song_id").alias("song_id"))
+
+    def keyed(artists: DataFrame, name: str) -> DataFrame:
+        told = artists.select(F.col(name)).distinct().withColumn(f"{name}_l", letters(F.col(name)))
+        return stored(told.select("*", F.explode(_first_letters(F.col(f"{name}_l"), F.length(name), floor, blocks)).alias("key")))
+
+    x, c = F.col("x_artist"), F.col("artist")
+    met = keyed(ext, "x_artist").join(keyed(cat, "artist").hint("merge"), "key")
+    bound = _may_be_alike(F.size(F.array_intersect("x_artist_l", "artist_l")), F.length(x), F.length(c), floor, blocks)
     ratio = sequence_ratio() if blocks else edit_similarity
-    ext = external.select(F.col("title").alias("x_title"), F.col("artist").alias("x_artist")).distinct()
-    cat = catalogue.groupBy("title", "artist").agg(F.min("song_id").alias("song_id"))
-    xa = ext.select("x_artist").distinct().withColumn("n", F.explode(_lengths(F.col("x_artist"), floor, blocks)))
-    ca = cat.select("artist").distinct().withColumn("n", F.length("artist"))
-    alike = xa.join(ca, "n").select("x_artist", "artist", ratio(F.col("x_artist"), F.col("artist")).alias("by_artist")).where(F.col("by_artist") >= floor)
-    least = (accept - ARTIST) / TITLE  # what the title must reach if the artist is the same
-    n, m = F.length("x_title"), F.length("title")
-    bound = (2 * F.least(n, m) / (n + m)) if blocks else F.least(n, m) / F.greatest(n, m)
-    pairs = ext.join(alike, "x_artist").join(cat, "artist").where((n + m > 0) & (bound >= least - 1e-9))
-    score = F.round(TITLE * ratio(F.col("x_title"), F.col("title")) + ARTIST * F.col("by_artist"), 9)
+    alike = stored(met.where(bound).select("x_artist", "artist").distinct().select("x_artist", "artist", ratio(x, c).alias("by_artist")).where(F.col("by_artist") >= floor))
+    xt, t = F.col("x_title"), F.col("title")
+    n, m = F.length(xt), F.length(t)
+    least = (accept - ARTIST * F.col("by_artist")) / TITLE  # what the titles must reach
+    ext, cat = (stored(d.withColumn("l", letters(F.col(name)))) if blocks else d for d, name in ((ext, "x_title"), (cat, "title")))
+    pairs = ext.join(alike.hint("merge"), "x_artist").join((cat.withColumnRenamed("l", "l2") if blocks else cat).hint("merge"), "artist")
+    pairs = pairs.where(_may_be_alike(F.least(n, m), n, m, least, blocks))
+    if blocks:
+        by_title = ratio(xt, t)
+        pairs = pairs.where(_may_be_alike(F.size(F.array_intersect("l", "l2")), n, m, least, blocks))
+    else:
+        most = F.greatest(n, m)
+        far = pairs.select("*", F.floor((1 - least) * most + 1e-9).cast("int").alias("far"))
+        pairs = far.select("*", F.expr("levenshtein(x_title, title, far)").alias("edits")).where("edits >= 0")
+        by_title = F.when(most == 0, 1.0).otherwise(1 - F.col("edits") / most)
+    score = F.round(TITLE * by_title + ARTIST * F.col("by_artist"), 9)
     best = pairs.select("x_title", "x_artist", "song_id", score.alias("score")).where(F.col("score") >= accept).groupBy("x_title", "x_artist").agg(F.max(F.struct("score", (-F.col("song_id")).alias("n"))).alias("b"))
     return best.select(F.col("x_title").alias("title"), F.col("x_artist").alias("artist"), (-F.col("b.n")).alias("song_id"), F.col("b.score").alias("score"))
 
@@ -78,5 +113,5 @@ def build_judgments(similar: DataFrame, catalogue: DataFrame, least: int, blocks
     A track that is matched to its own anchor goes, as does grade 0; anchors need ``least`` judgments.
     """
     m = fuzzy_match(similar, catalogue, blocks).select("title", "artist", "song_id")
-    j = similar.join(m, ["title", "artist"]).where("song_id <> anchor_id").withColumn("grade", grade_from_match(F.col("match"))).where("grade > 0")
+    j = similar.join(m.hint("merge"), ["title", "artist"]).where("song_id <> anchor_id").withColumn("grade", grade_from_match(F.col("match"))).where("grade > 0")
     return j.withColumn("n", F.count("*").over(Window.partitionBy("anchor_id"))).where(F.col("n") >= least).select("anchor_id", "song_id", "grade")

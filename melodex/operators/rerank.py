@@ -67,10 +67,6 @@ def rerank_score(a: dict[str, Column], c: dict[str, Column], weights: dict[str,
     return sum((F.lit(w) * SIGNALS[k](a, c) for k, w in given.items() if w), F.lit(0.0))
 
 
-def any_active(weights: dict[str, float]) -> bool:
-    return any(weights.values())
-
-
 def weights_from(pairs: list[str], defaults: dict[str, float] | None = None) -> dict[str, float]:
     """NAME=VALUE texts over the defaults, the last one winning; an unknown name is an error."""
     out = {k: 0.0 for k in SIGNALS} | DEFAULTS | (defaults or {})
@@ -80,3 +76,19 @@ def weights_from(pairs: list[str], defaults: dict[str, float] | None = None) ->
             raise ValueError(f"no such signal: {name}")
         out[name] = float(value)
     return out
+
+
+def weight_overrides(text: Column, defaults: dict[str, float] | None = None) -> Column:
+    """A map of all signals' weights: texts of NAME=VALUE pairs, parted by commas, over the defaults; the last one wins.
+
+    Null or empty texts give the defaults. An unknown name, or a pair without a number, is an error.
+    """
+    base = {k: 0.0 for k in SIGNALS} | DEFAULTS | (defaults or {})
+    pairs = F.filter(F.split(F.coalesce(text, F.lit("")), ","), lambda p: p != "")
+    name, value = lambda p: F.substring_index(p, "=", 1), lambda p: F.substring_index(p, "=", -1).try_cast("double")
+    known = F.array(*map(F.lit, SIGNALS))
+    bad = F.filter(pairs, lambda p: ~F.array_contains(known, name(p)) | ~p.contains("=") | value(p).isNull())
+    given = lambda k: F.transform(F.filter(pairs, lambda p: name(p) == k), value)
+    last = [F.coalesce(F.try_element_at(given(k), F.lit(-1)), F.lit(float(v))) for k, v in base.items()]
+    merged = F.map_from_arrays(F.array(*map(F.lit, base)), F.array(*last))
+    return F.when(F.size(bad) > 0, F.raise_error(F.concat(F.lit("no such weight: "), F.array_join(bad, ", ")))).otherwise(merged)

@@ -7,50 +7,83 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from melodex.sources.scratch import stored
+
 #: Rows of a packed block of queries and of catalogue vectors; places after the point by which scores rank.
 QUERY_BLOCK, BLOCK, PLACES = 512, 4096, 10
+#: Bytes of packed queries up to which they are broadcast.
+BROADCAST_BYTES = 64 << 20
 
 
-def _pack(rows: DataFrame, size: int) -> DataFrame:
-    """Rows (id, vec) as blocks (ids, matrix) of at most ``size``, within their partitions."""
+def _pack(rows: DataFrame, size: int, coded) -> DataFrame:
+    """Rows (id, vec, take) as blocks (ids, takes, matrix) of at most ``size``, within their partitions."""
 
     def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for at in range(0, len(b), size):
                 part = b.iloc[at : at + size]
                 x = np.stack([np.asarray(v, dtype="<f8") for v in part["vec"]])
-                yield pd.DataFrame({"ids": [part["id"].to_numpy()], "matrix": [x.tobytes()]})
+                yield pd.DataFrame({"ids": [part["id"].to_numpy()], "takes": [part["take"].to_numpy()], "matrix": [coded(x)]})
+
+    return rows.where("vec is not null").mapInPandas(packed, "ids array<long>, takes array<long>, matrix binary")
+
+
+def _met(q: DataFrame, c: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """Every block of queries with every block of the catalogue. The queries are broadcast behind a check of their bytes;
+    beyond it both sides are written, and their partitions meet."""
+    q = stored(q.select(F.col("ids").alias("q_ids"), F.col("takes").alias("q_takes"), F.col("matrix").alias("q")))
+    size = q.agg(F.sum(F.octet_length("q") + 16 * F.size("q_ids"))).first()[0] or 0
+    return c.crossJoin(F.broadcast(q)) if size <= most else stored(c).hint("shuffle_replicate_nl").crossJoin(q)
+
+
+def best_of(s: np.ndarray, takes: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places (row, column) of each row's ``takes`` largest finite scores, ties by smaller id."""
+    n, most = s.shape[1], int(takes.max(initial=0))
+    if most < n:  # all scores from the last one that may be taken on, ties included
+        row, col = np.nonzero((s >= np.partition(s, n - most, axis=1)[:, n - most][:, None]) & np.isfinite(s)) if most else (np.zeros(0, int), np.zeros(0, int))
+    else:
+        row, col = np.nonzero(np.isfinite(s))
+    order = np.lexsort((ids[col], -s[row, col], row))
+    row, col = row[order], col[order]
+    place = np.arange(len(row)) - np.searchsorted(row, row, side="left")
+    return row[place < takes[row]], col[place < takes[row]]
+
 
-    return rows.where("vec is not null").mapInPandas(packed, "ids array<long>, matrix binary")
+def product(qm: bytes, nq: int, m: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(qm, "<f8").reshape(nq, -1) @ np.frombuffer(m, "<f8").reshape(n, -1).T
 
 
-def topk(queries: DataFrame, catalogue: DataFrame, k: int, skip_self: bool = True, excluded: DataFrame | None = None) -> DataFrame:
+def topk(queries: DataFrame, catalogue: DataFrame, k: int, skip_self: bool = True, excluded: DataFrame | None = None, coded=(np.ndarray.tobytes, np.ndarray.tobytes), scores=product) -> DataFrame:
     """query_id, rank, song_id, score: the K largest inner products of each query, ties by smaller song_id.
 
     ``queries`` (query_id, vec) meet ``catalogue`` (song_id, vec) block by block; each pair of blocks hands on its own
-    best only. ``excluded`` holds (query_id, song_id) pairs that can't be results; the largest number of them for one
-    query is fetched on top.
+    best only. ``excluded`` holds different (query_id, song_id) pairs that can't be results; a query fetches as many more
+    as it has of them. Null vectors are no queries and no results; queries with fewer than K candidates get those there
+    are; an empty side gives no rows; repeated rows count each time. Vectors have one length. Other ways to code and
+    score blocks (``coded`` for queries and catalogue, ``scores``) give other searches; -inf scores are no results.
     """
-    more = (excluded.groupBy("query_id").count().agg(F.max("count")).first()[0] or 0) if excluded is not None else 0
-    take = k + more
-    q = _pack(queries.select(F.col("query_id").alias("id"), "vec"), QUERY_BLOCK).select(F.col("ids").alias("q_ids"), F.col("matrix").alias("q"))
-    c = _pack(catalogue.select(F.col("song_id").alias("id"), "vec"), BLOCK)
+    asked = queries.select(F.col("query_id").alias("id"), "vec")
+    if excluded is None:
+        asked = asked.withColumn("take", F.lit(k).cast("long"))
+    else:
+        more = excluded.groupBy(F.col("query_id").alias("id")).agg(F.count("*").alias("more"))
+        asked = asked.join(more.hint("merge"), "id", "left").select("id", "vec", (F.coalesce("more", F.lit(0)) + k).alias("take"))
+    q = _pack(asked, QUERY_BLOCK, coded[0])
+    c = _pack(catalogue.select(F.col("song_id").alias("id"), "vec", F.lit(0).cast("long").alias("take")), BLOCK, coded[1])
 
     def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for q_ids, qm, ids, m in zip(b["q_ids"], b["q"], b["ids"], b["matrix"]):
-                q_ids, ids = np.asarray(q_ids), np.asarray(ids)
-                s = np.round(np.frombuffer(qm, "<f8").reshape(len(q_ids), -1) @ np.frombuffer(m, "<f8").reshape(len(ids), -1).T, PLACES)
+            for q_ids, takes, qm, ids, m in zip(b["q_ids"], b["q_takes"], b["q"], b["ids"], b["matrix"]):
+                q_ids, takes, ids = np.asarray(q_ids), np.asarray(takes), np.asarray(ids)
+                s = np.round(scores(qm, len(q_ids), m, len(ids)), PLACES)
                 if skip_self:
                     s[q_ids[:, None] == ids] = -np.inf
-                order = np.lexsort((np.broadcast_to(ids, s.shape), -s), axis=1)[:, :take]
-                r, j = np.repeat(np.arange(len(q_ids)), order.shape[1]), order.ravel()
-                out = pd.DataFrame({"query_id": q_ids[r], "song_id": ids[j], "score": s[r, j]})
-                yield out[np.isfinite(out["score"])]
+                r, j = best_of(s, takes, ids)
+                yield pd.DataFrame({"query_id": q_ids[r], "song_id": ids[j], "score": s[r, j]})
 
-    found = q.crossJoin(c).mapInPandas(best, "query_id long, song_id long, score double")
+    found = _met(q, c).mapInPandas(best, "query_id long, song_id long, score double")
     if excluded is not None:
-        found = found.join(excluded, ["query_id", "song_id"], "left_anti")
+        found = found.join(excluded.hint("merge"), ["query_id", "song_id"], "left_anti")
     return ranked(found, k)
 
 

@@ -3,6 +3,8 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from melodex.sources.scratch import stored
+
 
 def cents_tokens(pitch: Column, tonic: Column, vocabulary: int = 209) -> Column:
     """Voiced pitches as twentieths of a semitone above the tonic, within the vocabulary; 0 for unvoiced."""
@@ -38,7 +40,7 @@ def group_split(files: DataFrame) -> DataFrame:
     w = Window.partitionBy("label").orderBy(draw(F.col("id")), "id")
     two = files.select("id", "label").withColumn("place", F.row_number().over(w)).where("place <= 2")
     many = files.groupBy("label").count().where("count >= 3").select("label")
-    picked = two.join(many, "label").select("id", "label", F.when(F.col("place") == 1, "test").otherwise("val").alias("split"))
+    picked = two.join(many.hint("merge"), "label").select("id", "label", F.when(F.col("place") == 1, "test").otherwise("val").alias("split"))
     return files.join(picked, ["id", "label"], "left").withColumn("split", F.coalesce("split", F.lit("train")))
 
 
@@ -85,15 +87,17 @@ def bigrams(rows: DataFrame) -> DataFrame:
 def markov_classifier(train: DataFrame, test: DataFrame, vocabulary: int) -> DataFrame:
     """id, pred, loglik: the label under which a test sequence is likeliest.
 
-    Transition counts of each label with one added to every transition, times the label's prior; ties: the lowest.
+    Transition counts of each label with one added to every transition, times the label's prior; ties: the lowest. Test
+    sequences of fewer than two tokens, or null ones, get the likeliest label by prior. No training rows: no rows.
     """
     seen = bigrams(train.select("label", "tokens"))
     moves = seen.groupBy("label", "prev", "next").count()
     outs = seen.groupBy("label", "prev").agg(F.count("*").alias("outs"))
-    priors = priors_weights(train.select("label")).select("label", F.log("prior").alias("base"))
+    priors = stored(priors_weights(train.select("label")).select("label", F.log("prior").alias("base")))  # a row a label
     asked = bigrams(test.select("id", "tokens")).groupBy("id", "prev", "next").agg(F.count("*").alias("times"))
-    each = asked.crossJoin(priors.select("label"))
-    p = each.join(moves, ["label", "prev", "next"], "left").join(outs, ["label", "prev"], "left")
+    each = asked.crossJoin(F.broadcast(priors.select("label")))
+    p = each.join(moves.hint("merge"), ["label", "prev", "next"], "left").join(outs.hint("merge"), ["label", "prev"], "left")
     score = p.groupBy("id", "label").agg(F.sum(F.col("times") * F.log((F.coalesce("count", F.lit(0)) + 1.0) / (F.coalesce("outs", F.lit(0)) + float(vocabulary)))).alias("ll"))
-    total = score.join(priors, "label").select("id", "label", F.round(F.col("ll") + F.col("base"), 6).alias("loglik"))
+    every = test.select("id").distinct().crossJoin(F.broadcast(priors)).join(score.hint("merge"), ["id", "label"], "left")
+    total = every.select("id", "label", F.round(F.coalesce("ll", F.lit(0.0)) + F.col("base"), 6).alias("loglik"))
     return total.groupBy("id").agg(F.max_by("label", F.struct("loglik", -F.col("label"))).alias("pred"), F.max("loglik").alias("loglik"))

@@ -1,11 +1,11 @@
 """Catalogue queries: sources, sinks, upserts, scalar functions, joins and summaries."""
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from melodex.functions import text as T
 from melodex.operators import catalogue as C
-from melodex.operators import statistics
+from melodex.operators import features, rerank, statistics
 from melodex.sources import files
 from melodex.sources.scratch import scratch
 
@@ -76,10 +76,10 @@ def _flat(spark, d) -> DataFrame:
     return table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("anchor_id"), F.col("l_partkey").alias("song_id")).agg(F.max(F.col("l_linenumber") % 3).alias("grade"))
 
 
-@query(f"WITH {FLAT} SELECT anchor_id, (row_number() OVER (PARTITION BY anchor_id ORDER BY song_id))::INT-1 AS pos, song_id, grade FROM flat")
+@query(f"WITH {FLAT} SELECT 'grades by line number' AS readme, anchor_id, (row_number() OVER (PARTITION BY anchor_id ORDER BY song_id))::INT-1 AS pos, song_id, grade FROM flat")
 def scan_judgments(spark, d):
     path = scratch(spark)
-    files.nest_judgments(_flat(spark, d)).select(F.array(F.struct("anchor_id", F.lit("").alias("note"), "judgments")).alias("anchors")).write.json(path)
+    files.nest_judgments(_flat(spark, d)).select(F.lit("grades by line number").alias("_readme"), F.array(F.struct("anchor_id", F.lit("").alias("note"), "judgments")).alias("anchors")).write.json(path)
     return files.flatten_judgments(spark.read.schema(files.JUDGMENTS).json(path))
 
 
@@ -93,11 +93,7 @@ def sink_judgments_json(spark, d):
 
 @query("SELECT page_id, split_part(url,'/',-3) AS grp, split_part(url,'/',-2) AS label, dense_rank() OVER (ORDER BY split_part(url,'/',-2))-1 AS label_id FROM pages")
 def scan_labelled_paths(spark, d):
-    parts = F.split("url", "/")
-    p = table(spark, d, "pages").select("page_id", F.get(parts, F.size(parts) - 3).alias("grp"), F.get(parts, F.size(parts) - 2).alias("label"))
-    # Labels are numbered among themselves, not by one window over all rows.
-    names = p.select("label").distinct().withColumn("label_id", (F.dense_rank().over(Window.orderBy("label")) - 1).cast("long"))
-    return p.join(names, "label")
+    return files.labelled_paths(table(spark, d, "pages").select("page_id", "url"), "url").select("page_id", "grp", "label", "label_id")
 
 
 @query("SELECT event_id, value, event_type='click' AS clicked FROM events")
@@ -170,13 +166,15 @@ def required_fields(spark, d):
     return C.required_fields(raw(spark, d), "title", "artist").select("p_partkey", "error")
 
 
-@query("SELECT doc_id, regexp_replace(regexp_replace(CASE WHEN doc_id%3=0 THEN substr(b,instr(b,chr(10))+1) ELSE b END,'^\\s+|\\s+$','','g'),'\\n{3,}',chr(10)||chr(10),'g') AS lyrics FROM (SELECT doc_id, CASE WHEN doc_id%3=0 THEN 'Song Lyrics'||chr(10) ELSE '' END || replace(left(text,400),'. ',chr(10)||chr(10)||chr(10)||chr(10)) AS b FROM documents WHERE left(text,400) NOT ILIKE '%lyrics%' AND NOT regexp_matches(left(text,400),'[0-9]$'))")
+LYRICS = "b AS (SELECT doc_id, CASE WHEN doc_id%3=0 THEN 'Song Lyrics'||chr(10) ELSE '' END || replace(text,'. ',repeat(chr(10),4)) || CASE WHEN doc_id%2=0 THEN '543Embed' ELSE '' END AS t FROM documents), e AS (SELECT doc_id, regexp_replace(regexp_replace(t,'^\\s+|\\s+$','','g'),'\\d+Embed$','') AS t FROM b), l AS (SELECT doc_id, regexp_replace(regexp_replace(t,'(?i)\\A[^\\n]*lyrics(?:\\n|\\z)',''),'^\\s+|\\s+$','','g') AS t FROM e)"
+
+
+@query(f"WITH {LYRICS} SELECT doc_id, regexp_replace(regexp_replace(t,'\\n{{3,}}',chr(10)||chr(10),'g'),'^\\s+|\\s+$','','g') AS lyrics FROM l")
 def clean_lyrics(spark, d):
-    """Documents as lyrics, with a title line and a trailing mark added to some."""
-    t = F.substring("text", 1, 400)
-    docs = table(spark, d, "documents").where(~F.lower(t).contains("lyrics") & ~t.rlike("[0-9]$"))
+    """Whole documents as lyrics, with a title line and a trailing mark added to some."""
+    t = F.col("text")
     body = F.concat(F.when(F.col("doc_id") % 3 == 0, "Song Lyrics\n").otherwise(""), F.replace(t, F.lit(". "), F.lit("\n\n\n\n")), F.when(F.col("doc_id") % 2 == 0, "543Embed").otherwise(""))
-    return docs.select("doc_id", T.clean_lyrics(body).alias("lyrics"))
+    return table(spark, d, "documents").select("doc_id", T.clean_lyrics(body).alias("lyrics"))
 
 
 @query("SELECT conv_id, turn, (trim(CASE WHEN conv_id%4=0 THEN '  ' ELSE coalesce(text,'') END)='')::INT AS missing FROM conversations")
@@ -197,7 +195,7 @@ def mood_tag(spark, d):
 
 @query(f"WITH {MOOD} SELECT mood, count(*) AS n FROM m WHERE mood IS NOT NULL GROUP BY mood")
 def mood_distribution(spark, d):
-    return mood_tag(spark, d).where("mood is not null").groupBy("mood").agg(F.count("*").alias("n"))
+    return C.tag_distribution(mood_tag(spark, d), "mood")
 
 
 @query("SELECT p_partkey, trim(regexp_replace(lower(p_name||'! '||p_brand),'[^\\p{L}\\p{N}\\s]','','g')) AS name FROM part")
@@ -235,9 +233,7 @@ def record_score(spark, d):
 
 @query(f"WITH {SCORE}, b AS (SELECT p_brand, p_partkey FROM scored WHERE accept QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY score DESC, p_partkey)=1) SELECT p_brand, b.p_partkey AS best FROM (SELECT DISTINCT p_brand FROM part) LEFT JOIN b USING (p_brand)")
 def best_record(spark, d):
-    s = _scored(spark, d)
-    best = s.where("accept").groupBy("p_brand").agg(F.max_by("p_partkey", F.struct("score", -F.col("p_partkey"))).alias("best"))
-    return s.select("p_brand").distinct().join(best, "p_brand", "left")
+    return C.best_record(_scored(spark, d), "p_brand", "p_partkey")
 
 
 @query("SELECT c_custkey, c_nationkey%3<>0 OR c_custkey%2=0 AS enriched FROM customer")
@@ -267,10 +263,8 @@ def complete_artifacts(spark, d):
 @query("WITH q AS (SELECT DISTINCT o_custkey, o_orderkey%40 AS qid, min(o_orderkey) OVER (PARTITION BY o_custkey, o_orderkey%40) AS pos FROM orders) SELECT o_custkey, string_agg(n_name, ', ' ORDER BY pos) AS labels, arg_min(n_name,pos) AS first FROM q JOIN nation ON n_nationkey=qid GROUP BY o_custkey")
 def resolve_labels(spark, d):
     """Ids (an order's number) to names: repeats removed, order kept, unnamed ones dropped."""
-    q = table(spark, d, "orders").groupBy("o_custkey", (F.col("o_orderkey") % 40).alias("qid")).agg(F.min("o_orderkey").alias("pos"))
-    n = table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("qid"), "n_name")
-    got = q.join(n, "qid").groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("pos", "n_name"))).alias("l"))
-    return got.select("o_custkey", F.array_join("l.n_name", ", ").alias("labels"), F.get("l.n_name", F.lit(0)).alias("first"))
+    q = table(spark, d, "orders").select("o_custkey", (F.col("o_orderkey") % 40).alias("id"), F.col("o_orderkey").alias("pos"))
+    return C.resolve_labels(q, table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_name").alias("name")), "o_custkey")
 
 
 @query(f"WITH {SONG} SELECT count(*) AS total, sum(coalesce(CASE WHEN id%3=0 THEN processed END,0))::BIGINT AS flagged, sum((id%5=0)::INT)::BIGINT AS fifth FROM song")
@@ -288,8 +282,8 @@ def distinct_categories(spark, d):
 def status_counts(spark, d):
     c = table(spark, d, "customer").select((F.col("c_custkey") - 100).alias("o_custkey"), "c_acctbal")
     s = table(spark, d, "orders").select("o_orderkey", "o_custkey").join(c, "o_custkey", "left")
-    status = F.when(F.col("o_orderkey") % 11 == 0, "failed").when(F.col("c_acctbal").isNull(), "no_match").when(F.col("c_acctbal") > 5000, "enriched").when(F.col("c_acctbal") > 0, "skipped").otherwise("matched_empty")
-    return s.groupBy(status.alias("status")).agg(F.count("*").alias("n"))
+    balance = F.col("c_acctbal")
+    return C.status_counts(s, F.col("o_orderkey") % 11 == 0, balance.isNotNull(), balance > 5000, balance > 0)
 
 
 @query("SELECT min(value) AS low, (SELECT value FROM (SELECT value, row_number() OVER (ORDER BY value)-1 AS r, count(*) OVER () AS n FROM events) WHERE r=n//2) AS median, max(value) AS high, count(*) AS n FROM events")
@@ -308,21 +302,29 @@ def row_slice(spark, d):
 @query("SELECT o_custkey, o_orderpriority, min(o_orderkey) AS first FROM orders WHERE o_orderpriority<>'' GROUP BY ALL")
 def dedupe_keep_order(spark, d):
     """Of each customer's priorities the first mention stays."""
-    o = table(spark, d, "orders").where("o_orderpriority <> ''")
-    return o.groupBy("o_custkey", "o_orderpriority").agg(F.min("o_orderkey").alias("first"))
+    return C.dedupe_keep_order(table(spark, d, "orders"), "o_custkey", "o_orderpriority", "o_orderkey")
 
 
 @query("SELECT song_id, count(DISTINCT key) AS n FROM (SELECT lower(regexp_replace(p_name,'[^\\p{L}\\p{N}_]','_','g')) AS song_id, p_name||'|'||p_brand AS key FROM part) GROUP BY song_id HAVING count(DISTINCT key)>1")
 def id_collisions(spark, d):
-    p = table(spark, d, "part").select(F.lower(F.regexp_replace("p_name", r"[^\p{L}\p{N}_]", "_")).alias("song_id"), F.concat_ws("|", "p_name", "p_brand").alias("key"))
-    return p.groupBy("song_id").agg(F.countDistinct("key").alias("n")).where("n > 1")
+    return C.id_collisions(table(spark, d, "part"), F.lower(F.regexp_replace("p_name", r"[^\p{L}\p{N}_]", "_")), F.concat_ws("|", "p_name", "p_brand"))
+
 
+BUCKET = "CASE WHEN tempo<80 THEN '1000' WHEN tempo<100 THEN '0100' WHEN tempo<120 THEN '0010' ELSE '0001' END"
+DEFAULTED = f"dr AS (SELECT vec_id, coalesce(p_size*3+60, 100)::DOUBLE AS tempo, coalesce(p_retailprice/2000, 0.5) AS energy, CASE WHEN p_partkey%3=0 THEN '0010' END AS kept, CASE WHEN p_partkey IS NULL THEN 0 ELSE p_size END AS pcp, vec_id%5=0 AS missing, embedding FROM embeddings LEFT JOIN part ON p_partkey=vec_id)"
 
-@query("SELECT vec_id, coalesce(p_size*3+60, 100)::DOUBLE AS tempo, coalesce(p_retailprice/2000, 0.5) AS energy, (p_partkey IS NULL)::INT AS missing FROM embeddings LEFT JOIN part ON p_partkey=vec_id")
+
+@query(f"WITH {DEFAULTED} SELECT vec_id, tempo, energy, coalesce(kept, {BUCKET}) AS bucket, pcp::DOUBLE*3 AS pcp, missing, CASE WHEN missing THEN 0.0 ELSE round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)),4) END::DOUBLE AS total, len(embedding)::INT AS n FROM dr")
 def feature_defaults(spark, d):
-    p = table(spark, d, "part").select(F.col("p_partkey").alias("vec_id"), (F.col("p_size") * 3 + 60).cast("double").alias("tempo"), (F.col("p_retailprice") / 2000).alias("energy"), F.lit(0).alias("missing"))
-    j = table(spark, d, "embeddings").select("vec_id").join(p, "vec_id", "left")
-    return j.select("vec_id", F.coalesce("tempo", F.lit(100.0)).alias("tempo"), F.coalesce("energy", F.lit(0.5)).alias("energy"), F.coalesce("missing", F.lit(1)).alias("missing"))
+    """Scalars, arrays, buckets of a wrong length, and vectors that are missing (every fifth), with what stands for them."""
+    k = F.col("p_partkey")
+    bucket = F.when(k % 3 == 0, F.array(*map(F.lit, (0, 0, 1, 0)))).when(k % 3 == 1, F.array(F.lit(1), F.lit(0)))
+    p = table(spark, d, "part").select(k.alias("vec_id"), (F.col("p_size") * 3 + 60).cast("double").alias("tempo"), (F.col("p_retailprice") / 2000).alias("energy"), bucket.alias("tempo_bucket"), F.array_repeat(F.col("p_size").cast("double"), 3).alias("pcp"))
+    e = table(spark, d, "embeddings").select("vec_id", F.size("embedding").alias("n"), F.when(F.col("vec_id") % 5 != 0, F.col("embedding")).alias("vec"))
+    j = features.with_defaults(e.join(p, "vec_id", "left"), {"pcp": 3})
+    vec, missing = features.vector_or_zeros(F.col("vec"), 64)
+    total = lambda v: F.aggregate(v, F.lit(0.0), lambda a, x: a + x)
+    return j.select("vec_id", "tempo", "energy", F.array_join(F.col("tempo_bucket").cast("array<string>"), "").alias("bucket"), total("pcp").alias("pcp"), missing.alias("missing"), F.round(total(vec), 4).alias("total"), F.size(vec).alias("n"))
 
 
 @query("SELECT label, count(*) AS n, greatest(2, least(256, count(*)//3, 64))::BIGINT AS components, count(*)<200 AS skipped FROM embeddings GROUP BY label")
@@ -331,14 +333,11 @@ def adaptive_components(spark, d):
     return g.withColumn("components", F.expr("greatest(2L, least(256L, n div 3, 64L))")).withColumn("skipped", F.col("n") < 200)
 
 
-@query("SELECT user_id, 0.15::DOUBLE AS artist, max(value)/1000 AS tempo FROM events GROUP BY user_id")
+@query("SELECT user_id, CASE WHEN user_id%3=0 THEN 0.15 WHEN user_id%3=1 THEN 0.3 ELSE 0.15 END::DOUBLE AS artist, CASE WHEN user_id%3=2 THEN 0.0 ELSE max(value)/1000 END::DOUBLE AS tempo, CASE WHEN user_id%3=1 THEN 0.25 ELSE 0.0 END::DOUBLE AS mood, 0.0::DOUBLE AS lyric FROM events GROUP BY user_id")
 def weight_overrides(spark, d):
-    """A text of NAME=VALUE pairs for each user, over the defaults; the last one wins."""
-    from melodex.operators.rerank import DEFAULTS
-
-    base = F.create_map(*[F.lit(x) for k, v in (DEFAULTS | {"tempo": 0.0}).items() for x in (k, v)])
-    g = table(spark, d, "events").groupBy("user_id").agg((F.max("value") / 1000).alias("t"))
-    text = F.concat(F.lit("tempo=9,tempo="), F.col("t").cast("string"))
-    given = F.map_from_entries(F.transform(F.array(F.element_at(F.split(text, ","), -1)), lambda p: F.struct(F.split(p, "=")[0], F.split(p, "=")[1].cast("double"))))
-    both = F.map_from_entries(F.transform(F.map_keys(base), lambda k: F.struct(k, F.coalesce(given[k], base[k]))))
-    return g.select("user_id", both["artist"].alias("artist"), both["tempo"].alias("tempo"))
+    """Texts of NAME=VALUE pairs for each user, some of none: several names, some twice, merged over the defaults."""
+    g = table(spark, d, "events").groupBy("user_id").agg((F.max("value") / 1000).cast("string").alias("t"))
+    u = F.col("user_id") % 3
+    text = F.when(u == 0, F.concat(F.lit("tempo=9,tempo="), "t")).when(u == 1, F.concat(F.lit("artist=0.9,tempo="), "t", F.lit(",mood=0.25,artist=0.3")))
+    w = g.select("user_id", rerank.weight_overrides(text).alias("w"))
+    return w.select("user_id", *[F.col("w")[k].alias(k) for k in ("artist", "tempo", "mood", "lyric")])

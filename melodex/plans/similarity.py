@@ -1,6 +1,6 @@
 """Similarity, fusion, feedback, rerank and evaluation queries over embeddings, part and events."""
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from melodex.functions import vectors as V
@@ -39,7 +39,8 @@ def knn_theta_join(spark, d):
     """Every tenth vector against all others, as a plain join on unequal ids."""
     v = vecs(spark, d)
     q = v.where("song_id % 10 = 0").select(F.col("song_id").alias("query_id"), F.col("vec").alias("q"))
-    pairs = v.join(q.hint("broadcast"), F.col("song_id") != F.col("query_id")) if q.count() <= 100_000 else v.crossJoin(q).where("song_id <> query_id")
+    size = (q.agg(F.sum(F.size("q"))).first()[0] or 0) * 8
+    pairs = (v.crossJoin(F.broadcast(q)) if size <= search.BROADCAST_BYTES else v.crossJoin(q.hint("shuffle_replicate_nl"))).where("song_id <> query_id")
     return pairs.select("query_id", V.dot(F.col("q"), F.col("vec")).alias("score")).groupBy("query_id").agg(F.count("*").alias("n"), F.round(F.sum("score"), 3).alias("total"), F.round(F.max("score"), 6).alias("best"))
 
 
@@ -53,7 +54,7 @@ def topk_reranked(spark, d):
 def _contexts(spark, d, pool: DataFrame) -> tuple[DataFrame, dict, dict]:
     """A pool with its anchors' and candidates' features, and those as columns by signal."""
     s = songs(spark, d).select("song_id", F.struct("artist", "composer", "tempo", F.col("energy").alias("vocal_energy"), F.slice("vec", 1, 6).alias("tonnetz"), F.col("vec").alias("lyric"), "category").alias("f"))
-    both = pool.join(s.select(F.col("song_id").alias("query_id"), F.col("f").alias("a")), "query_id").join(s.select("song_id", F.col("f").alias("c")), "song_id")
+    both = pool.join(s.select(F.col("song_id").alias("query_id"), F.col("f").alias("a")).hint("merge"), "query_id").join(s.select("song_id", F.col("f").alias("c")).hint("merge"), "song_id")
     names = ("artist", "composer", "tempo", "vocal_energy", "tonnetz", "lyric")
     return both, {n: F.col(f"a.{n}") for n in names}, {n: F.col(f"c.{n}") for n in names}
 
@@ -83,11 +84,12 @@ def similar_by_name(spark, d):
     return search.topk(as_queries(seed), v, 10).select("rank", "song_id", F.round("score", 4).alias("score"))
 
 
-@query(RANKED + " SELECT r.query_id, r.rank, r.song_id FROM ranked r JOIN songs q ON q.song_id=r.query_id JOIN songs c ON c.song_id=r.song_id WHERE r.rank<=5 AND q.category=3")
+@query(RANKED + " SELECT r.query_id, q.category, r.rank, r.song_id FROM ranked r JOIN songs q ON q.song_id=r.query_id WHERE r.rank<=5")
 def batch_similar(spark, d):
+    """All songs as queries in one job, with their own categories."""
     v = table(spark, d, "embeddings")
-    q = v.where("label = 3").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vec"))
-    return search.topk(q, vecs(spark, d), 5).select("query_id", "rank", "song_id")
+    own = v.select(F.col("vec_id").alias("query_id"), F.col("label").alias("category"))
+    return _results(spark, d, 5).join(own.hint("merge"), "query_id").select("query_id", "category", "rank", "song_id")
 
 
 @query(PAIRS + """, kept AS (SELECT p.*, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, p.song_id) AS rank FROM pairs p JOIN songs c USING (song_id) WHERE c.category=2 AND c.tempo>=120 AND lower(c.artist)<>'brand#11') SELECT query_id, rank, song_id, round(score,4) AS score FROM kept WHERE rank<=5 AND query_id%50=0""")
@@ -109,7 +111,7 @@ def exclude_ids(spark, d):
 def attach_metadata(spark, d):
     s = songs(spark, d).where("artist is not null").select("song_id", "artist", "category")
     v = vecs(spark, d)
-    return search.topk(as_queries(v), v, 5).join(s, "song_id").select("query_id", "rank", "song_id", "artist", "category", F.round("score", 4).alias("score"))
+    return search.topk(as_queries(v), v, 5).join(s.hint("merge"), "song_id").select("query_id", "rank", "song_id", "artist", "category", F.round("score", 4).alias("score"))
 
 
 SIGNAL_SQL = RANKED + """, j AS (SELECT r.query_id, r.song_id, a.artist aa, c.artist ca, a.composer ac, c.composer cc, a.energy ae, c.energy ce, a.tempo ta, c.tempo tc, list_slice(a.vec,1,6) ax, list_slice(c.vec,1,6) cx, a.vec av, c.vec cv FROM ranked r JOIN songs a ON r.query_id=a.song_id JOIN songs c ON r.song_id=c.song_id WHERE rank<=5) SELECT query_id, song_id, """
@@ -161,7 +163,7 @@ def match_card(spark, d):
 
     v = vecs(spark, d)
     s = songs(spark, d).select("song_id", tempo_label(tempo_bucket(F.col("tempo"))).alias("tempo_label"), F.round("energy", 6).alias("energy"))
-    return search.topk(as_queries(v), v, 5).join(s, "song_id").select("query_id", "rank", "song_id", "tempo_label", "energy")
+    return search.topk(as_queries(v), v, 5).join(s.hint("merge"), "song_id").select("query_id", "rank", "song_id", "tempo_label", "energy")
 
 
 # Vector algebra.
@@ -240,7 +242,7 @@ def _fusion(spark, d) -> DataFrame:
     names = ["ghazal", "sufi", "sad_romantic", "party", "upbeat"]
     cat = F.coalesce(F.get(F.array(*map(F.lit, names)), F.col("label")), F.lit("other"))
     w = fusion.fusion_weights(F.col("vec_id") % 3 == 0, F.col("vec_id") % 5 == 0, F.col("vec_id") % 7 == 0, cat)
-    return e.select("vec_id", "embedding", *[c.alias(k) for k, c in w.items()])
+    return e.select("vec_id", "embedding", cat.alias("cat"), *[c.alias(k) for k, c in w.items()])
 
 
 @query(f"WITH {WEIGHTS} SELECT vec_id, round(clap,6)::DOUBLE AS clap, round(nlp,6)::DOUBLE AS nlp, round(vocal,6)::DOUBLE AS vocal, round(melodic,6)::DOUBLE AS melodic, round(rhythmic,6)::DOUBLE AS rhythmic FROM w")
@@ -259,13 +261,22 @@ def fuse_vector(spark, d):
     return f.select("vec_id", F.posexplode("f").alias("pos", "value")).select("vec_id", (F.col("pos") + 1).cast("long").alias("pos"), F.round("value", 6).alias("value"))
 
 
-@query(f"WITH {FUSED} SELECT vec_id, i AS pos, CASE WHEN vec_id%7=0 THEN 0.0 ELSE round(v[i]/sqrt(list_inner_product(list_slice(v,1,32),list_slice(v,1,32))),6) END::DOUBLE AS value FROM w, unnest(generate_series(1,32)) u(i)")
+@query(f"WITH {FUSED} SELECT fn.vec_id, i AS pos, round(f[i]/n,6)+0 AS value, fn.vec_id%7=0 AS clap_missing, fn.vec_id%3=0 AS lyrics_missing FROM fn JOIN part ON p_partkey=vec_id, unnest(generate_series(1,64)) u(i)")
 def refuse_without_clap(spark, d):
-    """The audio group recovered from the stored fused vector: its slice to length one again; zeros where it is missing."""
-    groups = {k: F.slice("embedding", a, n) for k, a, n in GROUPS}
-    f = _fusion(spark, d).select("vec_id", fusion.fuse(groups, {k: F.col(k) for k in fusion.BASE}).alias("f"))
-    back = f.select("vec_id", F.posexplode(V.unit(F.slice("f", 1, 32))).alias("pos", "value"))
-    return back.select("vec_id", (F.col("pos") + 1).cast("long").alias("pos"), F.round("value", 6).alias("value"))
+    """Fused vectors built anew from the stored ones and the features; every seventh stored one was compressed to 16
+    places, every third text vector is gone, and songs without a record are left out."""
+    layout = {k: n for k, _, n in GROUPS}
+    flags = _fusion(spark, d)
+    fused = flags.select("vec_id", "cat", fusion.fuse({k: F.slice("embedding", a, n) for k, a, n in GROUPS}, {k: F.col(k) for k in fusion.BASE}).alias("f"), "embedding")
+    parts = table(spark, d, "part").select(F.col("p_partkey").alias("vec_id"), F.lit(True).alias("known"))
+    k = F.col("vec_id")
+    groups = {g: F.slice("embedding", a, n) for g, a, n in GROUPS if g != "clap"}
+    songs_ = fused.join(parts, "vec_id", "left").select(
+        "vec_id", F.col("cat").alias("category"), (k % 5 == 0).alias("stem_failed"), F.when(k % 7 == 0, F.slice("f", 1, 16)).otherwise(F.col("f")).alias("stored"),
+        *[F.when(F.col("known") & ((k % 3 != 0) | (g != "nlp")), v).alias(g) for g, v in groups.items()],
+    )
+    out = fusion.rebuild(songs_, layout).select("vec_id", "clap_missing", "lyrics_missing", F.posexplode("fused").alias("pos", "value"))
+    return out.select("vec_id", (F.col("pos") + 1).cast("long").alias("pos"), F.round("value", 6).alias("value"), "clap_missing", "lyrics_missing")
 
 
 # Evaluation. Judgments: songs of the query's label among those whose ids are near; the grade by song_id.
@@ -293,7 +304,7 @@ def judgments_last_wins(spark, d):
 @query(JUDG + " SELECT r.query_id, r.rank, r.song_id, coalesce(grade,0) AS grade FROM results r LEFT JOIN judg USING (query_id,song_id) WHERE query_id IN (SELECT query_id FROM judg)")
 def judgment_join(spark, d):
     j = _judgments(spark, d)
-    return evaluation.graded(_results(spark, d).join(j, "query_id", "left_semi"), j).select("query_id", "rank", "song_id", "grade")
+    return evaluation.graded(_results(spark, d).join(j.select("query_id").distinct().hint("merge"), "query_id", "left_semi"), j).select("query_id", "rank", "song_id", "grade")
 
 
 @query(JUDG + " SELECT query_id, count(*) AS judged, count(*) FILTER (grade=2) AS grade2, count(*) FILTER (grade=1) AS grade1 FROM judg GROUP BY query_id")
@@ -321,23 +332,15 @@ def precision_at_k(spark, d):
     return evaluation.ndcg(_results(spark, d), _judgments(spark, d), 5).select("query_id", F.round("precision", 6).alias("precision"))
 
 
-SWEEP = JUDG + ", grid AS (SELECT unnest([0.0,0.1,0.2,0.4])::DOUBLE AS weight), pl AS (SELECT r.query_id, r.song_id, r.score, r.rank AS pool_rank, CASE WHEN a.artist=c.artist AND a.artist<>'' THEN 1.0 ELSE 0.0 END AS s FROM ranked r JOIN songs a ON a.song_id=r.query_id JOIN songs c ON c.song_id=r.song_id WHERE rank<=24), sw AS (SELECT weight, query_id, song_id, row_number() OVER (PARTITION BY weight, query_id ORDER BY round(score+weight*s,4) DESC, pool_rank) AS rank FROM pl, grid), g2 AS (SELECT weight, query_id, sum((power(2,coalesce(grade,0))-1)/log2(rank+1)) AS dcg FROM sw LEFT JOIN judg USING (query_id,song_id) WHERE rank<=5 GROUP BY ALL), idl AS (SELECT query_id, sum((power(2,grade)-1)/log2(rn+1)) AS ideal FROM (SELECT query_id, grade, row_number() OVER (PARTITION BY query_id ORDER BY grade DESC) AS rn FROM judg) WHERE rn<=5 GROUP BY query_id), ev AS (SELECT weight, query_id, CASE WHEN ideal>0 THEN dcg/ideal ELSE 0 END AS ndcg FROM idl JOIN g2 USING (query_id))"
+SWEEP = JUDG + ", grid AS (SELECT unnest([0.0,0.1,0.2,0.4])::DOUBLE AS weight), pl AS (SELECT r.query_id, r.song_id, r.score, r.rank AS pool_rank, CASE WHEN a.artist=c.artist AND a.artist<>'' THEN 1.0 ELSE 0.0 END AS s FROM ranked r JOIN songs a ON a.song_id=r.query_id JOIN songs c ON c.song_id=r.song_id WHERE rank<=49), sw AS (SELECT weight, query_id, song_id, row_number() OVER (PARTITION BY weight, query_id ORDER BY round(score+weight*s,4) DESC, pool_rank) AS rank FROM pl, grid), g2 AS (SELECT weight, query_id, sum((power(2,coalesce(grade,0))-1)/log2(rank+1)) AS dcg FROM sw LEFT JOIN judg USING (query_id,song_id) WHERE rank<=5 GROUP BY ALL), idl AS (SELECT query_id, sum((power(2,grade)-1)/log2(rn+1)) AS ideal FROM (SELECT query_id, grade, row_number() OVER (PARTITION BY query_id ORDER BY grade DESC) AS rn FROM judg) WHERE rn<=5 GROUP BY query_id), ev AS (SELECT weight, query_id, CASE WHEN ideal>0 THEN dcg/ideal ELSE 0 END AS ndcg FROM idl JOIN g2 USING (query_id))"
 
 
 def _sweep(spark, d) -> DataFrame:
     """weight, query_id, ndcg over a grid of artist weights; one pool, one more key."""
-    v, j = vecs(spark, d), _judgments(spark, d)
-    both, a, c = _contexts(spark, d, search.topk(as_queries(v), v, 24))
-    grid = spark.createDataFrame([(w,) for w in (0.0, 0.1, 0.2, 0.4)], "weight double")
-    # Places of one pool by weight: the key of a query is its id and weight.
-    each = both.select("query_id", "song_id", "score", "rank", rerank.SIGNALS["artist"](a, c).alias("s")).crossJoin(grid)
-    w = Window.partitionBy("weight", "query_id").orderBy(F.desc(F.round(F.col("score") + F.col("weight") * F.col("s"), 4)), F.col("rank"))
-    first = each.withColumn("place", F.row_number().over(w)).where("place <= 5")
-    last = evaluation.last_judgments(j)
-    got = first.join(last, ["query_id", "song_id"], "left").groupBy("weight", "query_id").agg(F.sum(evaluation.gain(F.coalesce("grade", F.lit(0)), F.col("place"))).alias("dcg"))
-    best = Window.partitionBy("query_id").orderBy(F.desc("grade"), "song_id")
-    ideal = last.withColumn("r", F.row_number().over(best)).where("r <= 5").groupBy("query_id").agg(F.sum(evaluation.gain(F.col("grade"), F.col("r"))).alias("ideal"))
-    return got.join(ideal, "query_id").select("weight", "query_id", F.when(F.col("ideal") > 0, F.col("dcg") / F.col("ideal")).otherwise(0.0).alias("ndcg"))
+    v = vecs(spark, d)
+    pool = search.topk(as_queries(v), v, search.fetch_size(10, True) - 1)  # ten results ask for a pool of fifty, with the seed
+    both, a, c = _contexts(spark, d, pool.join(_judgments(spark, d).select("query_id").distinct().hint("merge"), "query_id", "left_semi"))
+    return evaluation.weight_sweep(both.select("query_id", "song_id", "score", "rank", rerank.SIGNALS["artist"](a, c).alias("signal")), _judgments(spark, d), [0.0, 0.1, 0.2, 0.4], 5)
 
 
 @query(SWEEP + " SELECT weight, round(avg(ndcg),6) AS ndcg, count(*) AS n FROM ev GROUP BY weight")
@@ -347,9 +350,7 @@ def weight_sweep(spark, d):
 
 @query(SWEEP + " SELECT b.query_id, round(b.ndcg,6)::DOUBLE AS before, round(a.ndcg,6)::DOUBLE AS after, round(a.ndcg,6)<>round(b.ndcg,6) AS moved FROM ev b JOIN ev a USING (query_id) WHERE b.weight=0 AND a.weight=0.4")
 def ablation_delta(spark, d):
-    s = _sweep(spark, d).withColumn("ndcg", F.round("ndcg", 6))
-    b, a = (s.where(F.col("weight") == w).select("query_id", F.col("ndcg").alias(n)) for w, n in ((0.0, "before"), (0.4, "after")))
-    return b.join(a, "query_id").withColumn("moved", F.col("before") != F.col("after"))
+    return evaluation.ablation(_sweep(spark, d), 0.0, 0.4)
 
 
 PRECISION = RANKED + ", res AS (SELECT query_id, song_id FROM ranked WHERE rank<=5), per AS (SELECT q.song_id AS query_id, q.category, avg((c.category=q.category)::INT) AS score FROM songs q JOIN res ON res.query_id=q.song_id JOIN songs c ON c.song_id=res.song_id GROUP BY ALL)"
@@ -377,7 +378,7 @@ def macro_average(spark, d):
 @query(PRECISION + " SELECT q.category AS true_label, " + ", ".join(f"count(*) FILTER (c.category={i}) AS p{i}" for i in range(10)) + " FROM res JOIN songs q ON q.song_id=res.query_id JOIN songs c ON c.song_id=res.song_id GROUP BY q.category")
 def confusion_matrix(spark, d):
     n = _labels(spark, d)
-    pairs = _results(spark, d, 5).join(n.select(F.col("song_id").alias("query_id"), F.col("category").alias("true")), "query_id").join(n.select("song_id", F.col("category").alias("predicted")), "song_id")
+    pairs = _results(spark, d, 5).join(n.select(F.col("song_id").alias("query_id"), F.col("category").alias("true")).hint("merge"), "query_id").join(n.select("song_id", F.col("category").alias("predicted")).hint("merge"), "song_id")
     c = evaluation.confusion(pairs, list(range(10)))
     return c.select(F.col("true").alias("true_label"), *[F.col(str(i)).alias(f"p{i}") for i in range(10)])
 

@@ -2,7 +2,7 @@
 
 import warnings
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # The catalogue's columns; the first two are required.
@@ -46,13 +46,26 @@ def nest_judgments(flat: DataFrame) -> DataFrame:
 
 
 def flatten_judgments(nested: DataFrame) -> DataFrame:
-    """Nested judgment documents as rows, with each judgment's place."""
-    anchors = nested.select(F.explode("anchors").alias("a"))
-    return anchors.select("a.anchor_id", F.posexplode("a.judgments").alias("pos", "j")).select("anchor_id", "pos", "j.song_id", "j.grade")
+    """Nested judgment documents as rows: readme (where they come from), anchor_id, pos (the judgment's place), song_id
+    and grade. Documents or anchors without judgments give no rows; a missing readme is empty."""
+    anchors = nested.select(F.coalesce("_readme", F.lit("")).alias("readme"), F.explode("anchors").alias("a"))
+    return anchors.select("readme", "a.anchor_id", F.posexplode("a.judgments").alias("pos", "j")).select("readme", "anchor_id", "pos", "j.song_id", "j.grade")
 
 
-def labelled_paths(path: Column) -> tuple[Column, Column]:
-    """Group and label of a file: the two folders above it."""
-    parts = F.filter(F.split(path, "/"), lambda x: x != "")
+def group_and_label(path: Column) -> tuple[Column, Column]:
+    """Group and label of a file: the two folders above it; null where there are none."""
+    parts = F.split(path, "/")
     n = F.size(parts)
     return F.get(parts, n - 3), F.get(parts, n - 2)
+
+
+def labelled_paths(files: DataFrame, path: str) -> DataFrame:
+    """``files`` with grp, label and label_id: labels are numbered from 0 in the order of their names.
+
+    Files without two folders above them have a null label and no number. Labels are numbered among themselves, not by one
+    window over all files.
+    """
+    group, label = group_and_label(F.col(path))
+    told = files.withColumn("grp", group).withColumn("label", label)
+    names = told.select("label").where("label is not null").distinct().withColumn("label_id", (F.dense_rank().over(Window.orderBy("label")) - 1).cast("long"))
+    return told.join(names, "label", "left")

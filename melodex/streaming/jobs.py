@@ -17,7 +17,7 @@ def append_index(spark: SparkSession, source: str, schema, index: str, checkpoin
     def add(batch: DataFrame, _: int) -> None:
         fresh = batch.groupBy(key).agg(*[F.min_by(c, F.xxhash64("vec")).alias(c) for c in batch.columns if c != key])
         try:
-            fresh = fresh.join(spark.read.schema(batch.schema).parquet(index).select(key), key, "left_anti")
+            fresh = fresh.join(spark.read.schema(batch.schema).parquet(index).select(key).hint("merge"), key, "left_anti")
         except Exception as e:  # the first batch: there is no index yet
             if "PATH_NOT_FOUND" not in str(e):
                 raise
@@ -27,41 +27,53 @@ def append_index(spark: SparkSession, source: str, schema, index: str, checkpoin
     stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-_STATE = "approved array<double>, n_approved long, rejected array<double>, n_rejected long"
+_STATE = "approved array<double>, n_approved long, rejected array<double>, n_rejected long, seen long, since long"
 
 
 def _fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    up, n_up, down, n_down = state.get if state.exists else ([], 0, [], 0)
+    up, n_up, down, n_down, seen, since = state.get if state.exists else ([], 0, [], 0, 0, -(1 << 62))
     up, down = np.asarray(up, dtype=float), np.asarray(down, dtype=float)
-    base = None
-    for b in batches:
-        base = np.asarray(b["query"].iloc[0], dtype=float)
-        for verdict, vec in zip(b["verdict"], b["vec"]):
+    rows = pd.concat(list(batches)).sort_values("seq", kind="stable")
+    for seq, verdict, vec in zip(rows["seq"].tolist(), rows["verdict"], rows["vec"]):
+        seen += 1
+        if seq < since or verdict not in ("reset", "approve", "reject"):
+            continue
+        if verdict == "reset":
+            up, n_up, down, n_down, since = np.zeros(0), 0, np.zeros(0), 0, seq
+        elif vec is not None:
             v = np.asarray(vec, dtype=float)
-            if verdict == "reset":
-                up, n_up, down, n_down = np.zeros(0), 0, np.zeros(0), 0
-            elif verdict == "approve":
+            if verdict == "approve":
                 up, n_up = (up + v if len(up) else v), n_up + 1
             else:
                 down, n_down = (down + v if len(down) else v), n_down + 1
-    state.update((up.tolist(), n_up, down.tolist(), n_down))
-    if base is not None:
-        out = ALPHA * base + (BETA * up / n_up if n_up else 0) - (GAMMA * down / n_down if n_down else 0)
-        norm = np.linalg.norm(out)
-        yield pd.DataFrame({"session_id": [key[0]], "events": [n_up + n_down], "vec": [out / norm if norm > 1e-8 else out]})
-
-
-def feedback_stream(spark: SparkSession, source: str, schema, out: str, checkpoint: str) -> None:
-    """Drain judged events (session_id, verdict, vec, query) into adjusted queries.
-
-    Each session keeps the sums of its approved and rejected vectors as state, and every batch with events of a session
-    emits its query as it is then, with the number of events behind it. Sums don't depend on order, so late events need
-    no watermark; sessions don't expire here.
+    state.update((up.tolist(), n_up, down.tolist(), n_down, seen, since))
+    base = np.asarray(rows["query"].iloc[-1], dtype=float)
+    out = ALPHA * base + (BETA * up / n_up if n_up else 0) - (GAMMA * down / n_down if n_down else 0)
+    norm = np.linalg.norm(out)
+    yield pd.DataFrame({"session_id": [key[0]], "seen": [seen], "vec": [out / norm if norm > 1e-8 else out]})
+
+
+def feedback_stream(spark: SparkSession, source: str, schema, out: str, checkpoint: str, files: int | None = None) -> None:
+    """Drain judged events (session_id, seq, verdict, vec, query) into adjusted queries: session_id, seen, vec.
+
+    Each session keeps the sums of its approved and rejected vectors as state; every batch with events of a session emits
+    its query as it is then, and ``seen``, how many events it has had in all, which only grows: the row with the most is
+    the latest. A batch is what is new, or ``files`` files of it at a time; its events are taken by ``seq``. A reset clears
+    what came before it, and events with a smaller seq that arrive later are ignored; so are unknown verdicts and null
+    vectors. A reset that arrives in a later batch than events after it clears them too: let no batch hold a part of
+    a load. Otherwise sums don't depend on order, so late events need no watermark; sessions don't expire here. A session's
+    events of one batch are folded in one task.
     """
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(source)
-    moved = stream.groupBy("session_id").applyInPandasWithState(_fold, "session_id long, events long, vec array<double>", _STATE, "update", GroupStateTimeout.NoTimeout)
+    reader = spark.readStream.schema(schema)
+    stream = (reader.option("maxFilesPerTrigger", files) if files else reader).parquet(source)
+    moved = stream.groupBy("session_id").applyInPandasWithState(_fold, "session_id long, seen long, vec array<double>", _STATE, "update", GroupStateTimeout.NoTimeout)
 
     def add(batch: DataFrame, _: int) -> None:
         batch.write.mode("append").parquet(out)
 
     moved.writeStream.outputMode("update").foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def latest(emitted: DataFrame) -> DataFrame:
+    """session_id, vec: each session's query as it was emitted last."""
+    return emitted.groupBy("session_id").agg(F.max_by("vec", "seen").alias("vec"))

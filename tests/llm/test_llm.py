@@ -615,6 +615,72 @@ def test_pipeline_keeps_one_row_of_each_group(spark):
     assert sorted((r.doc_id or 0, r.text) for r in got.collect()) == sorted([(0, t["a"]), (0, t["b"]), (1, t["c"]), (2, t["d"]), (3, t["e"]), (4, t["f"].upper())])
 
 
+def test_pipeline_of_odd_and_no_documents(spark):
+    """Every stage takes nulls, empty, long and repeated texts, further columns with clashing names, and no rows at all."""
+    import corpus_pipeline as p
+
+    base = docs(spark)
+    clash = {"n_tokens": F.lit(1), "score": F.lit("x"), "component": F.lit(2.0), "row": F.lit("r"), "doc": F.lit("d"), "made": F.lit(True), "n_entities": F.lit(5)}
+    odd_ = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in ODD], base.schema)
+    for name, f in p.STAGES:
+        for rows in (base.unionByName(odd_), base.limit(0)):
+            wide = rows.withColumns(clash)
+            out = f(spark, wide, DATA)
+            if f is not p.STAGES[-1][1]:
+                assert sorted(out.columns) == sorted(wide.columns) or (name == "PII" and set(rows.columns) <= set(out.columns)), name
+            n = out.count()
+            assert n <= rows.count() and (n > 0) == (rows.limit(1).count() > 0), name
+
+
+def test_no_rows_and_clashing_columns(spark):
+    """Empty tables for every operator, and columns named like results or like what operators use inside."""
+    import public_tokenizers
+
+    none, some = odd(spark).limit(0), odd(spark).withColumns({c: F.lit("clash") for c in ("fp", "node", "component", "component_id", "fingerprint", "n_words", "acc", "told", "doc", "lossless", "ids", "held_out", "lang_pred", "predicted", "n_bytes")})
+    labels = spark.createDataFrame([(1, 1, 0), (4, 0, 1), (4, 0, 1), (None, 1, None)], "doc_id long, quality int, toxic int")
+    items = spark.createDataFrame([(1, "x x x"), (None, None)], "item_id long, text string")
+    path, json_ = public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("byte_bpe_50k.json")
+    ways = [
+        lambda d: token_counts.token_counts(d, json_), lambda d: pii.pseudonymise(d, "k"), language_id.identify, simhash.near_duplicates, lambda d: quality.score_documents(d, labels),
+        lambda d: decontamination.decontaminate(d, items), lambda d: decontamination.decontaminate(d, items.limit(0)), lambda d: piece_dropout.encode_documents(d, path),
+    ]
+    for way in ways:
+        assert way(none).count() == 0 and way(some).count() == len(ODD)
+    pages = spark.createDataFrame([], "page_id long, url string")
+    assert url_filters.judge(pages, url_filters.labelled_pages(pages, labels)).count() == 0
+    assert quality.score_documents(some, labels.limit(0)).count() == len(ODD)
+
+
+def test_very_long_texts(spark):
+    """A text of five million characters, and a conversation of one."""
+    import public_tokenizers
+
+    long = "Some words, 12 of them: " * 210_000
+    df = spark.createDataFrame([(1, long, "en"), (2, "short one", "en")], "doc_id long, text string, lang string")
+    assert {r.doc_id: r.n_bytes for r in token_counts.token_counts(df, public_tokenizers.path("byte_bpe_50k.json")).collect()}[1] == len(long)
+    assert all(r.lossless for r in piece_dropout.encode_documents(df, public_tokenizers.path("piece_bpe_32k.model")).collect())
+    items = spark.createDataFrame([(1, long[-300:])], "item_id long, text string")
+    got = {r.doc_id: r for r in decontamination.decontaminate(df, items).collect()}
+    assert got[1].n_words == got[1].n_hit == 5 * 210_000 and got[2].n_hit == 0
+    assert {r.doc_id: r.fingerprint for r in simhash.near_duplicates(df).collect()}[1] == f"{brute_fingerprint(long):016x}"
+    talk = spark.createDataFrame([(1, 0, "user", "hi"), (1, 1, "assistant", long)], "conv_id long, turn long, role string, text string")
+    assert chat_tree.digests(talk).first().loss_sha256 == hashlib.sha256(long.encode()).hexdigest()
+
+
+def test_blocks_are_bounded(spark):
+    """Five million characters of items, one of them long: no block over its windows, no window lost, nodes as reckoned."""
+    rng = np.random.default_rng(4)
+    text = " ".join(f"w{k}" for k in rng.integers(0, 20_000, 830_000))
+    items = spark.createDataFrame([(1, text)], "item_id long, text string")
+    blocks = list(decontamination._blocks(items, 10, decontamination.BLOCK_WINDOWS))
+    sizes = [sum(max(1, len(w.split()) - 9) for _, w in b) for b in blocks]
+    assert max(sizes) <= decontamination.BLOCK_WINDOWS and sum(sizes) == 830_000 - 9
+    part = [(i, w) for i, w in blocks[0]][:10]
+    windows = sum(len(w.split()) - 9 for _, w in part)
+    size = decontamination.automaton(part).auto.get_stats()["total_size"]
+    assert size / windows * decontamination.BLOCK_WINDOWS < 400e6
+
+
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_every_query_runs(spark, name):
     assert queries.QUERIES[name](spark, DATA).count() > 0

@@ -11,13 +11,17 @@ LEAST_SCORE = 0.3
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can't be told go; the others stay as they are."""
+    """Documents whose language can't be told go (null texts, texts without a letter, scores below LEAST_SCORE); the others
+    stay as they are, also with a null id; repeated rows are judged alike. All go where no labelled text is there to learn from."""
     told = language_id.identify(docs, carry=True)
     return told.where(f"lang_pred <> 'und' and score >= {LEAST_SCORE}").select("doc.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of SimHash near-duplicates stays: the first by doc_id, nulls last, then by text."""
+    """One row of each group of SimHash near-duplicates stays: the first by doc_id, nulls last, then by text.
+
+    Null and empty texts have fingerprint zero and form one group; repeated rows and equal ids are told apart by rows.
+    """
     rows = written(docs.select(F.struct(*docs.columns).alias("doc"), F.monotonically_increasing_id().alias("row")))
     members = written(simhash.near_duplicates(rows.select("doc.doc_id", "doc.text", "row"), carry=("row",)).select("doc_id", "row", "component"))
     ids = members.groupBy("component", "doc_id").agg(F.min("row").alias("row"), F.count("*").alias("n"))
@@ -26,25 +30,25 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     kept = first.where("n = 1").select("row")
     tied = first.where("n > 1")
     if tied.limit(1).count():
-        of = tied.select("component", F.col("doc_id").alias("least"))
-        alike = members.join(of.hint("merge"), "component").where(F.col("doc_id").eqNullSafe(F.col("least"))).select("component", "row")
+        of = tied.select(F.col("component").alias("c"), F.col("doc_id").alias("least"))
+        alike = members.join(of.hint("merge"), (F.col("component") == F.col("c")) & F.col("doc_id").eqNullSafe(F.col("least"))).select("component", "row")
         texts = rows.select("row", "doc.text").join(alike.hint("merge"), "row")
         kept = kept.unionByName(texts.groupBy("component").agg(F.min(F.struct("text", "row")).alias("least")).select("least.row"))
     return rows.join(written(kept).hint("merge"), "row", "left_semi").select("doc.*")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a window of a benchmark item go."""
+    """Documents that hold a window of a benchmark item go; null and empty texts hold none and stay."""
     return decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"), carry=True).where("not contaminated").select("doc.*")
 
 
 def replace_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data and secrets are replaced by surrogates."""
+    """Personal data and secrets are replaced by surrogates; all rows stay, null texts null."""
     return pii.pseudonymise(docs, secret_key(spark)).select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids and lossless of each document's text."""
+    """doc_id, n_tokens, ids and lossless of each document's text; null and empty texts have no ids."""
     import public_tokenizers
 
     return piece_dropout.encode_documents(docs, public_tokenizers.path("piece_bpe_32k.model"))

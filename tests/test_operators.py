@@ -9,8 +9,9 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from melodex.functions import music, text, vectors
-from melodex.operators import ann, catalogue, evaluation, feedback, frames, fusion, linkage, rerank, search, sequences, statistics
+from melodex.operators import ann, catalogue, evaluation, features, feedback, frames, fusion, linkage, rerank, search, sequences, statistics
 from melodex.sources import files
+from melodex.streaming import jobs
 
 
 def one(spark, column, **values):
@@ -236,3 +237,164 @@ def test_kth_smallest(spark):
     want = sorted(v for v in values if v is not None)
     assert all(statistics.kth_smallest(df, "v", k, few=50) == want[k] for k in (0, 17, 2010, 2600, 4999))
     assert statistics.kth_smallest(df, "v", 5000, few=50) is None
+
+
+def test_weight_overrides(spark):
+    given = [None, "", "tempo=1,tempo=0.25", "artist=0,mood=2.5", "tempo=-1e-3,"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(given)], "i long, t string")
+    got = {r.i: r.w for r in df.select("i", rerank.weight_overrides(F.col("t")).alias("w")).collect()}
+    assert all(got[i] == rerank.weights_from([p for p in (t or "").split(",") if p]) for i, t in enumerate(given))
+    for bad in ("nothing=1", "tempo", "tempo=x"):
+        with pytest.raises(Exception, match="no such weight"):
+            df.limit(1).select(rerank.weight_overrides(F.lit(bad))).collect()
+
+
+def test_feature_defaults(spark):
+    rows = [(1, None, None, None, [1, 0]), (2, 110.0, float("nan"), [1.0] * 3, [0, 0, 0, 1]), (3, 70.0, 0.1, None, None)]
+    df = spark.createDataFrame(rows, "id long, tempo double, energy double, pcp array<double>, tempo_bucket array<int>")
+    got = {r.id: r for r in features.with_defaults(df, {"pcp": 3}).collect()}
+    assert (got[1].tempo, got[1].energy, got[1].pcp, got[1].tempo_bucket) == (100.0, 0.5, [0.0] * 3, [0, 0, 1, 0])
+    assert got[2].energy != got[2].energy and got[2].tempo_bucket == [0, 0, 0, 1] and got[3].tempo_bucket == [1, 0, 0, 0]
+    v = spark.createDataFrame([(1, None), (2, []), (3, [1.0]), (4, [1.0, 2.0])], "id long, v array<double>")
+    vec, missing = features.vector_or_zeros(F.col("v"), 2)
+    assert [tuple(r) for r in v.select(vec.alias("v"), missing.alias("m")).collect()] == [([0.0, 0.0], True)] * 3 + [([1.0, 2.0], False)]
+
+
+def test_dimensions(spark):
+    rows = [(i, [1.0] * 3) for i in range(12)] + [(50, [1.0]), (51, [1.0] * 4), (52, None)]
+    df = spark.createDataFrame(rows, "song_id long, vec array<double>")
+    assert sorted(tuple(r) for r in features.dimension_census(df).collect()) == [(1, 1, 3), (3, 12, 3), (4, 1, 3)]
+    assert sorted((r.song_id, r.dims) for r in features.offenders(df).collect()) == [(50, 1), (51, 4)]
+    with pytest.raises(ValueError, match=r"3 is the most frequent.*50 \(1\), 51 \(4\)"):
+        features.require_one_dimension(df)
+    with pytest.raises(ValueError, match="there are 9"):
+        features.require_one_dimension(df.where("song_id < 9"))
+    with pytest.raises(ValueError, match="there are 0"):
+        features.require_one_dimension(df.limit(0))
+    assert features.require_one_dimension(df.where("song_id < 20 or song_id = 52")) == (12, 3)
+
+
+def test_pitch_fall_back(spark):
+    rows = [(1, i, 440.0, True) for i in range(10)] + [(2, i, 440.0, i < 9) for i in range(20)] + [(3, 0, None, None)]
+    chroma = spark.createDataFrame([(2, [3.0] + [0.0] * 10 + [4.0]), (1, [1.0] * 12)], "song_id long, chroma array<double>")
+    df = spark.createDataFrame(rows, "song_id long, i long, v double, voiced boolean")
+    got = {r.song_id: r.vec for r in frames.pitch_histogram(df, chroma).collect()}
+    assert got[1].index(1.0) == 69 * 3 % 36 and sum(got[1]) == 1
+    assert (got[2][0], got[2][33]) == (pytest.approx(0.6), pytest.approx(0.8)) and got[3] == [0.0] * 36
+    assert {r.song_id: r.vec for r in frames.pitch_histogram(df).collect()}[2] == [0.0] * 36
+
+
+def test_profile_chain(spark):
+    t = F.array(F.array(*map(F.lit, [1.0] + [0.0] * 11)), F.array(*map(F.lit, [0.0] * 11 + [1.0])))
+    rows = [(1, [1.0] * 3 + [0.0] * 33, [0.0] * 12), (2, None, [0.0] * 11 + [2.0]), (3, [1.0], None), (4, None, None)]
+    df = spark.createDataFrame(rows, "i long, f array<double>, c array<double>")
+    got = {r.i: r.p for r in df.select("i", vectors.profile_chain(F.col("f"), F.col("c"), t, 2).alias("p")).collect()}
+    high = 1 / (1 + np.exp(-2.0))
+    assert got[1] == pytest.approx([high, 1 - high]) and got[2] == pytest.approx([1 - high, high]) and got[3] == got[4] == [0.0, 0.0]
+
+
+def test_rebuild(spark):
+    layout = {"clap": 2, "nlp": 2, "vocal": 1, "melodic": 1, "rhythmic": 1}
+    stored = [0.6, 0.8, 0.1, 0.1, 0.3, 0.3, 0.3]
+    one = [1.0]
+    rows = [(1, stored, [1.0, 0.0]), (2, [0.5], [1.0, 0.0]), (3, stored, None), (4, None, [1.0, 0.0])]
+    df = spark.createDataFrame(rows, "id long, stored array<double>, nlp array<double>").select("*", F.lit("ghazal").alias("category"), F.lit(None).cast("boolean").alias("stem_failed"), *[F.array(F.lit(1.0)).alias(k) for k in ("vocal", "melodic", "rhythmic")])
+    got = {r.id: r for r in fusion.rebuild(df.unionByName(df.where("id = 1").withColumn("vocal", F.lit(None).cast("array<double>")).withColumn("id", F.lit(5).cast("long"))), layout).collect()}
+    assert sorted(got) == [1, 2, 3] and one == [1.0]
+    assert [(got[i].clap_missing, got[i].lyrics_missing) for i in (1, 2, 3)] == [(False, False), (True, False), (False, True)]
+    for i in (1, 2, 3):
+        assert np.linalg.norm(got[i].fused) == pytest.approx(1)
+    assert got[1].fused[0] / got[1].fused[1] == pytest.approx(0.75) and got[2].fused[:2] == [0.0, 0.0] and got[3].fused[2:4] == [0.0, 0.0]
+
+
+def test_short_sequences_get_the_prior(spark):
+    train = spark.createDataFrame([(i, 1 if i < 3 else 0, [i % 2, 1, 0]) for i in range(4)], "id long, label long, tokens array<int>")
+    test = spark.createDataFrame([(10, [1]), (11, []), (12, None), (13, [1, 0])], "id long, tokens array<int>")
+    got = {r.id: r for r in sequences.markov_classifier(train, test, 2).collect()}
+    assert sorted(got) == [10, 11, 12, 13] and all(got[i].pred == 1 and got[i].loglik == pytest.approx(np.log(0.75), abs=1e-6) for i in (10, 11, 12))
+
+
+def test_stream_resets(spark, tmp_path):
+    """After a reset the query is the first one again; what means nothing counts for nothing; late events stay out."""
+    schema = "session_id long, seq long, verdict string, vec array<double>, query array<double>"
+    q = [1.0, 0.0]
+    loads = [
+        [(1, k, "approve", [0.0, 1.0], q) for k in range(3)] + [(2, 1, "approve", [0.0, 1.0], q), (3, 1, "reject", [0.0, 1.0], q)],
+        [(1, 5, "reset", None, q), (2, 9, "reset", None, q), (2, 10, "approve", [0.0, 2.0], q), (3, 2, "what", [9.0, 9.0], q), (3, 3, "approve", None, q)],
+        [(2, 4, "approve", [7.0, 7.0], q)],
+    ]
+    src, out, check = (str(tmp_path / x) for x in ("src", "out", "check"))
+    seen = []
+    for load in loads:
+        spark.createDataFrame(load, schema).coalesce(1).write.mode("append").parquet(src)
+        jobs.feedback_stream(spark, src, spark.createDataFrame([], schema).schema, out, check)
+        seen.append({r.session_id: r.vec for r in jobs.latest(spark.read.parquet(out)).collect()})
+    unit = lambda *v: pytest.approx((np.array(v) / np.linalg.norm(v)).tolist())
+    assert seen[0] == {1: unit(1, 0.75), 2: unit(1, 0.75), 3: unit(1, -0.25)}
+    assert seen[1] == {1: unit(1, 0), 2: unit(1, 1.5), 3: unit(1, -0.25)}
+    assert seen[2] == seen[1]
+
+
+def test_best_of_takes_ties_by_id():
+    rng = np.random.default_rng(3)
+    s, ids = rng.integers(0, 4, (6, 30)).astype(float), rng.permutation(30)
+    s[2, :28], s[3] = -np.inf, -np.inf
+    takes = np.array([3, 30, 5, 5, 0, 7])
+    row, col = search.best_of(s, takes, ids)
+    for r in range(6):
+        want = [j for j in sorted(range(30), key=lambda j: (-s[r, j], ids[j])) if np.isfinite(s[r, j])][: takes[r]]
+        assert col[row == r].tolist() == want
+
+
+def test_topk_edges(spark, monkeypatch):
+    """Nulls, repeats, empty sides, exclusions of one heavy query, and queries too large to broadcast."""
+    x = np.random.default_rng(4).normal(size=(80, 4))
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)] + [(900, None)], "song_id long, vec array<double>")
+    q = v.withColumnRenamed("song_id", "query_id")
+    gone = spark.createDataFrame([(0, i) for i in range(1, 78)] + [(1, 5)], "query_id long, song_id long")
+    for most in (search.BROADCAST_BYTES, 0):
+        monkeypatch.setattr(search._met, "__defaults__", (most,))
+        got = {(r.query_id, r.rank): r.song_id for r in search.topk(q, v, 3, excluded=gone).collect()}
+        assert len(got) == 79 * 3 + 2 and {got[0, 1], got[0, 2]} == {78, 79} and (900, 1) not in got
+        s = x @ x.T
+        np.fill_diagonal(s, -np.inf)
+        s[1, 5] = -np.inf
+        assert all([got[i, r + 1] for r in range(3)] == np.argsort(-s[i])[:3].tolist() for i in range(1, 80))
+    assert search.topk(q.limit(0), v, 3).count() == search.topk(q, v.limit(0), 3).count() == 0
+    assert ann.ivf_topk(q, v.limit(0), 3).count() == ann.pq_topk(q, v.limit(0), 3).count() == 0
+
+
+def test_codes_grow_their_pool(spark):
+    """Scattered vectors, whose rough scores say little: the pool grows until the recall is there."""
+    x = np.random.default_rng(5).normal(size=(1500, 16))
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "song_id long, vec array<double>")
+    q = v.where("song_id % 30 = 0").withColumnRenamed("song_id", "query_id")
+    exact = search.topk(q, v, 10)
+    assert ann.recall(ann.pq_topk(q, v, 10, parts=2, bits=4), exact) >= 0.85
+    assert ann.recall(ann.ivf_topk(q, v, 10), exact) >= 0.99
+
+
+@pytest.mark.parametrize("blocks", [True, False])
+def test_letters_keep_what_is_alike(spark, blocks):
+    """Artists that are alike enough share one of their first letters, by brute force over random texts."""
+    rng = np.random.default_rng(6)
+    texts = sorted({"".join("abcde é1"[k] for k in rng.integers(0, 8, rng.integers(0, 9))) for _ in range(120)})
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    n = F.length("t")
+    first = {r.t: set(r.k) for r in df.select("t", linkage._first_letters(linkage.letters(F.col("t")), n, linkage.FLOOR, blocks).alias("k")).collect()}
+    pairs = df.select(F.col("t").alias("a")).crossJoin(df.select(F.col("t").alias("b")))
+    ratio = linkage.sequence_ratio() if blocks else linkage.edit_similarity
+    alike = pairs.select("a", "b", ratio(F.col("a"), F.col("b")).alias("s")).where(F.col("s") >= linkage.FLOOR).collect()
+    assert len(alike) > len(texts) and all(first[r.a] & first[r.b] for r in alike)
+
+
+def test_catalogue_summaries(spark):
+    m = spark.createDataFrame([("a", 2, 5), ("a", 1, 9), ("a", 2, 1), ("b", 9, 1), ("a", None, 0)], "k string, id long, pos long")
+    names = spark.createDataFrame([(1, "one"), (2, "two")], "id long, name string")
+    assert [tuple(r) for r in catalogue.resolve_labels(m, names, "k").collect()] == [("a", "two, one", "two")]
+    c = spark.createDataFrame([("a", 1, 5, True), ("a", 2, 7, True), ("a", 3, 7, True), ("a", 4, 9, False), ("b", 1, 1, False)], "k string, pos long, score int, accept boolean")
+    assert {r.k: r.best for r in catalogue.best_record(c, "k", "pos").collect()} == {"a": 2, "b": None}
+    d = spark.createDataFrame([("a", "x", 3), ("a", "x", 1), ("a", "", 0), ("a", None, 0)], "k string, v string, pos long")
+    assert [tuple(r) for r in catalogue.dedupe_keep_order(d, "k", "v", "pos").collect()] == [("a", "x", 1)]
+    p = spark.createDataFrame([(None,), ("/a/b/c.mp3",), ("x",), ("r/a/a/d.mp3",)], "path string")
+    assert sorted((r.path or "", r.grp, r.label, r.label_id) for r in files.labelled_paths(p, "path").collect()) == [("", None, None, None), ("/a/b/c.mp3", "a", "b", 1), ("r/a/a/d.mp3", "a", "a", 0), ("x", None, None, None)]

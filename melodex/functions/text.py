@@ -50,17 +50,28 @@ def mood_hits(low: Column, words: list[str]) -> Column:
 
 # The keywords of each mood, romanised and Devanagari.
 MOODS = {
-    "devotional": """khuda, rab, allah, khwaja, maula, rehmat, ibaadat, sajda, bandagi, karam, noor, dargah, kalandar, mast qalandar, ishwar, bhagwan,
-        prabhu, hari om, bhakti, aarti, sufiyana, rooh, khudaya, meherbaan, duaa, namaz, haq, manzil-e-noor, ख़ुदा, खुदा, रब, अल्लाह, मौला, ईश्वर,
-        भगवान, प्रभु, इबादत, करम, नूर, दुआ, भक्ति, आरती""",
-    "romantic": """pyaar, pyar, ishq, mohabbat, dilbar, mehbooba, sanam, dilruba, chahat, prem, deewana, deewani, dil, aashiqui, jaana, mehboob,
-        dildaar, yaariyan, wajood, प्यार, इश्क़, मोहब्बत, दिल, आशिकी, जाना, महबूब""",
-    "sad_longing": """judaai, judai, tanhai, tanhaai, gham, dard, aansu, bewafa, bichadna, tadap, viraha, dukh, akela, akeli, bichhad, rulaana, yaad,
-        khoya, kho gaya, bujh gaya, जुदाई, तन्हाई, ग़म, गम, दर्द, आंसू, बेवफा, तड़प, दुख, अकेला, याद""",
-    "celebratory_party": """party, naach, jhoom, masti, hungama, dance, shaadi, baaraat, disco, saturday, high rated, chull, thumka, balle balle, gabru,
-        nasha, chashma, पार्टी, नाच, झूम, मस्ती, हंगामा, शादी, बारात""",
+    "devotional": [
+        "khuda", "rab", "allah", "khwaja", "maula", "rehmat", "ibaadat", "sajda", "bandagi", "karam", "noor", "dargah",
+        "kalandar", "mast qalandar", "ishwar", "bhagwan", "prabhu", "hari om", "bhakti", "aarti", "sufiyana", "rooh",
+        "khudaya", "meherbaan", "duaa", "namaz", "haq", "manzil-e-noor", "ख़ुदा", "खुदा", "रब", "अल्लाह", "मौला", "ईश्वर",
+        "भगवान", "प्रभु", "इबादत", "करम", "नूर", "दुआ", "भक्ति", "आरती",
+    ],
+    "romantic": [
+        "pyaar", "pyar", "ishq", "mohabbat", "dilbar", "mehbooba", "sanam", "dilruba", "chahat", "prem", "deewana",
+        "deewani", "dil", "aashiqui", "jaana", "mehboob", "dildaar", "yaariyan", "wajood", "प्यार", "इश्क़", "मोहब्बत",
+        "दिल", "आशिकी", "जाना", "महबूब",
+    ],
+    "sad_longing": [
+        "judaai", "judai", "tanhai", "tanhaai", "gham", "dard", "aansu", "bewafa", "bichadna", "tadap", "viraha", "dukh",
+        "akela", "akeli", "bichhad", "rulaana", "yaad", "khoya", "kho gaya", "bujh gaya", "जुदाई", "तन्हाई", "ग़म", "गम",
+        "दर्द", "आंसू", "बेवफा", "तड़प", "दुख", "अकेला", "याद",
+    ],
+    "celebratory_party": [
+        "party", "naach", "jhoom", "masti", "hungama", "dance", "shaadi", "baaraat", "disco", "saturday", "high rated",
+        "chull", "thumka", "balle balle", "gabru", "nasha", "chashma", "पार्टी", "नाच", "झूम", "मस्ती", "हंगामा", "शादी",
+        "बारात",
+    ],
 }
-MOODS = {mood: [w.strip() for w in words.split(",")] for mood, words in MOODS.items()}
 
 
 def mood_tag(text: Column, words: dict[str, list[str]] = MOODS) -> Column:

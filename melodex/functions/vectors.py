@@ -25,7 +25,7 @@ def let(value: Column, f) -> Column:
 
 
 def unit(v: Column) -> Column:
-    """The vector over its norm; as it is when that is tiny."""
+    """The vector over its norm; as it is when that is tiny; null for null or with a null component."""
     return let(doubles(v), lambda w: let(norm(w), lambda n: F.when(n > TINY, F.transform(w, lambda x: x / n)).otherwise(w)))
 
 

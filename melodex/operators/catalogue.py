@@ -1,15 +1,18 @@
 """Song table operators: upserts, patches, migration, summaries, set operations."""
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str, seq: str, preserve: bool = False) -> DataFrame:
-    """Insert or replace whole rows by key; the greatest ``seq`` of the new ones wins.
+    """Insert or replace whole rows by key; the greatest ``seq`` of the new ones wins, of equals one by a hash of the row.
 
-    A replaced row loses the columns that the new one doesn't have, unless ``preserve`` keeps the old values.
+    A replaced row loses the columns that the new one doesn't have, unless ``preserve`` keeps the old values. A null key is
+    a key that replaces nothing; a null ``seq`` comes before all others. Old keys are different. Without new rows nothing
+    changes. A key that repeats is combined before the shuffle.
     """
-    last = new.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(seq)))).where("_n = 1").drop("_n", seq)
+    own = [c for c in new.columns if c not in (key, seq)]
+    last = new.groupBy(key).agg(F.max_by(F.struct(*own), F.struct(seq, F.xxhash64(*own))).alias("_r")).select(key, "_r.*")
     if preserve:
         o, n = old.alias("o"), last.alias("n")
         cols = [F.coalesce(F.col(f"n.{c}"), F.col(f"o.{c}")).alias(c) if c in last.columns else F.col(f"o.{c}") for c in old.columns]
@@ -18,7 +21,9 @@ def upsert(old: DataFrame, new: DataFrame, key: str, seq: str, preserve: bool =
 
 
 def patch(old: DataFrame, new: DataFrame, key: str, lists: tuple[str, ...] = ()) -> DataFrame:
-    """Overwrite only with what isn't null; of ``lists`` an empty one writes null, others their joined text."""
+    """Overwrite only with what isn't null; of ``lists`` an empty one writes null, others their joined text.
+
+    ``new`` has a key once; null and unknown keys patch nothing."""
     n = new.select(F.col(key), *[F.col(c).alias(f"_{c}") for c in new.columns if c != key], F.lit(True).alias("_hit"))
 
     def value(c: str) -> Column:
@@ -32,7 +37,7 @@ def patch(old: DataFrame, new: DataFrame, key: str, lists: tuple[str, ...] = ())
 
 
 def flag(old: DataFrame, ids: DataFrame, key: str, column: str, value: Column) -> DataFrame:
-    """Set one column for the given ids."""
+    """Set one column for the given ids; null, unknown and repeated ids make no difference."""
     hit = ids.select(F.col(key), F.lit(True).alias("_hit")).distinct()
     return old.join(hit, key, "left").withColumn(column, F.when(F.col("_hit"), value).otherwise(F.col(column))).drop("_hit")
 
@@ -43,7 +48,7 @@ def migrate(df: DataFrame, columns: dict[str, tuple[str, object]]) -> DataFrame:
 
 
 def required_fields(df: DataFrame, *fields: str) -> DataFrame:
-    """The rows with ``error``: which of the fields is blank first, else null."""
+    """The rows with ``error``: which of the fields is null or blank first, else null."""
     out = F.lit(None).cast("string")
     for f in reversed(fields):
         out = F.when(F.coalesce(F.trim(f), F.lit("")) == "", f"missing {f}").otherwise(out)
@@ -51,10 +56,12 @@ def required_fields(df: DataFrame, *fields: str) -> DataFrame:
 
 
 def row_slice(df: DataFrame, order: list, skip: int, take: int) -> DataFrame:
+    """``take`` rows after ``skip`` in the order given, which must leave no ties; fewer or none past the end."""
     return df.orderBy(*order).offset(skip).limit(take)
 
 
 def already_enriched(*columns: str) -> Column:
+    """Is one of the columns neither null nor empty?"""
     return F.coalesce(*[F.nullif(F.col(c), F.lit("")) for c in columns]).isNotNull()
 
 

@@ -14,17 +14,19 @@ def gain(grade: Column, rank: Column) -> Column:
 
 
 def graded(results: DataFrame, judgments: DataFrame) -> DataFrame:
-    """Results (query_id, rank, song_id) with their grade, 0 where unjudged; the last judgment of a song counts."""
+    """Results (query_id, rank, song_id) with their grade, 0 where unjudged or judged null; the last judgment of a song
+    counts. No results: no rows."""
     return results.join(last_judgments(judgments).hint("merge"), ["query_id", "song_id"], "left").withColumn("grade", F.coalesce("grade", F.lit(0)))
 
 
 def last_judgments(judgments: DataFrame) -> DataFrame:
-    """One grade per (query_id, song_id): that of the greatest ``pos``."""
+    """One grade per (query_id, song_id): that of the greatest ``pos``, which doesn't repeat within a pair."""
     return judgments.groupBy("query_id", "song_id").agg(F.max_by("grade", "pos").alias("grade"))
 
 
 def ndcg(results: DataFrame, judgments: DataFrame, k: int) -> DataFrame:
-    """query_id, ndcg and precision at K for every query with a judgment; 0 when nothing relevant is judged."""
+    """query_id, ndcg and precision at K for every query with a judgment; 0 when nothing relevant is judged, or without
+    results. Precision is over the results there are. Queries without judgments: no rows."""
     first = graded(results, judgments).where(F.col("rank") <= k)
     got = first.groupBy("query_id").agg(F.sum(gain(F.col("grade"), F.col("rank"))).alias("dcg"), F.avg((F.col("grade") >= 1).cast("double")).alias("precision"))
     ideal = ideal_dcg(last_judgments(judgments), k)
@@ -41,12 +43,14 @@ def label_precision(results: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def confusion(pairs: DataFrame, values: list) -> DataFrame:
-    """Counts of (true, predicted) with a column for each value, zero-filled."""
+    """Counts of (true, predicted) with a column for each value, zero-filled; other values aren't counted, a null true
+    value is a row of its own."""
     return pairs.groupBy("true").pivot("predicted", values).count().na.fill(0)
 
 
 def against_targets(scores: DataFrame, targets: DataFrame, other: float = OTHER_TARGET) -> DataFrame:
-    """Scores (category, score) with their target, PASS or FAIL, and what to do about a failure."""
+    """Scores (category, score) with their target, PASS (also at the target) or FAIL, and what to do about a failure; a
+    category without a target, or a null one, has ``other``; a null score fails."""
     advice = F.when(F.col("category") == "ghazal", "raise the vocal weight").when(F.col("category") == "party", "raise the rhythmic weight").when(F.col("category") == "sufi", "raise the melodic weight").otherwise("inspect the cluster")
     both = scores.join(targets, "category", "left").withColumn("target", F.coalesce("target", F.lit(other)))
     return both.withColumn("verdict", F.when(F.col("score") >= F.col("target"), "PASS").otherwise("FAIL")).withColumn("advice", F.when(F.col("score") < F.col("target"), advice))

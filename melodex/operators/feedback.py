@@ -15,7 +15,9 @@ def gathered(cells: DataFrame, *keys: str) -> DataFrame:
 
 
 def centroids(members: DataFrame, *keys: str) -> DataFrame:
-    """Mean of the vectors of each key, to length one; averaged by position, so that no group is ever gathered."""
+    """Mean of the vectors of each key, to length one; averaged by position, so that no group is ever gathered.
+
+    Null vectors and components don't count; keys without a vector have no row; a mean of tiny norm stays as it is."""
     cells = members.select(*keys, F.posexplode("vec").alias("pos", "value"))
     mean = cells.groupBy(*keys, "pos").agg(F.avg(F.col("value").cast("double")).alias("value"))
     return gathered(mean, *keys).withColumn("vec", unit(F.col("vec")))
@@ -25,7 +27,8 @@ def rocchio(sessions: DataFrame, judged: DataFrame, alpha: float = ALPHA, beta:
     """session_id, vec: alpha * query + beta * mean of approved - gamma * mean of rejected, to length one.
 
     ``sessions`` has session_id and vec (the original query), ``judged`` session_id, verdict (approve or reject) and vec;
-    an event that repeats counts again.
+    an event that repeats counts again. Other verdicts and null vectors count for nothing; a session without events keeps
+    its query, at length one; events of unknown sessions are left out.
     """
     cells = judged.select("session_id", "verdict", F.posexplode("vec").alias("pos", "value"))
     mean = lambda v: F.coalesce(F.avg(F.when(F.col("verdict") == v, F.col("value").cast("double"))), F.lit(0.0))

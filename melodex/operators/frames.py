@@ -31,6 +31,7 @@ def forward_fill(v: Column) -> Column:
 
 
 def delta(v: Column) -> Column:
+    """The step from the frame before; null for the first one and beside nulls."""
     return v - F.lag(v).over(in_order())
 
 
@@ -40,7 +41,8 @@ def energy_ratio(a: Column, b: Column) -> Column:
 
 
 def glide_variance(frames: DataFrame) -> DataFrame:
-    """song_id, glide: population variance of the steps of the filled pitch over its mean; 0 under 10 frames."""
+    """song_id, glide: population variance of the steps of the filled pitch over its squared mean; 0 under 10 frames with
+    a pitch, and for songs without any."""
     filled = frames.withColumn("f", forward_fill(F.col("v"))).where("f > 0").withColumn("d", F.abs(delta(F.col("f"))))
     g = filled.groupBy("song_id").agg(F.count("*").alias("n"), F.avg("f").alias("m"), F.var_pop("d").alias("s"))
     return frames.select("song_id").distinct().join(g, "song_id", "left").select("song_id", F.when((F.col("n") >= 10) & (F.col("m") >= 1e-6), F.col("s") / (F.col("m") * F.col("m"))).otherwise(0.0).alias("glide"))
@@ -83,7 +85,8 @@ def _band_power(rate: float):
 
 
 def band_power_ratio(frames: DataFrame, rate: float = 86.0) -> DataFrame:
-    """song_id, ratio: share of the power of the voiced pitch's steps that lies in BAND."""
+    """song_id, ratio: share of the power of the voiced pitch's steps that lies in BAND; 0 under LEAST_FRAMES voiced frames
+    or without power. Songs without voiced frames: no rows. A song is one group, bounded by its length."""
     return frames.where("voiced").groupBy("song_id").applyInPandas(_band_power(rate), "song_id long, ratio double")
 
 
@@ -100,7 +103,8 @@ def loudest_window(frames: DataFrame, length: int, step: int, skip: int) -> Data
 
 
 def trim_edges(frames: DataFrame, skip: int, most: int, least: int) -> DataFrame:
-    """Frames without ``skip`` at either end and at most ``most``; all of them where too few would remain."""
+    """Frames without ``skip`` at either end and at most ``most``; all of them where fewer than ``least`` would remain.
+    Places count from zero without gaps."""
     n = F.count("*").over(Window.partitionBy("song_id"))
     inner = (F.col("i") >= skip) & (F.col("i") < F.col("n") - skip) & (F.col("i") < skip + most)
     return frames.withColumn("n", n).where(F.when(F.col("n") - 2 * skip >= least, inner).otherwise(F.lit(True))).drop("n")

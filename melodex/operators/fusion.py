@@ -16,7 +16,7 @@ def fusion_weights(lyrics_missing: Column, stem_failed: Column, clap_missing: Co
 
     Since they do, giving a group a new weight multiplies all others by one factor. First the category's audio weight,
     then a missing audio vector, then failed stems (vocal and rhythmic halve in favour of audio, or of vocal if audio is
-    missing), then missing lyrics.
+    missing), then missing lyrics. Flags aren't null; a null or unknown category has the base weights.
     """
     audio = F.lit(BASE["clap"])
     for name, w in CATEGORY_CLAP.items():
@@ -37,7 +37,8 @@ def fusion_weights(lyrics_missing: Column, stem_failed: Column, clap_missing: Co
 
 
 def fuse(groups: dict[str, Column], weights: dict[str, Column]) -> Column:
-    """Each group to length one, times its weight, one after another in the groups' order, to length one again."""
+    """Each group to length one, times its weight, one after another in the groups' order, to length one again. A group of
+    tiny norm stays as it is; a null group or weight makes the result null."""
     return unit(F.concat(*[scaled(unit(v), weights[k]) for k, v in groups.items()]))
 
 

@@ -96,21 +96,24 @@ def fuzzy_match(external: DataFrame, catalogue: DataFrame, blocks: bool = True,
 
 
 def flatten_similar(docs: DataFrame, column: str) -> DataFrame:
-    """Similar-track documents as rows title, artist, match (0 where missing or no number); malformed entries go."""
+    """Similar-track documents as rows title, artist, match (0 where missing or no number); entries without a title or an
+    artist go, and documents that are null, malformed, errors or empty."""
     d = docs.withColumn("d", F.from_json(column, SIMILAR)).where("d.error is null")
     t = d.withColumn("t", F.explode("d.similartracks.track")).drop("d")
     return t.select(*docs.columns, F.col("t.name").alias("title"), F.col("t.artist.name").alias("artist"), F.coalesce(F.col("t.match").try_cast("double"), F.lit(0.0)).alias("match")).where("title is not null and artist is not null")
 
 
 def claim_ids(claims: Column, prop: str) -> Column:
-    """Ids of a property's claims in order; malformed claims are skipped."""
+    """Ids of a property's claims in order; malformed claims are skipped. Null for null or malformed documents and for a
+    property that isn't there."""
     return F.filter(F.transform(F.from_json(claims, CLAIMS)[prop], lambda c: c.mainsnak.datavalue.value.id), lambda i: i.isNotNull())
 
 
 def build_judgments(similar: DataFrame, catalogue: DataFrame, least: int, blocks: bool = True) -> DataFrame:
     """anchor_id, song_id, grade from similar tracks (anchor_id, title, artist, match) found in the catalogue.
 
-    A track that is matched to its own anchor goes, as does grade 0; anchors need ``least`` judgments.
+    A track that is matched to its own anchor goes, as does grade 0; anchors need ``least`` judgments. Two tracks of an
+    anchor that match one song are two judgments. No matches: no rows.
     """
     m = fuzzy_match(similar, catalogue, blocks).select("title", "artist", "song_id")
     j = similar.join(m.hint("merge"), ["title", "artist"]).where("song_id <> anchor_id").withColumn("grade", grade_from_match(F.col("match"))).where("grade > 0")

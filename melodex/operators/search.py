@@ -88,7 +88,8 @@ def topk(queries: DataFrame, catalogue: DataFrame, k: int, skip_self: bool = Tru
 
 
 def ranked(found: DataFrame, k: int, *order: Column) -> DataFrame:
-    """The first K of each query, by score or by the order given."""
+    """The first K of each query, by score (ties by smaller song_id) or by the order given, which must leave no ties. Only
+    each task's first K of a query are shuffled."""
     by = order or (F.desc("score"), F.col("song_id"))
     w = Window.partitionBy("query_id").orderBy(*by)
     return found.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)

@@ -16,7 +16,8 @@ def segments(sequences: DataFrame, length: int, stride: Column, voiced: float =
     """Windows of ``tokens`` (id and what else is there) with start and share of voiced tokens.
 
     A sequence shorter than a window is padded with zeros if it has half its length. Windows below the voiced share go;
-    if that leaves none, the most voiced one stays. At most ``most`` a sequence, the first ones.
+    if that leaves none, the most voiced one stays, the first of equals. At most ``most`` a sequence, the first ones.
+    Null sequences and shorter ones than half a window have no rows. Ids are different.
     """
     n = F.size("tokens")
     cut = sequences.where(n >= length / 2).withColumn("start", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), n - length), stride.cast("int"))))
@@ -36,7 +37,8 @@ def draw(key: Column, seed: str = "7") -> Column:
 
 
 def group_split(files: DataFrame) -> DataFrame:
-    """split of each file (id, label): of a label with three files or more one is test, one is val; the rest train."""
+    """split of each file (id, label): of a label with three files or more one is test, one is val; the rest train, as do
+    files with a null label. Which ones follows from a hash of the id; ids are different."""
     w = Window.partitionBy("label").orderBy(draw(F.col("id")), "id")
     two = files.select("id", "label").withColumn("place", F.row_number().over(w)).where("place <= 2")
     many = files.groupBy("label").count().where("count >= 3").select("label")
@@ -45,33 +47,35 @@ def group_split(files: DataFrame) -> DataFrame:
 
 
 def cap_per_class(rows: DataFrame, most: int) -> DataFrame:
-    """A seeded sample of at most ``most`` rows (id) of each label."""
+    """A seeded sample of at most ``most`` rows (id) of each label, a null label being one; ties by id."""
     w = Window.partitionBy("label").orderBy(draw(F.col("id")), "id")
     return rows.withColumn("place", F.row_number().over(w)).where(F.col("place") <= most).drop("place")
 
 
 def mask_spans(tokens: Column, key: Column, spans: int, width: int, fill: Column, seed: int = 7) -> Column:
-    """Tokens with ``spans`` random spans of at most ``width`` filled; the spans follow from the key."""
+    """Tokens with ``spans`` random spans of at most ``width`` filled; the spans follow from the key, may overlap and end
+    with the tokens. Null tokens stay null, empty ones empty."""
     n = F.greatest(F.size(tokens), F.lit(1))
     cuts = F.transform(F.sequence(F.lit(1), F.lit(spans)), lambda k: F.struct(F.pmod(F.xxhash64(key, k, F.lit(seed)), n).alias("a"), (F.pmod(F.xxhash64(key, k, F.lit(seed + 1)), F.lit(width)) + 1).alias("w")))
     return F.transform(tokens, lambda x, i: F.when(F.exists(cuts, lambda c: (i >= c.a) & (i < c.a + c.w)), fill).otherwise(x))
 
 
 def priors_weights(rows: DataFrame) -> DataFrame:
-    """label, prior (share of the rows) and weight (rows / (labels * its rows))."""
+    """label, prior (share of the rows) and weight (rows / (labels * its rows)); a null label is one. No rows: none."""
     counts = rows.groupBy("label").agg(F.count("*").alias("n"))
     total = counts.agg(F.sum("n").alias("all"), F.count("*").alias("labels"))
     return counts.crossJoin(total).select("label", (F.col("n") / F.col("all")).alias("prior"), (F.col("all") / (F.col("labels") * F.col("n"))).alias("weight"))
 
 
 def majority_vote(predictions: DataFrame) -> DataFrame:
-    """file, vote: the most frequent prediction; the lowest of equals."""
+    """file, vote: the most frequent prediction; the lowest of equals. A null prediction wins only where it is frequenter."""
     c = predictions.groupBy("file", "pred").count()
     return c.groupBy("file").agg(F.max_by("pred", F.struct("count", -F.col("pred"))).alias("vote"))
 
 
 def accuracy_report(predictions: DataFrame) -> DataFrame:
-    """label (null for all), segments, accuracy of segments, files, accuracy of files by vote."""
+    """label (null for all), segments, accuracy of segments, files, accuracy of files by vote. Labels aren't null; null
+    predictions count as segments, but not in the accuracy. A file has one label."""
     seg = predictions.rollup("label").agg(F.count("*").alias("segments"), F.avg((F.col("pred") == F.col("label")).cast("double")).alias("seg_acc"))
     files = majority_vote(predictions).join(predictions.select("file", "label").distinct(), "file")
     file = files.rollup("label").agg(F.count("*").alias("files"), F.avg((F.col("vote") == F.col("label")).cast("double")).alias("file_acc"))

@@ -69,6 +69,19 @@ def pitch_histogram(frames: DataFrame, chroma: DataFrame | None = None, least: i
     return by.select("song_id", F.when(F.col("n") >= least, own).otherwise(other).alias("vec"))
 
 
+def _spectrum(rows: pd.DataFrame) -> pd.DataFrame:
+    v = rows.sort_values("i")["v"].to_numpy(dtype=float)
+    found = np.abs(np.fft.rfft(np.diff(v))) if len(v) >= LEAST_FRAMES else np.zeros(0)
+    return pd.DataFrame({"song_id": rows["song_id"].iloc[0], "bin": np.arange(len(found)), "magnitude": found})
+
+
+def spectrum(frames: DataFrame) -> DataFrame:
+    """song_id, bin, magnitude of the voiced pitch's steps; no rows for songs under LEAST_FRAMES voiced frames.
+
+    A song is one group, bounded by its length."""
+    return frames.where("voiced").groupBy("song_id").applyInPandas(_spectrum, "song_id long, bin long, magnitude double")
+
+
 def _band_power(rate: float):
     def of(rows: pd.DataFrame) -> pd.DataFrame:
         v = rows.sort_values("i")["v"].to_numpy(dtype=float)

@@ -52,11 +52,16 @@ def cap_per_class(rows: DataFrame, most: int) -> DataFrame:
     return rows.withColumn("place", F.row_number().over(w)).where(F.col("place") <= most).drop("place")
 
 
+def _number(key: Column, k: Column, seed: int) -> Column:
+    """A 32-bit number that follows from a key, a place and a seed, the same in any engine that has md5."""
+    return F.conv(F.substring(F.md5(F.concat(key.cast("string"), F.lit(":"), k.cast("string"), F.lit(f":{seed}"))), 1, 8), 16, 10).cast("long")
+
+
 def mask_spans(tokens: Column, key: Column, spans: int, width: int, fill: Column, seed: int = 7) -> Column:
     """Tokens with ``spans`` random spans of at most ``width`` filled; the spans follow from the key, may overlap and end
     with the tokens. Null tokens stay null, empty ones empty."""
     n = F.greatest(F.size(tokens), F.lit(1))
-    cuts = F.transform(F.sequence(F.lit(1), F.lit(spans)), lambda k: F.struct(F.pmod(F.xxhash64(key, k, F.lit(seed)), n).alias("a"), (F.pmod(F.xxhash64(key, k, F.lit(seed + 1)), F.lit(width)) + 1).alias("w")))
+    cuts = F.transform(F.sequence(F.lit(1), F.lit(spans)), lambda k: F.struct((_number(key, k, seed) % n).alias("a"), (_number(key, k, seed + 1) % width + 1).alias("w")))
     return F.transform(tokens, lambda x, i: F.when(F.exists(cuts, lambda c: (i >= c.a) & (i < c.a + c.w)), fill).otherwise(x))
 
 

@@ -4,12 +4,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from melodex.functions.text import normalise_text
+from melodex.functions.vectors import cosine
 from melodex.operators import ann, linkage, search
 from melodex.sources.scratch import scratch, stored
 from melodex.streaming import jobs
 
 from .registry import query, table
-from .similarity import CELLS, as_queries, vecs
+from .similarity import CELLS, RANKED, as_queries, vecs
 
 # The external list: each different name and brand, misspelt.
 EXT = "cat AS (SELECT lower(p_name) AS title, regexp_replace(lower(p_brand),'[^a-z0-9 ]','','g') AS artist, min(p_partkey) AS song_id FROM part GROUP BY ALL), ext AS (SELECT DISTINCT replace(title,'e','a') AS title, artist||'x' AS artist FROM cat WHERE song_id%3=0)"
@@ -74,7 +75,19 @@ def extract_claims(spark, d):
     return e.select("event_id", F.array_join(linkage.claim_ids(F.col("claims"), "P86"), ",").alias("composers"), (F.size(linkage.claim_ids(F.col("claims"), "P577")) > 0).alias("dated"))
 
 
-@query()
+@query("SELECT p_partkey, round(2.0*length(p_name)/(2*length(p_name)+1+length(p_brand)),9)::DOUBLE AS whole, CASE WHEN p_partkey%2=0 THEN 0.25 ELSE 0.5 END::DOUBLE AS part FROM part")
+def sequence_ratio_udf(spark, d):
+    """The ratio by its name in SQL: of a name and itself with its brand after it, and of texts whose order matters."""
+    spark.udf.register("sequence_ratio", linkage.sequence_ratio())
+    p = table(spark, d, "part").selectExpr("p_partkey", "p_name", "concat(p_name, '#', p_brand) AS longer", "IF(p_partkey % 2 = 0, 'tide', 'diet') AS a", "IF(p_partkey % 2 = 0, 'diet', 'tide') AS b")
+    return p.selectExpr("p_partkey", "round(sequence_ratio(p_name, longer), 9) AS whole", "sequence_ratio(a, b) AS part")
+
+
+# While there are no more cells than are probed (below 4096 vectors), cells find what exact search finds.
+EVERY = "SELECT query_id, rank, song_id, round(score,6) AS score FROM ranked WHERE rank<=10 AND query_id%{every}=0"
+
+
+@query(f"{RANKED} {EVERY.format(every=10)}")
 def ivf_topk(spark, d):
     v = vecs(spark, d)
     return ann.ivf_topk(as_queries(v.where("song_id % 10 = 0")), v, 10).select("query_id", "rank", "song_id", F.round("score", 6).alias("score"))
@@ -86,7 +99,7 @@ def pq_topk(spark, d):
     return ann.pq_topk(as_queries(v.where("song_id % 50 = 0")), v, 10).select("query_id", "rank", "song_id", F.round("score", 6).alias("score"))
 
 
-@query()
+@query(f"{RANKED} {EVERY.format(every=50)}")
 def index_choice(spark, d):
     v = vecs(spark, d)
     return ann.indexed_topk(as_queries(v.where("song_id % 50 = 0")), v, 10).select("query_id", "rank", "song_id", F.round("score", 6).alias("score"))
@@ -120,6 +133,16 @@ def pca_project(spark, d):
     return ann.pca_project(v, scaler, pca)
 
 
+@query("WITH m AS (SELECT i, avg(embedding[i]::DOUBLE) AS a FROM embeddings, unnest(generate_series(1,64)) u(i) GROUP BY i), c AS (SELECT vec_id, list(embedding[i]::DOUBLE-a ORDER BY i) AS v FROM embeddings, m GROUP BY vec_id) SELECT x.vec_id AS song_id, round(list_cosine_similarity(x.v, y.v),5)+0 AS cosine FROM c x JOIN c y ON y.vec_id=x.vec_id+1")
+def pca_angles(spark, d):
+    """With as many components as places nothing is lost: neighbours' cosines are those of the centred vectors."""
+    v = vecs(spark, d)
+    scaler, pca, _ = ann.pca_fit(v, 64)
+    p = stored(ann.pca_project(v, scaler, pca).select("song_id", "vec"))
+    other = p.select((F.col("song_id") - 1).alias("song_id"), F.col("vec").alias("other"))
+    return p.join(other.hint("merge"), "song_id").select("song_id", (F.round(cosine(F.col("vec"), F.col("other")), 5) + 0).alias("cosine"))
+
+
 @query("SELECT vec_id AS song_id, label, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)),4) AS total FROM embeddings")
 def stream_index_append(spark, d):
     """Vectors arrive in files, a third of them twice; after the stream has drained, each is there once."""
@@ -134,7 +157,7 @@ def stream_index_append(spark, d):
 RESET = f"{CELLS}, jd AS (SELECT user_id AS session_id, event_id AS seq, CASE WHEN event_id%40=7 THEN 'reset' WHEN event_id%40=8 THEN 'skip' WHEN event_type='purchase' THEN 'approve' ELSE 'reject' END AS verdict, event_id%500 AS song_id FROM events WHERE event_type IN ('purchase','error')), jv AS (SELECT * FROM jd WHERE song_id IN (SELECT vec_id FROM embeddings) AND session_id%500 IN (SELECT vec_id FROM embeddings)), rs AS (SELECT session_id, max(seq) AS r FROM jv WHERE verdict='reset' GROUP BY ALL), b AS (SELECT session_id, pos, x FROM (SELECT DISTINCT session_id FROM jv) JOIN cells ON vec_id=session_id%500), g AS (SELECT session_id, pos, 0.75*coalesce(avg(x) FILTER (verdict='approve'),0)-0.25*coalesce(avg(x) FILTER (verdict='reject'),0) AS y FROM jv LEFT JOIN rs USING (session_id) JOIN cells ON vec_id=song_id WHERE seq>coalesce(r,-1) GROUP BY ALL), q AS (SELECT session_id, pos, x+coalesce(y,0) AS z FROM b LEFT JOIN g USING (session_id,pos)), nn AS (SELECT session_id, sqrt(sum(z*z)) AS n FROM q GROUP BY session_id)"
 
 
-@query(f"WITH {RESET} SELECT session_id, pos, round(z/n,5) AS value FROM q JOIN nn USING (session_id)")
+@query(f"WITH {RESET} SELECT session_id, pos, round(z/n,5)+0 AS value FROM q JOIN nn USING (session_id)")
 def stream_feedback(spark, d):
     """Adjusted queries after the stream has drained: events in two loads, with resets and verdicts that mean nothing."""
     v = vecs(spark, d)
@@ -151,4 +174,4 @@ def stream_feedback(spark, d):
         part.write.mode("append").parquet(src)
         jobs.feedback_stream(spark, src, rows.schema, out, checkpoint)
     last = jobs.latest(spark.read.schema("session_id long, seen long, vec array<double>").parquet(out))
-    return last.select("session_id", F.posexplode("vec").alias("pos", "value")).select("session_id", (F.col("pos") + 1).cast("long").alias("pos"), F.round("value", 5).alias("value"))
+    return last.select("session_id", F.posexplode("vec").alias("pos", "value")).select("session_id", (F.col("pos") + 1).cast("long").alias("pos"), (F.round("value", 5) + 0).alias("value"))

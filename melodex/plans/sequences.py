@@ -69,10 +69,17 @@ def pitch_histogram(spark, d):
     return h.select("song_id", F.col("bin").cast("long").alias("bin"), (F.round("value", 6) + 0).alias("value"))
 
 
-@query()
+SPECTRUM = f"{FR}, vv AS (SELECT song_id, v, row_number() OVER (PARTITION BY song_id ORDER BY i) AS j, count(*) OVER (PARTITION BY song_id)-1 AS n FROM fr WHERE voiced), df AS (SELECT song_id, j-2 AS j, n, v-lag(v) OVER (PARTITION BY song_id ORDER BY j) AS d FROM vv), sp AS (SELECT song_id, n, k, sqrt(power(sum(d*cos(2*pi()*k*j/n)),2)+power(sum(d*sin(2*pi()*k*j/n)),2)) AS m FROM df, unnest(generate_series(0,n//2)) u(k) WHERE d IS NOT NULL AND n>=31 GROUP BY ALL)"
+
+
+@query(f"WITH {SPECTRUM}, pw AS (SELECT song_id, sum(m*m) AS t, coalesce(sum(m*m) FILTER (k*86.0/n BETWEEN 5 AND 15),0) AS b FROM sp GROUP BY song_id) SELECT song_id, round(CASE WHEN t>1e-12 THEN b/t ELSE 0 END,6)::DOUBLE AS ratio FROM (SELECT DISTINCT song_id FROM vv) LEFT JOIN pw USING (song_id)")
 def band_power_ratio(spark, d):
-    """A spectrum for each song: no SQL; held against a direct transform in the tests."""
-    return R.band_power_ratio(fr(spark, d)).withColumn("ratio", F.round("ratio", 9))
+    return R.band_power_ratio(fr(spark, d)).withColumn("ratio", F.round("ratio", 6))
+
+
+@query(f"WITH {SPECTRUM} SELECT song_id, k AS bin, round(m,4) AS magnitude FROM sp")
+def spectral_udf(spark, d):
+    return R.spectrum(fr(spark, d)).withColumn("magnitude", F.round("magnitude", 4))
 
 
 @query(f"WITH {FR}, n AS (SELECT song_id, count(*) AS n FROM fr GROUP BY song_id), c AS (SELECT song_id, s FROM n, unnest(generate_series(10, greatest(n-15,9), 5)) u(s)), p AS (SELECT c.song_id, s, round(sqrt(avg(v*v)),9) AS rms FROM c JOIN fr ON fr.song_id=c.song_id AND i>=s AND i<s+15 GROUP BY ALL), b AS (SELECT song_id, s FROM p QUALIFY row_number() OVER (PARTITION BY song_id ORDER BY rms DESC, s)=1) SELECT song_id, coalesce(s,0) AS start FROM n LEFT JOIN b USING (song_id)")
@@ -199,9 +206,11 @@ def union_splits(spark, d):
     return f.where(m < 8).withColumn("split", F.lit("train")).unionByName(f.where(m == 8).withColumn("split", F.lit("val"))).unionByName(f.where(m == 9).withColumn("split", F.lit("test")))
 
 
-@query()
+HASHED = "('0x'||substr(md5(id||':'||k||':{seed}'),1,8))::BIGINT"
+
+
+@query(f"WITH {TOK}, cu AS (SELECT id, {HASHED.format(seed=7)} % greatest(len(tokens),1) AS a, {HASHED.format(seed=8)} % 10 + 1 AS w FROM tk, unnest([1,2,3]) u(k)), ct AS (SELECT id, list({{'a': a, 'w': w}}) AS cuts FROM cu GROUP BY id) SELECT id, array_to_string(list_transform(range(len(tokens)), lambda i: CASE WHEN len(list_filter(cuts, lambda c: i>=c.a AND i<c.a+c.w))>0 THEN 0 ELSE tokens[i+1] END),',') AS tokens FROM tk JOIN ct USING (id)")
 def mask_spans(spark, d):
-    """Spans follow from Spark's hash: no SQL; the tests hold lengths, determinism and what is filled."""
     t = tokens(spark, d)
     return t.select("id", F.array_join(Q.mask_spans(F.col("tokens"), F.col("id"), 3, 10, F.lit(0)).cast("array<string>"), ",").alias("tokens"))
 

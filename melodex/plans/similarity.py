@@ -150,6 +150,18 @@ def rerank_score(spark, d):
     return both.select("query_id", "song_id", F.round(rerank.rerank_score(a, c, w), 6).alias("delta"))
 
 
+@query(SIGNAL_SQL + f"round(0.3*(CASE WHEN substr(aa,7,1)=substr(ca,7,1) THEN 1 ELSE 0 END)+0.1*({SIGNALS_SQL['sig_tempo']}),6)::DOUBLE AS delta FROM j")
+def signal_registry(spark, d):
+    """A signal that a user adds by name (artists of one maker), weighed with a given one, and taken out again."""
+    rerank.signal("maker")(lambda a, c: F.coalesce((F.substring(a["artist"], 7, 1) == F.substring(c["artist"], 7, 1)).cast("double"), F.lit(0.0)))
+    try:
+        v = vecs(spark, d)
+        both, a, c = _contexts(spark, d, search.topk(as_queries(v), v, 5))
+        return both.select("query_id", "song_id", F.round(rerank.rerank_score(a, c, {"maker": 0.3, "tempo": 0.1}), 6).alias("delta"))
+    finally:
+        del rerank.SIGNALS["maker"]
+
+
 @query(SIGNAL_SQL + "aa AS a_artist, ca AS c_artist, ta AS a_tempo, tc AS c_tempo FROM j")
 def pair_context(spark, d):
     v = vecs(spark, d)

@@ -10,6 +10,7 @@ are alike to the end share one path, however many they are. Tokens are code poin
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from itertools import groupby
 
@@ -21,8 +22,9 @@ from .common import written
 
 #: Conversations that one pack holds at most, unless they are all the same.
 TOGETHER = 64
-#: Rows of whole packs that a group of the packing holds, about; conversations under one cut that are dealt into packs in a row.
-BIN, IN_A_ROW = 2000, 2048
+#: Rows and characters of whole packs that a group of the packing holds, about; conversations under one cut that are dealt
+#: into packs in a row.
+BIN, BIN_CHARS, IN_A_ROW = 2000, 2_000_000, 2048
 
 # The template.
 OPEN, COLON, CLOSE, OTHER = "### ", ": ", " </turn>\n", "@"
@@ -116,8 +118,9 @@ def _packed(nodes: pd.DataFrame) -> pd.DataFrame:
 
 
 def _by_bins(rows: DataFrame):
-    """Rows grouped so that whole packs come together, about BIN rows at a time."""
-    bins = max(1, rows.count() // BIN)
+    """Rows grouped so that whole packs come together, about BIN rows and BIN_CHARS characters at a time at most."""
+    n, chars = rows.agg(F.count("*"), F.sum(F.length("text"))).first()
+    bins = max(1, n // BIN, (chars or 0) // BIN_CHARS)
     return rows.withColumn("bin", F.pmod(F.xxhash64("pack"), F.lit(bins))).groupBy("bin")
 
 
@@ -186,6 +189,11 @@ def pack(conversations: DataFrame, together: int = TOGETHER) -> tuple[DataFrame,
     return _by_bins(nodes).applyInPandas(_packed, _SEGMENT), members
 
 
+def repeats(segments: DataFrame) -> DataFrame:
+    """node, packs, repeated: nodes that several packs hold, and the characters that their text takes beyond the first."""
+    return segments.groupBy("node").agg(F.count("*").alias("packs"), ((F.count("*") - 1) * F.max("length")).alias("repeated")).where("packs > 1")
+
+
 _READ = "pack string, leaf string, turns array<struct<role: string, text: string>>, loss_text string, formatted_chars long"
 
 
@@ -197,11 +205,13 @@ def _read(segments: pd.DataFrame) -> pd.DataFrame:
         rows = list(group)
         whole = "".join(r.text for r in rows)
         losses = sorted((int(r.loss["start"]), int(r.loss["end"])) for r in rows if r.loss is not None)
+        starts = [a for a, _ in losses]
         for r in rows:
             if r.ends:
                 spans = [(int(x["start"]), int(x["end"])) for x in r.intervals]
                 formatted = "".join(whole[a:b] for a, b in spans)
-                said = "".join(unescape(whole[a:b]) for a, b in losses if any(x <= a and b <= y for x, y in spans))
+                inside = (losses[bisect_left(starts, x) : bisect_left(starts, y)] for x, y in spans)
+                said = "".join(unescape(whole[a:b]) for some in inside for a, b in some)
                 out.append((name, r.node, [{"role": a, "text": b} for a, b in parse(formatted)], said, len(formatted)))
     return pd.DataFrame(out, columns=["pack", "leaf", "turns", "loss_text", "formatted_chars"])
 

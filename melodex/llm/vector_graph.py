@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import spread_join, written
 from .components import components, with_least
 
 #: Least cosine of a link; how much wider the walk's range is; neighbours that pruning keeps, and that a search sees at
@@ -27,6 +27,8 @@ LEAST, SLACK, DEGREE, SEEN, NEAREST, RANDOM, BEAM = 0.9, 0.15, 12, 24, 24, 8, 3
 SHARD, TASK, CENTROIDS, EACH, TOGETHER = 400, 4000, 4096, 8, 50_000
 #: Shards of a vector at first and at most; audited vectors; recall asked for, and the least that is accepted.
 OVERLAP, MOST_OVERLAP, AUDITED, GOAL, ACCEPTED = 3, 12, 1024, 0.99, 0.9
+#: Vectors with many copies that are broadcast at most.
+HOT_VECTORS = 1000
 _ALPHA, _BLOCK, _SEED, _ROUNDING = 2.0, 256, 5, 1e-4
 
 
@@ -376,8 +378,9 @@ def near_duplicates(embeddings: DataFrame, overlap: int = OVERLAP, shard: int =
     of = written(
         groups.join(counted.hint("merge"), "node", "left")
         .join(joined.hint("merge"), "node", "left")
-        .select("embedding", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component_id", "rep").alias("component_id"))
+        .select("embedding", F.col("copies").alias("n"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component_id", "rep").alias("component_id"))
     )
-    done = rows.where("embedding is not null").join(of.hint("merge"), "embedding").select("vec_id", "n_links", "component_id")
+    total = of.agg(F.sum("n")).first()[0]
+    done = spread_join(rows.where("embedding is not null"), of, "embedding", total, "vec_id", keys=HOT_VECTORS).select("vec_id", "n_links", "component_id")
     alone = rows.where("embedding is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return done.unionByName(alone).select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept"), F.lit(float(recall)).alias("recall"))

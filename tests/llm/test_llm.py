@@ -436,6 +436,8 @@ def test_chat_tree_fills_packs(spark):
     segments, members = chat_tree.pack(df)
     assert segments.where(F.col("text") == chat_tree.segment("user", "common")).count() <= -(-1001 // 64)
     assert segments.where("depth = 2").groupBy("pack").count().agg(F.max("count")).first()[0] <= 64
+    again = chat_tree.repeats(segments).collect()
+    assert len(again) == 1 and again[0].packs <= -(-1001 // 64) and again[0].repeated == (again[0].packs - 1) * len(chat_tree.segment("user", "common"))
     assert members.count() == chat_tree.digests(df).count() == 1100
 
 
@@ -664,6 +666,7 @@ def test_very_long_texts(spark):
     assert got[1].n_words == got[1].n_hit == 5 * 210_000 and got[2].n_hit == 0
     assert {r.doc_id: r.fingerprint for r in simhash.near_duplicates(df).collect()}[1] == f"{brute_fingerprint(long):016x}"
     talk = spark.createDataFrame([(1, 0, "user", "hi"), (1, 1, "assistant", long)], "conv_id long, turn long, role string, text string")
+    talk = talk.withColumns({c: F.lit("clash") for c in ("pack", "node", "parent", "unit", "cut", "last", "n_turns", "ends")})
     assert chat_tree.digests(talk).first().loss_sha256 == hashlib.sha256(long.encode()).hexdigest()
 
 

@@ -117,7 +117,7 @@ def _blocks(tokens: int, size: int):
 def _counted(baskets: DataFrame, sets: DataFrame, tokens: int) -> DataFrame:
     """``sets`` (items, label) with how many whole transactions have all of each."""
     n = F.size("items")
-    combos = F.array(*[F.lit(None).cast("array<string>")][:0]).cast("array<array<string>>")
+    combos = F.array().cast("array<array<string>>")
     for k in range(1, tokens + 1):
         grown = F.transform("items", lambda x: F.array(x))
         for _ in range(k - 1):

@@ -15,6 +15,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from .common import spread_join, written
 from .components import components, with_least
@@ -32,9 +33,9 @@ HOT_VECTORS = 1000
 _ALPHA, _BLOCK, _SEED, _ROUNDING = 2.0, 256, 5, 1e-4
 
 
-def unit(vectors: list) -> np.ndarray:
+def unit(vectors) -> np.ndarray:
     """Rows of length one, in double precision."""
-    x = np.stack([np.asarray(v, dtype=np.float64) for v in vectors])
+    x = np.asarray(vectors, dtype=np.float64)
     x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
@@ -188,25 +189,26 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 _ITEM = "node long, copies long, vec binary, shards array<long>"
 
 
-def _matrix(rows: pd.DataFrame) -> np.ndarray:
-    return np.frombuffer(b"".join(map(bytes, rows["vec"])), dtype="<f8").reshape(len(rows), -1)
+def _matrix(rows: pd.DataFrame, kind: str) -> np.ndarray:
+    """Rows of length one in double precision, from components of the given kind."""
+    return unit(np.frombuffer(b"".join(map(bytes, rows["vec"])), dtype=kind).reshape(len(rows), -1))
 
 
-def _graph(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+def _graph(key: tuple, rows: pd.DataFrame, kind: str) -> pd.DataFrame:
     """Adjacency lists by node of one task."""
     rows = rows.sort_values("node")
     node = rows["node"].to_numpy()
-    adj = build(_matrix(rows))
+    adj = build(_matrix(rows, kind))
     return pd.DataFrame({"node": node, "near": [node[r[r >= 0]] for r in adj]})
 
 
-def _found(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+def _found(key: tuple, rows: pd.DataFrame, near: pd.DataFrame, kind: str) -> pd.DataFrame:
     """Links (weighted by copies) that count in this task, and the smallest node reached here, by node."""
     shard, low, high = key
     rows = rows.sort_values("node")
     node, copies, block = rows["node"].to_numpy(), rows["copies"].to_numpy(), rows["block"].to_numpy()
-    x, n = _matrix(rows), len(rows)
-    lists = [np.asarray(r) for r in rows["near"]]
+    x, n = _matrix(rows, kind), len(rows)
+    lists = [np.asarray(r) for r in near.sort_values("node")["near"]]  # one for each row
     flat, owner = np.concatenate(lists), np.repeat(np.arange(n), [len(r) for r in lists])
     at = np.minimum(np.searchsorted(node, flat), n - 1)
     here = node[at] == flat  # of the united lists, what lies in this task
@@ -229,18 +231,18 @@ def _nearest(x: np.ndarray, c: np.ndarray, k: int) -> np.ndarray:
     return np.take_along_axis(top, np.argsort(-np.take_along_axis(near, top, axis=1), axis=1, kind="stable"), axis=1)
 
 
-def _assign(items: DataFrame, centroids, overlap: int) -> DataFrame:
+def _assign(items: DataFrame, centroids, overlap: int, kind: str) -> DataFrame:
     """Items with the shards of their nearest centroids (of their own length), the nearest first."""
 
     def of(batches):
         for rows in batches:
-            size = rows["vec"].map(len).to_numpy() // 8
+            size = rows["vec"].map(len).to_numpy() // np.dtype(kind).itemsize
             shards: list = [None] * len(rows)
             for d in np.unique(size):
                 first, c = centroids.value[int(d)]
                 pick = np.flatnonzero(size == d)
                 k = min(overlap, len(c))
-                top = _nearest(_matrix(rows.iloc[pick]), c, k) + first
+                top = _nearest(_matrix(rows.iloc[pick], kind), c, k) + first
                 for i, t in zip(pick.tolist(), np.pad(top, ((0, 0), (0, overlap - k)), mode="edge")):
                     shards[i] = t
             yield rows.assign(shards=shards)
@@ -248,7 +250,7 @@ def _assign(items: DataFrame, centroids, overlap: int) -> DataFrame:
     return items.mapInPandas(of, _ITEM)
 
 
-def _assign_below(cells: DataFrame, overlap: int, shard: int) -> DataFrame:
+def _assign_below(cells: DataFrame, overlap: int, shard: int, kind: str) -> DataFrame:
     """Items that came with their nearest ``shards``, as cells that hold too many: cut further by centroids below them.
 
     Each cell's centroids are learnt in a task from a bounded sample of it. A vector takes the nearest of those below all
@@ -261,7 +263,7 @@ def _assign_below(cells: DataFrame, overlap: int, shard: int) -> DataFrame:
     sample = spread.join(F.broadcast(sizes), "cell").withColumn("k", want).where(spin * F.col("n") < 2 * EACH * F.col("k")).select("cell", "k", "vec")
 
     def learnt(rows: pd.DataFrame) -> pd.DataFrame:
-        c = learn_centroids(_matrix(rows), int(rows["k"].iloc[0]))
+        c = learn_centroids(_matrix(rows, kind), int(rows["k"].iloc[0]))
         return pd.DataFrame({"cell": [rows["cell"].iloc[0]], "c": [c.astype("<f8").tobytes()], "number": [len(c)]})
 
     below = written(sample.groupBy("cell").applyInPandas(learnt, "cell long, c binary, number long"))
@@ -272,7 +274,7 @@ def _assign_below(cells: DataFrame, overlap: int, shard: int) -> DataFrame:
     def of(rows: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         if not len(rows) or not len(c):
             return pd.DataFrame({"node": [], "near": [], "shard": []}).astype({"node": "int64", "near": "float64", "shard": "int64"})
-        x = _matrix(rows)
+        x = _matrix(rows, kind)
         c_ = np.frombuffer(bytes(c["c"].iloc[0]), dtype="<f8").reshape(-1, x.shape[1])
         k = min(overlap, len(c_))
         top = _nearest(x, c_, k)
@@ -285,11 +287,11 @@ def _assign_below(cells: DataFrame, overlap: int, shard: int) -> DataFrame:
     return cells.drop("shards").join(written(ranked.select("node", padded.alias("shards"))).hint("merge"), "node")
 
 
-def _links(items: DataFrame, centroids, overlap: int, deep: bool, shard: int) -> DataFrame:
+def _links(items: DataFrame, centroids, overlap: int, deep: bool, shard: int, kind: str) -> DataFrame:
     """(node, links, root) summed over tasks: links weighted by copies, and component edges."""
-    assigned = _assign(items, centroids, overlap)
+    assigned = _assign(items, centroids, overlap, kind)
     if deep:
-        assigned = _assign_below(written(assigned), overlap, shard)
+        assigned = _assign_below(written(assigned), overlap, shard, kind)
     placed = written(assigned.withColumn("shard", F.explode(F.array_distinct("shards"))))
     large = written(placed.groupBy("shard").count().where(F.col("count") > TASK).select("shard", F.expr(f"cast(ceil(count / {TASK // 2}) as int)").alias("blocks")))
     few = large.count() <= 100_000
@@ -301,20 +303,22 @@ def _links(items: DataFrame, centroids, overlap: int, deep: bool, shard: int) ->
         .select("node", "copies", "vec", "shards", "shard", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
     )
     keys = ["shard", "low", "high"]
-    lists = tasks.select(*keys, "node", "vec").groupBy(*keys).applyInPandas(_graph, "node long, near array<long>")
+    lists = tasks.select(*keys, "node", "vec").groupBy(*keys).applyInPandas(lambda key, rows: _graph(key, rows, kind), "node long, near array<long>")
     united = written(lists.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")))
-    ready = tasks.join(united.hint("merge"), "node")
-    return written(ready.groupBy(*keys).applyInPandas(_found, "node long, links long, root long"))
+    # The lists go to the tasks, so that the vectors needn't be shuffled to the lists.
+    near = tasks.select(F.col("node").alias("node"), *[F.col(k).alias(f"to_{k}") for k in keys]).join(united.hint("merge"), "node")
+    both = tasks.groupBy(*keys).cogroup(near.groupBy(*[f"to_{k}" for k in keys]))
+    return written(both.applyInPandas(lambda key, rows, near: _found(key, rows, near, kind), "node long, links long, root long"))
 
 
-def _recall(items: DataFrame, found: DataFrame) -> float:
+def _recall(items: DataFrame, found: DataFrame, kind: str) -> float:
     """Recall of a bounded sample of vectors against brute force over all items: the lesser of the share of their true
     links that were found, and the mean share of the vectors that have links other than copies."""
     n = max(1, items.count())
     drawn = items.where(F.pmod(F.xxhash64("node", F.lit(_SEED)), F.lit(1 << 30)) < int(min(1, AUDITED / n) * (1 << 30)) + 1).limit(2 * AUDITED).select("node", "vec").toPandas()
     if not len(drawn):
         return 1.0
-    shared = items.sparkSession.sparkContext.broadcast({d: (g["node"].to_numpy(), _matrix(g)) for d, g in drawn.groupby(drawn["vec"].map(len))})
+    shared = items.sparkSession.sparkContext.broadcast({d: (g["node"].to_numpy(), _matrix(g, kind)) for d, g in drawn.groupby(drawn["vec"].map(len))})
 
     def count(batches):
         for rows in batches:
@@ -322,7 +326,7 @@ def _recall(items: DataFrame, found: DataFrame) -> float:
             for d, g in rows.groupby(rows["vec"].map(len)):
                 if d in shared.value:
                     ids, q = shared.value[d]
-                    near = (_matrix(g) @ q.T >= LEAST) & (g["node"].to_numpy()[:, None] != ids)
+                    near = (_matrix(g, kind) @ q.T >= LEAST) & (g["node"].to_numpy()[:, None] != ids)
                     out.append(pd.DataFrame({"node": ids, "true": (near * g["copies"].to_numpy()[:, None]).sum(axis=0)}))
             yield pd.concat(out) if out else pd.DataFrame({"node": [], "true": []}).astype("int64")
 
@@ -347,26 +351,29 @@ def near_duplicates(embeddings: DataFrame, overlap: int = OVERLAP, shard: int =
     rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.when(sound, F.col("embedding")).alias("embedding"))
     groups = written(rows.where("embedding is not null").groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")).withColumn("node", F.monotonically_increasing_id()))
 
+    single = isinstance(embeddings.schema["embedding"].dataType.elementType, FloatType)
+    kind, width = ("<f4", 4) if single else ("<f8", 8)  # vectors travel as they came, and are scaled in double precision
+
     @F.pandas_udf("binary")
-    def scaled(batch: pd.Series) -> pd.Series:
-        return pd.Series([unit([v])[0].astype("<f8").tobytes() for v in batch], dtype=object)
+    def packed(batch: pd.Series) -> pd.Series:
+        return pd.Series([np.asarray(v, dtype=kind).tobytes() for v in batch], dtype=object)
 
-    items = written(groups.select("node", "copies", scaled("embedding").alias("vec")))
-    lengths = {r.n: r["count"] for r in items.groupBy((F.octet_length("vec") / 8).cast("int").alias("n")).count().limit(1001).collect()}
+    items = written(groups.select("node", "copies", packed("embedding").alias("vec")))
+    lengths = {r.n: r["count"] for r in items.groupBy((F.octet_length("vec") / width).cast("int").alias("n")).count().limit(1001).collect()}
     if len(lengths) > 1000:
         raise ValueError("vectors of more than 1000 lengths")
     centroids, first = {}, 0
     for d, n in sorted(lengths.items()):
         k = max(1, min(CENTROIDS, n // shard))  # beyond CENTROIDS shards each has centroids of its own below it
-        drawn = items.where((F.octet_length("vec") == 8 * d) & (F.pmod(F.xxhash64("node"), F.lit(1 << 30)) <= int(min(1, 2 * EACH * k / n) * (1 << 30)))).select("vec").limit(2 * EACH * k)
-        centroids[d] = (first, learn_centroids(_matrix(drawn.toPandas()), k))
+        drawn = items.where((F.octet_length("vec") == width * d) & (F.pmod(F.xxhash64("node"), F.lit(1 << 30)) <= int(min(1, 2 * EACH * k / n) * (1 << 30)))).select("vec").limit(2 * EACH * k)
+        centroids[d] = (first, learn_centroids(_matrix(drawn.toPandas(), kind), k))
         first += len(centroids[d][1])
     if not lengths:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"), F.lit(1.0).alias("recall"))
     shared = spark.sparkContext.broadcast(centroids)
     while True:
-        found = _links(items, shared, overlap, max(lengths.values()) > 2 * CENTROIDS * shard, shard)
-        recall = _recall(items, found)
+        found = _links(items, shared, overlap, max(lengths.values()) > 2 * CENTROIDS * shard, shard, kind)
+        recall = _recall(items, found, kind)
         if recall >= GOAL or overlap >= MOST_OVERLAP:
             break
         overlap = min(MOST_OVERLAP, 2 * overlap)

@@ -27,6 +27,7 @@ _NAME = r"\p{Lu}[\p{L}'’\-]{1,40}"
 _TITLES_F = "Mrs|Ms|Miss|Frau|Madame|Mme|Mlle|Señora|Sra|Doña|Signora|госпожа"
 _TITLES_M = "Mr|Herr|Herrn|Monsieur|Señor|Sr|Don|Signor|господин"
 _CUES = "Name:|name:|name is|Contact:|Dear"
+_NOBODY = "Sirs?|Madam|Readers?|Friends?|Customers?|Colleagues?|Editors?|Team|All|Us|Sales|Support"
 _APART = r"(?<![\p{L}\p{N}])"
 # A secret's value runs to its end, however long: full stops and = inside it belong to it, = also at its end.
 _VALUE = r"[A-Za-z0-9_\-+/~]"
@@ -38,7 +39,7 @@ PATTERNS = {
     "access": rf"{_APART}(?:AKIA|ASIA)[A-Z0-9]{{16}}(?![A-Za-z0-9])",
     "iban": rf"{_APART}[A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]{{4}}){{3,7}}(?: ?[A-Z0-9]{{1,3}})?(?![\p{{L}}\p{{N}}])",
     "secret": rf"{_APART}(?:[Pp]assword|PASSWORD|[Pp]asswd|[Ss]ecret|[Tt]oken|TOKEN|[Aa]pi[_\-]?[Kk]ey|API_KEY)\s{{0,2}}[=:]\s{{0,2}}[\"']?{_VALUE}(?:{_VALUE}|[.=]++(?={_VALUE})){{5,}}+=*+",
-    "name": rf"{_APART}(?:(?:(?:{_CUES}) )?(?:{_TITLES_F}|{_TITLES_M})\.?|(?:{_CUES})) {_NAME}(?: {_NAME})?",
+    "name": rf"{_APART}(?:(?:(?:{_CUES}) )?(?:{_TITLES_F}|{_TITLES_M})\.?|(?:{_CUES})(?! (?:{_NOBODY})\b)) {_NAME}(?: {_NAME})?",
     "email": r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]{1,64}+@[\p{L}\p{N}\-]{1,63}+(?:\.[\p{L}\p{N}\-]{1,63}+){1,8}",
 }
 _of = lambda *names: "(?:" + "|".join(PATTERNS[n] for n in names) + ")"

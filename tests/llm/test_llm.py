@@ -202,6 +202,9 @@ def test_pii_coreference(spark):
     assert x[:2] == x[2:] != ("Anna", "Schmidt")
     x, y = re.fullmatch(r"\+358 (\d+ \d+) and \+358(\d+)", got[6]).groups()
     assert x.replace(" ", "") == y
+    left = ["Dear Sir or Madam", "Dear Readers, dear All", "Contact: Sales Team", "the name is set, Drive Mrs", "version 10.2.3, 12-34-56, a@b"]
+    same = pii.pseudonymise(spark.createDataFrame(list(enumerate(left)), "doc_id long, text string"), "k")
+    assert [r.text for r in same.orderBy("doc_id").collect()] == left
     m = re.fullmatch(r"Name: Mr\. (\w+) (\w+)\. Mr\. (\w+)", got[7]).groups()
     assert m[1].upper() == m[2]
 

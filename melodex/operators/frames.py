@@ -4,7 +4,6 @@ A frame table has song_id, i (the frame's place from zero) and v; a song's frame
 over one song stay small however many songs there are.
 """
 
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_tree, decontamination, language_id, pii, piece_dropout, quality, simhash, token_counts, url_filters, vector_graph
+from . import chat_tree, decontamination, language_id, periodic_runs, pii, piece_dropout, quality, simhash, token_counts, url_filters, vector_graph
 from .common import secret_key, table
 from .sql import ORACLES
 
@@ -57,9 +57,17 @@ def op10_piece_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_dropout.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.digests(periodic_runs.periodic_runs(periodic_runs.planted(table(spark, sf_dir, "documents"))))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_url_filters, op2_token_counts, op3_pii_surrogates, op4_language_id, op5_simhash_near_dedup, op6_quality_classifier, op7_decontamination, op8_chat_tree, op9_embedding_graph, op10_piece_dropout)
+    for f in (
+        op1_url_filters, op2_token_counts, op3_pii_surrogates, op4_language_id, op5_simhash_near_dedup, op6_quality_classifier,
+        op7_decontamination, op8_chat_tree, op9_embedding_graph, op10_piece_dropout,
+        op11_periodic_runs,
+    )
 }
 
 __all__ = ["ORACLES", "QUERIES"]

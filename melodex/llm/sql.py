@@ -56,4 +56,21 @@ r AS (SELECT vec_id, vec_id AS far FROM v UNION SELECT r.vec_id, l.b FROM r JOIN
 m AS (SELECT vec_id, min(far) AS component_id FROM r GROUP BY vec_id), n AS (SELECT a AS vec_id, count(*) AS n_links FROM l GROUP BY a)
 SELECT v.vec_id, coalesce(n_links,0) AS n_links, component_id, v.vec_id=component_id AS kept FROM v JOIN m USING (vec_id) LEFT JOIN n USING (vec_id)"""
 
-ORACLES = {"op1_url_filters": OP1, "op7_decontamination": OP7, "op8_chat_tree": OP8, "op9_embedding_graph": OP9}
+#: Periodic stretches planted by CRC-32, whose table is made here; runs out of equal spans of six words, which every run has.
+OP11 = r"""WITH c AS MATERIALIZED (SELECT unnest(generate_series(0,255)) AS b), crc AS MATERIALIZED (WITH RECURSIVE z(b,v,k) AS (SELECT b, b::BIGINT, 0 FROM c UNION ALL SELECT b, CASE WHEN v&1=1 THEN xor(v>>1, 3988292384::BIGINT) ELSE v>>1 END, k+1 FROM z WHERE k<8) SELECT list(v ORDER BY b) AS t FROM z WHERE k=8),
+h AS (SELECT doc_id, regexp_extract_all(coalesce(text,''), '[^\x20\x09-\x0D]+') AS w, xor(list_reduce(list_transform(string_split(doc_id::VARCHAR,''), lambda x: ord(x)::BIGINT), lambda a, x: xor(a>>8, t[(xor(a,x)&255)+1]), 4294967295::BIGINT), 4294967295::BIGINT)::BIGINT AS h FROM documents, crc),
+a AS (SELECT doc_id, w, h, len(w) AS n, CASE WHEN h%10=0 AND len(w)>0 THEN (h//10)%len(w) END AS a FROM h),
+p AS (SELECT *, 1+(n-a)//(3+(h//10)%8) AS p FROM a),
+d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, n, CASE WHEN a IS NULL THEN w ELSE list_transform(generate_series(0,n-1), lambda i: w[1+CASE WHEN i<a THEN i ELSE a+(i-a)%p END]) END AS w FROM p),
+s AS MATERIALIZED (SELECT r, n, unnest(generate_series(0,n-6)) AS i, md5(array_to_string(w[i+1:i+6],' ')) AS g FROM d WHERE n>=12),
+e AS (SELECT x.r, x.i, y.i-x.i AS q FROM s x JOIN s y ON x.r=y.r AND x.g=y.g AND y.i>x.i AND 2*(y.i-x.i)<=x.n),
+o AS (SELECT r, q, min(i) AS s, max(i)+6+q AS e FROM (SELECT *, i-row_number() OVER (PARTITION BY r,q ORDER BY i) AS k FROM e) GROUP BY r, q, k),
+u AS MATERIALIZED (SELECT r, s AS start, e-s AS length, min(q) AS period FROM o WHERE e-s>=greatest(12,2*q) GROUP BY r, s, e),
+x AS (SELECT r, count(*) AS n_runs, string_agg(start||','||length||','||period||chr(10), '' ORDER BY start, period) AS runs, arg_min({'s':start,'l':length,'p':period}, (-length,start,period)) AS b FROM u GROUP BY r),
+gone AS (SELECT DISTINCT r, unnest(generate_series(start+period, start+length-1)) AS i FROM u),
+v AS (SELECT r, unnest(w) AS word, unnest(generate_series(0,n-1)) AS i FROM d WHERE r IN (SELECT r FROM u)),
+k AS (SELECT r, string_agg(word, ' ' ORDER BY i) AS kept FROM v ANTI JOIN gone USING (r, i) GROUP BY r)
+SELECT doc_id, coalesce(n_runs,0) AS n_runs, b.s AS start, b.l AS length, b.p AS period, 1000*b.l//b.p AS exponent_milli, sha256(coalesce(runs,'')) AS runs_sha256,
+ sha256(coalesce(kept, array_to_string(w, ' '))) AS collapsed_sha256 FROM d LEFT JOIN x USING (r) LEFT JOIN k USING (r)"""
+
+ORACLES = {"op1_url_filters": OP1, "op7_decontamination": OP7, "op8_chat_tree": OP8, "op9_embedding_graph": OP9, "op11_periodic_runs": OP11}

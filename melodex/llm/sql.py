@@ -73,4 +73,8 @@ k AS (SELECT r, string_agg(word, ' ' ORDER BY i) AS kept FROM v ANTI JOIN gone U
 SELECT doc_id, coalesce(n_runs,0) AS n_runs, b.s AS start, b.l AS length, b.p AS period, 1000*b.l//b.p AS exponent_milli, sha256(coalesce(runs,'')) AS runs_sha256,
  sha256(coalesce(kept, array_to_string(w, ' '))) AS collapsed_sha256 FROM d LEFT JOIN x USING (r) LEFT JOIN k USING (r)"""
 
-ORACLES = {"op1_url_filters": OP1, "op7_decontamination": OP7, "op8_chat_tree": OP8, "op9_embedding_graph": OP9, "op11_periodic_runs": OP11}
+#: Lengths, digests and the first page of each payload of 100 bytes or more.
+OP12 = """WITH p AS (SELECT page_id, octet_length(encode(coalesce(html,''))) AS payload_bytes, sha256(coalesce(html,'')) AS payload_digest, row_number() OVER (PARTITION BY sha256(coalesce(html,'')) ORDER BY page_id NULLS LAST) AS k, first_value(page_id) OVER (PARTITION BY sha256(coalesce(html,'')) ORDER BY page_id NULLS LAST) AS f FROM pages)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN k>1 AND payload_bytes>=100 THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN k>1 AND payload_bytes>=100 THEN f END AS refers_to FROM p"""
+
+ORACLES = {"op1_url_filters": OP1, "op7_decontamination": OP7, "op8_chat_tree": OP8, "op9_embedding_graph": OP9, "op11_periodic_runs": OP11, "op12_warc": OP12}

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import archives, chat_tree, decontamination, language_id, periodic_runs, pii, piece_dropout, quality, simhash, token_counts, url_filters, vector_graph
+from . import alignment, archives, chat_tree, decontamination, language_id, periodic_runs, pii, piece_dropout, quality, simhash, token_counts, url_filters, vector_graph
 from .common import secret_key, table
 from .sql import ORACLES
 
@@ -65,12 +65,19 @@ def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archives.round_trip(table(spark, sf_dir, "pages")).drop("intact")
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    a, b = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return alignment.align(table(spark, sf_dir, "documents"), a, b, alignment.digest).withColumnRenamed("groups", "groups_sha256")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_url_filters, op2_token_counts, op3_pii_surrogates, op4_language_id, op5_simhash_near_dedup, op6_quality_classifier,
         op7_decontamination, op8_chat_tree, op9_embedding_graph, op10_piece_dropout,
-        op11_periodic_runs, op12_warc,
+        op11_periodic_runs, op12_warc, op13_alignment,
     )
 }
 

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import spread_join, written
 
 #: Parts that a worker remembers, and a part's characters at most; characters of texts encoded at a time.
-REMEMBERED, PART_CHARS, RUN_CHARS = 200_000, 48, 1 << 21
+REMEMBERED, PART_CHARS, RUN_CHARS = 400_000, 48, 1 << 20
 #: Different pairs of ids up to which their counts are broadcast, about 100 MB; more are joined by shuffles.
 BROADCAST_PAIRS = 2_000_000
 
@@ -39,8 +39,7 @@ def _unspelt() -> dict[int, int]:
 
 
 class Aligner:
-    """Both models, and what is known of parts: (tokens of A, tokens of B, links, groups as text, pairs), or None where a
-    model's bytes differ from the part's."""
+    """Both models, and a table of parts that are aligned already."""
 
     def __init__(self, a: str, b: str):
         import json
@@ -69,54 +68,93 @@ class Aligner:
         # B leaves a text as it is, but for a space before it, and joins no space to what stands before it.
         kept = all(self.b.decode(self.b.encode(t)) == t for t in ("ﬁ ①  Å é x", "  a　b", "ẛ̣ ² "))
         self.apart = plain and kept and not any(SPACE in p.lstrip(SPACE) for p in pieces)
-        self.known: dict[str, tuple | None] = {}
-
-    def aligned(self, part: str, a: list[int], b: list[int]) -> tuple | None:
-        """A part's tokens side by side; its bytes are those of both models, or it isn't aligned."""
-        told, of_a, of_b = part.encode(), [self.bytes_a[i] for i in a], [self.bytes_b[i] for i in b]
-        if b"".join(of_a) != told or b"".join(of_b) != told:
-            return None
-        if len(a) == len(b) == 1:
-            return 1, 1, 1, f"{a[0]}|{b[0]}", (a[0] << 32 | b[0],)
-        groups, pairs, i, j, x, y, i0, j0 = [], [], 0, 0, 0, 0, 0, 0
-        while i < len(a):
-            x += len(of_a[i])
-            i += 1
-            while y < x:
-                y += len(of_b[j])
-                j += 1
-            if x == y:
-                groups.append(f"{','.join(map(str, a[i0:i]))}|{','.join(map(str, b[j0:j]))}")
-                pairs.append(a[i - 1] << 32 | b[j - 1])
-                i0, j0 = i, j
-        return len(a), len(b), len(pairs), ";".join(groups), tuple(pairs)
-
-    def learn(self, parts: list[str], known: dict) -> None:
-        """Encode new parts, each beginning with a space; B adds that space itself."""
-        rest = [p[1:] for p in parts]
-        of_b = self.b.encode(rest, num_threads=1)
-        for p, r, a, b in zip(parts, rest, self.a.encode_batch_fast(parts, add_special_tokens=False), of_b):
-            known[p] = self.aligned(p, a.ids, b if r else [self.blank])
+        self.length_a, self.length_b = (np.array([len(x) for x in names]) for names in (self.bytes_a, self.bytes_b))
+        self.names_a = np.array([[f"{i}{end}" for i in range(len(self.bytes_a))] for end in ",|"], dtype=object)
+        self.names_b = np.array([[f"{i}{end}" for i in range(len(self.bytes_b))] for end in ",;"], dtype=object)
+        self.forget()
+
+    def forget(self) -> None:
+        """Empty the table of parts: number by part, and by number its tokens of A and B, its links, where they begin, and its groups as text."""
+        self.known: dict[str, int] = {}
+        self.groups: list[str] = []
+        self.sizes, self.pairs, self.n_pairs = np.zeros((4, 1 << 12), dtype=np.int64), np.zeros(1 << 14, dtype=np.int64), 0
+
+    def _spelt(self, told: list[bytes], ids: list[list[int]], names: list[bytes], lengths: np.ndarray) -> np.ndarray:
+        """Which parts do the bytes of their tokens spell?"""
+        n = np.array([len(x) for x in ids])
+        flat = np.fromiter(chain.from_iterable(ids), dtype=np.int64)
+        size = np.diff(np.append(0, np.cumsum(lengths[flat]))[np.append(0, np.cumsum(n))])
+        if b"".join(map(names.__getitem__, flat.tolist())) == b"".join(told) and (size == [len(t) for t in told]).all():
+            return np.ones(len(told), dtype=bool)
+        return np.array([b"".join(map(names.__getitem__, x)) == t for x, t in zip(ids, told)], dtype=bool)
+
+    def learn(self, parts: list[str]) -> None:
+        """Encode and align new parts, each beginning with a space; B adds that space itself. A part that isn't spelt byte for
+        byte has the number -1."""
+        of_a = [e.ids for e in self.a.encode_batch_fast(parts, add_special_tokens=False)]
+        of_b = [x if len(p) > 1 else [self.blank] for p, x in zip(parts, self.b.encode([p[1:] for p in parts], num_threads=1))]
+        told = [p.encode() for p in parts]
+        good = self._spelt(told, of_a, self.bytes_a, self.length_a) & self._spelt(told, of_b, self.bytes_b, self.length_b)
+        if not good.all():
+            self.known |= {p: -1 for p, x in zip(parts, good) if not x}
+            parts, of_a, of_b = ([v for v, x in zip(values, good) if x] for values in (parts, of_a, of_b))
+        if not parts:
+            return
+        n_a, n_b = np.array([len(x) for x in of_a]), np.array([len(x) for x in of_b])
+        a, b = (np.fromiter(chain.from_iterable(x), dtype=np.int64) for x in (of_a, of_b))
+        # Bytes of the parts one after the other: both models' tokens cut them at ascending places.
+        at_a, at_b = np.cumsum(self.length_a[a]), np.cumsum(self.length_b[b])
+        met = np.searchsorted(at_b, at_a)
+        i = np.flatnonzero(at_b[met] == at_a)
+        j = met[i]
+        ends_a, ends_b = np.cumsum(n_a), np.cumsum(n_b)
+        links = np.diff(np.searchsorted(i, ends_a), prepend=0)
+        # A group's tokens of A stand before its tokens of B.
+        token, end = np.arange(len(a)), np.zeros(len(a), dtype=np.int64)
+        end[i] = 1
+        texts = np.empty(len(a) + len(b), dtype=object)
+        texts[token + np.append(0, j + 1)[np.searchsorted(i, token)]] = self.names_a[end, a]
+        token, end = np.arange(len(b)), np.zeros(len(b), dtype=np.int64)
+        end[j] = 1
+        texts[token + i[np.searchsorted(j, token)] + 1] = self.names_b[end, b]
+        texts, first = texts.tolist(), len(self.groups)
+        ends = (ends_a + ends_b).tolist()
+        self.groups += ["".join(texts[s:e])[:-1] for s, e in zip([0, *ends], ends)]
+        self.known |= {p: first + k for k, p in enumerate(parts)}
+        if len(self.groups) > self.sizes.shape[1]:
+            self.sizes = np.concatenate([self.sizes[:, :first], np.zeros((4, 2 * len(self.groups)), dtype=np.int64)], axis=1)
+        self.sizes[:, first : len(self.groups)] = n_a, n_b, links, self.n_pairs + np.cumsum(links) - links
+        pairs = a[i] << 32 | b[j]
+        if self.n_pairs + len(pairs) > len(self.pairs):
+            self.pairs = np.concatenate([self.pairs[: self.n_pairs], np.zeros(self.n_pairs + 2 * len(pairs), dtype=np.int64)])
+        self.pairs[self.n_pairs : self.n_pairs + len(pairs)] = pairs
+        self.n_pairs += len(pairs)
 
     def texts(self, texts: list[str]) -> Iterator[tuple]:
         """Of each text: tokens of A and of B, groups, links, groups as text, different pairs and how often each occurs."""
         none = (0, 0, 0, 0, "", (), ())
         parts = [(_split(f" {t}") if self.apart else [f" {t}"]) if t else [] for t in texts]
-        every = set(chain.from_iterable(parts))
-        if len(self.known) + len(every) > REMEMBERED:
-            self.known.clear()
+        every = dict.fromkeys(chain.from_iterable(parts))
+        if len(self.known) + len(every) > REMEMBERED or self.n_pairs > REMEMBERED * 16:
+            self.forget()
         new = [p for p in every if p not in self.known]
-        long = {p: None for p in new if len(p) > PART_CHARS}
-        self.learn(list(long), long)
-        self.learn([p for p in new if p not in long], self.known)
+        if new:
+            self.learn(new)
+        number = self.known.__getitem__
         for ps in parts:
-            found = [self.known[p] if p in self.known else long[p] for p in ps]
-            if not ps or None in found:
+            of = list(map(number, ps))
+            if not of or min(of) < 0:
                 yield none
                 continue
-            a, b, links, groups, pairs = zip(*found)
-            keys, counts = np.unique(np.fromiter(chain.from_iterable(pairs), dtype=np.int64), return_counts=True)
-            yield sum(a), sum(b), sum(links), sum(links), ";".join(groups), keys, counts
+            n_a, n_b, links, begin = self.sizes[:, of]
+            n, all_links = int(links.sum()), np.cumsum(links)
+            keys, counts = np.unique(self.pairs[np.repeat(begin - all_links + links, links) + np.arange(n)], return_counts=True)
+            yield int(n_a.sum()), int(n_b.sum()), n, n, ";".join(map(self.groups.__getitem__, of)), keys, counts
+        for p in new:  # long parts seldom come again
+            if len(p) > PART_CHARS:
+                k = self.known.pop(p)
+                if k >= 0:
+                    self.groups[k] = ""
 
 
 def aligner(a: str, b: str) -> Aligner:

@@ -24,6 +24,8 @@ from .common import shared_dir, spread_join, written
 
 #: Payloads of fewer bytes are never revisits; bytes of records handed on at a time.
 LEAST_BYTES, BATCH_BYTES = 100, 8 << 20
+#: How archives are packed: a little larger than usual, in half the time.
+PACKED = {"compression": "gzip", "zlib.compress.level": "THREE"}
 
 # The record lines of both versions of ARC, and what revisits are called.
 ARC_FIELDS = {1: "URL IP-address Archive-date Content-type Archive-length", 2: "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length"}
@@ -204,7 +206,7 @@ def write_arc(pages: DataFrame, path: str, versions: tuple[int, ...] = (1, 2)) -
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
 
     records = pages.select("page_id", F.col("url").cast("string"), F.col("date").cast("string"), "payload").mapInArrow(archived, "value binary")
-    records.select(F.col("value").cast("string")).write.options(lineSep="\n", compression="gzip").text(path)
+    records.select(F.col("value").cast("string")).write.options(lineSep="\n", **PACKED).text(path)
 
 
 def _uuid(*parts: Column) -> Column:
@@ -289,7 +291,7 @@ def write_warc(records: DataFrame, path: str) -> None:
         F.lit("\r\n"),
     )
     value = F.concat(head.cast("binary"), F.col("block")).cast("string")
-    told.select(value.alias("value")).write.options(lineSep="\r\n\r\n", compression="gzip").text(path)
+    told.select(value.alias("value")).write.options(lineSep="\r\n\r\n", **PACKED).text(path)
 
 
 def convert(spark: SparkSession, arc: str, warc: str, *order: str, found: Callable[[DataFrame], DataFrame] = lambda d: d, least: int = LEAST_BYTES) -> None:

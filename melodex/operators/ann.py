@@ -1,170 +1,54 @@
-"""Approximate search by cells and product codes, and compression by principal components.
+"""Approximate search by stored cells and product codes, and compression by principal components."""
 
-Cells and code words are learnt on the driver from a bounded sample of the catalogue. Every vector is then indexed in its
-block: blocks of the catalogue carry each row's cell, or its codes, and blocks of queries the cells that each probes, so
-that a search is the block search with another score and needs no shuffle before its ranking.
-"""
-
-import math
-
-import numpy as np
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from melodex.functions.vectors import dot, unit
+from melodex.functions.vectors import unit
 
+from .cell_index import BITS, PARTS, CellIndex, temporary
 from .features import require_one_dimension
-from .search import ranked, topk
+from .search import topk
 
-# From how many vectors the index is approximate; bounds of cells, probes and components; rows for PCA; parts
-# and bits of a product code.
-APPROXIMATE_FROM, MOST_CELLS, PROBES, MOST_COMPONENTS, PCA_FROM = 1000, 512, 64, 256, 200
-PARTS, BITS = 8, 8
-#: Vectors that cells and code words are learnt from, about, and rounds of learning.
-SAMPLE, ROUNDS = 16_384, 8
-#: Recall that a pool is grown for, and queries that it is measured with.
-RECALL, MEASURED = 0.95, 32
+# From how many vectors the index is approximate; bound of components; rows for PCA.
+APPROXIMATE_FROM, MOST_COMPONENTS, PCA_FROM = 1000, 256, 200
 
 
 def adaptive_components(n: int, dim: int) -> int:
     return max(2, min(MOST_COMPONENTS, n // 3, dim))
 
 
-def _spin(key: str, seed: int):
-    return F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-
-
-def _sample(catalogue: DataFrame, n: int, seed: int) -> np.ndarray:
-    """About SAMPLE vectors, chosen by a hash of their ids."""
-    rows = catalogue.where("vec is not null").where(_spin("song_id", seed) <= SAMPLE / max(1, n)).orderBy("song_id").select("vec").limit(2 * SAMPLE).toPandas()
-    return np.stack([np.asarray(v, dtype=float) for v in rows["vec"]]) if len(rows) else np.zeros((0, 1))
-
-
-def nearest(x: np.ndarray, centres: np.ndarray, k: int = 1) -> np.ndarray:
-    """The k nearest centres of each row, in any order."""
-    far = (centres**2).sum(axis=1) - 2 * (x @ centres.T)
-    return far.argmin(axis=1)[:, None] if k == 1 else np.argpartition(far, k - 1, axis=1)[:, :k]
-
-
-def learn_centres(x: np.ndarray, k: int, seed: int) -> np.ndarray:
-    """k-means; centres that lose all their rows stay where they were."""
-    rng = np.random.default_rng(seed)
-    centres = x[rng.choice(len(x), min(k, len(x)), replace=False)].copy()
-    for _ in range(ROUNDS):
-        of = nearest(x, centres)[:, 0]
-        sums, n = np.zeros_like(centres), np.bincount(of, minlength=len(centres))
-        np.add.at(sums, of, x)
-        centres[n > 0] = sums[n > 0] / n[n > 0, None]
-    return centres
-
-
-class Cells:
-    """Coding of blocks with cells: a row's cell comes before its code, a query's probes before its vector."""
-
-    def __init__(self, centres: np.ndarray, probes: int):
-        self.centres, self.probes = centres, probes
-
-    def query(self, x: np.ndarray) -> bytes:
-        return nearest(x, self.centres, self.probes).astype("<i8").tobytes() + x.astype("<f8").tobytes()
-
-    def row(self, x: np.ndarray) -> bytes:
-        return nearest(x, self.centres)[:, 0].astype("<i8").tobytes() + self.code(x)
-
-    def code(self, x: np.ndarray) -> bytes:
-        return x.astype("<f8").tobytes()
-
-    def part(self, q: np.ndarray, code: bytes, n: int, rows: np.ndarray) -> np.ndarray:
-        return q @ np.frombuffer(code, "<f8").reshape(n, -1)[rows].T
-
-    def scores(self, qm: bytes, nq: int, m: bytes, n: int) -> np.ndarray:
-        """Scores of the rows in the cells that a query probes; -inf elsewhere."""
-        probes = np.frombuffer(qm, "<i8", nq * self.probes).reshape(nq, -1)
-        q = np.frombuffer(qm, "<f8", offset=8 * nq * self.probes).reshape(nq, -1)
-        cell, code = np.frombuffer(m, "<i8", n), m[8 * n :]
-        out = np.full((nq, n), -np.inf)
-        asks = np.zeros((nq, len(self.centres)), dtype=bool)
-        asks[np.arange(nq)[:, None], probes] = True
-        order = np.argsort(cell, kind="stable")
-        for rows in np.split(order, np.flatnonzero(np.diff(cell[order])) + 1):
-            ask = np.flatnonzero(asks[:, cell[rows[0]]])
-            if len(ask):
-                out[ask[:, None], rows] = self.part(q[ask], code, n, rows)
-        return out
-
-
-class Codes(Cells):
-    """The same with a product code instead of the vector: a byte for each part, scored by sums of table look-ups."""
-
-    def __init__(self, centres: np.ndarray, probes: int, words: list[np.ndarray]):
-        super().__init__(centres, probes)
-        self.words = words
-
-    def code(self, x: np.ndarray) -> bytes:
-        width = x.shape[1] // len(self.words)
-        return np.stack([nearest(x[:, p * width : (p + 1) * width], w)[:, 0] for p, w in enumerate(self.words)], axis=1).astype(np.uint8).tobytes()
-
-    def part(self, q: np.ndarray, code: bytes, n: int, rows: np.ndarray) -> np.ndarray:
-        codes, width = np.frombuffer(code, np.uint8).reshape(n, -1)[rows], q.shape[1] // len(self.words)
-        return sum((q[:, p * width : (p + 1) * width] @ w.T)[:, codes[:, p]] for p, w in enumerate(self.words))
-
-
-def _cells(catalogue: DataFrame, cells: int | None, probes: int | None, seed: int):
-    """(number of vectors, sample, centres, probes); None for the last three without vectors."""
-    n = catalogue.count()
-    x = _sample(catalogue, n, seed)
-    if not len(x):
-        return n, None, None, None
-    centres = learn_centres(x, cells or max(2, min(math.isqrt(n), MOST_CELLS)), seed)
-    return n, x, centres, min(probes or PROBES, len(centres))
-
-
 def ivf_topk(queries: DataFrame, catalogue: DataFrame, k: int, cells: int | None = None, probes: int | None = None, seed: int = 1) -> DataFrame:
-    """query_id, rank, song_id, score: exact scores within each query's nearest cells only.
+    """query_id, rank, song_id, score: exact scores within each query's nearest cells only, by an index made for this call;
+    ``CellIndex`` keeps one.
 
-    Nulls, ties, repeats and empty sides as in ``topk``; results may be fewer than K where the probed cells hold fewer.
+    Without ``probes`` an audit says how many cells hold the neighbours. Nulls, ties, repeats and empty sides as in
+    ``topk``; results may be fewer than K where the probed cells hold fewer.
     """
-    _, x, centres, probes = _cells(catalogue, cells, probes, seed)
-    if x is None:
+    if not catalogue.where("vec is not null").limit(1).count():
         return topk(queries, catalogue, k)
-    index = Cells(centres, probes)
-    return topk(queries, catalogue, k, coded=(index.query, index.row), scores=index.scores)
+    return temporary(catalogue, cells=cells, probes=probes, codes=False, seed=seed).search(queries, k)
 
 
-def pq_topk(queries: DataFrame, catalogue: DataFrame, k: int, parts: int = PARTS, bits: int = BITS, pool: int | None = None, seed: int = 1) -> DataFrame:
-    """query_id, rank, song_id, score: a pool by product codes within the probed cells, then exact scores in it.
+def pq_topk(queries: DataFrame, catalogue: DataFrame, k: int, parts: int = PARTS, bits: int = BITS, pool: int | None = None, seed: int = 1, cells: int | None = None, probes: int | None = None) -> DataFrame:
+    """query_id, rank, song_id, score: candidates by product codes within the probed cells, then their exact scores, by an
+    index made for this call; ``CellIndex`` keeps one.
 
-    ``parts`` is halved until it divides the length. A pool holds ``pool`` times K songs a query; where it isn't given it
-    is doubled until the recall of about MEASURED queries against exact search is RECALL, or it holds everything that the
-    probed cells do. Nulls, ties, repeats and empty sides as in ``topk``.
+    ``parts`` is halved until it divides the length. Candidates are ``pool`` times K songs a query; where it isn't given,
+    all whose rough scores lie within the audited margin of the K-th best. Nulls, ties, repeats and empty sides as in ``topk``.
     """
-    n, x, centres, probes = _cells(catalogue, None, None, seed)
-    if x is None:
+    if not catalogue.where("vec is not null").limit(1).count():
         return topk(queries, catalogue, k)
-    while x.shape[1] % parts:
-        parts //= 2
-    width = x.shape[1] // parts
-    index = Codes(centres, probes, [learn_centres(x[:, p * width : (p + 1) * width], 1 << bits, seed) for p in range(parts)])
-
-    def found(asked: DataFrame, size: int) -> DataFrame:
-        rough = topk(asked, catalogue, k * size, coded=(index.query, index.row), scores=index.scores).select("query_id", "song_id")
-        pairs = rough.join(asked.withColumnRenamed("vec", "q").hint("merge"), "query_id").join(catalogue.select("song_id", "vec").hint("merge"), "song_id")
-        return ranked(pairs.select("query_id", "song_id", F.round(dot(F.col("q"), F.col("vec")), 10).alias("score")), k)
-
-    if pool is None:
-        asked = queries.where(_spin("query_id", seed) <= MEASURED / max(1, queries.count()))
-        exact, pool = topk(asked, catalogue, k).cache(), 10
-        while recall(found(asked, pool), exact) < RECALL and pool * k < n:
-            pool *= 2
-        exact.unpersist()
-    return found(queries, pool)
-
-
-def indexed_topk(queries: DataFrame, catalogue: DataFrame, k: int, approximate: bool | None = None) -> DataFrame:
-    """Exact below APPROXIMATE_FROM vectors, by cells from there on, or as told."""
+    return temporary(catalogue, cells=cells, probes=probes, parts=parts, bits=bits, seed=seed).search_codes(queries, k, pool)
+
+
+def indexed_topk(queries: DataFrame, catalogue: DataFrame, k: int, approximate: bool | None = None, index: CellIndex | None = None) -> DataFrame:
+    """Exact below APPROXIMATE_FROM vectors, by cells from there on (those of ``index``, if there is one), or as told."""
     if approximate is None:
         approximate = catalogue.count() >= APPROXIMATE_FROM
+    if approximate and index:
+        return index.search(queries, k)
     return ivf_topk(queries, catalogue, k) if approximate else topk(queries, catalogue, k)
 
 

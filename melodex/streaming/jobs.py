@@ -1,4 +1,4 @@
-"""Structured Streaming jobs: the index grows by new vectors, feedback sessions keep their sums."""
+"""Structured Streaming jobs: exact and cell indexes grow by new vectors, feedback sessions keep their events and sums."""
 
 from collections.abc import Iterator
 
@@ -6,8 +6,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor
 
+from melodex.operators.cell_index import DRIFT, CellIndex
 from melodex.operators.feedback import ALPHA, BETA, GAMMA
 
 
@@ -27,51 +28,126 @@ def append_index(spark: SparkSession, source: str, schema, index: str, checkpoin
     stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-_STATE = "approved array<double>, n_approved long, rejected array<double>, n_rejected long, seen long, since long"
-
-
-def _fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    up, n_up, down, n_down, seen, since = state.get if state.exists else ([], 0, [], 0, 0, -(1 << 62))
-    up, down = np.asarray(up, dtype=float), np.asarray(down, dtype=float)
-    rows = pd.concat(list(batches)).sort_values("seq", kind="stable")
-    for seq, verdict, vec in zip(rows["seq"].tolist(), rows["verdict"], rows["vec"]):
-        seen += 1
-        if seq < since or verdict not in ("reset", "approve", "reject"):
-            continue
-        if verdict == "reset":
-            up, n_up, down, n_down, since = np.zeros(0), 0, np.zeros(0), 0, seq
-        elif vec is not None:
-            v = np.asarray(vec, dtype=float)
-            if verdict == "approve":
-                up, n_up = (up + v if len(up) else v), n_up + 1
-            else:
-                down, n_down = (down + v if len(down) else v), n_down + 1
-    state.update((up.tolist(), n_up, down.tolist(), n_down, seen, since))
-    base = np.asarray(rows["query"].iloc[-1], dtype=float)
-    out = ALPHA * base + (BETA * up / n_up if n_up else 0) - (GAMMA * down / n_down if n_down else 0)
-    norm = np.linalg.norm(out)
-    yield pd.DataFrame({"session_id": [key[0]], "seen": [seen], "vec": [out / norm if norm > 1e-8 else out]})
-
-
-def feedback_stream(spark: SparkSession, source: str, schema, out: str, checkpoint: str, files: int | None = None) -> None:
+def append_cells(spark: SparkSession, source: str, schema, index: str, checkpoint: str, files: int | None = 4, drift: float = DRIFT) -> bool:
+    """Drain new files of vectors (song_id, vec) into a stored cell index; was the index built anew?
+
+    Each batch goes to the index's centres as they are. Ids that it holds already, repeats and null vectors are left out, so
+    a batch that is run again after a failure adds nothing. Once drained, an index whose vectors lie ``drift`` times as far
+    from their centres (mean squared distance) as at its build is built anew, as a next version.
+    """
+
+    def add(batch: DataFrame, _: int) -> None:
+        CellIndex.open(spark, index).append(batch.select("song_id", "vec"))
+
+    reader = spark.readStream.schema(schema)
+    stream = (reader.option("maxFilesPerTrigger", files) if files else reader).parquet(source)
+    stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    now = CellIndex.open(spark, index)
+    if now.drift() < drift:
+        return False
+    now.rebuild()
+    return True
+
+
+#: Map state needs this store; a batch without data would have another after it, for timers that might run out, without end.
+_WHILE_RUNNING = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.noDataMicroBatches.enabled": "false",
+}
+
+
+class _Session(StatefulProcessor):
+    """A session's events since its last reset, by their number, and the sums of what they approve and reject.
+
+    The sums are kept beside the events, so that a batch only reads events again when it brings a reset: those with smaller
+    numbers go, and the sums are made of those that stay, however late the reset comes.
+    """
+
+    def __init__(self, idle: int | None):
+        self.idle = idle
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        sums = "approved array<double>, n_approved long, rejected array<double>, n_rejected long"
+        self.about = handle.getValueState("about", f"{sums}, seen long, since long, query array<double>, query_seq long, due long")
+        self.events = handle.getMapState("events", "seq long", sums)
+
+    @staticmethod
+    def _added(sums: list, verdict_or_sums, vec=None) -> list:
+        up, n_up, down, n_down = sums
+        more = verdict_or_sums if vec is None else (vec, 1, [], 0) if verdict_or_sums == "approve" else ([], 0, vec, 1)
+        both = lambda a, b: np.add(a, b).tolist() if len(a) and len(b) else list(a if len(a) else b)
+        return [both(up, more[0]), n_up + more[1], both(down, more[2]), n_down + more[3]]
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        none = [[], 0, [], 0]
+        *sums, seen, since, query, query_seq, due = self.about.get() if self.about.exists() else (*none, 0, -(1 << 62), [], -(1 << 62), 0)
+        got = pd.concat(list(rows))
+        seen += len(got)
+        last = int(got["seq"].max())
+        if last >= query_seq:
+            query, query_seq = [float(x) for x in got.loc[got["seq"] == last, "query"].iloc[-1]], last
+        resets = got.loc[got["verdict"] == "reset", "seq"]
+        if len(resets) and int(resets.max()) > since:
+            since, sums = int(resets.max()), none
+            for (seq,), kept in list(self.events.iterator()):
+                if seq < since:
+                    self.events.removeKey((seq,))
+                else:
+                    sums = self._added(sums, kept)
+        for seq, verdict, vec in zip(got["seq"].tolist(), got["verdict"], got["vec"]):
+            if seq > since and vec is not None and verdict in ("approve", "reject"):
+                vec = [float(x) for x in vec]
+                before = list(self.events.getValue((seq,))) if self.events.containsKey((seq,)) else none
+                self.events.updateValue((seq,), tuple(self._added(before, verdict, vec)))
+                sums = self._added(sums, verdict, vec)
+        if self.idle is not None:
+            if due:
+                self.handle.deleteTimer(due)
+            due = timerValues.getCurrentProcessingTimeInMs() + self.idle
+            self.handle.registerTimer(due)
+        self.about.update((*sums, seen, since, query, query_seq, due))
+        up, n_up, down, n_down = sums
+        out = ALPHA * np.asarray(query) + (BETA * np.asarray(up) / n_up if n_up else 0) - (GAMMA * np.asarray(down) / n_down if n_down else 0)
+        norm = np.linalg.norm(out)
+        yield pd.DataFrame({"session_id": [key[0]], "seen": [seen], "vec": [out / norm if norm > 1e-8 else out]})
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        """An idle session is forgotten; what it emitted stays."""
+        self.about.clear()
+        self.events.clear()
+        yield from ()
+
+    def close(self) -> None:
+        pass
+
+
+def feedback_stream(spark: SparkSession, source: str, schema, out: str, checkpoint: str, files: int | None = None, idle: int | None = None) -> None:
     """Drain judged events (session_id, seq, verdict, vec, query) into adjusted queries: session_id, seen, vec.
 
-    Each session keeps the sums of its approved and rejected vectors as state; every batch with events of a session emits
-    its query as it is then, and ``seen``, how many events it has had in all, which only grows: the row with the most is
-    the latest. A batch is what is new, or ``files`` files of it at a time; its events are taken by ``seq``. A reset clears
-    what came before it, and events with a smaller seq that arrive later are ignored; so are unknown verdicts and null
-    vectors. A reset that arrives in a later batch than events after it clears them too: let no batch hold a part of
-    a load. Otherwise sums don't depend on order, so late events need no watermark; sessions don't expire here. A session's
-    events of one batch are folded in one task.
+    Each session's events since its last reset are state, by their numbers; every batch with events of a session emits its
+    query as it is then, and ``seen``, how many events it has had in all, which only grows: the row with the most is the
+    latest. A batch is what is new, or ``files`` files of it at a time. Events count by ``seq``, in whatever batch they come:
+    a reset clears those with smaller numbers, also if it comes later than greater ones, and smaller ones that come after
+    it are ignored. So are unknown verdicts and null vectors. The query is that of the greatest seq. Events of
+    one number are added up. With ``idle``, a session without events for so many milliseconds is forgotten (checked when a batch runs); otherwise sessions stay.
+    A session's events of one batch are folded in one task.
     """
     reader = spark.readStream.schema(schema)
     stream = (reader.option("maxFilesPerTrigger", files) if files else reader).parquet(source)
-    moved = stream.groupBy("session_id").applyInPandasWithState(_fold, "session_id long, seen long, vec array<double>", _STATE, "update", GroupStateTimeout.NoTimeout)
+    moved = stream.groupBy("session_id").transformWithStateInPandas(_Session(idle), "session_id long, seen long, vec array<double>", "Update", "None" if idle is None else "ProcessingTime")
 
     def add(batch: DataFrame, _: int) -> None:
         batch.write.mode("append").parquet(out)
 
-    moved.writeStream.outputMode("update").foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    before = {name: spark.conf.get(name, None) for name in _WHILE_RUNNING}
+    for name, value in _WHILE_RUNNING.items():
+        spark.conf.set(name, value)
+    try:
+        moved.writeStream.outputMode("update").foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
 def latest(emitted: DataFrame) -> DataFrame:

@@ -374,6 +374,70 @@ def test_codes_grow_their_pool(spark):
     assert ann.recall(ann.ivf_topk(q, v, 10), exact) >= 0.99
 
 
+@pytest.mark.parametrize("blocks", [True, False])
+def test_likely_pairs_lose_none(blocks):
+    """All pairs that are alike enough are among the likely ones, few others; over random, long, empty and odd texts."""
+    rng = np.random.default_rng(8)
+    texts = ["".join("abcdefgh é🎉"[k] for k in rng.integers(0, 11, n)) for n in rng.integers(0, 30, 60)] + ["", "ab" * 40, "ab" * 41 + "c", "x" * 64, "x" * 63]
+    texts += [t[:k] + "z" + t[k + 1 :] for t in texts[:40] for k in (1, 5)]
+
+    def edits(a, b):
+        d = np.arange(len(b) + 1)
+        for i, x in enumerate(a):
+            e = [i + 1]
+            for j, y in enumerate(b):
+                e.append(min(d[j + 1] + 1, e[-1] + 1, d[j] + (x != y)))
+            d = e
+        return 1 - d[-1] / max(len(a), len(b), 1)
+
+    ratio = (lambda a, b: SequenceMatcher(None, a, b).ratio()) if blocks else edits
+    score = np.array([[ratio(a, b) for b in texts] for a in texts[::3]])
+    for least in (0.6, 0.8, 1.0):
+        i, j = linkage.likely_pairs(texts[::3], texts, least, blocks)
+        got, want = set(zip(i.tolist(), j.tolist())), set(map(tuple, np.argwhere(score >= least - 1e-12).tolist()))
+        assert want <= got and len(got) < len(want) + 0.35 * score.size * (1.2 - least)
+
+
+def test_longest_common():
+    rng = np.random.default_rng(9)
+    texts = ["".join("abcd"[k] for k in rng.integers(0, 4, n)) for n in [*rng.integers(0, 70, 30), 63, 64, 65]]
+
+    def lcs(a, b):
+        d = [0] * (len(b) + 1)
+        for x in a:
+            e = [0]
+            for j, y in enumerate(b):
+                e.append(d[j] + 1 if x == y else max(d[j + 1], e[-1]))
+            d = e
+        return d[-1] if len(a) <= 64 else min(len(a), len(b))
+
+    i, j = np.divmod(np.arange(len(texts) ** 2), len(texts))
+    assert linkage.longest_common(texts, texts, i, j).tolist() == [lcs(texts[p], texts[q]) for p, q in zip(i, j)]
+
+
+@pytest.mark.parametrize("blocks", [True, False])
+def test_one_artist_with_many_titles(spark, blocks, monkeypatch):
+    """Blocks of a hot artist meet pairwise; what is found is what all pairs give, and exact pairs are found first."""
+    monkeypatch.setattr(linkage, "TITLES", 16)
+    rng = np.random.default_rng(10)
+    word = lambda: "".join("abcdefghijklm"[k] for k in rng.integers(0, 13, rng.integers(3, 8)))
+    titles = [f"{word()} {word()}" for _ in range(120)]
+    cat = [(t, "hot artist", k) for k, t in enumerate(titles)] + [("same", "hot artist", 900), ("same", "hot artist", 800)]
+    ext = [(t[:3] + "q" + t[4:], "hot artist") for t in titles[:40]] + [(f"{word()} {word()}", "hot artists") for _ in range(40)] + [("same", "hot artist"), (titles[50], "hot artist"), (None, "x"), ("x", None)]
+    x = spark.createDataFrame(ext, "title string, artist string")
+    c = spark.createDataFrame(cat, "title string, artist string, song_id long")
+    got = {(r.title, r.artist): (r.song_id, r.score) for r in linkage.fuzzy_match(x, c, blocks).collect()}
+    ratio = linkage.sequence_ratio() if blocks else linkage.edit_similarity
+    p = x.select(F.col("title").alias("xt"), F.col("artist").alias("xa")).where("xt is not null and xa is not null").crossJoin(c)
+    s = p.select("xt", "xa", "song_id", ratio(F.col("xa"), F.col("artist")).alias("by"), ratio(F.col("xt"), F.col("title")).alias("t")).where("by >= 0.55")
+    want = {}
+    for r in s.collect():
+        score = round(0.7 * r.t + 0.3 * r.by, 9)
+        if score >= 0.72:
+            want[r.xt, r.xa] = max(want.get((r.xt, r.xa), (0, 0)), (score, -r.song_id))
+    assert got == {k: (-i, score) for k, (score, i) in want.items()} and got["same", "hot artist"] == (800, 1.0)
+
+
 @pytest.mark.parametrize("blocks", [True, False])
 def test_letters_keep_what_is_alike(spark, blocks):
     """Artists that are alike enough share one of their first letters, by brute force over random texts."""

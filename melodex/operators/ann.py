@@ -1,5 +1,6 @@
 """Approximate search by stored cells and product codes, and compression by principal components."""
 
+from pyspark.ml import PipelineModel
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
@@ -68,6 +69,16 @@ def pca_project(df: DataFrame, scaler, pca) -> DataFrame:
     return out.drop("features", "centred", "projected")
 
 
+def save_projection(scaler, pca, path: str) -> None:
+    """Keep a fitted model under a path that all executors share."""
+    PipelineModel([scaler, pca]).write().overwrite().save(path)
+
+
+def load_projection(path: str):
+    """(scaler, pca) as ``save_projection`` kept them, for ``pca_project``."""
+    return tuple(PipelineModel.load(path).stages)
+
+
 def recall(found: DataFrame, exact: DataFrame) -> float:
     """Share of the exact results that were found."""
     hit = exact.join(found.select("query_id", "song_id").hint("merge"), ["query_id", "song_id"], "left_semi").count()

@@ -1,6 +1,6 @@
 """Song table operators: upserts, patches, migration, summaries, set operations."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 
@@ -94,6 +94,21 @@ def status_counts(records: DataFrame, failed: Column, matched: Column, enriched:
     return records.groupBy(status.alias("status")).agg(F.count("*").alias("n"))
 
 
+def tag_run(texts: DataFrame, path: str, key: str, text: str, tag: Column, done: DataFrame | None = None) -> dict[str, int]:
+    """Write the texts with their tag, and say in the same pass how many were recovered, skipped (``done`` holds their key),
+    none (null or blank) and tagged. Skipped and blank texts aren't written; a text of a null key is never done."""
+    seen = Observation()
+    had = F.lit(False)
+    if done is not None:
+        texts = texts.join(done.select(key).distinct().withColumn("_had", F.lit(True)).hint("merge"), key, "left")
+        had = F.coalesce(F.col("_had"), F.lit(False))
+    new, blank = ~had, ~F.coalesce(F.col(text).rlike(r"(?U)\S"), F.lit(False))
+    told = texts.withColumn("tag", F.when(new & ~blank, tag))
+    counts = {"recovered": new & ~blank, "skipped": had, "none": new & blank, "tagged": F.col("tag").isNotNull()}
+    told.observe(seen, *[F.count_if(c).alias(name) for name, c in counts.items()]).where(new & ~blank).drop("_had").write.parquet(path)
+    return {name: seen.get[name] for name in counts}
+
+
 def tag_distribution(tagged: DataFrame, tag: str) -> DataFrame:
     """tag, n of the rows with a tag."""
     return tagged.where(F.col(tag).isNotNull()).groupBy(tag).agg(F.count("*").alias("n"))

@@ -23,6 +23,13 @@ def centroids(members: DataFrame, *keys: str) -> DataFrame:
     return gathered(mean, *keys).withColumn("vec", unit(F.col("vec")))
 
 
+def required_centroids(groups: DataFrame, members: DataFrame, *keys: str) -> DataFrame:
+    """As ``centroids``, for each of ``groups`` (keys); a group without a vector is an error where its row is read."""
+    told = groups.select(*keys).distinct().join(centroids(members, *keys).hint("merge"), list(keys), "left")
+    named = F.concat_ws(", ", *[F.col(k).cast("string") for k in keys])
+    return told.withColumn("vec", F.when(F.col("vec").isNull(), F.raise_error(F.concat(F.lit("no vector in group "), named))).otherwise(F.col("vec")))
+
+
 def rocchio(sessions: DataFrame, judged: DataFrame, alpha: float = ALPHA, beta: float = BETA, gamma: float = GAMMA) -> DataFrame:
     """session_id, vec: alpha * query + beta * mean of approved - gamma * mean of rejected, to length one.
 

@@ -3,6 +3,7 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from melodex.functions.vectors import let
 from melodex.sources.scratch import stored
 
 
@@ -65,6 +66,34 @@ def mask_spans(tokens: Column, key: Column, spans: int, width: int, fill: Column
     return F.transform(tokens, lambda x, i: F.when(F.exists(cuts, lambda c: (i >= c.a) & (i < c.a + c.w)), fill).otherwise(x))
 
 
+def _bands(key: Column, bands: int, width: int, n: Column, seed: int) -> Column:
+    """Random stretches of n places, up to ``width`` long; those of no place or of all go."""
+    def band(k: Column) -> Column:
+        w = _number(key, k, seed) % (width + 1)
+        return F.struct(w.alias("w"), (_number(key, k, seed + 1) % F.greatest(n - w + 1, F.lit(1))).alias("a"))
+
+    return F.filter(F.transform(F.sequence(F.lit(1), F.lit(bands)), band), lambda c: (c.w > 0) & (c.w < n))
+
+
+def mask_bands(spectrum: Column, key: Column, rows: tuple[int, int] = (2, 16), columns: tuple[int, int] = (2, 40), seed: int = 17) -> Column:
+    """A spectrum (an array of equally long rows) with random bands of rows (frequencies) and columns (times) set to its mean.
+
+    ``rows`` and ``columns``: how many bands, and of how many places at most. Bands follow from the key; they may be empty,
+    overlap or meet; one that would take all rows or columns is left out. Null stays null, and an empty spectrum empty.
+    """
+    inside = lambda cuts, i: F.exists(cuts, lambda c: (i >= c.a) & (i < c.a + c.w))
+    total = F.aggregate(F.flatten(spectrum), F.lit(0.0), lambda s, x: s + x.cast("double"))
+    n, m = F.size(spectrum), F.coalesce(F.size(F.get(spectrum, F.lit(0))), F.lit(0))
+
+    def masked(told: Column) -> Column:
+        fill = told.fill
+        by_row = lambda row: F.transform(row, lambda x, t: F.when(inside(told.times, t), fill).otherwise(x.cast("double")))
+        return F.transform(spectrum, lambda row, r: F.when(inside(told.pitches, r), F.transform(row, lambda x: fill)).otherwise(by_row(row)))
+
+    drawn = F.struct(F.try_divide(total, n * m).alias("fill"), _bands(key, *rows, n, seed).alias("pitches"), _bands(key, *columns, m, seed + 10).alias("times"))
+    return let(drawn, masked)
+
+
 def priors_weights(rows: DataFrame) -> DataFrame:
     """label, prior (share of the rows) and weight (rows / (labels * its rows)); a null label is one. No rows: none."""
     counts = rows.groupBy("label").agg(F.count("*").alias("n"))

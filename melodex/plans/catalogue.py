@@ -63,6 +63,29 @@ def scan_features_json(spark, d):
     return f.select("event_id", F.coalesce("features.k", F.lit(0)).alias("k"), F.coalesce("features.tempo", F.lit(100.0)).alias("tempo"))
 
 
+@query("SELECT s_suppkey AS song_id, s_suppkey%5<>0 AND s_suppkey%7<>0 AS found, CASE WHEN s_suppkey%5<>0 AND s_suppkey%7<>0 THEN s_acctbal END AS tempo, CASE WHEN s_suppkey%5<>0 AND s_suppkey%7<>0 THEN 3 ELSE 0 END::INT AS n FROM supplier")
+def scan_feature_documents(spark, d):
+    """An indented document a song, in a file of its name; some songs have none, and some files are no JSON."""
+    path = scratch(spark)
+    s = table(spark, d, "supplier").select("s_suppkey", "s_acctbal").where("s_suppkey % 5 <> 0")
+    doc = F.to_json(F.struct(F.col("s_acctbal").alias("tempo"), F.array(F.lit(1.0), F.col("s_acctbal"), F.lit(3.0)).alias("profile"), F.lit("more").alias("other")), {"pretty": "true"})
+    # Spark names its own files: the folder says the song's name here, and a song's path leads there.
+    s.select("s_suppkey", F.when(F.col("s_suppkey") % 7 == 0, "{ no JSON").otherwise(doc).alias("value")).write.partitionBy("s_suppkey").text(path)
+    name = F.regexp_extract(F.col("_metadata.file_path"), r"s_suppkey=(\d+)/", 1)
+    songs = table(spark, d, "supplier").select(F.col("s_suppkey").alias("song_id"))
+    f = files.features_of(songs, path, "tempo double, profile array<double>", name)
+    return f.select("song_id", "found", "features.tempo", F.coalesce(F.size("features.profile"), F.lit(0)).alias("n"))
+
+
+@query("WITH p AS (SELECT 'grp='||page_id%3 AS grp, 'label='||split_part(url,'/',-2) AS label, dense_rank() OVER (ORDER BY split_part(url,'/',-2))-1 AS label_id FROM pages) SELECT grp, label, label_id, count(*) AS n FROM p GROUP BY ALL")
+def scan_labelled_files(spark, d):
+    """A file a page, in folders by group and label."""
+    path = scratch(spark)
+    p = table(spark, d, "pages").select((F.col("page_id") % 3).alias("grp"), F.element_at(F.split("url", "/"), -2).alias("label"), F.col("page_id").cast("string").alias("value"))
+    p.write.option("maxRecordsPerFile", 1).partitionBy("grp", "label").text(path)
+    return files.labelled_files(spark, path, "*.txt").groupBy("grp", "label", "label_id").agg(F.count("*").alias("n"))
+
+
 @query("SELECT p_partkey AS song_id, len(embedding)::INT AS n FROM part JOIN embeddings ON vec_id=p_partkey")
 def scan_vectors(spark, d):
     v = table(spark, d, "embeddings").select(F.col("vec_id").alias("song_id"), F.size("embedding").alias("n"))
@@ -80,7 +103,8 @@ def _flat(spark, d) -> DataFrame:
 def scan_judgments(spark, d):
     path = scratch(spark)
     files.nest_judgments(_flat(spark, d)).select(F.lit("grades by line number").alias("_readme"), F.array(F.struct("anchor_id", F.lit("").alias("note"), "judgments")).alias("anchors")).write.json(path)
-    return files.flatten_judgments(spark.read.schema(files.JUDGMENTS).json(path))
+    j = files.read_judgments(spark, path, lines=True)
+    return j.select("readme", F.col("anchor_id").cast("long").alias("anchor_id"), "pos", F.col("song_id").cast("long").alias("song_id"), "grade")
 
 
 @query(f"WITH {FLAT} SELECT anchor_id, count(*) AS n, max(grade) AS best FROM flat GROUP BY anchor_id")
@@ -198,6 +222,14 @@ def mood_distribution(spark, d):
     return C.tag_distribution(mood_tag(spark, d), "mood")
 
 
+@query(f"WITH {MOOD}, r AS (SELECT doc_id, doc_id%11=0 AS had, doc_id%7=0 AS blank, mood FROM m JOIN documents USING (doc_id)) SELECT count_if(NOT had AND NOT blank) AS recovered, count_if(had) AS skipped, count_if(NOT had AND blank) AS none, count_if(NOT had AND NOT blank AND mood IS NOT NULL) AS tagged FROM r")
+def mood_totals(spark, d):
+    """Totals of a tagging run, counted while it writes: some documents are done already, some are blank."""
+    docs = table(spark, d, "documents").select("doc_id", F.when(F.col("doc_id") % 7 == 0, " \n\t").otherwise(F.col("text")).alias("text"))
+    totals = C.tag_run(docs, scratch(spark), "doc_id", "text", T.mood_tag(F.col("text"), WORDS), docs.where("doc_id % 11 = 0"))
+    return spark.createDataFrame([totals], "recovered long, skipped long, none long, tagged long")
+
+
 @query("SELECT p_partkey, trim(regexp_replace(lower(p_name||'! '||p_brand),'[^\\p{L}\\p{N}\\s]','','g')) AS name FROM part")
 def normalise_text(spark, d):
     return table(spark, d, "part").select("p_partkey", T.normalise_text(F.concat("p_name", F.lit("! "), "p_brand")).alias("name"))

@@ -138,10 +138,13 @@ def pca_project(spark, d):
 
 @query("WITH m AS (SELECT i, avg(embedding[i]::DOUBLE) AS a FROM embeddings, unnest(generate_series(1,64)) u(i) GROUP BY i), c AS (SELECT vec_id, list(embedding[i]::DOUBLE-a ORDER BY i) AS v FROM embeddings, m GROUP BY vec_id) SELECT x.vec_id AS song_id, round(list_cosine_similarity(x.v, y.v),5)+0 AS cosine FROM c x JOIN c y ON y.vec_id=x.vec_id+1")
 def pca_angles(spark, d):
-    """With as many components as places nothing is lost: neighbours' cosines are those of the centred vectors."""
+    """With as many components as places nothing is lost: neighbours' cosines are those of the centred vectors. The model is
+    kept and loaded, and never fitted again."""
     v = vecs(spark, d)
     scaler, pca, _ = ann.pca_fit(v, 64)
-    p = stored(ann.pca_project(v, scaler, pca).select("song_id", "vec"))
+    kept = scratch(spark)
+    ann.save_projection(scaler, pca, kept)
+    p = stored(ann.pca_project(v, *ann.load_projection(kept)).select("song_id", "vec"))
     other = p.select((F.col("song_id") - 1).alias("song_id"), F.col("vec").alias("other"))
     return p.join(other.hint("merge"), "song_id").select("song_id", (F.round(cosine(F.col("vec"), F.col("other")), 5) + 0).alias("cosine"))
 

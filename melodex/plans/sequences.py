@@ -215,6 +215,18 @@ def mask_spans(spark, d):
     return t.select("id", F.array_join(Q.mask_spans(F.col("tokens"), F.col("id"), 3, 10, F.lit(0)).cast("array<string>"), ",").alias("tokens"))
 
 
+BAND = "SELECT id, list({{'a': a, 'w': w}}) AS cuts FROM (SELECT id, w, ('0x'||substr(md5(id||':'||k||':{b}'),1,8))::BIGINT % greatest(8-w+1,1) AS a FROM (SELECT id, k, ('0x'||substr(md5(id||':'||k||':{a}'),1,8))::BIGINT % {most} AS w FROM sp, unnest([1,2]) u(k))) WHERE w>0 AND w<8 GROUP BY id"
+IN_BAND = "coalesce(len(list_filter({c}, lambda x: {i}>=x.a AND {i}<x.a+x.w)),0)>0"
+
+
+@query(f"WITH sp AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings), fq AS ({BAND.format(a=17, b=18, most=4)}), ti AS ({BAND.format(a=27, b=28, most=6)}) SELECT sp.id, i//8 AS r, i%8 AS t, round(CASE WHEN {IN_BAND.format(c='fq.cuts', i='(i//8)')} OR {IN_BAND.format(c='ti.cuts', i='(i%8)')} THEN list_sum(v)/64 ELSE v[i+1] END,6)+0 AS value FROM sp LEFT JOIN fq USING (id) LEFT JOIN ti USING (id), unnest(generate_series(0,63)) u(i)")
+def mask_bands(spark, d):
+    """Vectors as spectra of eight by eight, with two bands of rows and two of columns set to the mean."""
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.array(*[F.slice("embedding", 8 * r + 1, 8) for r in range(8)]).alias("s"))
+    m = e.select("id", F.posexplode(Q.mask_bands(F.col("s"), F.col("id"), (2, 3), (2, 5))).alias("r", "row"))
+    return m.select("id", F.col("r").cast("long").alias("r"), F.posexplode("row").alias("t", "value")).select("id", "r", F.col("t").cast("long").alias("t"), (F.round("value", 6) + 0).alias("value"))
+
+
 @query("WITH c AS (SELECT event_type AS label, count(*) AS n FROM events GROUP BY ALL), t AS (SELECT sum(n) AS a, count(*) AS k FROM c) SELECT label, round(n/a,9)::DOUBLE AS prior, round(a/(k*n),9)::DOUBLE AS weight FROM c, t")
 def class_priors_weights(spark, d):
     p = Q.priors_weights(table(spark, d, "events").select(F.col("event_type").alias("label")))

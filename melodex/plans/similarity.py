@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from melodex.functions import vectors as V
-from melodex.operators import evaluation, feedback, fusion, rerank, search
+from melodex.operators import evaluation, feedback, fusion, rerank, search, similar
 
 from .registry import query, table
 
@@ -68,20 +68,47 @@ def _reranked(spark, d, k, weights=None) -> DataFrame:
 
 @query(RANKED + " SELECT rank, song_id, round(score,4) AS score FROM ranked WHERE query_id=7 AND rank<=10")
 def similar_by_id(spark, d):
-    v = vecs(spark, d)
-    return search.topk(as_queries(v.where("song_id = 7")), v, 10).select("rank", "song_id", F.round("score", 4).alias("score"))
+    return similar.similar_by_id(vecs(spark, d), 7, rerank=False).withColumn("score", F.round("score", 4))
+
+
+def _named(spark, d) -> DataFrame:
+    """Songs with what the default weights and names read."""
+    part = table(spark, d, "part").select(F.col("p_partkey").alias("song_id"), F.col("p_name").alias("title"), F.col("p_brand").alias("artist"))
+    return vecs(spark, d).join(part.hint("merge"), "song_id", "left")
+
+
+ADJUSTED = PAIRS + """, pool AS (SELECT *, row_number() OVER (ORDER BY score DESC, song_id) AS pool_rank FROM (SELECT query_id, song_id, score FROM pairs UNION ALL SELECT song_id, song_id, round(list_inner_product(vec,vec),10) FROM songs) WHERE query_id={seed}),
+ adj AS (SELECT p.*, round(p.score + CASE WHEN a.artist=c.artist AND a.artist<>'' THEN 0.15 ELSE 0.0 END, 4) AS adjusted FROM pool p JOIN songs a ON p.query_id=a.song_id JOIN songs c ON p.song_id=c.song_id WHERE pool_rank<=50 AND p.query_id<>p.song_id)
+ SELECT row_number() OVER (ORDER BY adjusted DESC, pool_rank) AS rank, song_id, adjusted AS score FROM adj QUALIFY rank<=10"""
+
+
+@query(ADJUSTED.replace("{seed}", "7"))
+def similar_by_id_reranked(spark, d):
+    """As a user asks for it: reranked by the default weights."""
+    return similar.similar_by_id(_named(spark, d), 7)
+
+
+@query(ADJUSTED.replace("{seed}", "(SELECT min(p_partkey) FROM part JOIN embeddings ON p_partkey=vec_id WHERE lower(p_name)=(SELECT lower(p_name) FROM part WHERE p_partkey=12) AND lower(p_brand)=(SELECT lower(p_brand) FROM part WHERE p_partkey=12))"))
+def similar_by_name_reranked(spark, d):
+    title, artist = table(spark, d, "part").where("p_partkey = 12").select("p_name", "p_brand").first()
+    return similar.similar_by_name(_named(spark, d), title, artist)
+
+
+@query(RANKED + " SELECT query_id, rank, song_id, round(score,4) AS score, CASE WHEN p_size IS NULL THEN NULL WHEN p_size*3+60<80 THEN 'Slow' WHEN p_size*3+60<100 THEN 'Medium' WHEN p_size*3+60<120 THEN 'Upbeat' ELSE 'Fast' END AS tempo_label, CASE WHEN p_size IS NULL THEN NULL WHEN p_size%7=0 THEN 0 ELSE round(p_size/64.0::DOUBLE,2) END::DOUBLE AS ornament, round(p_size%10/8.0::DOUBLE,2)::DOUBLE AS hnr FROM ranked LEFT JOIN part ON p_partkey=song_id WHERE rank<=5")
+def match_card_statistics(spark, d):
+    """What a result's card shows beside its score; songs without a part have no record."""
+    from melodex.functions.music import tempo_bucket
+
+    size = F.col("p_size")
+    f = table(spark, d, "part").select(F.col("p_partkey").alias("song_id"), tempo_bucket(size * 3 + 60).alias("tempo_bucket"), F.when(size % 7 != 0, size / 64.0).alias("murki_index"), (size % 10 / 8.0).alias("hnr_mean"))
+    return similar.match_cards(search.topk(as_queries(vecs(spark, d)), vecs(spark, d), 5), f).select("query_id", "rank", "song_id", "score", "tempo_label", "ornament", "hnr")
 
 
 @query(RANKED + ", seed AS (SELECT min(p_partkey) AS id FROM part JOIN embeddings ON p_partkey=vec_id WHERE lower(p_name)=(SELECT lower(p_name) FROM part WHERE p_partkey=9) AND lower(p_brand)=(SELECT lower(p_brand) FROM part WHERE p_partkey=9)) SELECT rank, song_id, round(score,4) AS score FROM ranked WHERE query_id=(SELECT id FROM seed) AND rank<=10")
 def similar_by_name(spark, d):
     """The first song whose id from title and artist equals that of part 9's."""
-    from melodex.functions.text import make_song_id
-
-    part = table(spark, d, "part").select("p_partkey", make_song_id(F.col("p_name"), F.col("p_brand")).alias("key"))
-    named = part.join(part.where("p_partkey = 9").select("key"), "key")
-    v = vecs(spark, d)
-    seed = v.join(named, v.song_id == named.p_partkey, "left_semi").orderBy("song_id").limit(1)
-    return search.topk(as_queries(seed), v, 10).select("rank", "song_id", F.round("score", 4).alias("score"))
+    title, artist = table(spark, d, "part").where("p_partkey = 9").select("p_name", "p_brand").first()
+    return similar.similar_by_name(_named(spark, d), title, artist, rerank=False).withColumn("score", F.round("score", 4))
 
 
 @query(RANKED + " SELECT r.query_id, q.category, r.rank, r.song_id FROM ranked r JOIN songs q ON q.song_id=r.query_id WHERE r.rank<=5")
@@ -197,10 +224,8 @@ def vector_centroid(spark, d):
 
 @query(f"WITH {CELLS}, {SONGS}, m AS (SELECT pos, avg(x) AS a FROM cells WHERE vec_id IN (3,14,15,92,65) GROUP BY ALL), c AS (SELECT list(a/(SELECT sqrt(sum(a*a)) FROM m) ORDER BY pos) AS v FROM m), r AS (SELECT song_id, round(list_inner_product(vec,v),6) AS score FROM songs, c WHERE song_id NOT IN (3,14,15,92,65)) SELECT row_number() OVER (ORDER BY score DESC, song_id) AS rank, song_id, round(score,4) AS score FROM r QUALIFY rank<=10")
 def playlist_expand(spark, d):
-    v = vecs(spark, d)
-    seeds = v.where(F.col("song_id").isin(3, 14, 15, 92, 65))
-    q = feedback.centroids(seeds.withColumn("query_id", F.lit(-1).cast("long")), "query_id")
-    return search.topk(q, v.join(seeds, "song_id", "left_anti"), 10).select("rank", "song_id", F.round("score", 4).alias("score"))
+    members = spark.range(100).select(F.col("id").alias("song_id")).where(F.col("song_id").isin(3, 14, 15, 92, 65))
+    return similar.similar_to_playlist(vecs(spark, d), members).withColumn("score", F.round("score", 4))
 
 
 JUDGED = "judged AS (SELECT user_id AS session_id, CASE event_type WHEN 'purchase' THEN 'approve' ELSE 'reject' END AS verdict, event_id%500 AS song_id FROM events WHERE event_type IN ('purchase','error'))"

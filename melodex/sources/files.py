@@ -5,9 +5,11 @@ import warnings
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .scratch import stored
+
 # The catalogue's columns; the first two are required.
 CATALOGUE = ("title", "artist", "category", "youtube_url", "clip_start")
-JUDGMENTS = "_readme string, anchors array<struct<anchor_id: long, note: string, judgments: array<struct<song_id: long, grade: int>>>>"
+JUDGMENTS = "_readme string, anchors array<struct<anchor_id: string, note: string, judgments: array<struct<song_id: string, grade: int>>>>"
 
 
 def read_catalogue(spark: SparkSession, path: str) -> DataFrame:
@@ -25,6 +27,34 @@ def read_features(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
 
+def read_documents(spark: SparkSession, path: str, schema: str, lines: bool = False) -> DataFrame:
+    """JSON files of one document each, over as many lines as it takes, or with ``lines`` of a document a line; what isn't
+    JSON is a row of nulls with its text in ``_corrupt``."""
+    options = {"multiLine": not lines, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
+    return spark.read.schema(f"{schema}, _corrupt string").options(**options).json(path)
+
+
+def features_of(songs: DataFrame, path: str, schema: str, name: Column | None = None) -> DataFrame:
+    """``songs`` (song_id) with ``features``, the record in the file that is named after their id under a path (``name`` says
+    another way from a file's ``_metadata`` to its song's id), and ``found``.
+
+    A song without a file, or whose file isn't JSON, has a record of nulls and isn't found; files of no song are left out.
+    """
+    spark = songs.sparkSession
+    names = [f.name for f in spark.createDataFrame([], schema).schema]
+    docs = read_documents(spark, path, schema)
+    if name is None:  # names in paths are percent-encoded, and a plus is a plus
+        name = F.url_decode(F.replace(F.regexp_replace(F.col("_metadata.file_name"), r"\.json$", ""), F.lit("+"), F.lit("%2B")))
+    of = docs.select(name.alias("_name"), F.struct(*names).alias("features"), F.col("_corrupt").isNull().alias("found"))
+    told = songs.join(of.hint("merge"), F.col("song_id").cast("string") == F.col("_name"), "left").drop("_name")
+    return told.withColumn("found", F.coalesce("found", F.lit(False))).withColumn("features", F.coalesce("features", F.struct(*[F.lit(None).cast(t).alias(n) for n, t in spark.createDataFrame([], schema).dtypes])))
+
+
+def read_judgments(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Judgments of nested documents, as ``flatten_judgments`` has them; what isn't JSON gives none."""
+    return flatten_judgments(read_documents(spark, path, JUDGMENTS, lines))
+
+
 def write_features(df: DataFrame, path: str) -> None:
     df.write.json(path)
 
@@ -62,10 +92,21 @@ def group_and_label(path: Column) -> tuple[Column, Column]:
 def labelled_paths(files: DataFrame, path: str) -> DataFrame:
     """``files`` with grp, label and label_id: labels are numbered from 0 in the order of their names.
 
-    Files without two folders above them have a null label and no number. Labels are numbered among themselves, not by one
-    window over all files.
+    Files without two folders above them have a null label and no number. Labels are numbered among themselves: sorted over
+    tasks, counted within each, and moved on by how many the tasks before it have.
     """
     group, label = group_and_label(F.col(path))
     told = files.withColumn("grp", group).withColumn("label", label)
-    names = told.select("label").where("label is not null").distinct().withColumn("label_id", (F.dense_rank().over(Window.orderBy("label")) - 1).cast("long"))
-    return told.join(names, "label", "left")
+    names = told.select("label").where("label is not null").distinct().repartitionByRange("label").sortWithinPartitions("label")
+    placed = stored(names.select("label", F.monotonically_increasing_id().alias("at")))
+    task, place = F.shiftright("at", 33), F.col("at").bitwiseAND((1 << 33) - 1)
+    sizes = placed.groupBy(task.alias("task")).agg(F.count("*").alias("n"))
+    before = sizes.select("task", (F.sum("n").over(Window.orderBy("task")) - F.col("n")).alias("before"))  # a row a task
+    numbered = placed.withColumn("task", task).join(F.broadcast(before), "task").select("label", (F.col("before") + place).alias("label_id"))
+    return told.join(numbered.hint("merge"), "label", "left")
+
+
+def labelled_files(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
+    """path, length, modificationTime, grp, label and label_id of all files in the folders below a root; none is opened."""
+    found = spark.read.format("binaryFile").options(recursiveFileLookup=True, pathGlobFilter=pattern).load(root)
+    return labelled_paths(found.select("path", "length", "modificationTime"), "path")

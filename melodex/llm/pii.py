@@ -3,7 +3,7 @@
 Everything runs on DataFrame functions. A text is cut at its entities by one pattern. An entity has one or two parts in
 a canonical form (a phone's digits with its country, an address's name and domain in lower case, a surname and a given
 name), so that mentions in different spellings share them: one number in several formats, an address in two cases, a
-person by full name and by surname. Each part is replaced by a pure function of the key, its type, itself and an attempt
+person by full name and by surname, whose gender a text's titles tell also where a mention has none. Each part is replaced by a pure function of the key, its type, itself and an attempt
 number, and written back in the format of the mention; so mentions of one entity stay mentions of one (other) entity in
 every document, and no text is shuffled. Distinctness is checked on the table of different parts: where two of them would
 get the same surrogate, or a surrogate is itself a part of the data, all but the first try again with the next attempt
@@ -23,28 +23,35 @@ MAPPED, ATTEMPTS = 2000, 40
 
 # The patterns of entities. Each begins with what its first character must be, which settles most places of
 # a text at once, and then where the character before can't be part of it, so that a long run is read once.
-_NAME = r"\p{Lu}[\p{L}'’\-]{1,40}"
-_TITLES_F = "Mrs|Ms|Miss|Frau|Madame|Mme|Mlle|Señora|Sra|Doña|Signora|госпожа"
-_TITLES_M = "Mr|Herr|Herrn|Monsieur|Señor|Sr|Don|Signor|господин"
+_NAME = r"\p{Lu}(?:\p{L}{1,40}(?:['’\-]\p{L}{2,40}){0,3}|['’]\p{L}{2,40}(?:['’\-]\p{L}{2,40}){0,2})"
+_TITLES_F = r"Mrs|MRS|mrs(?=\.)|Ms|MS|ms(?=\.)|Miss|MISS|Frau|FRAU|Madame|MADAME|Mme|Mlle|Señora|SEÑORA|Sra|Doña|Signora|SIGNORA|[Гг]оспожа"
+_TITLES_M = r"Mr|MR|mr(?=\.)|Herrn?|HERR|Monsieur|MONSIEUR|Señor|SEÑOR|Sr|Don|Signor|SIGNOR|[Гг]осподин"
+_TITLES_N = r"Dr|DR|dr(?=\.)|Prof|PROF|prof(?=\.)|Professor|PROFESSOR|Professorin|Doctor|DOCTOR|Dra(?=\.)"
+_TITLES = f"{_TITLES_F}|{_TITLES_M}|{_TITLES_N}"
+# White space inside a name, a line's end included; and words that begin a sentence and aren't a surname after a line's end.
+_GAP = r"(?:[ \t\u00A0]{1,3}|[ \t]?\r?\n[ \t]?)"
+_BEGINNINGS = "The|This|That|These|He|She|It|We|You|They|In|On|At|And|But|If|When|Please|Yours|Best|Der|Die|Das|Er|Sie|Wir|Und|Le|La|Les|El|Los|Il"
 _CUES = "Name:|name:|name is|Contact:|Dear"
 _NOBODY = "Sirs?|Madam|Readers?|Friends?|Customers?|Colleagues?|Editors?|Team|All|Us|Sales|Support"
 _APART = r"(?<![\p{L}\p{N}])"
 # A secret's value runs to its end, however long: full stops and = inside it belong to it, = also at its end.
 _VALUE = r"[A-Za-z0-9_\-+/~]"
+_SECRETS = r"[Pp]assword|PASSWORD|[Pp]asswd|[Pp]wd|PWD|[Pp]assphrase|PASSPHRASE|[Pp]asscode|[Ss]ecret|SECRET|[Tt]oken|TOKEN|[Aa]pi[_\-]?[Kk]ey|API_KEY|[Aa]ccess[_\-]?[Kk]ey|[Aa]ccessToken|[Cc]lientSecret"
+_SCHEMES = "(?:[Bb]earer|BEARER|[Bb]asic|[Tt]oken)"
 PATTERNS = {
     "ssn": r"(?<![\p{L}\p{N}\-])\d{3}-\d{2}-\d{4}(?![\d\-])",
-    "phone": rf"{_APART}\+\d{{1,3}}[ .\-]?(?:\(\d{{1,4}}\)[ .\-]?)?\d{{2,4}}(?:[ .\-]\d{{2,8}}){{1,4}}(?!\d)|{_APART}\(\d{{3}}\) ?\d{{3}}-\d{{4}}(?!\d)|(?<![\p{{L}}\p{{N}}\-])\d{{3}}[.\-]\d{{3}}[.\-]\d{{4}}(?![\d\-])|{_APART}\+\d{{8,15}}(?!\d)",
+    "phone": rf"(?<![\p{{L}}\p{{N}}.\-+/=_])[2-9]\d{{2}}[2-9]\d{{6}}(?![\p{{L}}\p{{N}}\-]|\.\d)|{_APART}\+\d{{1,3}}[ .\-]?(?:\(\d{{1,4}}\)[ .\-]?)?\d{{2,4}}(?:[ .\-]\d{{2,8}}){{1,4}}(?!\d)|{_APART}\(\d{{3}}\) ?\d{{3}}-\d{{4}}(?!\d)|(?<![\p{{L}}\p{{N}}\-])\d{{3}}[.\-]\d{{3}}[.\-]\d{{4}}(?![\d\-])|{_APART}\+\d{{8,15}}(?!\d)",
     "ip": r"(?<![\p{L}\p{N}.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d)",
     "card": rf"{_APART}\d{{4}}(?:[ \-]?\d{{4}}){{2}}[ \-]?\d{{1,7}}(?!\d)",
     "access": rf"{_APART}(?:AKIA|ASIA)[A-Z0-9]{{16}}(?![A-Za-z0-9])",
     "iban": rf"{_APART}[A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]{{4}}){{3,7}}(?: ?[A-Z0-9]{{1,3}})?(?![\p{{L}}\p{{N}}])",
-    "secret": rf"{_APART}(?:[Pp]assword|PASSWORD|[Pp]asswd|[Ss]ecret|[Tt]oken|TOKEN|[Aa]pi[_\-]?[Kk]ey|API_KEY)\s{{0,2}}[=:]\s{{0,2}}[\"']?{_VALUE}(?:{_VALUE}|[.=]++(?={_VALUE})){{5,}}+=*+",
-    "name": rf"{_APART}(?:(?:(?:{_CUES}) )?(?:{_TITLES_F}|{_TITLES_M})\.?|(?:{_CUES})(?! (?:{_NOBODY})\b)) {_NAME}(?: {_NAME})?",
+    "secret": rf"{_APART}(?:(?:{_SECRETS})\s{{0,2}}[=:]\s{{0,2}}[\"']?|(?:[Aa]uthorization|AUTHORIZATION)\s{{0,2}}[=:]\s{{0,2}}[\"']?{_SCHEMES}\s{{1,2}}){_VALUE}(?:{_VALUE}|[.=]++(?={_VALUE})){{5,}}+=*+",
+    "name": rf"{_APART}(?:(?:(?:{_CUES}){_GAP})?(?:{_TITLES})\.?{_GAP}(?:(?:{_TITLES_N})\.?{_GAP})*|(?:{_CUES})(?!{_GAP}(?:{_NOBODY})\b){_GAP})(?!(?:{_TITLES_N})(?!\p{{L}})){_NAME}(?:{_GAP}(?<!\n[ \t]?(?={_APART}(?:{_BEGINNINGS})(?!\p{{L}}))){_NAME})?",
     "email": r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]{1,64}+@[\p{L}\p{N}\-]{1,63}+(?:\.[\p{L}\p{N}\-]{1,63}+){1,8}",
 }
 _of = lambda *names: "(?:" + "|".join(PATTERNS[n] for n in names) + ")"
 #: Entities of a text without an @; and with one. An address comes first, as it may hold any of the others.
-NO_AT = f"(?=[0-9+(]){_of('ssn', 'phone', 'ip', 'card')}|(?=[A-Z]){_of('access', 'iban')}|(?=[pPsStTaA]){_of('secret')}|(?=[CDFHMNSnг]){_of('name')}"
+NO_AT = f"(?=[0-9+(]){_of('ssn', 'phone', 'ip', 'card')}|(?=[A-Z]){_of('access', 'iban')}|(?=[pPsStTaAcC]){_of('secret')}|(?=[CDFHMNPSdmnpгГ]){_of('name')}"
 ANY = f"{PATTERNS['email']}|{NO_AT}"
 # Syllables that names are made of, by script, and their endings by gender.
 _SYLLABLES = {
@@ -60,7 +67,7 @@ _ENDS = {("latin", "f"): ["lia", "na", "ra", "sa"], ("latin", "m"): ["ton", "rik
 
 def entity_type(e: Column) -> Column:
     """The type of an entity that the pattern has found."""
-    rules = [("email", e.contains("@")), ("name", e.rlike(f"^(?:{_CUES}) ")), ("secret", e.rlike("^[A-Za-z_-]+\\s*[=:]")), ("access", e.rlike(r"^(?:AKIA|ASIA)[A-Z0-9]{16}$")), ("iban", e.rlike(r"^[A-Z]{2}\d{2}"))]
+    rules = [("email", e.contains("@")), ("name", e.rlike(rf"^(?:{_CUES})\s")), ("secret", e.rlike("^[A-Za-z_-]+\\s*[=:]")), ("access", e.rlike(r"^(?:AKIA|ASIA)[A-Z0-9]{16}$")), ("iban", e.rlike(r"^[A-Z]{2}\d{2}"))]
     rules += [(k, e.rlike(f"^(?:{PATTERNS[k]})$")) for k in ("ssn", "phone", "ip", "card")]
     return reduce(lambda out, r: F.when(r[1], r[0]).otherwise(out), reversed(rules), F.lit("name"))
 
@@ -99,21 +106,46 @@ def _luhn(digits: Column) -> Column:
 
 
 def _words_of_name(e: Column) -> Column:
-    """The one or two words of a name after its title or cue."""
-    return F.regexp_extract(e, rf"^(?:(?:{_CUES}) )?(?:(?:{_TITLES_F}|{_TITLES_M})\.? )?(.*)$", 1)
+    """The one or two words of a name after its titles or cue."""
+    return F.regexp_extract(e, rf"(?s)^(?:(?:{_CUES}){_GAP})?(?:(?:{_TITLES})\.?{_GAP}(?:(?:{_TITLES_N})\.?{_GAP})*)?(.*)$", 1)
 
 
 def _gender(e: Column) -> Column:
     """f or m by a name's title, else -."""
-    has = lambda titles: e.rlike(rf"^(?:(?:{_CUES}) )?(?:{titles})\.? ")
+    has = lambda titles: e.rlike(rf"^(?:(?:{_CUES}){_GAP})?(?:{titles})\.?\s")
     return F.when(has(_TITLES_F), "f").when(has(_TITLES_M), "m").otherwise("-")
 
 
-def parts_of(e: Column, kind: Column) -> Column:
+def _plain_words(e: Column) -> Column:
+    """The words of a name in lower case, apostrophes of one kind."""
+    return F.split(F.replace(F.lower(_words_of_name(e)), F.lit("’"), F.lit("'")), r"\s+")
+
+
+def told_apart(found: Column) -> Column:
+    """Entities of a text as structs of e, kind and g. The gender g of a name without a title that tells it is that of the
+    text's names with the same surname, and no other given name, if those with a gender agree."""
+    kinds = F.transform(found, lambda e: F.struct(e.alias("e"), entity_type(e).alias("kind")))
+    name = lambda x: F.when(x.kind == "name", _plain_words(x.e))
+    words = F.transform(kinds, lambda x: F.struct(x.e.alias("e"), x.kind.alias("kind"), F.when(x.kind == "name", _gender(x.e)).otherwise("-").alias("g"), name(x).alias("w")))
+
+    def settled(xs: Column, titled: Column) -> Column:
+        def gender(x: Column) -> Column:
+            same = F.filter(titled, lambda y: (F.element_at(y.w, -1) == F.element_at(x.w, -1)) & ((F.size(y.w) == 1) | (F.size(x.w) == 1) | (y.w[0] == x.w[0])))
+            genders = F.array_distinct(F.transform(same, lambda y: y.g))
+            return F.when((x.kind == "name") & (x.g == "-") & (F.size(genders) == 1), F.get(genders, F.lit(0))).otherwise(x.g)
+
+        return F.transform(xs, lambda x: F.struct(x.e.alias("e"), x.kind.alias("kind"), gender(x).alias("g")))
+
+    once = lambda value, f: F.get(F.transform(F.array(value), f), F.lit(0))
+    titled = lambda xs: F.array_distinct(F.transform(F.filter(xs, lambda x: (x.kind == "name") & (x.g != "-")), lambda x: F.struct(x.w.alias("w"), x.g.alias("g"))))
+    return once(words, lambda xs: once(titled(xs), lambda ts: settled(xs, ts)))
+
+
+def parts_of(e: Column, kind: Column, gender: Column) -> Column:
     """The parts of an entity as an array of structs of their type and canonical form."""
     part = lambda k, c: F.struct((F.lit(k) if isinstance(k, str) else k).alias("k"), c.alias("c"))
     digits = F.regexp_replace(e, "[^0-9]", "")
-    low, words, gender = F.lower(e), F.split(F.lower(_words_of_name(e)), " "), _gender(e)
+    low, words = F.lower(e), _plain_words(e)
     surname = part(F.concat(F.lit("surname "), gender), F.element_at(words, -1))
     canon = (
         F.when(kind == "phone", F.when(e.startswith("+"), digits).otherwise(F.concat(F.lit("1"), digits)))  # those without + are North American
@@ -130,7 +162,7 @@ def parts_of(e: Column, kind: Column) -> Column:
     )
 
 
-_SECRET_NAME = r"^[A-Za-z_\-]+\s*[=:]\s*[\"']?"
+_SECRET_NAME = rf"^[A-Za-z_\-]+\s*[=:]\s*[\"']?(?:(?<=^[Aa][A-Za-z]{{12}}\s{{0,2}}[=:]\s{{0,2}}[\"']?){_SCHEMES}\s+)?"
 
 
 def _kept(k: Column, c: Column) -> Column:
@@ -139,14 +171,20 @@ def _kept(k: Column, c: Column) -> Column:
 
 
 def _spelt_name(k: Column, c: Column, hexed: Column) -> Column:
-    """A lower-case name of the same script; its ending tells the gender where the title does."""
+    """A lower-case name of the same script, with apostrophes and hyphens where it has them, and one letter for one or two
+    before or after such a mark; its ending tells the gender where the title does."""
 
     def of(script: str) -> Column:
         syllables = F.split(F.lit(" ".join(_SYLLABLES[script])), " ")
-        at = lambda n, choices: F.element_at(choices, _number(hexed, F.lit(n)) % F.size(choices) + 1)
-        ending = lambda g: at(9, F.split(F.lit(" ".join(_ENDS[script, g])), " "))
-        end = F.when(k.endswith("f"), ending("f")).when(k.endswith("m"), ending("m")).otherwise(at(8, syllables))
-        return F.concat(*[at(n, syllables) for n in range(2)], F.when(k.startswith("surname"), F.concat(*[at(n, syllables) for n in range(2, 5)])).otherwise(""), end)
+        at = lambda n, choices: F.element_at(choices, _number(hexed, n) % F.size(choices) + 1)
+        ending = lambda g: at(F.lit(9), F.split(F.lit(" ".join(_ENDS[script, g])), " "))
+        end = F.when(k.endswith("f"), ending("f")).when(k.endswith("m"), ending("m")).otherwise(at(F.lit(8), syllables))
+        whole = F.concat(*[at(F.lit(n), syllables) for n in range(2)], F.when(k.startswith("surname"), F.concat(*[at(F.lit(n), syllables) for n in range(2, 5)])).otherwise(""), end)
+        piece = lambda p, i: F.when(F.length(p) <= 2, F.substring(at(i * 11 + 13, syllables), 1, 1)).otherwise(F.concat(*[at(i * 11 + 17 + n, syllables) for n in range(3)]))
+        marks = F.regexp_extract_all(c, F.lit("(['-])"), F.lit(1))
+        last = F.size(marks)
+        pieces = F.transform(F.split(c, "['-]"), lambda p, i: F.concat(F.when(i > 0, F.get(marks, i - 1)).otherwise(""), F.when((i == last) & (F.length(p) > 2), whole).otherwise(piece(p, i))))
+        return F.when(last > 0, F.array_join(pieces, "")).otherwise(whole)
 
     return F.when(c.rlike(r"\p{IsCyrillic}"), of("cyrillic")).otherwise(of("latin"))
 
@@ -184,6 +222,13 @@ def _cased(made: Column, like: Column) -> Column:
     return F.when(like.rlike(r"\p{Lu}.*\p{Lu}") & ~like.rlike(r"\p{Ll}"), F.upper(made)).when(like.rlike(r"\p{Lu}"), one).otherwise(made)
 
 
+def _name_cased(made: Column, like: Column) -> Column:
+    """A name's letters in the case of the mention, piece by piece between its marks, which are the mention's own."""
+    marks = F.regexp_extract_all(like, F.lit("(['’-])"), F.lit(1))
+    pieces = F.zip_with(F.split(made, "['-]"), F.split(like, "['’-]"), lambda m, x: _cased(m, x))
+    return F.array_join(F.transform(pieces, lambda p, i: F.concat(F.when(i > 0, F.get(marks, i - 1)).otherwise(""), p)), "")
+
+
 def _filled(like: Column, made: Column) -> Column:
     """The letters and digits of a mention replaced by as many of a surrogate's last ones."""
     plain = lambda v: F.length(F.regexp_replace(v, "[^A-Za-z0-9]", ""))
@@ -195,25 +240,25 @@ def _written_back(e: Column, kind: Column, parts: Column) -> Column:
     """The replacement of a mention in its own format, from the surrogates of its parts."""
     made = lambda i: F.get(parts, F.lit(i)).made
     email = F.concat(_cased(made(0), F.regexp_extract(e, "^([^@]*)", 1)), F.lit("@"), _cased(made(1), F.regexp_extract(e, "@(.*)$", 1)))
-    words = F.split(_words_of_name(e), " ")
+    words = F.split(_words_of_name(e), r"\s+")
     before = F.substring(e, F.lit(1), F.length(e) - F.length(_words_of_name(e)))
-    surname = _cased(made(0), F.element_at(words, -1))
-    name = F.concat(before, F.when(F.size(words) > 1, F.concat(_cased(made(1), words[0]), F.lit(" "), surname)).otherwise(surname))
+    surname = _name_cased(made(0), F.element_at(words, -1))
+    gap = F.regexp_extract(_words_of_name(e), r"(\s+)", 1)
+    name = F.concat(before, F.when(F.size(words) > 1, F.concat(_name_cased(made(1), words[0]), gap, surname)).otherwise(surname))
     secret = F.concat(F.regexp_extract(e, f"({_SECRET_NAME})", 1), made(0))
     return F.when(kind == "email", email).when(kind == "name", name).when(kind == "secret", secret).when(kind.isin("phone", "card", "ssn", "iban"), _filled(e, made(0))).otherwise(made(0))
 
 
 def surrogates(found: Column, attempt, key: str) -> Column:
     """An array of entities as structs of entity, kind and made."""
-    kinds = F.transform(found, lambda e: F.struct(e.alias("e"), entity_type(e).alias("kind")))
-    parts = F.transform(kinds, lambda x: F.struct(x.e.alias("e"), x.kind.alias("kind"), part_surrogates(parts_of(x.e, x.kind), attempt, key).alias("parts")))
+    parts = F.transform(told_apart(found), lambda x: F.struct(x.e.alias("e"), x.kind.alias("kind"), part_surrogates(parts_of(x.e, x.kind, x.g), attempt, key).alias("parts")))
     return F.transform(parts, lambda x: F.struct(x.e.alias("entity"), x.kind.alias("kind"), _written_back(x.e, x.kind, x.parts).alias("made")))
 
 
 def has_entity(text: Column) -> Column:
     """Is there an entity? First by what every kind of entity holds one of, which is quick to tell."""
     mark = reduce(lambda a, b: a | b, [text.contains(x) for x in ("@", "=", ":", "AKIA", "ASIA")], text.rlike("[0-9]"))
-    maybe = mark | text.rlike(f"(?=[CDFHMNSnг]){PATTERNS['name']}")
+    maybe = mark | text.rlike(f"(?=[CDFHMNPSdmnpгГ]){PATTERNS['name']}")
     return maybe & F.when(text.contains("@"), text.rlike(ANY)).otherwise(text.rlike(NO_AT))
 
 
@@ -227,17 +272,19 @@ def _named(k: Column, c: Column) -> Column:
 
 
 def second_attempts(docs: DataFrame, key: str, attempts: int = ATTEMPTS) -> DataFrame:
-    """(part, attempt) of the parts whose first surrogate clashes; the attempts given leave no two of a type alike."""
-    entity = F.col("entity")
-    found = docs.where(has_entity(F.col("text"))).select(F.explode(entities(F.col("text"))).alias("entity")).groupBy("entity").agg(F.count("*").alias("mentions"))
-    parts = written(found.select(F.explode(parts_of(entity, entity_type(entity))).alias("p")).select("p.k", "p.c").distinct())
+    """(part, attempt) of the parts whose first surrogate clashes; the attempts given leave no two of a type alike, surnames
+    of whatever gender being one type, and given names another."""
+    found = docs.where(has_entity(F.col("text"))).select(F.explode(told_apart(entities(F.col("text")))).alias("x")).groupBy("x").agg(F.count("*").alias("mentions"))
+    parts = written(found.select(F.explode(parts_of(F.col("x.e"), F.col("x.kind"), F.col("x.g"))).alias("p")).select("p.k", "p.c").distinct())
     made = lambda attempt: part_surrogates(F.array(F.struct("k", "c")), lambda x: attempt, key)[0].made
     now = written(parts.select("k", "c", F.lit(0).alias("attempt"), made(F.lit(0)).alias("surrogate")))
+    kind = F.substring_index("k", " ", 1).alias("kind")
     for _ in range(attempts):
-        shared = now.groupBy("k", "surrogate").agg(F.min(F.struct("attempt", "c")).alias("first"), F.count("*").alias("n"))
-        real = parts.select("k", F.col("c").alias("surrogate"), F.lit(True).alias("real"))
-        judged = written(shared.join(real.hint("merge"), ["k", "surrogate"], "left").where("n > 1 or real").select("k", "surrogate", F.when(F.col("real").isNull(), F.col("first.c")).alias("first")))
-        again = written(now.join(judged.hint("merge"), ["k", "surrogate"]).where("first is null or c <> first").select("k", "c", (F.col("attempt") + 1).alias("attempt")))
+        shared = now.groupBy(kind, "surrogate").agg(F.min(F.struct("attempt", "c", "k")).alias("first"), F.count("*").alias("n"))
+        real = parts.select(kind, F.col("c").alias("surrogate"), F.lit(True).alias("real")).distinct()
+        clash = shared.join(real.hint("merge"), ["kind", "surrogate"], "left").where("n > 1 or real")
+        judged = written(clash.select("kind", "surrogate", F.when(F.col("real").isNull(), F.col("first.c")).alias("first"), F.col("first.k").alias("first_k")))
+        again = written(now.withColumn("kind", kind).join(judged.hint("merge"), ["kind", "surrogate"]).where("first is null or c <> first or k <> first_k").select("k", "c", (F.col("attempt") + 1).alias("attempt")))
         if not again.limit(1).count():
             return now.where("attempt > 0").select(_named(F.col("k"), F.col("c")).alias("part"), "attempt")
         now = written(now.join(again.select("k", "c").hint("merge"), ["k", "c"], "left_anti").unionByName(again.withColumn("surrogate", made(F.col("attempt")))))
@@ -247,8 +294,10 @@ def second_attempts(docs: DataFrame, key: str, attempts: int = ATTEMPTS) -> Data
 def _replaced(text: Column, made: Column) -> Column:
     """The text with its entities replaced, in order; between them full names that it has with a title go as well."""
     parts = F.when(text.contains("@"), F.split(text, ANY, -1)).otherwise(F.split(text, NO_AT, -1))
-    full = F.filter(F.transform(F.filter(made, lambda x: x.kind == "name"), lambda x: F.struct(_words_of_name(x.entity).alias("was"), _words_of_name(x.made).alias("made"))), lambda x: x.was.contains(" "))
-    bare = lambda p: F.aggregate(full, p, lambda t, x: F.regexp_replace(t, F.concat(F.lit(_APART + r"\Q"), x.was, F.lit(r"\E(?![\p{L}\p{N}])")), x.made))
+    words = lambda e: F.split(_words_of_name(e), r"\s+")
+    full = F.array_distinct(F.filter(F.transform(F.filter(made, lambda x: x.kind == "name"), lambda x: F.struct(words(x.entity).alias("was"), words(x.made).alias("made"))), lambda x: F.size(x.was) > 1))
+    pattern = lambda x: F.concat(F.lit(_APART + r"\Q"), x.was[0], F.lit(rf"\E({_GAP})\Q"), x.was[1], F.lit(r"\E(?![\p{L}\p{N}])"))
+    bare = lambda p: F.aggregate(full, p, lambda t, x: F.regexp_replace(t, pattern(x), F.concat(x.made[0], F.lit("$1"), x.made[1])))
     parts = F.when(F.size(full) > 0, F.transform(parts, bare)).otherwise(parts)
     return F.array_join(F.zip_with(parts, made, lambda a, b: F.concat(a, F.coalesce(b.made, F.lit("")))), "")
 
@@ -259,8 +308,9 @@ def pseudonymise(docs: DataFrame, key: str, mapped: int = MAPPED) -> DataFrame:
     Whoever has the key can rebuild the surrogates: keep it from those who get the texts. Null texts stay null, with no
     entities; texts without an entity stay as they are. Equal entities get equal surrogates everywhere, in whatever
     spelling, different ones different surrogates. Names are found by a title or a cue such as ``Dear``, and full names
-    that a text has with one also without it there; other bare names are not told from other words. Repeated rows: a row
-    each. No rows: none. An input column named like a result is replaced by it.
+    that a text has with one also without it there; other bare names are not told from other words. A person whose title
+    tells a gender in one text, and whom another text names by a cue or a neutral title only, has two surrogates: no text
+    reads another. Repeated rows: a row each. No rows: none. An input column named like a result is replaced by it.
     """
     again = written(second_attempts(docs, key))
     n = again.count()
@@ -273,8 +323,7 @@ def pseudonymise(docs: DataFrame, key: str, mapped: int = MAPPED) -> DataFrame:
         attempt = lambda x: F.coalesce(tries[_named(x.k, x.c)], F.lit(0))
     else:
         rows = written(rows.withColumn("row", F.monotonically_increasing_id()))
-        entity = F.col("entity")
-        mention = rows.where("found is not null").select("row", F.explode(F.array_distinct("found")).alias("entity")).select("row", F.explode(parts_of(entity, entity_type(entity))).alias("p"))
+        mention = rows.where("found is not null").select("row", F.explode(F.array_distinct(told_apart(F.col("found")))).alias("x")).select("row", F.explode(parts_of(F.col("x.e"), F.col("x.kind"), F.col("x.g"))).alias("p"))
         mention = mention.select("row", _named(F.col("p.k"), F.col("p.c")).alias("part")).distinct()
         tried = written(mention.join(again.hint("merge"), "part").groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("part", "attempt"))).alias("tries")))
         rows = rows.join(tried.hint("merge"), "row", "left")

@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from melodex.llm import decontamination, language_id, pii, piece_dropout, simhash
-from melodex.llm.common import secret_key, table, written
+from melodex.llm.common import secret_key, spread_join, table, written
 
 #: Least score of a predicted language; documents below it, and those without a letter, are rejected.
 LEAST_SCORE = 0.3
@@ -25,13 +25,14 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = written(docs.select(F.struct(*docs.columns).alias("doc"), F.monotonically_increasing_id().alias("row")))
     members = written(simhash.near_duplicates(rows.select("doc.doc_id", "doc.text", "row"), carry=("row",)).select("doc_id", "row", "component"))
     ids = members.groupBy("component", "doc_id").agg(F.min("row").alias("row"), F.count("*").alias("n"))
-    first = ids.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "n")).alias("first"))
-    first = written(first.select("component", "first.*"))
+    first = ids.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "n")).alias("first"), F.sum("n").alias("members"))
+    first = written(first.select("component", "first.*", "members"))
     kept = first.where("n = 1").select("row")
     tied = first.where("n > 1")
     if tied.limit(1).count():
-        of = tied.select(F.col("component").alias("c"), F.col("doc_id").alias("least"))
-        alike = members.join(of.hint("merge"), (F.col("component") == F.col("c")) & F.col("doc_id").eqNullSafe(F.col("least"))).select("component", "row")
+        # A large group is dealt over tasks.
+        of = tied.select("component", F.col("members").alias("n"), F.col("doc_id").alias("least"))
+        alike = spread_join(members, of, "component", members.count(), "row").where(F.col("doc_id").eqNullSafe(F.col("least"))).select("component", "row")
         texts = rows.select("row", "doc.text").join(alike.hint("merge"), "row")
         kept = kept.unionByName(texts.groupBy("component").agg(F.min(F.struct("text", "row")).alias("least")).select("least.row"))
     return rows.join(written(kept).hint("merge"), "row", "left_semi").select("doc.*")

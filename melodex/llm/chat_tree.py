@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import spread_join, written
 
 #: Conversations that one pack holds at most, unless they are all the same.
 TOGETHER = 64
@@ -174,10 +174,11 @@ def pack(conversations: DataFrame, together: int = TOGETHER) -> tuple[DataFrame,
     turns = conversations.select("conv_id", "turn", F.coalesce("role", empty).alias("role"), F.coalesce("text", empty).alias("text"))
     ordered = turns.repartition("conv_id").sortWithinPartitions("conv_id", F.col("turn").asc_nulls_first(), "role", "text")
     chained = written(ordered.select("conv_id", "role", "text").mapInPandas(_chained, "conv_id long, idx int, parent string, node string, role string, text string, last boolean"))
-    many = written(chained.groupBy("node").count().where(F.col("count") > together).select("node", F.lit(True).alias("many")))
+    many = written(chained.groupBy("node").agg(F.count("*").alias("n")).where(F.col("n") > together).select("node", "n", F.lit(True).alias("many")))
     # Nodes with many conversations come first on every path; the first one after them begins a subtree under a cut.
     paths = chained.select("conv_id", "idx", "parent", "node")
-    paths = paths.join(many.hint("merge"), "node", "left") if many.limit(1).count() else paths.withColumn("many", F.lit(None).cast("boolean"))
+    # A first turn that all have is dealt over tasks.
+    paths = spread_join(paths, many, "node", chained.count(), "conv_id", how="left") if many.limit(1).count() else paths.withColumn("many", F.lit(None).cast("boolean"))
     ways = written(paths.groupBy("conv_id").agg(F.min(F.when(F.col("many").isNull(), F.struct("idx", "node", "parent"))).alias("first"), F.max(F.struct("idx", "node")).alias("end")))
     members = written(_in_packs(ways, together))
     of = members.select(F.col("conv_id").alias("c"), "pack")
@@ -229,4 +230,8 @@ def digests(conversations: DataFrame, together: int = TOGETHER) -> DataFrame:
     told = F.concat(F.array_join(F.transform("turns", lambda t: F.concat(t.role, F.lit("\n"), t.text, F.lit("\n"))), ""))
     # An end has its path as its name, but a pack above an end that many share may hold it too.
     each = written(read.select("pack", "leaf", F.sha2(told, 256).alias("turns_sha256"), F.char_length("loss_text").cast("long").alias("loss_chars"), F.sha2("loss_text", 256).alias("loss_sha256"), "formatted_chars", F.size("turns").cast("long").alias("n")))
-    return members.join(each.hint("merge"), ["pack", "leaf"]).select("conv_id", F.col("n").alias("n_turns"), "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
+    # So is a conversation that many repeat.
+    path = F.concat_ws("\0", "pack", "leaf").alias("path")
+    sizes = members.groupBy("pack", "leaf").agg(F.count("*").alias("n"))
+    ends = written(each.withColumnRenamed("n", "n_turns").join(sizes.hint("merge"), ["pack", "leaf"]).select(path, "n", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"))
+    return spread_join(members.select("conv_id", path), ends, "path", members.count(), "conv_id").select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")

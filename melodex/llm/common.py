@@ -62,8 +62,8 @@ def learn_fold(doc_id):
 HOT_KEYS, FEW = 100_000, 64
 
 
-def spread_join(rows: DataFrame, values: DataFrame, key: str, total: int, *deal: str, keys: int = HOT_KEYS) -> DataFrame:
-    """``rows`` joined with ``values``, which is written and has one row a key with the number ``n`` of its rows.
+def spread_join(rows: DataFrame, values: DataFrame, key: str, total: int, *deal: str, keys: int = HOT_KEYS, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``values``, which is written and has one row a key with the number ``n`` of its rows; ``how`` may be left.
 
     A key of many rows is dealt over several tasks by the hash of the columns ``deal``, so that none gets more than about
     ``total / keys`` of its rows. Of ``total`` rows fewer than ``keys`` keys can be that hot: they are broadcast.
@@ -73,4 +73,4 @@ def spread_join(rows: DataFrame, values: DataFrame, key: str, total: int, *deal:
     hot = F.broadcast(values.where(F.col("n") > most).select(key, parts.alias("parts")))
     dealt = rows.join(hot, key, "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64(*deal), "parts").cast("int"), F.lit(0))).drop("parts")
     copies = values.withColumn("part", F.explode(F.sequence(F.lit(0), F.greatest(parts, F.lit(1)) - 1))).drop("n")
-    return dealt.join(copies.hint("merge"), [key, "part"]).drop("part")
+    return dealt.join(copies.hint("merge"), [key, "part"], how).drop("part")

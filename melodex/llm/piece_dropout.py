@@ -1,8 +1,8 @@
 """SentencePiece encoding with seeded merge-dropout, and decoding.
 
 A merge-type model joins neighbouring symbols in the order of its piece scores, kept on an agenda (a heap). With dropout
-each candidate merge that comes up is skipped when a keyed hash of it falls under the rate; a skipped candidate only
-comes back if a later merge makes it anew. So one text has many segmentations, all of which decode to the same text:
+each candidate merge that comes up is skipped when a keyed hash of it falls under the rate, for good. So one text has
+many segmentations, all of which decode to the same text:
 characters without a piece, and the model's own space mark where a text holds it, are spelt in byte pieces.
 
 The hash takes the key, the document (its id and text), the place of the word in it, and the candidate's place and

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from melodex.functions.vectors import unit
 
-from .cell_index import BITS, PARTS, CellIndex, temporary
+from .cell_index import BITS, PARTS, CellIndex, NoVectors, temporary
 from .features import require_one_dimension
 from .search import topk
 
@@ -27,9 +27,11 @@ def ivf_topk(queries: DataFrame, catalogue: DataFrame, k: int, cells: int | None
     Without ``probes`` an audit says how many cells hold the neighbours. Nulls, ties, repeats and empty sides as in
     ``topk``; results may be fewer than K where the probed cells hold fewer.
     """
-    if not catalogue.where("vec is not null").limit(1).count():
+    try:
+        index = temporary(catalogue, cells=cells, probes=probes, codes=False, seed=seed)
+    except NoVectors:
         return topk(queries, catalogue, k)
-    return temporary(catalogue, cells=cells, probes=probes, codes=False, seed=seed).search(queries, k)
+    return index.search(queries, k)
 
 
 def pq_topk(queries: DataFrame, catalogue: DataFrame, k: int, parts: int = PARTS, bits: int = BITS, pool: int | None = None, seed: int = 1, cells: int | None = None, probes: int | None = None) -> DataFrame:
@@ -39,9 +41,11 @@ def pq_topk(queries: DataFrame, catalogue: DataFrame, k: int, parts: int = PARTS
     ``parts`` is halved until it divides the length. Candidates are ``pool`` times K songs a query; where it isn't given,
     all whose rough scores lie within the audited margin of the K-th best. Nulls, ties, repeats and empty sides as in ``topk``.
     """
-    if not catalogue.where("vec is not null").limit(1).count():
+    try:
+        index = temporary(catalogue, cells=cells, probes=probes, parts=parts, bits=bits, seed=seed)
+    except NoVectors:
         return topk(queries, catalogue, k)
-    return temporary(catalogue, cells=cells, probes=probes, parts=parts, bits=bits, seed=seed).search_codes(queries, k, pool)
+    return index.search_codes(queries, k, pool)
 
 
 def indexed_topk(queries: DataFrame, catalogue: DataFrame, k: int, approximate: bool | None = None, index: CellIndex | None = None) -> DataFrame:

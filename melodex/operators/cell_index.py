@@ -101,6 +101,10 @@ class Model(NamedTuple):
         return out
 
 
+class NoVectors(ValueError):
+    """There is nothing to index."""
+
+
 class CellIndex:
     """An index under a path. Searches give query_id, rank, song_id and score as ``topk`` does, within the probed cells:
     null vectors are no queries and no results, ties go by smaller song_id, repeated rows count each time."""
@@ -121,19 +125,19 @@ class CellIndex:
         return cls(spark, path, Model(version, np.stack(named("centre")), [np.stack(words[p * each : (p + 1) * each]) for p in range(int(parts))], int(probes), margin, far, "<f4" if single else "<f8"))
 
     @classmethod
-    def build(cls, catalogue: DataFrame, path: str, cells: int | None = None, probes: int | None = None, parts: int = PARTS, bits: int = BITS, codes: bool = True, seed: int = 1, version: int = 0) -> "CellIndex":
+    def build(cls, catalogue: DataFrame, path: str, cells: int | None = None, probes: int | None = None, parts: int = PARTS, bits: int = BITS, codes: bool = True, seed: int = 1, version: int = 0, keep: bool = True) -> "CellIndex":
         """Index ``catalogue`` (song_id, vec of one length) under a path; an error without a vector.
 
         Cells: the root of the number of vectors, MOST_CELLS at most, unless given. Probes: PROBES, or more if the audit
         asks for more, unless given. ``parts`` is halved until it divides the length; without ``codes`` there are no rough
-        scores to search by.
+        scores to search by. An index that isn't to ``keep`` can't be opened again.
         """
         spark = catalogue.sparkSession
         rows = catalogue.where("vec is not null").select(F.col("song_id").cast("long").alias("song_id"), "vec")
         n = rows.count()
         x = sample(rows, n, seed)
         if not len(x):
-            raise ValueError("an index needs a vector at least")
+            raise NoVectors("an index needs a vector at least")
         centres = learn_centres(x, cells or max(2, min(math.isqrt(n), MOST_CELLS)), seed)
         while x.shape[1] % parts:
             parts //= 2
@@ -142,11 +146,12 @@ class CellIndex:
         single = rows.schema["vec"].dataType.elementType.simpleString() == "float"
         index = cls(spark, path, Model(version, centres, words, 0, 0.0, 0.0, "<f4" if single else "<f8"))
         index._add(rows)
-        told = index.statistics().agg(F.sum("far") / F.sum("n")).first()[0]
-        index.model = index.model._replace(far=float(told), probes=min(probes or PROBES, len(centres)))
+        index.model = index.model._replace(probes=min(probes or PROBES, len(centres)))
         if probes is None and len(centres) > PROBES or codes:
-            index._audit(rows, n, seed, probes is None)
-        index._publish()
+            index._audit(rows, n, seed, probes is None and len(centres) > PROBES)
+        if keep:
+            index.model = index.model._replace(far=float(index.statistics().agg(F.sum("far") / F.sum("n")).first()[0]))
+            index._publish()
         return index
 
     def _publish(self) -> None:
@@ -239,9 +244,9 @@ class CellIndex:
 
     def _met(self, packs: DataFrame, *columns: str) -> DataFrame:
         """Packs with the blocks of their cells, by a broadcast behind a check of bytes or a shuffle."""
-        cells = [r.cell for r in packs.select("cell").distinct().collect()]  # no more than there are cells
-        blocks = self.blocks(cells).select("cell", *columns)
-        return blocks.join(_light(packs, "q"), "cell")
+        sizes = packs.groupBy("cell").agg(F.sum(F.octet_length("q") + 64).alias("size")).collect()  # no more than there are cells
+        few = sum(r["size"] for r in sizes) <= BROADCAST_BYTES
+        return self.blocks([r.cell for r in sizes]).select("cell", *columns).join(F.broadcast(packs) if few else packs.hint("merge"), "cell")
 
     def search(self, queries: DataFrame, k: int, probes: int | None = None, skip_self: bool = True) -> DataFrame:
         """The K best of each query in its cells, by exact scores."""
@@ -373,4 +378,4 @@ def _best(s: np.ndarray, q_ids: np.ndarray, ids: np.ndarray, k: int, skip_self:
 
 def temporary(catalogue: DataFrame, **given) -> CellIndex:
     """An index in a new scratch folder, for one call."""
-    return CellIndex.build(catalogue, scratch(catalogue.sparkSession), **given)
+    return CellIndex.build(catalogue, scratch(catalogue.sparkSession), keep=False, **given)

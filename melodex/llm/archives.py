@@ -37,7 +37,7 @@ _line = {
 }
 _blank = re.compile(rb"\r?\n\r?\n")
 
-ARC_ROWS = "archive string, archive_date string, offset long, version int, url string, ip string, date string, mime string, status int, head binary, payload binary, error string"
+ARC_ROWS = "file string, archive string, archive_date string, offset long, version int, url string, ip string, date string, mime string, status int, head binary, payload binary, error string"
 WARC_ROWS = "file string, offset long, fields map<string, string>, head binary, payload binary, error string"
 
 
@@ -56,7 +56,7 @@ def split_http(block: bytes) -> tuple[bytes | None, bytes]:
 
 
 def arc_records(stream) -> Iterator[tuple]:
-    """Rows of ARC_ROWS of one archive, the block with its version among them (url ``filedesc:``).
+    """Rows of ARC_ROWS of one archive, without their file, the block with its version among them (url ``filedesc:``).
 
     Lines that are no record line are skipped to the next that is, and reported as one row with an error; so is a record
     that ends early, with what is there of it.
@@ -124,8 +124,8 @@ def warc_records(stream) -> Iterator[tuple]:
         yield lost, None, None, None, f"{offset - lost} bytes without a record"
 
 
-def _read(spark: SparkSession, path: str, records: Callable[[io.BufferedIOBase], Iterator[tuple]], schema: str, named: bool) -> DataFrame:
-    """Rows of all archives under a path; ``named``: the rows' first column is the archive's path."""
+def _read(spark: SparkSession, path: str, records: Callable[[io.BufferedIOBase], Iterator[tuple]], schema: str) -> DataFrame:
+    """Rows of all archives under a path, after each archive's own path."""
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     types = pa.schema([(c.split()[0], _ARROW[c.split(None, 1)[1]]) for c in re.split(r", (?=\w+ \w)", schema)])
 
@@ -134,7 +134,7 @@ def _read(spark: SparkSession, path: str, records: Callable[[io.BufferedIOBase],
             for place, content in zip(batch.column(0).to_pylist(), batch.column(1)):
                 rows, size = [], 0
                 for r in records(_opened(content.as_py())):
-                    rows.append((place, *r) if named else r)
+                    rows.append((place, *r))
                     size += 200 + sum(len(x) for x in r if isinstance(x, bytes))
                     if size > BATCH_BYTES:
                         yield _batch(rows, types)
@@ -158,12 +158,12 @@ def _batch(rows: list[tuple], types: pa.Schema) -> pa.RecordBatch:
 
 def read_arc(spark: SparkSession, path: str) -> DataFrame:
     """ARC_ROWS of all archives under a path, packed or not: one row a record, version blocks and damaged parts included."""
-    return _read(spark, path, arc_records, ARC_ROWS, False)
+    return _read(spark, path, arc_records, ARC_ROWS)
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """WARC_ROWS of all archives under a path, packed or not: one row a record, damaged parts included."""
-    return _read(spark, path, warc_records, WARC_ROWS, True)
+    return _read(spark, path, warc_records, WARC_ROWS)
 
 
 def write_arc(pages: DataFrame, path: str, versions: tuple[int, ...] = (1, 2)) -> None:
@@ -230,31 +230,31 @@ def described(records: DataFrame) -> DataFrame:
     """
     whole = records.where("url is not null or payload is not null")
     opening = F.coalesce(F.col("url").startswith("filedesc:"), F.lit(False))
-    info = _uuid(F.lit("warcinfo"), F.col("archive"), F.col("archive_date"))
+    info = _uuid(F.lit("warcinfo"), F.col("file"), F.col("archive"), F.col("archive_date"))
     told = whole.withColumn("digest", F.sha2("payload", 256)).withColumn("bytes", F.octet_length("payload").cast("long"))
     return told.select(
         "*",
         F.when(opening, "warcinfo").when(F.col("head").isNotNull(), "response").otherwise("resource").alias("kind"),
         F.coalesce(_iso(F.col("date")), _iso(F.col("archive_date")), F.lit("1970-01-01T00:00:00Z")).alias("iso"),
-        F.when(opening, info).otherwise(_uuid(F.col("archive"), F.col("offset"), F.col("url"), F.col("date"), F.col("digest"))).alias("record_id"),
+        F.when(opening, info).otherwise(_uuid(F.col("file"), F.col("offset"), F.col("url"), F.col("date"), F.col("digest"))).alias("record_id"),
         info.alias("warcinfo_id"),
     )
 
 
 def revisits(index: DataFrame, *order: str, least: int = LEAST_BYTES) -> DataFrame:
-    """archive, offset, and the other_id, other_url and other_iso that a record revisits, for each that does.
+    """file, offset, and the other_id, other_url and other_iso that a record revisits, for each that does.
 
-    ``index`` is written and holds archive, offset, kind, bytes, digest, record_id, url, iso and the columns ``order``. Of
-    responses or resources with one digest and ``least`` bytes or more, the first by ``order`` (nulls last), then archive
+    ``index`` is written and holds file, offset, kind, bytes, digest, record_id, url, iso and the columns ``order``. Of
+    responses or resources with one digest and ``least`` bytes or more, the first by ``order`` (nulls last), then file
     and offset, is kept. Digests of many records are dealt over tasks.
     """
     kinds = index.where(F.col("kind").isin("response", "resource") & (F.col("bytes") >= least)).withColumn("key", F.concat("kind", F.lit(" "), "digest"))
     by = [x for c in order for x in (F.col(c).isNull().alias(f"no_{c}"), F.col(c))]
-    first = F.min(F.struct(*by, "archive", "offset", "record_id", "url", "iso")).alias("first")
+    first = F.min(F.struct(*by, "file", "offset", "record_id", "url", "iso")).alias("first")
     groups = written(kinds.groupBy("key").agg(F.count("*").alias("n"), first).where("n > 1"))
-    found = spread_join(kinds.select("key", "archive", "offset", "record_id"), groups, "key", index.count(), "archive", "offset")
-    others = found.where(F.col("record_id") != F.col("first.record_id"))
-    return others.select("archive", "offset", F.col("first.record_id").alias("other_id"), F.col("first.url").alias("other_url"), F.col("first.iso").alias("other_iso"))
+    found = spread_join(kinds.select("key", "file", "offset"), groups, "key", index.count(), "file", "offset")
+    others = found.where((F.col("file") != F.col("first.file")) | (F.col("offset") != F.col("first.offset")))
+    return others.select("file", "offset", F.col("first.record_id").alias("other_id"), F.col("first.url").alias("other_url"), F.col("first.iso").alias("other_iso"))
 
 
 def write_warc(records: DataFrame, path: str) -> None:
@@ -299,10 +299,10 @@ def convert(spark: SparkSession, arc: str, warc: str, *order: str, found: Callab
 
     ``found`` may add columns, which ``order`` then names, to choose that one by; otherwise it is the first in its archive.
     """
-    of = lambda: found(described(read_arc(spark, arc)))
-    index = written(of().select("archive", "offset", "kind", "bytes", "digest", "record_id", "url", "iso", *order))
+    index = written(found(described(read_arc(spark, arc))).select("file", "offset", "kind", "bytes", "digest", "record_id", "url", "iso", *order))
     others = written(revisits(index, *order, least=least))
-    write_warc(of().join(others.hint("merge"), ["archive", "offset"], "left"), warc)
+    # Only what the archives say is shuffled; what follows from it is made again.
+    write_warc(described(read_arc(spark, arc).join(others.hint("merge"), ["file", "offset"], "left")), warc)
 
 
 def resolved(records: DataFrame, *about: str) -> DataFrame:

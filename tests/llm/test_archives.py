@@ -86,6 +86,18 @@ def test_conversion(spark, tmp_path):
     assert sorted((r.url, r.payload_bytes, r.payload_digest) for r in lost.collect())[1:] == [("http://0/b", None, None), ("http://1/a", None, None), ("http://1/b", None, None)]
 
 
+def test_archives_of_one_name(spark, tmp_path):
+    """Two archives that say the same of themselves keep their records apart, and one of each pair revisits the other."""
+    body = [b"<p>" + bytes([65 + k]) * 200 for k in range(3)]
+    for k in range(2):
+        os.makedirs(f"{tmp_path}/arc/{k}")
+        with open(f"{tmp_path}/arc/{k}/same.arc", "wb") as f:
+            f.write(arc(1, *[(f"http://{k}/{n} 1.2.3.4 20010203040506 text/html", HTTP + b) for n, b in enumerate(body)]))
+    archives.convert(spark, f"{tmp_path}/arc/*", f"{tmp_path}/warc")
+    told = archives.resolved(archives.read_warc(spark, f"{tmp_path}/warc")).collect()
+    assert len({r.record_id for r in told}) == 6 and sorted((r.url, r.record_type) for r in told) == [(f"http://{k}/{n}", "revisit" if k else "response") for k in range(2) for n in range(3)]
+
+
 def brute(rows):
     first, out = {}, []
     for i, _, h in sorted(rows, key=lambda r: (r[0] is None, r[0])):

@@ -343,7 +343,8 @@ def near_duplicates(embeddings: DataFrame, overlap: int = OVERLAP, shard: int =
     Vectors that are null, empty or zero, or hold null or non-finite components, and rows with a null id, link with
     nothing and are components of their own; vectors of different lengths don't link. Equal vectors link with each other.
     Rows that repeat an id are rows of their own. ``kept`` is false where the id is null. No rows: none. Other columns
-    are not read. Raises if recall stays below ACCEPTED at the largest overlap.
+    are not read. An overlap of MOST_OVERLAP is enough where it brings ACCEPTED; otherwise it goes on growing, in the end to
+    all shards, and only a recall below ACCEPTED with all vectors in all shards raises.
     """
     spark = embeddings.sparkSession
     number = lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))
@@ -371,12 +372,13 @@ def near_duplicates(embeddings: DataFrame, overlap: int = OVERLAP, shard: int =
     if not lengths:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"), F.lit(1.0).alias("recall"))
     shared = spark.sparkContext.broadcast(centroids)
+    every = max(len(c) for _, c in centroids.values())
     while True:
         found = _links(items, shared, overlap, max(lengths.values()) > 2 * CENTROIDS * shard, shard, kind)
         recall = _recall(items, found, kind)
-        if recall >= GOAL or overlap >= MOST_OVERLAP:
+        if recall >= GOAL or (overlap >= MOST_OVERLAP and recall >= ACCEPTED) or overlap >= max(every, MOST_OVERLAP):
             break
-        overlap = min(MOST_OVERLAP, 2 * overlap)
+        overlap = 2 * overlap if overlap >= MOST_OVERLAP else min(MOST_OVERLAP, 2 * overlap)
     if recall < ACCEPTED:
         raise RuntimeError(f"recall is {recall:.3f}")
     nodes = components(found.select(F.col("node").alias("src"), F.col("root").alias("dst")))

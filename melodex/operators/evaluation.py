@@ -52,7 +52,7 @@ def against_targets(scores: DataFrame, targets: DataFrame, other: float = OTHER_
     """Scores (category, score) with their target, PASS (also at the target) or FAIL, and what to do about a failure; a
     category without a target, or a null one, has ``other``; a null score fails."""
     advice = F.when(F.col("category") == "ghazal", "raise the vocal weight").when(F.col("category") == "party", "raise the rhythmic weight").when(F.col("category") == "sufi", "raise the melodic weight").otherwise("inspect the cluster")
-    both = scores.join(targets, "category", "left").withColumn("target", F.coalesce("target", F.lit(other)))
+    both = scores.join(targets.hint("merge"), "category", "left").withColumn("target", F.coalesce("target", F.lit(other)))
     return both.withColumn("verdict", F.when(F.col("score") >= F.col("target"), "PASS").otherwise("FAIL")).withColumn("advice", F.when(F.col("score") < F.col("target"), advice))
 
 

@@ -98,7 +98,7 @@ def priors_weights(rows: DataFrame) -> DataFrame:
     """label, prior (share of the rows) and weight (rows / (labels * its rows)); a null label is one. No rows: none."""
     counts = rows.groupBy("label").agg(F.count("*").alias("n"))
     total = counts.agg(F.sum("n").alias("all"), F.count("*").alias("labels"))
-    return counts.crossJoin(total).select("label", (F.col("n") / F.col("all")).alias("prior"), (F.col("all") / (F.col("labels") * F.col("n"))).alias("weight"))
+    return counts.crossJoin(F.broadcast(total)).select("label", (F.col("n") / F.col("all")).alias("prior"), (F.col("all") / (F.col("labels") * F.col("n"))).alias("weight"))
 
 
 def majority_vote(predictions: DataFrame) -> DataFrame:

@@ -462,3 +462,19 @@ def test_catalogue_summaries(spark):
     assert [tuple(r) for r in catalogue.dedupe_keep_order(d, "k", "v", "pos").collect()] == [("a", "x", 1)]
     p = spark.createDataFrame([(None,), ("/a/b/c.mp3",), ("x",), ("r/a/a/d.mp3",)], "path string")
     assert sorted((r.path or "", r.grp, r.label, r.label_id) for r in files.labelled_paths(p, "path").collect()) == [("", None, None, None), ("/a/b/c.mp3", "a", "b", 1), ("r/a/a/d.mp3", "a", "a", 0), ("x", None, None, None)]
+
+
+def test_totals_of_blocks(spark, monkeypatch):
+    """Sums over all rows of another id, of several blocks and with nulls, repeats and a lone row, as by a plain join."""
+    monkeypatch.setattr(search, "BLOCK", 16)
+    monkeypatch.setattr(search, "QUERY_BLOCK", 8)
+    x = np.random.default_rng(5).normal(size=(70, 4))
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)] + [(3, x[9].tolist()), (900, None)], "song_id long, vec array<double>")
+    q = v.where("song_id % 10 in (0, 3)").withColumnRenamed("song_id", "query_id")
+    got = sorted(search.totals(q, v).collect())
+    plain = q.join(v.withColumnRenamed("vec", "w"), F.col("query_id") != F.col("song_id")).withColumn("s", F.round(vectors.dot(F.col("vec"), F.col("w")), 10))
+    want = sorted(plain.groupBy("query_id").agg(F.count("*").alias("n"), F.sum("s").alias("total"), F.max("s").alias("best")).collect())
+    assert [r[:2] for r in got] == [r[:2] for r in want] and len(got) == 15
+    for r, w in zip(got, want):
+        assert (r.total, r.best) == ((None, None) if w.total is None else (pytest.approx(w.total), pytest.approx(w.best)))
+    assert search.totals(q.where("query_id = 10"), v.where("song_id = 10")).count() == 0

@@ -478,3 +478,14 @@ def test_totals_of_blocks(spark, monkeypatch):
     for r, w in zip(got, want):
         assert (r.total, r.best) == ((None, None) if w.total is None else (pytest.approx(w.total), pytest.approx(w.best)))
     assert search.totals(q.where("query_id = 10"), v.where("song_id = 10")).count() == 0
+
+
+def test_judged_pairs_are_dealt_by_query(spark, tmp_path, monkeypatch):
+    """More pairs are more tasks, though they meet by two remainders only; a query's judgments stay together."""
+    from melodex.plans import similarity
+
+    spark.range(400).selectExpr("id AS vec_id", "id % 10 AS label").write.parquet(f"{tmp_path}/embeddings.parquet")
+    monkeypatch.setattr(similarity, "JUDGED_A_TASK", 50)
+    j = evaluation.last_judgments(similarity._judgments(spark, str(tmp_path)))
+    of = j.withColumn("task", F.spark_partition_id()).groupBy("query_id").agg(F.countDistinct("task").alias("tasks"), F.min("task").alias("task"), F.count("*").alias("n")).collect()
+    assert len({r.task for r in of}) > 4 and {(r.tasks, r.n) for r in of} == {(1, 19)}

@@ -489,3 +489,25 @@ def test_judged_pairs_are_dealt_by_query(spark, tmp_path, monkeypatch):
     j = evaluation.last_judgments(similarity._judgments(spark, str(tmp_path)))
     of = j.withColumn("task", F.spark_partition_id()).groupBy("query_id").agg(F.countDistinct("task").alias("tasks"), F.min("task").alias("task"), F.count("*").alias("n")).collect()
     assert len({r.task for r in of}) > 4 and {(r.tasks, r.n) for r in of} == {(1, 19)}
+
+
+def test_first_of_is_best_of(monkeypatch):
+    """What single precision leaves out is never among the best: near ties, equal rows, floors, excluded selves."""
+    rng = np.random.default_rng(6)
+    told = 0
+    for trial in range(60):
+        q = rng.normal(size=(12, 6))
+        x = q[0] + 1e-8 * rng.normal(size=(150, 6)) if trial % 3 == 0 else rng.normal(size=(150, 6))[rng.integers(0, 150 - 100 * (trial % 2), 150)]
+        q_ids, ids, takes = rng.integers(0, 40, 12), rng.permutation(150), rng.integers(1, 9, 12)
+        s = np.round(q @ x.T, search.PLACES)
+        if trial % 2:
+            s[q_ids[:, None] == ids] = -np.inf
+        row, col = search.best_of(s, takes, ids)
+        floor = np.where(rng.random(12) < 0.5, -np.inf, np.array([s[row[row == r], col[row == r]].min() for r in range(12)]))
+        monkeypatch.setattr(search, "CANDIDATES", 1800 if trial % 4 else 0)
+        if got := search.first_of(q, x, q_ids, ids, takes, floor, bool(trial % 2)):
+            told += 1
+            assert got[0].tolist() == row.tolist() and got[1].tolist() == col.tolist() and np.allclose(got[2], s[row, col], rtol=0, atol=2e-10)
+    assert told > 40
+    x[3] = np.inf
+    assert search.first_of(q, x, q_ids, ids, takes, np.full(12, -np.inf), False) is None

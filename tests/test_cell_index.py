@@ -105,3 +105,17 @@ def test_edges(spark, tmp_path):
     finally:
         cell_index.BROADCAST_BYTES = before
     assert sorted(far) == sorted((r.query_id, r["rank"], r.song_id) for r in search.topk(q, v, 7).collect())
+
+
+def test_whole_search_misses_nothing(spark, tmp_path):
+    """Two of sixty cells hold few of the neighbours of scattered vectors; their scores say which others may hold the rest."""
+    x = np.random.default_rng(11).normal(size=(1500, 12))
+    x[700] = x[3]
+    v = frame(spark, x)
+    q = v.where("song_id % 30 = 3").withColumnRenamed("song_id", "query_id")
+    index = CellIndex.build(v, str(tmp_path / "i"), cells=60, probes=2, codes=False)
+    key = lambda df: sorted((r.query_id, r["rank"], r.song_id, r.score) for r in df.collect())
+    exact = key(search.topk(q, v, 7))
+    assert key(index.search(q, 7)) != exact and key(index.search(q, 7, whole=True)) == exact
+    assert key(ann.ivf_topk(q, v, 7, cells=60, probes=2, whole=True)) == exact
+    assert index.search(q.limit(0), 7, whole=True).count() == 0

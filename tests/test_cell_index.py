@@ -119,3 +119,14 @@ def test_whole_search_misses_nothing(spark, tmp_path):
     assert key(index.search(q, 7)) != exact and key(index.search(q, 7, whole=True)) == exact
     assert key(ann.ivf_topk(q, v, 7, cells=60, probes=2, whole=True)) == exact
     assert index.search(q.limit(0), 7, whole=True).count() == 0
+
+
+def test_packs_and_candidates_in_strips(spark, tmp_path, monkeypatch):
+    """A few pairs of query and cell, and few candidates, at a time find what many do."""
+    x = np.random.default_rng(12).normal(size=(400, 8))
+    v, key = frame(spark, x), lambda df: sorted((r.query_id, r["rank"], r.song_id, r.score) for r in df.collect())
+    index = CellIndex.build(v, str(tmp_path / "i"), cells=10)
+    many = [key(f(seeds(v, 7), 5)) for f in (index.search, index.search_codes)]
+    monkeypatch.setattr(cell_index, "PROBED", 30)
+    monkeypatch.setattr(cell_index, "SCORED", 3)
+    assert [key(f(seeds(v, 7), 5)) for f in (index.search, index.search_codes)] == many

@@ -511,3 +511,16 @@ def test_first_of_is_best_of(monkeypatch):
     assert told > 40
     x[3] = np.inf
     assert search.first_of(q, x, q_ids, ids, takes, np.full(12, -np.inf), False) is None
+
+
+def test_rocchio_of_events_that_are_counted(spark):
+    """An event counted thrice is one that comes thrice; nulls and other verdicts add nothing; cells aren't shuffled."""
+    x = np.random.default_rng(8).normal(size=(6, 3)).tolist()
+    s = spark.createDataFrame([(1, x[0]), (2, x[1]), (3, None)], "session_id long, vec array<double>")
+    rows = [(1, "approve", x[2], 3), (1, "reject", x[3], 1), (1, "skip", x[4], 9), (1, "approve", [None, 1.0, 2.0], 2), (1, "reject", None, 1), (9, "approve", x[5], 1)]
+    counted = spark.createDataFrame(rows, "session_id long, verdict string, vec array<double>, times int")
+    each = counted.withColumn("i", F.explode(F.sequence(F.lit(1), F.col("times")))).drop("i", "times")
+    got, want = (sorted((r.session_id, [round(v, 12) for v in r.vec]) for r in feedback.rocchio(s, j).collect()) for j in (counted, each))
+    up = np.array([3 * x[2][0] / 3, (3 * x[2][1] + 2) / 5, (3 * x[2][2] + 4) / 5])
+    z = np.array(x[0]) + 0.75 * up - 0.25 * np.array(x[3])
+    assert got == want and [i for i, _ in got] == [1, 2] and got[0][1] == pytest.approx(z / np.linalg.norm(z))

@@ -70,7 +70,7 @@ def scan_feature_documents(spark, d):
     s = table(spark, d, "supplier").select("s_suppkey", "s_acctbal").where("s_suppkey % 5 <> 0")
     doc = F.to_json(F.struct(F.col("s_acctbal").alias("tempo"), F.array(F.lit(1.0), F.col("s_acctbal"), F.lit(3.0)).alias("profile"), F.lit("more").alias("other")), {"pretty": "true"})
     # Spark names its own files: the folder says the song's name here, and a song's path leads there.
-    s.select("s_suppkey", F.when(F.col("s_suppkey") % 7 == 0, "{ no JSON").otherwise(doc).alias("value")).write.partitionBy("s_suppkey").text(path)
+    files.write_files(s.select("s_suppkey", F.when(F.col("s_suppkey") % 7 == 0, "{ no JSON").otherwise(doc).alias("value")), path, "s_suppkey")
     name = F.regexp_extract(F.col("_metadata.file_path"), r"s_suppkey=(\d+)/", 1)
     songs = table(spark, d, "supplier").select(F.col("s_suppkey").alias("song_id"))
     f = files.features_of(songs, path, "tempo double, profile array<double>", name)
@@ -82,7 +82,7 @@ def scan_labelled_files(spark, d):
     """A file a page, in folders by group and label."""
     path = scratch(spark)
     p = table(spark, d, "pages").select((F.col("page_id") % 3).alias("grp"), F.element_at(F.split("url", "/"), -2).alias("label"), F.col("page_id").cast("string").alias("value"))
-    p.write.option("maxRecordsPerFile", 1).partitionBy("grp", "label").text(path)
+    files.write_files(p, path, "grp", "label")
     return files.labelled_files(spark, path, "*.txt").groupBy("grp", "label", "label_id").agg(F.count("*").alias("n"))
 
 

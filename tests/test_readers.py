@@ -150,3 +150,16 @@ def test_kept_projection(spark, tmp_path):
     ann.save_projection(scaler, pca, f"{tmp_path}/m")
     got, want = (ann.pca_project(new, *m).first().vec for m in (ann.load_projection(f"{tmp_path}/m"), (scaler, pca)))
     assert got == want and len(got) == 3 and np.linalg.norm(got) == pytest.approx(1)
+
+
+def test_files_are_dealt_over_tasks(spark, tmp_path, monkeypatch):
+    """A file a row, written by many tasks from one partition, also where nearly all rows are of one folder."""
+    monkeypatch.setattr(files, "FILES_A_TASK", 10)
+    df = spark.range(120).coalesce(1).selectExpr("if(id < 100, 'hot', concat('f', id)) AS label", "cast(id AS string) AS value")
+    files.write_files(df, f"{tmp_path}/w", "label")
+    back = spark.read.option("recursiveFileLookup", True).text(f"{tmp_path}/w").select("value", F.col("_metadata.file_path").alias("path")).collect()
+    assert sorted(int(r.value) for r in back) == list(range(120)) and len({r.path for r in back}) == 120
+    tasks = [r.path.split("part-")[1][:5] for r in back if "label=hot/" in r.path]
+    assert len(set(tasks)) >= 5 and max(map(tasks.count, tasks)) <= 40
+    files.write_files(df.limit(0), f"{tmp_path}/none", "label")
+    assert spark.read.schema("value string").text(f"{tmp_path}/none").count() == 0

@@ -540,3 +540,17 @@ def test_judgments_stay_where_they_are(spark, monkeypatch):
     of = lambda d: {(x.query_id, x.task) for x in d.select("query_id", F.spark_partition_id().alias("task")).collect()}
     some = evaluation.judged_results(r, j)
     assert of(some) <= of(j) and {(x.query_id, x.song_id) for x in some.collect()} <= {x[::2] for x in rows}
+
+
+def test_queries_that_ask_for_much_are_dealt_over_tasks(spark, monkeypatch):
+    """The results asked for in one task are bounded, also where queries are small enough to be broadcast."""
+    monkeypatch.setattr(search, "QUERY_BLOCK", 8)
+    x = np.random.default_rng(12).normal(size=(90, 4))
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "song_id long, vec array<double>").coalesce(1)
+    q = v.withColumnRenamed("song_id", "query_id")
+    key = lambda: sorted((r.query_id, r["rank"], r.song_id, r.score) for r in search.topk(q, v, 5).collect())
+    packs = lambda df, name: search._pack(df.select(F.col(name).alias("id"), "vec", F.lit(5).cast("long").alias("take")), 8, np.ndarray.tobytes)
+    tasks = lambda: search._met(packs(q, "query_id"), packs(v, "song_id")).select(F.spark_partition_id()).distinct().count()
+    want, one_task = key(), tasks()
+    monkeypatch.setattr(search, "ASKED_A_TASK", 80)
+    assert key() == want and len(want) == 450 and one_task == 1 and tasks() >= 4

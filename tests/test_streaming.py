@@ -4,7 +4,7 @@ import itertools
 import time
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import pytest
 
 from melodex.operators import search
@@ -112,16 +112,19 @@ def test_state_is_asked_a_few_times_a_batch():
     session = jobs._Session(None)
     session.init(kept)
     events, out = [], None
-    frame = lambda load: pd.DataFrame(load, columns=["session_id", "seq", "verdict", "vec", "query"])
-    for n, first in ((3000, 10000), (3000, 4000), (2000, 20000)):
+    verdicts = {"approve": jobs._APPROVE, "reject": jobs._REJECT, "reset": jobs._RESET}
+    types = {"session_id": pa.int64(), "seq": pa.int64(), "verdict": pa.int32(), "vec": pa.list_(pa.float64()), "query": pa.list_(pa.float64())}
+    for n, first in ((5000, 10000), (3000, 4000), (2000, 20000)):
         load = [(1, first + k, "approve" if rng.random() < 0.6 else "reject", rng.normal(size=4), [1.0, 0.5, 0.25, float(first)]) for k in rng.permutation(n)]
         load[7] = (1, first + 500, "reset", None, load[7][4])
         load = [e for k, e in enumerate(load) if k == 7 or e[1] != first + 500]
         kept.calls = 0
-        out = list(session.handleInputRows((1,), (frame(load[k : k + 1000]) for k in range(0, n, 1000)), None))[0]
+        batch = pa.RecordBatch.from_arrays([pa.array([verdicts[e[k]] if k == 2 else e[k] for e in load], t) for k, t in enumerate(types.values())], list(types))
+        packed = (e for b in jobs._packed("<f8", "<f8")([batch.slice(0, 700), batch.slice(700)]) for e in b["event"].to_pylist())
+        out = list(session.handleInputRows((1,), ((1, e) for e in packed), None))[0]
         events += load
-        assert kept.calls <= 20
-        assert (out["session_id"][0], out["seen"][0]) == (1, len(events)) and out["vec"][0] == pytest.approx(folded(events))
+        assert kept.calls <= 12
+        assert (out.session_id, out.seen) == (1, len(events)) and out.vec == pytest.approx(folded(events))
     # Blocks of what a reset has cleared are gone.
     assert sum(len(v[0]) // 8 for v in kept.map.values()) == sum(e[1] > 20500 for e in events)
 

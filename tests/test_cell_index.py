@@ -130,3 +130,48 @@ def test_packs_and_candidates_in_strips(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(cell_index, "PROBED", 30)
     monkeypatch.setattr(cell_index, "SCORED", 3)
     assert [key(f(seeds(v, 7), 5)) for f in (index.search, index.search_codes)] == many
+
+
+def test_whole_search_by_codes_misses_nothing(spark, tmp_path, monkeypatch):
+    """Codes of one bit say little of scattered vectors, and more of clusters; repeats, nulls, lengths beyond single precision,
+    and both ways in which blocks meet."""
+    rng = np.random.default_rng(13)
+    x = np.vstack([rng.normal(size=(900, 12)), (3 * rng.normal(size=(30, 12))).repeat(20, axis=0) + 0.05 * rng.normal(size=(600, 12))])
+    key = lambda df: sorted((r.query_id, r["rank"], r.song_id) for r in df.collect())
+    large = frame(spark, 1e25 * x)
+    few = seeds(large, 30)
+    index = CellIndex.build(large, str(tmp_path / "large"), cells=16, probes=2, parts=2, bits=1)
+    assert key(index.search_codes(few, 7, whole=True)) == key(search.topk(few, large, 7))
+    x[700] = x[3]
+    for kind in ("double", "float"):
+        v = frame(spark, x, kind)
+        v = stored(v.unionByName(v.where("song_id = 33")).unionByName(spark.createDataFrame([(9999, None)], v.schema)))
+        q = v.where("song_id % 30 = 3 or song_id = 9999").withColumnRenamed("song_id", "query_id")
+        index = CellIndex.build(v, str(tmp_path / kind), cells=16, probes=2, parts=2, bits=1)
+        exact = key(search.topk(q, v, 7))
+        assert key(index.search_codes(q, 7)) != exact and key(index.search_codes(q, 7, whole=True)) == exact
+    assert key(ann.pq_topk(q, v, 7, cells=16, probes=2, parts=2, bits=1, whole=True)) == exact
+    assert key(index.search_codes(q, 7, skip_self=False, whole=True)) == key(search.topk(q, v, 7, skip_self=False))
+    assert key(index.search_codes(q.limit(2), 2000, whole=True)) == key(search.topk(q.limit(2), v, 2000))
+    assert ann.pq_topk(q.limit(0), v, 7, whole=True).count() == ann.pq_topk(q, v.limit(0), 7, whole=True).count() == 0
+    monkeypatch.setattr(search._met, "__defaults__", (0,))
+    assert key(index.search_codes(q, 7, whole=True)) == exact
+
+
+def test_codes_rule_out_what_cannot_be_among_the_best():
+    """Of far clusters, few rows are scored, and the best are among them; where codes are far off, or scores too large for
+    single precision, they say nothing."""
+    rng = np.random.default_rng(14)
+    x = np.repeat(rng.normal(size=(40, 16)), 25, axis=0) + 0.02 * rng.normal(size=(1000, 16))
+    y, ids = x + 0.001 * rng.normal(size=x.shape), np.arange(1000)
+    q, q_ids, takes = x[::5], ids[::5], np.full(200, 10)
+    s = np.round(q @ x.T, search.PLACES)
+    s[q_ids[:, None] == ids] = -np.inf
+    floor = np.sort(s[:, :500], axis=1)[:, -10]
+    said = np.column_stack([y, np.linalg.norm(x - y, axis=1)])
+    row, col, score = cell_index._allowed(q, x, said, q_ids, ids, takes, floor, True)
+    r, j = search.best_of(s, takes, ids)
+    assert row.tolist() == r.tolist() and col.tolist() == j.tolist() and score.tolist() == s[r, j].tolist()
+    far = np.column_stack([np.zeros_like(x), np.linalg.norm(x, axis=1)])
+    assert cell_index._allowed(q, x, far, q_ids, ids, takes, floor - 1e3, True) is None
+    assert cell_index._allowed(q * 1e30, x * 1e30, said * 1e30, q_ids, ids, takes, floor * 1e60, True) is None

@@ -8,6 +8,7 @@ import pandas as pd
 import pytest
 
 from melodex import plans
+from melodex.plans.similarity import RANKED
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
@@ -41,3 +42,8 @@ def test_same_rows(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(plans.QUERIES) - set(plans.ORACLES)))
 def test_runs(spark, name):
     assert plans.QUERIES[name](spark, DATA).count() > 0
+
+
+def test_codes_give_every_vector_what_exact_search_gives(spark, duck):
+    sql = f"{RANKED} SELECT query_id, rank, song_id, round(score,6) AS score FROM ranked WHERE rank<=10"
+    assert rows(plans.QUERIES["pq_topk"](spark, DATA).toPandas()) == rows(duck.execute(sql).df())

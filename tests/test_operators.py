@@ -554,3 +554,15 @@ def test_queries_that_ask_for_much_are_dealt_over_tasks(spark, monkeypatch):
     want, one_task = key(), tasks()
     monkeypatch.setattr(search, "ASKED_A_TASK", 80)
     assert key() == want and len(want) == 450 and one_task == 1 and tasks() >= 4
+
+
+def test_best_of_many_ties():
+    """Rows of few different scores, of which many tie with the last that is taken: smaller ids first, whatever their order."""
+    rng = np.random.default_rng(15)
+    for n, most in ((60, 3), (60, 20), (5, 9), (40, 0)):
+        s = rng.integers(0, 3, size=(25, n)).astype(float)
+        s[rng.random(s.shape) < 0.2] = -np.inf
+        ids, takes = rng.permutation(500)[:n], rng.integers(0, most + 1, 25)
+        row, col = search.best_of(s, takes, ids)
+        best = [sorted((-x, i) for x, i in zip(r, ids) if np.isfinite(x))[:t] for r, t in zip(s, takes)]
+        assert [(r, -s[r, c], ids[c]) for r, c in zip(row, col)] == [(r, x, i) for r, b in enumerate(best) for x, i in b]
